@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from geostrata.llm.progressive_jpeg import op1_progressive_jpeg
 from geostrata.llm.token_counts import op6_token_counts
 
 QUERIES = {
+    "op1_progressive_jpeg": op1_progressive_jpeg,
     "op6_token_counts": op6_token_counts,
 }
 
