@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,7 +88,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         if batch.nbytes <= limit:
             yield batch
             continue
-        sizes = np.frombuffer(pa.compute.binary_length(batch.column(column).fill_null("")).cast(pa.int64()).buffers()[1], np.int64)[: batch.num_rows]
+        sizes = np.frombuffer(pc.binary_length(batch.column(column).fill_null("")).cast(pa.int64()).buffers()[1], np.int64)[: batch.num_rows]
         start, total = 0, 0
         for i, n in enumerate(sizes.tolist()):
             if i > start and total + n > limit:

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -211,7 +212,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
         for batch in chunks(batches, "text"):
             texts = batch.column(1)
             n = [enc.count(t) if t else 0 for t in texts.to_pylist()]
-            size = pa.compute.binary_length(texts.fill_null("")).cast(pa.int64())
+            size = pc.binary_length(texts.fill_null("")).cast(pa.int64())
             yield pa.record_batch([batch.column(0), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_column].dataType.simpleString()
