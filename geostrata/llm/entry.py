@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from geostrata.llm.progressive_jpeg import op1_progressive_jpeg
+from geostrata.llm.quality import op3_quality_classifier
 from geostrata.llm.token_counts import op6_token_counts
 
 QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_token_counts": op6_token_counts,
 }
 
