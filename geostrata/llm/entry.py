@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from geostrata.llm.html_extract import op7_html_extraction
+from geostrata.llm.license_scan import op4_license_scan
 from geostrata.llm.progressive_jpeg import op1_progressive_jpeg
 from geostrata.llm.quality import op3_quality_classifier
 from geostrata.llm.token_counts import op6_token_counts
@@ -9,7 +11,9 @@ from geostrata.llm.token_counts import op6_token_counts
 QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_license_scan": op4_license_scan,
     "op6_token_counts": op6_token_counts,
+    "op7_html_extraction": op7_html_extraction,
 }
 
 ORACLES: dict[str, str] = {}
