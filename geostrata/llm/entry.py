@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from geostrata.llm.html_extract import op7_html_extraction
 from geostrata.llm.license_scan import op4_license_scan
+from geostrata.llm.mixing import op9_cube_mixing
 from geostrata.llm.progressive_jpeg import op1_progressive_jpeg
 from geostrata.llm.quality import op3_quality_classifier
+from geostrata.llm.sharding import op2_histogram_sharding
 from geostrata.llm.token_counts import op6_token_counts
 
 QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
+    "op2_histogram_sharding": op2_histogram_sharding,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_license_scan": op4_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_html_extraction": op7_html_extraction,
+    "op9_cube_mixing": op9_cube_mixing,
 }
 
 ORACLES: dict[str, str] = {}
