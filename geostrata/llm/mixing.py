@@ -5,8 +5,8 @@ source's size. Every document is taken the whole times that the source's rate gi
 the fractional rest is an inclusion probability. The flight phase moves the
 probabilities through the null space of the constraints (documents and words stay in
 balance) until nearly all are 0 or 1: first in blocks of each source, then among what
-blocks leave, until one block a source remains. What is left there, two units at most,
-is landed by giving up the words' constraint and then the documents'.
+blocks leave, until one block a source remains. What its flight leaves, two units at most,
+lands with a reserve of a dozen: one of the samples nearest to the balance is drawn.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
 #: Units of a flight.
 BLOCK = 1024
+#: Units of a source that land together with what the flight leaves, and the best samples of them that one is drawn from.
+RESERVE, BEST = 12, 8
 SEED = 20240229
 
 
@@ -89,22 +91,30 @@ def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray
 
 
 def land(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The last units become 0 or 1: two give up the words' balance, one the documents'."""
-    out = fly(np.ones_like(size), p, rng)
-    for i in np.flatnonzero((out > 1e-9) & (out < 1 - 1e-9)):
-        out[i] = float(rng.random() < out[i])
+    """Flight of all but the last RESERVE units, then landing of those and of what it leaves.
+
+    Of the samples that keep the number of documents to less than one, one of the BEST nearest to the words' balance is drawn.
+    """
+    open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+    reserve = open_[-RESERVE:]
+    out = p.copy()
+    flown = np.setdiff1d(np.arange(len(p)), reserve)
+    out[flown] = fly(size[flown], p[flown], rng)
+    left = np.flatnonzero((out > 1e-9) & (out < 1 - 1e-9))
+    if len(left):
+        samples = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(float)
+        count = np.abs(samples.sum(axis=1) - out[left].sum())
+        words = np.abs(samples @ size[left].astype(float) - float(size[left] @ out[left]))
+        words[count >= 1] = np.inf
+        out[left] = samples[np.argsort(words, kind="stable")[: max(1, min(BEST, int((count < 1).sum())))][rng.integers(max(1, min(BEST, int((count < 1).sum()))))]]
     return np.rint(out)
 
 
 def _flight(last: bool, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        # large units first, so that what is left to land is small
-        rows = rows.sort_values(["size", "turn", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["turn", "doc_id", "size"], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, int(key[0]), int(key[1])])
-        p = fly(rows["size"].to_numpy(), rows["p"].to_numpy(), rng)
-        if last:
-            p = land(rows["size"].to_numpy(), p, rng)
-        rows["p"] = p
+        rows["p"] = (land if last else fly)(rows["size"].to_numpy(), rows["p"].to_numpy(), rng)
         return rows
 
     return run
