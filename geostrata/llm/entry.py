@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from geostrata.llm.decontaminate import op10_benchmark_decontamination
 from geostrata.llm.html_extract import op7_html_extraction
 from geostrata.llm.license_scan import op4_license_scan
 from geostrata.llm.mixing import op9_cube_mixing
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_html_extraction": op7_html_extraction,
     "op9_cube_mixing": op9_cube_mixing,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
