@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from geostrata.llm.decontaminate import op10_benchmark_decontamination
 from geostrata.llm.html_extract import op7_html_extraction
+from geostrata.llm.jaccard_join import op5_jaccard_join
 from geostrata.llm.license_scan import op4_license_scan
 from geostrata.llm.mixing import op9_cube_mixing
 from geostrata.llm.progressive_jpeg import op1_progressive_jpeg
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_histogram_sharding": op2_histogram_sharding,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_license_scan": op4_license_scan,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op7_html_extraction": op7_html_extraction,
     "op9_cube_mixing": op9_cube_mixing,
