@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,9 @@ ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 #: Rows handled at once in a Python worker hold about this much text.
 CHUNK_BYTES = 4 << 20
 
-_KEPT: list[tuple[SparkSession, str]] = []
+#: Tables in the shared folder, with the tag that held when they were made.
+_KEPT: list[tuple[SparkSession, str, str]] = []
+_TAG = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,25 +47,30 @@ def put_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     if not _KEPT:
         atexit.register(release_tables)
-    _KEPT.append((spark, path))
+    _KEPT.append((spark, path, _TAG[-1]))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A position for ``release_tables``."""
-    return len(_KEPT)
+@contextmanager
+def tagged(tag: str) -> Iterator[None]:
+    """Tables made within can be released by ``tag``."""
+    _TAG.append(tag)
+    try:
+        yield
+    finally:
+        _TAG.pop()
 
 
-def release_tables(first: int = 0, last: int | None = None) -> None:
-    """Delete tables of ``put_table`` whose readers are done."""
-    for spark, path in _KEPT[first:last]:
+def release_tables(tag: str | None = None) -> None:
+    """Delete tables of ``put_table`` whose readers are done: those of ``tag``, or all."""
+    for kept in [k for k in _KEPT if tag is None or k[2] == tag]:
+        _KEPT.remove(kept)
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            jvm = kept[0].sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(kept[1])
+            p.getFileSystem(kept[0].sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session may be gone at exit
             pass
-    _KEPT[first:last] = []
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -11,6 +11,7 @@ from geostrata.llm.progressive_jpeg import op1_progressive_jpeg
 from geostrata.llm.quality import op3_quality_classifier
 from geostrata.llm.sharding import op2_histogram_sharding
 from geostrata.llm.token_counts import op6_token_counts
+from geostrata.llm.training_order import op8_training_order
 
 QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op7_html_extraction": op7_html_extraction,
+    "op8_training_order": op8_training_order,
     "op9_cube_mixing": op9_cube_mixing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
