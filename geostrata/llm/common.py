@@ -48,7 +48,9 @@ def put_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     if not _KEPT:
         atexit.register(release_tables)
     _KEPT.append((spark, path, _TAG[-1]))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
 
 
 @contextmanager
@@ -64,13 +66,23 @@ def tagged(tag: str) -> Iterator[None]:
 def release_tables(tag: str | None = None) -> None:
     """Delete tables of ``put_table`` whose readers are done: those of ``tag``, or all."""
     for kept in [k for k in _KEPT if tag is None or k[2] == tag]:
-        _KEPT.remove(kept)
-        try:
-            jvm = kept[0].sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(kept[1])
-            p.getFileSystem(kept[0].sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone at exit
-            pass
+        _delete(kept)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``put_table`` returned, once all that was made of it is written elsewhere; and shuffle files with it."""
+    for kept in [k for k in _KEPT if k[1] == df._kept_at]:
+        _delete(kept)
+    free_shuffles(df.sparkSession)
+
+
+def _delete(kept: tuple[SparkSession, str, str]) -> None:
+    _KEPT.remove(kept)
+    try:
+        p = kept[0].sparkContext._jvm.org.apache.hadoop.fs.Path(kept[1])
+        p.getFileSystem(kept[0].sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone at exit
+        pass
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -183,4 +195,5 @@ def expand(blob: bytes, k: int, dtype: type = np.uint64) -> list[np.ndarray]:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Spark's estimate of the bytes that ``df`` scans: for numbers of groups only, never for what is computed."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else df.count() << 12  # Spark knows no size of what isn't a table

@@ -9,8 +9,8 @@ verified only if it shares min(l, l') prefix shingles.
 The work, each step over all documents:
 
 1. Sets and their digests. Copies of a set are one class; its smallest doc_id stands for it.
-2. First sieve, in hash order with 1-prefixes: a document none of whose prefix shingles
-   another document's prefix has is linked with nothing.
+2. First sieve, in hash order with l-prefixes for l of an eighth of the set: a document
+   of whose prefix too few shingles are in any other's prefix is linked with nothing.
 3. Exact document frequencies among those that stay, and a second sieve: a document of
    whose shingles fewer than ceil(t * n) occur elsewhere is linked with nothing.
 4. Prefixes in order of frequency; l by estimated cost.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import LOWER, WordHash, chunks, expand, mix, put_table, shingle_hashes, size_in_bytes, squeeze, table, text_bytes
+from geostrata.llm.common import LOWER, WordHash, chunks, drop_table, expand, free_shuffles, mix, put_table, shingle_hashes, size_in_bytes, squeeze, table, text_bytes
 
 #: Similarity in hundredths, words of a shingle.
 PERCENT, WORDS = 80, 5
@@ -42,13 +42,15 @@ PERCENT, WORDS = 80, 5
 MOST_MATCHES, VERIFY = 6, 30
 #: Documents that one task searches at once; clusters above it go in blocks of half of it.
 CLUSTER = 20_000
-#: Bytes of input to a range of shingles or of documents, and fewest ranges.
-RANGE_BYTES, RANGES = 2 << 20, 64
+#: Most ids that are broadcast to pick documents' texts (16 bytes each); above it texts and ids are joined by a shuffle.
+PICK = 500_000
+#: Bytes of input to a range of shingles or of documents, and fewest and most ranges.
+RANGE_BYTES, RANGES = 2 << 20, (64, 1 << 20)
 
 _KEEP48 = np.uint64(16)
 
 
-def required(n: int, percent: int = PERCENT) -> int:
+def required(n, percent: int = PERCENT):
     """Shingles that a set of n shares at least with any it links to."""
     return -(-percent * n // 100)
 
@@ -79,8 +81,23 @@ def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
+def sieve_matches(n):
+    """l of the first sieve: any l up to the required overlap is right; this one keeps few documents with prefixes of a third."""
+    return np.maximum(1, n // 8)
+
+
+def _blobs_by_bucket(ids: np.ndarray, other: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    where = _bucket(ids, buckets)
+    order = np.argsort(where, kind="stable")
+    where, ids, other = where[order], ids[order], other[order]
+    edges = np.flatnonzero(np.diff(where)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(where)], strict=True):
+        if b > a:
+            yield int(where[a]), squeeze(ids[a:b], other[a:b])
+
+
 def _first_pass(ranges: int, percent: int):
-    """Rows of documents (doc_id, n, digest) and of ranges (blob of 1-prefixes in hash order)."""
+    """Rows of documents (doc_id, n, digest), of ranges (blob of prefixes in hash order) and, with part below 0, of buckets of documents (ids and n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHash()
@@ -90,11 +107,12 @@ def _first_pass(ranges: int, percent: int):
             n = [len(s) for s in sets]
             marks = [digest(s) for s in sets]
             named = [(i, s) for i, s in zip(ids, sets, strict=True) if i is not None and len(s)]
-            prefix = [s[: len(s) - required(len(s), percent) + 1] >> _KEEP48 for _, s in named]
+            prefix = [s[: len(s) - required(len(s), percent) + int(sieve_matches(len(s)))] >> _KEEP48 for _, s in named]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=_NAMES)
             if named:
                 owner = np.repeat(np.array([i for i, _ in named], np.int64), [len(p) for p in prefix])
                 rows = list(_by_range(np.concatenate(prefix), owner, ranges))
+                rows += [(-1 - b, blob) for b, blob in _blobs_by_bucket(np.array([i for i, _ in named], np.int64), np.array([len(s) for _, s in named], np.int64), ranges)]
                 yield pa.record_batch([pa.nulls(len(rows), pa.int64())] * 4 + [pa.array([r for r, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=_NAMES)
 
     return run
@@ -109,26 +127,36 @@ def _gather(blobs: pd.Series, k: int) -> list[np.ndarray]:
 
 
 def _seen_elsewhere(buckets: int):
-    """Of one range: blobs, by bucket of documents, of the documents with a token that another has too."""
+    """Of one range: blobs, by bucket of documents, of the documents with tokens that others have too, and how many."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         tokens, ids = _gather(rows["blob"], 2)
         order = np.lexsort((ids, tokens))
         tokens, ids = tokens[order], ids[order]
-        same = np.flatnonzero((tokens[1:] == tokens[:-1]) & (ids[1:] != ids[:-1]))
-        hit = np.zeros(len(tokens), bool)
-        if len(same):
-            start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            group = np.cumsum(np.concatenate([[True], tokens[1:] != tokens[:-1]])) - 1
-            many = np.zeros(len(start), bool)
-            many[group[same]] = True
-            hit = many[group]
-        found = np.unique(ids[hit])
-        return pd.DataFrame({"doc_id": found.view(np.int64)})
+        new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+        other = np.concatenate([[False], ~new[1:] & (ids[1:] != ids[:-1])])
+        group = np.cumsum(new) - 1
+        hit = (np.bincount(group, other) > 0)[group]
+        first = new | (np.concatenate([[True], ids[1:] != ids[:-1]]))  # repeated rows of a document count once
+        found, count = np.unique(ids[hit & first].view(np.int64), return_counts=True)
+        out = list(_blobs_by_bucket(found, count.astype(np.int64), buckets))
+        return pd.DataFrame({"part": pd.Series([b for b, _ in out], dtype="int32"), "sizes": pd.Series([False] * len(out), dtype=bool), "blob": [b for _, b in out]})
 
     return run
 
 
+def _sieve(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket of documents: those with enough prefix tokens that others have."""
+    ids, n = (a.view(np.int64) for a in _gather(rows["blob"][rows["sizes"]], 2))
+    owner, count = (a.view(np.int64) for a in _gather(rows["blob"][~rows["sizes"]], 2))
+    at, inverse = np.unique(ids, return_inverse=True)
+    least = np.full(len(at), np.iinfo(np.int64).max)
+    # a partner has required(n) shingles at least, and so an l no smaller than that size's
+    np.minimum.at(least, inverse, sieve_matches(required(n)))
+    total = np.bincount(np.searchsorted(at, owner), count, len(at)).astype(np.int64)
+    return pd.DataFrame({"doc_id": at[total >= least]})
+
+
 def _second_pass(ranges: int, buckets: int):
     """Whole sets of the documents that stay, by range; and their sizes, by bucket of documents (part below 0)."""
 
@@ -139,8 +167,7 @@ def _second_pass(ranges: int, buckets: int):
             sets = sets_of(text_bytes(batch.column(1)), hashed)
             n = np.array([len(s) for s in sets], np.int64)
             rows = list(_by_range(np.concatenate(sets) >> _KEEP48, np.repeat(ids, n), ranges))
-            where = _bucket(ids, buckets)
-            rows += [(-1 - int(b), squeeze(ids[where == b].view(np.uint64), n[where == b].view(np.uint64))) for b in np.unique(where)]
+            rows += [(-1 - b, blob) for b, blob in _blobs_by_bucket(ids, n, buckets)]
             yield pa.record_batch([pa.array([r for r, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["part", "blob"])
 
     return run
@@ -151,6 +178,10 @@ def _frequencies(buckets: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         tokens, ids = _gather(rows["blob"], 2)
+        order = np.lexsort((ids, tokens))
+        tokens, ids = tokens[order], ids[order]
+        once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])])  # repeated rows of a document count once
+        tokens, ids = tokens[once], ids[once]
         _, group, df = np.unique(tokens, return_inverse=True, return_counts=True)
         df = df[group]
         tokens, ids, df = tokens[df > 1], ids[df > 1], df[df > 1]
@@ -315,21 +346,28 @@ def link_components(docs: DataFrame, percent: int = PERCENT, cluster: int = CLUS
     """doc_id, n_shingles and component_id of every row.
 
     Null and blank texts have no shingles and are components of their own. Rows with a null doc_id have no component.
-    Copies, and repeated rows, share the component of their class. Extra columns don't matter. Empty tables give no rows.
+    Copies, and repeated rows, share the component of their class. Rows that share a doc_id but not a text are compared as
+    one document with the shingles of both. Extra columns don't matter. Empty tables give no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = max(RANGES, size_in_bytes(docs) // RANGE_BYTES)
+    ranges = min(RANGES[1], max(RANGES[0], size_in_bytes(docs) // RANGE_BYTES))
     first = put_table(texts.mapInArrow(_first_pass(ranges, percent), "doc_id long, n long, digest_a long, digest_b long, part int, blob binary"), "join-first")
-    rows = first.where("part is null").select("doc_id", "n", "digest_a", "digest_b")
+    rows = put_table(first.where("part is null").select("doc_id", "n", "digest_a", "digest_b"), "join-rows")
     key = ["n", "digest_a", "digest_b"]
-    stays = first.where("part is not null").groupBy("part").applyInPandas(_seen_elsewhere(ranges), "doc_id long").distinct()
+    seen = first.where("part >= 0").groupBy("part").applyInPandas(_seen_elsewhere(ranges), "part int, sizes boolean, blob binary")
+    heads = first.where("part < 0").select((-1 - F.col("part")).alias("part"), F.lit(True).alias("sizes"), "blob")
+    stays = seen.unionByName(heads).groupBy("part").applyInPandas(_sieve, "doc_id long")
     # a class stands by its smallest id
     classes = put_table(rows.where("doc_id is not null and n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "join-classes")
-    picked = classes.select(F.col("rep").alias("doc_id")).join(stays, "doc_id", "left_semi")
-    second = put_table(texts.join(picked, "doc_id", "left_semi").mapInArrow(_second_pass(ranges, ranges), "part int, blob binary"), "join-second")
+    picked = put_table(classes.select(F.col("rep").alias("doc_id")).distinct().join(stays, "doc_id", "left_semi"), "join-picked")
+    drop_table(first)
+    few = picked.count() <= PICK
+    second = put_table(texts.join(F.broadcast(picked) if few else picked, "doc_id", "left_semi").mapInArrow(_second_pass(ranges, ranges), "part int, blob binary"), "join-second")
+    free_shuffles(docs.sparkSession)
     frequent = second.where("part >= 0").groupBy("part").applyInPandas(_frequencies(ranges), "part int, sizes boolean, blob binary")
     sizes = second.where("part < 0").select((-1 - F.col("part")).alias("part"), F.lit(True).alias("sizes"), "blob")
     prefixes = put_table(frequent.unionByName(sizes).groupBy("part").applyInPandas(_prefixes(percent), "doc_id long, n long, matches int, length int, tokens binary"), "join-prefixes")
+    drop_table(second)
 
     def posting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
