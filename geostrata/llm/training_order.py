@@ -54,7 +54,7 @@ def _pack(ids: np.ndarray, *parts: np.ndarray | bytes) -> bytes:
     import zstandard
 
     body = b"".join(p if isinstance(p, bytes) else np.ascontiguousarray(p).tobytes() for p in parts)
-    return zstandard.ZstdCompressor(level=1).compress(len(ids).to_bytes(8, "little") + ids.astype("<i8").tobytes() + body)
+    return zstandard.ZstdCompressor(level=3).compress(len(ids).to_bytes(8, "little") + ids.astype("<i8").tobytes() + body)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
@@ -133,8 +133,8 @@ def materialise(docs: DataFrame, tokenizer: str | None = None, length: int = LEN
     path = tokenizer or default_path()
     buckets = min(BUCKETS[1], max(BUCKETS[0], size_in_bytes(docs) // BUCKET_BYTES))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = texts.mapInArrow(_tokenise(path, buckets), "bucket int, blob binary")
-    blocks = put_table(tokens.groupBy("bucket").applyInPandas(_sequence(length, pad), "bucket int, first long, n long, blob binary"), "order-blocks", "none")
+    tokens = texts.mapInArrow(_tokenise(path, buckets), "bucket int, blob binary").groupBy("bucket")
+    blocks = put_table(tokens.applyInPandas(_sequence(length, pad), "bucket int, first long, n long, blob binary"), "order-blocks", "none")
     del tokens
     free_shuffles(spark)  # the table has it all
     counts = {r.bucket: r.n for r in blocks.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # a row for each bucket, 2 ** 20 at most
