@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geostrata.plans import rasters, tables
+
+FLAGSHIP = "area_class_profile"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "area_class_profile"
+for module in (rasters, tables):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
