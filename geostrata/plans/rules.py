@@ -1,0 +1,170 @@
+"""Queries of rule engines, scans of text and pages, integrity checks and document outputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from geostrata.functions.expressions import TEXTURES, cases, heat_region, stream_class
+from geostrata.session import table
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, host, CASE WHEN regexp_matches(url, '[?&]ref=') THEN 'rejected' WHEN contains(path, 'parcel') THEN 'rejected' WHEN host = 'example.org' OR host LIKE '%.example.org' THEN 'accepted' WHEN page_id % 10 = 0 THEN 'accepted' ELSE 'needs_review' END AS verdict,
+url LIKE 'https://%' AS secure, NOT (path LIKE '%..%' OR path LIKE '//%') AS safe FROM p""")
+def url_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered rules: block patterns first, then an allow-list of hosts and their sub-domains, then an owner's word, which can't unblock."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path"))
+    verdict = F.when(F.col("url").rlike("[?&]ref="), "rejected").when(F.contains("path", F.lit("parcel")), "rejected").when((F.col("host") == "example.org") | F.endswith("host", F.lit(".example.org")), "accepted").when(F.col("page_id") % 10 == 0, "accepted").otherwise("needs_review")
+    return p.select("page_id", "host", verdict.alias("verdict"), F.startswith("url", F.lit("https://")).alias("secure"), (~(F.contains("path", F.lit("..")) | F.startswith("path", F.lit("//")))).alias("safe"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT 'email' AS rule, count(*) AS lines, count(DISTINCT doc_id) AS docs FROM l WHERE regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}')
+UNION ALL SELECT 'address', count(*), count(DISTINCT doc_id) FROM l WHERE regexp_matches(line, '(^|[^0-9.])[0-9]{1,3}(\\.[0-9]{1,3}){3}([^0-9.]|$)')
+UNION ALL SELECT 'credential', count(*), count(DISTINCT doc_id) FROM l WHERE regexp_matches(line, '(key|token|secret|pass)[a-z_]* *[=:] *"[^"]{32,}"')
+UNION ALL SELECT 'number', count(*), count(DISTINCT doc_id) FROM l WHERE regexp_matches(line, '(^|[^0-9])[0-9]{15,16}([^0-9]|$)')""")
+def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that break each pattern rule, in one pass over the lines."""
+    rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}", "address": r"(^|[^0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}([^0-9.]|$)", "credential": '(key|token|secret|pass)[a-z_]* *[=:] *"[^"]{32,}"', "number": "(^|[^0-9])[0-9]{15,16}([^0-9]|$)"}
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    broken = F.filter(F.array(*[F.when(F.col("line").rlike(p), F.lit(n)) for n, p in rules.items()]), lambda x: x.isNotNull())
+    found = lines.select("doc_id", F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("lines"), F.countDistinct("doc_id").alias("docs"))
+    names = spark.createDataFrame([(n,) for n in rules], "rule string")
+    return names.join(found, "rule", "left").select("rule", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("docs", F.lit(0)).alias("docs"))
+
+
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<script>')) AS INT) AS inline_scripts, CAST(len(regexp_extract_all(html, '<a href="/[^"]*"')) AS INT) AS relative_links, CAST(len(regexp_extract_all(html, '<a [^>]*>')) - len(regexp_extract_all(html, '<a [^>]*rel=[^>]*>')) AS INT) AS without_rel, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, NOT regexp_matches(html, 'eval\\(|document\\.write|new Function') AS quiet FROM pages""")
+def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda p: F.regexp_count("html", F.lit(p))
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        count("<script>").alias("inline_scripts"),
+        count('<a href="/[^"]*"').alias("relative_links"),
+        (count("<a [^>]*>") - count("<a [^>]*rel=[^>]*>")).alias("without_rel"),
+        F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("lang"),
+        (~F.col("html").rlike(r"eval\(|document\.write|new Function")).alias("quiet"),
+    )
+
+
+@query("""WITH l AS (SELECT nullif(l_orderkey, 17) AS l_orderkey, l_partkey + CASE WHEN l_partkey % 500 = 0 THEN 1000000 ELSE 0 END AS l_partkey, l_quantity, l_linenumber FROM lineitem), o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 700 = 0 THEN -1 ELSE o_custkey END AS o_custkey FROM orders)
+SELECT 'duplicate line' AS issue, 'error' AS severity, count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'unknown part', 'error', count(*) FROM l WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l.l_partkey) UNION ALL SELECT 'unknown customer', 'error', count(*) FROM o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o.o_custkey)
+UNION ALL SELECT 'missing order', 'error', count(*) FROM l WHERE l_orderkey IS NULL UNION ALL SELECT 'order without lines', 'warning', count(*) FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.l_orderkey = o.o_orderkey) UNION ALL SELECT 'interval', 'error', count(*) FROM l WHERE l_quantity < l_linenumber""")
+def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate keys, dangling references, missing values and broken intervals, with severity."""
+    raw = table(spark, sf_dir, "lineitem")
+    li = raw.select(F.nullif("l_orderkey", F.lit(17)).alias("l_orderkey"), (F.col("l_partkey") + F.when(F.col("l_partkey") % 500 == 0, 1000000).otherwise(0)).alias("l_partkey"), "l_quantity", "l_linenumber")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 700 == 0, -1).otherwise(F.col("o_custkey")).alias("o_custkey"))
+    tally = lambda issue, severity, df: df.agg(F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), F.count("*").alias("n"))
+    parts = [
+        tally("duplicate line", "error", raw.groupBy("l_orderkey", "l_linenumber").count().where("count > 1")),
+        tally("unknown part", "error", li.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_anti")),
+        tally("unknown customer", "error", o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")),
+        tally("missing order", "error", li.where("l_orderkey is null")),
+        tally("order without lines", "warning", o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")),
+        tally("interval", "error", li.where("l_quantity < l_linenumber")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""WITH s AS (SELECT c_custkey, c_custkey % 5 AS sources, abs(c_acctbal) / 100 AS hours, c_custkey % 13 AS votes, CASE c_custkey % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' ELSE 'none' END AS completeness FROM customer),
+p AS (SELECT *, CASE WHEN sources >= 3 THEN 30 WHEN sources >= 1 THEN 15 ELSE 0 END AS a, CASE WHEN hours <= 8 THEN 30 WHEN hours <= 40 THEN 15 ELSE 0 END AS b, least(20, votes * 2) AS c, CASE completeness WHEN 'full' THEN 20 WHEN 'partial' THEN 10 ELSE 0 END AS d FROM s)
+SELECT c_custkey, CAST(a + b + c + d AS BIGINT) AS score, CASE WHEN a + b + c + d >= 75 THEN 'build' WHEN a + b + c + d >= 50 THEN 'consider' ELSE 'decline' END AS recommendation, concat_ws('; ', CASE WHEN a < 30 THEN 'few sources' END, CASE WHEN b = 0 THEN 'much effort' END, CASE WHEN d = 0 THEN 'no data' END) AS reasons FROM p""")
+def request_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additive buckets, a recommendation by thresholds, and the reasons."""
+    k = F.col("c_custkey")
+    hours = F.abs("c_acctbal") / 100
+    a = F.when(k % 5 >= 3, 30).when(k % 5 >= 1, 15).otherwise(0)
+    b = F.when(hours <= 8, 30).when(hours <= 40, 15).otherwise(0)
+    d = F.when(k % 3 == 0, 20).when(k % 3 == 1, 10).otherwise(0)
+    total = (a + b + F.least(F.lit(20), k % 13 * 2) + d).cast("long")
+    return table(spark, sf_dir, "customer").select(k, total.alias("score"), F.when(total >= 75, "build").when(total >= 50, "consider").otherwise("decline").alias("recommendation"), F.concat_ws("; ", F.when(a < 30, "few sources"), F.when(b == 0, "much effort"), F.when(d == 0, "no data")).alias("reasons"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text, CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS VARCHAR) AS num FROM conversations)
+SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS asked, arg_max(num, turn) FILTER (WHERE num IS NOT NULL) AS latest, sum(length(text)) FILTER (WHERE role = 'assistant') > 500 AS long_answers FROM c GROUP BY 1""")
+def request_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by role and the last number named, in one pass."""
+    num = F.nullif(F.regexp_extract("text", "([0-9]+)", 1), F.lit(""))
+    c = table(spark, sf_dir, "conversations").withColumn("num", num)
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.max_by("num", F.when(F.col("num").isNotNull(), F.col("turn"))).alias("latest"), (F.sum(F.when(F.col("role") == "assistant", F.length("text"))) > 500).alias("long_answers"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'broken{' ELSE props END AS raw, event_type FROM events), j AS (SELECT event_id, event_type, TRY_CAST(CASE WHEN json_valid(raw) THEN raw->>'k' END AS BIGINT) AS k FROM e)
+SELECT event_id, k, CASE WHEN k BETWEEN 10 AND 80 THEN k END AS ranged, CASE WHEN k IS NULL THEN 'unusable' WHEN event_type = 'click' THEN 'ready' ELSE 'other' END AS state FROM j""")
+def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings parsed by schema; what is broken or out of range becomes null."""
+    raw = F.when(F.col("event_id") % 17 == 0, "broken{").otherwise(F.col("props"))
+    k = F.from_json(raw, "k BIGINT")["k"]
+    return table(spark, sf_dir, "events").select("event_id", "event_type", k.alias("k")).select("event_id", "k", F.when(F.col("k").between(10, 80), F.col("k")).alias("ranged"), F.when(F.col("k").isNull(), "unusable").when(F.col("event_type") == "click", "ready").otherwise("other").alias("state"))
+
+
+@query(f"""WITH s AS (SELECT p_partkey, p_partkey * 37 % 101 AS sand, (100 - p_partkey * 37 % 101) * (p_partkey % 7) // 7 AS silt FROM part), t AS (SELECT p_partkey, sand, silt, 100 - sand - silt AS clay, p_partkey % 5000 AS heat, p_partkey % 1200 AS km FROM s)
+SELECT p_partkey, {cases(TEXTURES)} AS texture, {heat_region("heat")} AS region, CAST({stream_class("km")} AS INT) AS stream FROM t""")
+def texture_and_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey * 37 % 101 as sand", "p_partkey % 5000 as heat", "p_partkey % 1200 as km")
+    t = t.selectExpr("*", "((100 - sand) * (p_partkey % 7)) div 7 as silt").selectExpr("*", "100 - sand - silt as clay")
+    return t.selectExpr("p_partkey", f"{cases(TEXTURES)} as texture", f"{heat_region('heat')} as region", f"{stream_class('km')} as stream")
+
+
+@query("""SELECT p_partkey, replace(p_brand, 'Brand#', '') AS label, CASE WHEN contains(lower(p_type), 'brass') THEN 'reverse' WHEN contains(lower(p_type), 'steel') THEN 'normal' ELSE 'slip' END AS kind, ends_with(p_name, '1') AS buried, p_size >= 30 OR p_name LIKE '%2%' AS shown, greatest(10, least(40, p_size)) AS clamped, CASE WHEN p_size BETWEEN 5 AND 45 THEN p_size END AS coerced, round_even(p_retailprice / 7, 0) AS whole, coalesce(nullif(p_size % 4, 0), 9) AS truthy, list_contains(['A', 'B'], substr(p_type, 1, 1)) AS allowed FROM part""")
+def scalar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small derivations: strip, classify, clamp, coerce, round half to even, defaults for zero."""
+    p, size = table(spark, sf_dir, "part"), F.col("p_size")
+    kind = F.when(F.contains(F.lower("p_type"), F.lit("brass")), "reverse").when(F.contains(F.lower("p_type"), F.lit("steel")), "normal").otherwise("slip")
+    return p.select("p_partkey", F.replace("p_brand", F.lit("Brand#"), F.lit("")).alias("label"), kind.alias("kind"), F.endswith("p_name", F.lit("1")).alias("buried"), ((size >= 30) | F.contains("p_name", F.lit("2"))).alias("shown"), F.greatest(F.lit(10), F.least(F.lit(40), size)).alias("clamped"), F.when(size.between(5, 45), size).alias("coerced"), F.bround(F.col("p_retailprice") / 7).alias("whole"), F.coalesce(F.nullif(size % 4, F.lit(0)), F.lit(9)).alias("truthy"), F.substring("p_type", 1, 1).isin("A", "B").alias("allowed"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS attempts, bool_or(contains(text, '.')) AS ok, max(length(text)) AS longest FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN longest > 2000 THEN 'failed-check' WHEN ok AND attempts % 3 = 0 THEN 'drafted' WHEN attempts >= 3 THEN 'blocked' ELSE 'ready' END AS status, attempts FROM c""")
+def task_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next status of each task from its attempts and outcome."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("attempts"), F.bool_or(F.contains("text", F.lit("."))).alias("ok"), F.max(F.length("text")).alias("longest"))
+    return c.select("conv_id", F.when(F.col("longest") > 2000, "failed-check").when(F.col("ok") & (F.col("attempts") % 3 == 0), "drafted").when(F.col("attempts") >= 3, "blocked").otherwise("ready").alias("status"), "attempts")
+
+
+@query("""SELECT p_brand, '{"type":"FeatureCollection","features":[' || string_agg('{"id":' || p_partkey || ',"size":' || p_size || '}', ',' ORDER BY p_partkey) || ']}' AS doc FROM part GROUP BY 1""")
+def document_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document for each group, features in order."""
+    features = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), features.alias("features"))).alias("doc"))
+
+
+@query("""WITH d AS (SELECT role, count(*) AS n, sum(length(text)) AS size FROM conversations GROUP BY 1) SELECT string_agg('- ' || role || ': ' || n || ' turns, ' || size || ' characters', chr(10) ORDER BY n DESC, role) AS digest, CAST(sum(size) AS BIGINT) <= 900000000 AS within_budget FROM d""")
+def markdown_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"))
+    line = F.format_string("- %s: %d turns, %d characters", "role", "n", "size")
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("role"), line.alias("line"))))
+    return d.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("digest"), (F.sum("size") <= 900000000).alias("within_budget"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages) SELECT page_id, path, NOT regexp_matches(path, '^/(en|de)/') AS outside, CAST(len(string_split(path, '/')) AS INT) AS depth, list_has_any(string_split(path, '/'), ['fr', 'es']) AS excluded FROM p""")
+def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.parse_url("url", F.lit("PATH")), F.lit("")).alias("path"))
+    parts = F.split("path", "/")
+    return p.select("page_id", "path", (~F.col("path").rlike("^/(en|de)/")).alias("outside"), F.size(parts).alias("depth"), F.arrays_overlap(parts, F.array(F.lit("fr"), F.lit("es"))).alias("excluded"))
+
+
+@query("""WITH w AS (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) SELECT n_nationkey, CASE WHEN k <= 2 THEN 'mapped' ELSE 'planned' END AS status, n_nationkey * 10 - 5 AS x0, n_nationkey * 10 + 5 AS x1, CAST(((n_nationkey * 37 + 180) % 360) - 180 AS INT) AS lon FROM w""")
+def misc_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source switch by status, boxes from centres, longitudes wrapped to [-180, 180)."""
+    k = F.col("n_nationkey")
+    n = table(spark, sf_dir, "nation").withColumn("k", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
+    mapped = n.where("k <= 2").withColumn("status", F.lit("mapped"))
+    planned = n.join(mapped.select("n_nationkey"), "n_nationkey", "left_anti").withColumn("status", F.lit("planned"))
+    return mapped.unionByName(planned).select(k, "status", (k * 10 - 5).alias("x0"), (k * 10 + 5).alias("x1"), (F.pmod(k * 37 + 180, F.lit(360)) - 180).cast("int").alias("lon"))
