@@ -103,6 +103,11 @@ def cases(rules: tuple[tuple[str, str], ...], otherwise: str | None = None) -> s
     return "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for v, c in rules) + end + " END"
 
 
+def texture_class() -> str:
+    """SQL of the texture class of columns sand, silt and clay (percent); null if one is null."""
+    return f"CASE WHEN sand IS NULL OR silt IS NULL OR clay IS NULL THEN NULL ELSE {cases(TEXTURES)} END"
+
+
 def heat_region(x: str) -> str:
     return "CASE " + " ".join(f"WHEN {x} <= {t} THEN '{v}'" for t, v in HEAT) + f" WHEN {x} IS NULL THEN NULL ELSE 'V' END"
 

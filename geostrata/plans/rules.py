@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geostrata.functions.expressions import TEXTURES, cases, heat_region, stream_class
+from geostrata.functions.expressions import heat_region, stream_class, texture_class
 from geostrata.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -115,11 +115,11 @@ def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT p_partkey, p_partkey * 37 % 101 AS sand, (100 - p_partkey * 37 % 101) * (p_partkey % 7) // 7 AS silt FROM part), t AS (SELECT p_partkey, sand, silt, 100 - sand - silt AS clay, p_partkey % 5000 AS heat, p_partkey % 1200 AS km FROM s)
-SELECT p_partkey, {cases(TEXTURES)} AS texture, {heat_region("heat")} AS region, CAST({stream_class("km")} AS INT) AS stream FROM t""")
+SELECT p_partkey, {texture_class()} AS texture, {heat_region("heat")} AS region, CAST({stream_class("km")} AS INT) AS stream FROM t""")
 def texture_and_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey * 37 % 101 as sand", "p_partkey % 5000 as heat", "p_partkey % 1200 as km")
     t = t.selectExpr("*", "((100 - sand) * (p_partkey % 7)) div 7 as silt").selectExpr("*", "100 - sand - silt as clay")
-    return t.selectExpr("p_partkey", f"{cases(TEXTURES)} as texture", f"{heat_region('heat')} as region", f"{stream_class('km')} as stream")
+    return t.selectExpr("p_partkey", f"{texture_class()} as texture", f"{heat_region('heat')} as region", f"{stream_class('km')} as stream")
 
 
 @query("""SELECT p_partkey, replace(p_brand, 'Brand#', '') AS label, CASE WHEN contains(lower(p_type), 'brass') THEN 'reverse' WHEN contains(lower(p_type), 'steel') THEN 'normal' ELSE 'slip' END AS kind, ends_with(p_name, '1') AS buried, p_size >= 30 OR p_name LIKE '%2%' AS shown, greatest(10, least(40, p_size)) AS clamped, CASE WHEN p_size BETWEEN 5 AND 45 THEN p_size END AS coerced, round_even(p_retailprice / 7, 0) AS whole, coalesce(nullif(p_size % 4, 0), 9) AS truthy, list_contains(['A', 'B'], substr(p_type, 1, 1)) AS allowed FROM part""")

@@ -27,10 +27,10 @@ def watermarked(df: DataFrame, delay: str = "2 days") -> DataFrame:
     return df.withWatermark("ts", delay) if df.isStreaming else df
 
 
-def daily(df: DataFrame) -> DataFrame:
+def daily(df: DataFrame, delay: str = "2 days") -> DataFrame:
     """Counts and totals of each kind and day (tumbling)."""
     w = F.window("ts", "1 day")
-    return watermarked(df).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("day"), "event_type", "n", "total")
+    return watermarked(df, delay).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("day"), "event_type", "n", "total")
 
 
 def trailing(df: DataFrame) -> DataFrame:
