@@ -44,7 +44,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of the Jaccard join. Copies under one id stay once; rows without id stay."""
     found = link_components(docs)
     stays = put_table(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "pipeline-stays")
-    kept = docs.join(stays.select("doc_id"), "doc_id", "left_semi")
+    kept = docs.join(stays.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if stays.where("rows > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
@@ -59,11 +59,14 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    order = Window.partitionBy("doc_id").orderBy(F.lit(0))  # rows of one id are paired with its units in any order
-    times = mix_sources(docs).where("times > 0").select(F.col("doc_id").alias("_id"), "times")
-    times = times.withColumn("_unit", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("times"))))
-    rows = docs.withColumn("_row", F.row_number().over(order))
-    both = rows.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_unit")))
+    times = put_table(mix_sources(docs).select(F.col("doc_id").alias("_id"), "times"), "pipeline-times")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    rows = docs
+    if times.groupBy("_id").count().where("count > 1").limit(1).count():  # rows of one id are paired with its units in any order
+        rows = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0))))
+        times = times.withColumn("_unit", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("times"))))
+        same &= F.col("_row") == F.col("_unit")
+    both = rows.join(times.where("times > 0").hint("merge"), same)
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
 
 
