@@ -149,7 +149,7 @@ def spans(lengths: list[int], window: int = WINDOW, loud: int = LOUD) -> list[tu
             i += 1
             continue
         start = i
-        while start < n and not lengths[start]:
+        while lengths[start] < loud / window:  # the window looks ahead: the surge is at its first line with a share of the noise
             start += 1
         end = start
         while end < n and sums[end] > 0:
