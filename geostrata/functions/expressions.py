@@ -133,3 +133,61 @@ def wheel(rank: Column, turn: float = 0.618033988749895, light: float = 0.6, sat
         return F.floor(v * 255 + 0.5)
 
     return hex_colour(channel(1 / 3), channel(0.0), channel(-1 / 3))
+
+
+def albers(lat: Column, lon: Column, parallels: tuple[float, float] = (29.5, 45.5), origin: tuple[float, float] = (23.0, -96.0), ellipsoid: tuple[float, float] = GRS80) -> tuple[Column, Column]:
+    """Equal-area conic coordinates in metres; the defaults are those of the conterminous-US grid."""
+    a, f = ellipsoid[0], 1 / ellipsoid[1]
+    e2 = f * (2 - f)
+    e = math.sqrt(e2)
+
+    def q(s: float) -> float:
+        return (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    def m2(p: float) -> float:
+        return math.cos(math.radians(p)) ** 2 / (1 - e2 * math.sin(math.radians(p)) ** 2)
+
+    q0, q1, q2 = (q(math.sin(math.radians(p))) for p in (origin[0], *parallels))
+    n = (m2(parallels[0]) - m2(parallels[1])) / (q2 - q1)
+    c = m2(parallels[0]) + n * q1
+    s = F.sin(F.radians(lat))
+    qs = (1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    rho, rho0 = F.sqrt(c - n * qs) * (a / n), a * math.sqrt(c - n * q0) / n
+    theta = F.radians(lon - origin[1]) * n
+    return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
+def geographic(east: Column, north: Column, zone: int, ellipsoid: tuple[float, float] = GRS80) -> tuple[Column, Column]:
+    """Latitude and longitude of UTM coordinates (inverse series, third order; conformal latitude undone by fixed steps)."""
+    a, f = ellipsoid[0], 1 / ellipsoid[1]
+    n = f / (2 - f)
+    radius, _, e = series(ellipsoid)
+    del a
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    xi, eta = north / (UTM_SCALE * radius), (east - UTM_EAST) / (UTM_SCALE * radius)
+    x, y = xi, eta
+    for j, b in enumerate(beta, 1):
+        x = x - F.lit(b) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        y = y - F.lit(b) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    s = F.sin(x) / F.cosh(y)
+    iso = F.atanh(s)
+    for _ in range(4):
+        s = F.tanh(iso + F.lit(e) * F.atanh(F.lit(e) * s))
+    return F.degrees(F.asin(s)), F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (zone * 6 - 183.0)
+
+
+def quadkey_square(east: Column, north: Column) -> Column:
+    """100 km square letters of a grid reference in an odd zone set of zone 10: column by easting, row by northing."""
+    columns, rows = "ABCDEFGH", "FGHJKLMNPQRSTUVABCDE"
+    c = F.substring(F.lit(columns), (F.floor(east / 100000)).cast("int"), F.lit(1))
+    r = F.substring(F.lit(rows), (F.pmod(F.floor(north / 100000), F.lit(20)) + 1).cast("int"), F.lit(1))
+    return F.concat(c, r)
+
+
+def close_ring(ring: Column) -> Column:
+    return F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+
+
+def camera_zoom(span: Column, most: float = 14.0) -> Column:
+    """Zoom at which a span of degrees fills the view."""
+    return F.least(F.lit(most), F.log2(F.lit(360.0) / F.greatest(span, F.lit(1e-6))))

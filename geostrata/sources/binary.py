@@ -241,3 +241,19 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
         return pd.DataFrame(rows, columns=["record", "attributes", "parts"])
 
     return read(spark, path, decode, "record long, attributes map<string,string>, parts array<array<struct<x:double,y:double>>>")
+
+
+def read_grid(spark: SparkSession, path: str, cols: int, kind: str = "<i2", nodata: int | None = None) -> DataFrame:
+    """(path, row, col, value) of flat binary grids, row by row; the no-data code is null."""
+
+    def decode(content: bytes) -> pd.DataFrame:
+        return raster_rows(np.frombuffer(content, kind).reshape(-1, cols))
+
+    out = read(spark, path, decode, "row long, col long, value double")
+    return out if nodata is None else out.withColumn("value", F.when(F.col("value") != nodata, F.col("value")))
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256, integrity) of files; integrity as pages quote it."""
+    f = spark.read.format("binaryFile").load(path)
+    return f.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.concat(F.lit("sha384-"), F.base64(F.unhex(F.sha2("content", 384)))).alias("integrity"))

@@ -85,3 +85,32 @@ def workflow_findings(lines: DataFrame) -> DataFrame:
     unsafe = t.where(inside & F.col("line").rlike(r"\$\{\{\s*github\.(event|head_ref)")).select("path", F.lit("untrusted expression").alias("rule"), "n")
     open_ = lines.groupBy("path").agg(F.bool_or(F.col("line").rlike("^permissions:")).alias("ok")).where("not ok").select("path", F.lit("no permissions").alias("rule"), F.lit(None).cast("int").alias("n"))
     return loose.unionByName(unsafe).unionByName(open_)
+
+
+def script_table(text: str, name: str) -> Column:
+    """Rows of an array of arrays that page source assigns to ``name``, as arrays of strings."""
+    body = F.regexp_extract(text, rf"(?s)\b{name}\s*=\s*(\[\s*\[.*?\]\s*\])", 1)
+    return F.from_json(F.nullif(body, F.lit("")), "array<array<string>>")
+
+
+def tile_of(path: str = "path") -> Column:
+    """z, x and y of a tile's path."""
+    part = lambda i: F.expr(f"try_cast(nullif(regexp_extract({path}, '([0-9]+)/([0-9]+)/([0-9]+)\\\\.[a-z]+$', {i}), '') as int)")
+    return F.struct(part(1).alias("z"), part(2).alias("x"), part(3).alias("y"))
+
+
+def cached(spark: SparkSession, folder: str, statement: str, run) -> DataFrame:
+    """Result of a statement, kept as a table under the digest of its text: ``run`` is called only the first time."""
+    import hashlib
+
+    place = f"{folder}/{hashlib.sha256(statement.encode()).hexdigest()}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        run(statement).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
+
+
+def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length, modified) of files, contents unread."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
