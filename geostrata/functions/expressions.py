@@ -191,3 +191,54 @@ def close_ring(ring: Column) -> Column:
 def camera_zoom(span: Column, most: float = 14.0) -> Column:
     """Zoom at which a span of degrees fills the view."""
     return F.least(F.lit(most), F.log2(F.lit(360.0) / F.greatest(span, F.lit(1e-6))))
+
+
+#: Hue angles in the CIE plane, degrees; a hue that isn't listed counts as 10YR. Fixed values.
+HUE_ANGLES = {"5R": 25, "10R": 35, "2.5YR": 45, "5YR": 55, "7.5YR": 65, "10YR": 75, "2.5Y": 85, "5Y": 95}
+#: Mean shift from NAD27 to NAD83 over the conterminous states, metres. Fixed values of the published table.
+NAD27_SHIFT = (-8.0, 160.0, 176.0)
+#: White point D65 and the sRGB matrix. Fixed values of the standards.
+WHITE = (0.95047, 1.0, 1.08883)
+SRGB = ((3.2406, -1.5372, -0.4986), (-0.9689, 1.8758, 0.0415), (0.0557, -0.2040, 1.0570))
+
+
+def soil_colour(hue: Column, value: Column, chroma: Column) -> Column:
+    """Approximate #rrggbb of a soil colour: lightness ten times the value, saturation five times the chroma; null unless both are numbers."""
+    degrees = F.coalesce(F.create_map(*[F.lit(x) for kv in HUE_ANGLES.items() for x in kv])[F.upper(hue)], F.lit(HUE_ANGLES["10YR"]))
+    light, strong, angle = value.cast("double") * 10, chroma.cast("double") * 5, F.radians(degrees)
+    y = (light + 16) / 116
+    ratios = (y + strong * F.cos(angle) / 500, y, y - strong * F.sin(angle) / 200)
+    xyz = [w * F.when(t * t * t > 0.008856, t * t * t).otherwise((t - 16 / 116) / 7.787) for w, t in zip(WHITE, ratios, strict=True)]
+    channels = []
+    for row in SRGB:
+        c = sum((m * v for m, v in zip(row, xyz, strict=True)), F.lit(0.0))
+        c = F.when(c <= 0.0031308, 12.92 * c).otherwise(1.055 * F.pow(F.greatest(c, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
+        channels.append(F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)) * 255))
+    return F.when(value.isNotNull() & chroma.isNotNull(), hex_colour(*channels))
+
+
+def geocentric(lat: Column, lon: Column, ellipsoid: tuple[float, float]) -> tuple[Column, Column, Column]:
+    a, f = ellipsoid[0], 1 / ellipsoid[1]
+    phi, lam, e2 = F.radians(lat), F.radians(lon), f * (2 - f)
+    n = F.lit(a) / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
+    return n * F.cos(phi) * F.cos(lam), n * F.cos(phi) * F.sin(lam), n * (1 - e2) * F.sin(phi)
+
+
+def geodetic(x: Column, y: Column, z: Column, ellipsoid: tuple[float, float], steps: int = 6) -> tuple[Column, Column]:
+    a, f = ellipsoid[0], 1 / ellipsoid[1]
+    e2, p = f * (2 - f), F.hypot(x, y)
+    s = z / (p * (1 - e2))  # tangent of the latitude
+    for _ in range(steps):
+        s = (z + e2 * a * s / F.sqrt(1 + (1 - e2) * s * s)) / p
+    return F.degrees(F.atan(s)), F.degrees(F.atan2(y, x))
+
+
+def nad27(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """NAD83 latitude and longitude in NAD27, by the mean shift."""
+    x, y, z = geocentric(lat, lon, GRS80)
+    return geodetic(*(v - d for v, d in zip((x, y, z), NAD27_SHIFT, strict=True)), CLARKE1866)
+
+
+def uniform(seed: Column, n: Column) -> Column:
+    """The n-th number (from 1) of the minimal standard generator from a seed, between 0 and 1."""
+    return F.aggregate(F.sequence(F.lit(1), n), seed.cast("long"), lambda s, _: s * 16807 % 2147483647) / 2147483647.0

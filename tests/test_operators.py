@@ -143,3 +143,36 @@ def test_classes_by_bounds(spark):
     assert [r.c for r in df.selectExpr(E.stream_class("km") + " as c").collect()] == [1, 2, 2, 3, 5, 6]
     heat = spark.createDataFrame([(2400,), (3318,), (4500,), (None,)], "h int").selectExpr(E.heat_region("h") + " as r").collect()
     assert [r.r for r in heat] == ["I", "III", "V", None]
+
+
+def test_soil_colours(spark):
+    df = spark.createDataFrame([("10YR", 4.0, 3.0), ("5R", 10.0, 0.0), ("odd", 4.0, 3.0), ("10YR", None, 3.0)], "h string, v double, c double")
+    got = [r.x for r in df.select(E.soil_colour(F.col("h"), F.col("v"), F.col("c")).alias("x")).collect()]
+    assert got[1] == "#ffffff" and got[0] == got[2] and got[3] is None
+    r, g, b = (int(got[0][i : i + 2], 16) for i in (1, 3, 5))
+    assert r > g > b and 90 < r < 130  # a dark brown
+
+
+def test_datum_shift_is_about_a_hundred_metres(spark):
+    lat, lon = E.nad27(F.lit(38.3), F.lit(-122.3))
+    row = spark.range(1).select(((lat - 38.3) * 111000).alias("n"), ((lon + 122.3) * 87000).alias("e")).first()
+    assert -40 < row.n < 40 and 60 < row.e < 130
+    x, y, z = E.geocentric(F.lit(38.3), F.lit(-122.3), E.GRS80)
+    back = spark.range(1).select(*[c.alias(n) for c, n in zip(E.geodetic(x, y, z, E.GRS80), "ab", strict=True)]).first()
+    assert abs(back.a - 38.3) < 1e-9 and abs(back.b + 122.3) < 1e-9
+
+
+def test_minimal_standard_generator(spark):
+    # its published check: from seed 1 the ten thousandth number is 1043618065
+    assert spark.range(1).select((E.uniform(F.lit(1), F.lit(10000)) * 2147483647).cast("long").alias("x")).first().x == 1043618065
+
+
+def test_equal_area_origin(spark):
+    row = spark.range(1).select(*[c.alias(n) for c, n in zip(E.albers(F.lit(23.0), F.lit(-96.0)), "xy", strict=True)]).first()
+    assert abs(row.x) < 1e-6 and abs(row.y) < 1e-6
+
+
+def test_chains_compose_to_their_root(spark):
+    links = spark.createDataFrame([(0, None, 1.0), (1, 0, 2.0), (2, 1, 3.0), (3, 2, 5.0), (9, 8, 7.0)], "node int, parent int, value double")
+    got = {r.node: r.value for r in graph.compose_chains(links, lambda a, b: a * b).collect()}
+    assert got == {0: 1.0, 1: 2.0, 2: 6.0, 3: 30.0, 9: None}
