@@ -17,8 +17,8 @@ The work, each step over all documents:
 5. Candidate clusters: documents that share a prefix shingle, directly or over others.
    Each shingle's documents are tied to the smallest of them, never in pairs.
 6. In a cluster a breadth-first search finds the components: a document is compared with
-   those not reached yet, so that a group of near copies costs few comparisons. Larger
-   clusters are searched in blocks, then in pairs of blocks with what is known.
+   those not reached yet, so that a group of near copies costs few comparisons. Large
+   clusters are dealt over blocks, then pairs of blocks are searched with what is known.
 
 Shingles are told apart by 48 bits of their hashes.
 """
@@ -40,8 +40,8 @@ from geostrata.llm.common import LOWER, WordHash, chunks, drop_table, expand, fr
 PERCENT, WORDS = 80, 5
 #: Longest multi-match prefix, and the cost of a verification in looked-up postings.
 MOST_MATCHES, VERIFY = 6, 30
-#: Documents that one task searches at once; clusters above it go in blocks of half of it.
-CLUSTER = 20_000
+#: Clusters of more documents than this are split into BLOCKS blocks, or more if a block would pass MOST documents.
+CLUSTER, BLOCKS, MOST = 512, 6, 10_000
 #: Most ids that are broadcast to pick documents' texts (16 bytes each); above it texts and ids are joined by a shuffle.
 PICK = 500_000
 #: Bytes of input to a range of shingles or of documents, and fewest and most ranges.
@@ -379,32 +379,31 @@ def link_components(docs: DataFrame, percent: int = PERCENT, cluster: int = CLUS
     center = posts.groupBy("token").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b <> top").select("token", "b")
     edges = posts.join(center, "token").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     near = put_table(clusters(edges, "join"), "join-near")
+    near = near.join(near.groupBy("label").agg(F.count("*").alias("members")), "label")
     members = prefixes.join(near, "doc_id")
-    sizes_of = near.groupBy("label").count()
-    large = [r.label for r in sizes_of.where(F.col("count") > cluster).collect()]  # clusters of over ``cluster`` documents: few
-    usual = members if not large else members.where(~F.col("label").isin(large))
-    found = usual.groupBy("label").applyInPandas(lambda rows: _search(percent, False)(rows), "doc_id long, label long")
-    if large:
-        found = found.unionByName(_in_blocks(put_table(members.where(F.col("label").isin(large)), "join-large"), percent, cluster))
+    found = members.where(F.col("members") <= cluster).groupBy("label").applyInPandas(_search(percent, False), "doc_id long, label long")
+    if near.where(F.col("members") > cluster).limit(1).count():
+        found = found.unionByName(_in_blocks(put_table(members.where(F.col("members") > cluster), "join-large"), percent))
     found = put_table(found, "join-components").withColumnRenamed("doc_id", "rep").withColumnRenamed("label", "component")
     named = classes.join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, key, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _in_blocks(members: DataFrame, percent: int, cluster: int) -> DataFrame:
-    """Exact components of clusters that are too large for one task: within blocks, then within pairs of blocks, given what is known."""
-    half = cluster // 2
-    counts = members.groupBy("label").count().withColumn("blocks", F.ceil(F.col("count") / half).cast("int")).select("label", "blocks")
-    blocks = put_table(members.join(F.broadcast(counts), "label").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "join-blocks")  # counts: a row for each large cluster
-    within = put_table(blocks.groupBy("label", "block").applyInPandas(lambda rows: _search(percent, False)(rows), "doc_id long, label long"), "join-within")
-    known = blocks.join(within.withColumnRenamed("label", "known"), "doc_id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = known.withColumn("other", other).where("other <> block").withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    linked = put_table(pairs.groupBy("label", "low", "high").applyInPandas(lambda rows: _search(percent, True)(rows), "doc_id long, label long"), "join-across")
+def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Exact components of large clusters: within blocks, then within pairs of blocks, given what is known.
+
+    A cluster is read by as many tasks as it has pairs of blocks, and each holds two blocks.
+    """
+    blocks = F.greatest(F.lit(BLOCKS), F.ceil(F.col("members") / MOST)).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    within = put_table(dealt.groupBy("label", "block").applyInPandas(_search(percent, False), "doc_id long, label long"), "join-within")
+    known = dealt.join(within.withColumnRenamed("label", "known"), "doc_id")
+    pairs = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block").withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    linked = put_table(pairs.groupBy("label", "low", "high").applyInPandas(_search(percent, True), "doc_id long, label long"), "join-across")
     edges = linked.unionByName(within).select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
     joined = clusters(edges, "join-large")
-    return blocks.select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
+    return members.select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
