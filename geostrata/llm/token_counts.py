@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from geostrata.llm.common import chunks, table
 
+#: How a byte-level vocabulary cuts texts. A fixed value of the format.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Remembered merge results in a worker; above it the memory starts anew.
 MEMO = 400_000
 
@@ -57,7 +59,7 @@ class Encoder:
         self.seen: set[str] = set()
         self.odd: set[str] = set()
         bytes_of = {c: b for b, c in self.letters.items()}
-        self.engine = self._engine(bytes_of)
+        self.engine, self.fast = self._engine(bytes_of)
         #: Proved: text of a vocabulary string that the merges alone turn into just that token, and its id.
         self.whole: dict[str, int] = {}
         for s, i in self.vocab.items():
@@ -70,17 +72,17 @@ class Encoder:
             if self.merged(word) == [i]:
                 self.whole[word] = i
         self.counts = _Counts(self)
-        self.pieces = _Pieces(self)
 
     def _engine(self, bytes_of: dict[str, int]):
-        """A compiled merger, where each merge makes the next id after the single bytes, so that ids serve as ranks."""
+        """A compiled merger of one pre-token and of a text, where each merge makes the next id after the single bytes, so that ids serve as ranks."""
         first = len(self.letters)
         if len(self.vocab.keys() - self.specials.keys()) != first + len(self.ranks) or any(self.vocab.get(a + b) != first + i for (a, b), i in self.ranks.items()):
-            return None
+            return None, None
         import tiktoken
 
         ids = {bytes(bytes_of[c] for c in s): i for s, i in self.vocab.items() if s not in self.specials}
-        return tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ids, special_tokens={})._encode_single_piece
+        made = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={})
+        return made._encode_single_piece, made.encode_ordinary
 
     def merged(self, word: str) -> list[int]:
         return self.merge(word) if self.engine is None else self.engine(word.encode())
@@ -132,7 +134,7 @@ class Encoder:
             probe = f"a{c}1{c}!{c} {c}\n{c}{c}a {c}1"
             own, at = self.cut(probe), 0
             spans = [(at, at := at + len(w)) for w in own]
-            if spans != [s for _, s in self.library.pre_tokenizer.pre_tokenize_str(probe)]:
+            if spans != [s for _, s in self.library.pre_tokenizer.pre_tokenize_str(probe)] or self.fast and self.fast(probe) != self.library.encode(probe, add_special_tokens=False).ids:
                 self.odd.add(c)
         self.seen |= new
         return not self.odd or self.odd.isdisjoint(text)
@@ -150,11 +152,16 @@ class Encoder:
         if not self.agrees(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
         if self.split_special is not None and "<" in text and self.split_special.search(text):
-            out = []
+            out: list[int] = []
             for i, p in enumerate(self.split_special.split(text)):
-                out.append(self.specials[p].to_bytes(2, "little") if i % 2 else b"".join(map(self.pieces.__getitem__, self.cut(p))))
-            return np.frombuffer(b"".join(out), "<u2")
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.cut(text))), "<u2")
+                out += [self.specials[p]] if i % 2 else self._ids(p)
+            return np.array(out, "<u2")
+        return np.array(self._ids(text), "<u2")
+
+    def _ids(self, text: str) -> list[int]:
+        if self.fast is not None:
+            return self.fast(text)
+        return [i for w in self.cut(text) for i in ([self.whole[w]] if w in self.whole else self.merge(w))]
 
 
 class _Counts(dict):
@@ -172,22 +179,6 @@ class _Counts(dict):
         return n
 
 
-class _Pieces(dict):
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes:
-        i = self.encoder.whole.get(word)
-        ids = self.encoder.merged(word) if i is None else [i]
-        out = np.array(ids, "<u2").tobytes()
-        if len(word) <= 64:
-            if len(self) > MEMO:
-                self.clear()
-            self[word] = out
-        return out
-
-
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
