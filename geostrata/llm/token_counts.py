@@ -22,6 +22,9 @@ from geostrata.llm.common import chunks, table
 
 #: How a byte-level vocabulary cuts texts. A fixed value of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longest run of white space that the compiled splitter gets.
+BLANKS = 4096
+LONG_BLANK = regex.compile(rf"\s{{{BLANKS}}}")
 #: Remembered merge results in a worker; above it the memory starts anew.
 MEMO = 400_000
 
@@ -159,7 +162,8 @@ class Encoder:
         return np.array(self._ids(text), "<u2")
 
     def _ids(self, text: str) -> list[int]:
-        if self.fast is not None:
+        # the compiled splitter runs out of stack on very long runs of white space
+        if self.fast is not None and (len(text) < BLANKS or not LONG_BLANK.search(text)):
             return self.fast(text)
         return [i for w in self.cut(text) for i in ([self.whole[w]] if w in self.whole else self.merge(w))]
 

@@ -24,7 +24,7 @@ def test_counts_equal_the_library(text):
 
 def test_long_words_specials_and_every_character():
     e = T.encoder(T.default_path())
-    for text in ["a" * 5000, "<|endoftext|>", "x<|endoftext|> <|endoftext|>y", "<|endof", " " * 99 + "z", "".join(map(chr, range(0x3000))), "".join(map(chr, range(0x1F000, 0x1FA00)))]:
+    for text in ["a" * 5000, "<|endoftext|>", "x<|endoftext|> <|endoftext|>y", "<|endof", " " * 99 + "z", " " * 300_000 + "x", "\n" * 5000, "b " + "\t" * 9000 + " c", "".join(map(chr, range(0x3000))), "".join(map(chr, range(0x1F000, 0x1FA00)))]:
         assert e.encode(text).tolist() == e.library.encode(text, add_special_tokens=False).ids and e.count(text) == len(e.encode(text))
     assert e.merge("lower" * 40) == e.merged("lower" * 40) and e.merge(" indivisible") == e.merged(" indivisible")
 
