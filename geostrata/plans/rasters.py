@@ -205,7 +205,7 @@ SELECT DISTINCT row + dr.range AS row, col + dc.range AS col FROM steps, range(-
 def line_brush(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that a brush of three by three touches along lines, sampled eight times a segment."""
     w = Window.partitionBy("line").orderBy("seq")
-    seg = points(spark, sf_dir).where("line % 50 = 0").withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("x2 is not null")
+    seg = points(spark, sf_dir).withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("x2 is not null")
     at = lambda a, b: F.bround(F.col(a) / 16.0 + (F.col(b) - F.col(a)) / 16.0 * F.col("k") / 8.0).cast("long")
     steps = seg.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).select(at("y", "y2").alias("r"), at("x", "x2").alias("c")).distinct()
     brush = F.expr("explode(transform(sequence(0, 8), i -> struct(r + i % 3 - 1 as row, c + i div 3 - 1 as col)))")

@@ -24,3 +24,13 @@ def test_nest_hierarchy_has_lines_of_high_keys(spark, tmp_path):
     spark.createDataFrame([(1, 1, 11, 2.0), (250_000, 2, 12, 3.0), (250_000, 1, 13, 4.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.component: (r.unit, r.depth, r.first_part, r.layers) for r in catalogue.QUERIES["nest_hierarchy"](spark, str(tmp_path)).collect()}
     assert got == {1: (7, 2.0, 11, "2"), 250_000: (8, 7.0, 13, "4/3"), 300_000: (9, None, -1, None)}
+
+
+def test_line_brush_draws_every_line(spark, sf):
+    got = rows(catalogue.QUERIES["line_brush"](spark, sf))
+    assert got == without("line_brush", " AND line % 50 = 0", ("lineitem", sf))
+
+
+def test_pattern_key_join_has_every_order(spark, sf):
+    got = rows(catalogue.QUERIES["pattern_key_join"](spark, sf))
+    assert got == without("pattern_key_join", " WHERE o_orderkey % 20 = 0", ("orders", sf))
