@@ -77,7 +77,7 @@ SELECT c.event_type, c.cell, c.day, last_value(v IGNORE NULLS) OVER (PARTITION B
 def hold_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cube of days: the last value holds over gaps; stored as tenths with a no-data code."""
     ev = table(spark, sf_dir, "events").withColumn("cell", F.col("user_id") % 24).withColumn("day", F.to_date("ts"))
-    e = ev.where("cell < 4").groupBy("event_type", "cell", "day").agg(F.max("value").alias("v"))
+    e = ev.groupBy("event_type", "cell", "day").agg(F.max("value").alias("v"))
     cube = e.select("event_type", "cell").distinct().join(ev.select("day").distinct()).join(e, ["event_type", "cell", "day"], "left")
     w = Window.partitionBy("event_type", "cell").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return cube.select("event_type", "cell", "day", F.last("v", ignorenulls=True).over(w).alias("held"), F.coalesce(F.bround(F.col("v") * 10), F.lit(-32768)).cast("int").alias("packed"))
@@ -139,7 +139,7 @@ RIVER = "edges_ AS (SELECT p_partkey AS up, p_partkey // 2 AS down FROM part WHE
 SELECT node, round(sum(w), 6) AS total FROM walk GROUP BY 1""")
 def arbolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upstream length of a braided network, by topological levels."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 400")
+    p = table(spark, sf_dir, "part")
     tree = p.where("p_partkey > 0").select(F.col("p_partkey").alias("up"), F.floor(F.col("p_partkey") / 2).alias("down"))
     braid = p.where("p_partkey > 0 and p_partkey % 10 = 0").select(F.col("p_partkey").alias("up"), F.floor(F.col("p_partkey") / 3).alias("down"))
     out = graph.upstream_totals(p.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("length")), tree.unionByName(braid))
@@ -157,7 +157,7 @@ def containment_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT label, count(*) AS cells FROM (SELECT a, min(b) AS label FROM r GROUP BY 1) t GROUP BY 1""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pools of low cells, by neighbours of four."""
-    c = grid(spark, sf_dir).where("value < 330 and row < 24 and col < 24").select("row", "col", (F.col("row") * 64 + F.col("col")).alias("id"))
+    c = grid(spark, sf_dir).where("value < 330").select("row", "col", (F.col("row") * 64 + F.col("col")).alias("id"))
     right = c.select("row", (F.col("col") + 1).alias("col"), F.col("id").alias("b"))
     down = c.select((F.col("row") + 1).alias("row"), "col", F.col("id").alias("b"))
     e = c.join(right, ["row", "col"]).select(F.col("id").alias("a"), "b").unionByName(c.join(down, ["row", "col"]).select(F.col("id").alias("a"), "b"))

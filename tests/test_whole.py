@@ -1,5 +1,7 @@
 """Queries over whole tables: what a filter by id would drop is there."""
 
+import math
+
 import duckdb
 
 from geostrata.plans import catalogue
@@ -34,3 +36,54 @@ def test_line_brush_draws_every_line(spark, sf):
 def test_pattern_key_join_has_every_order(spark, sf):
     got = rows(catalogue.QUERIES["pattern_key_join"](spark, sf))
     assert got == without("pattern_key_join", " WHERE o_orderkey % 20 = 0", ("orders", sf))
+
+
+def test_hold_last_has_every_cell(spark, sf):
+    got = rows(catalogue.QUERIES["hold_last"](spark, sf))
+    assert got == without("hold_last", " WHERE user_id % 24 < 4", ("events", sf))
+
+
+def parts(spark, folder, n=700):
+    size = {k: k * 37 % 50 + 1 for k in range(n)}
+    spark.createDataFrame(list(size.items()), "p_partkey long, p_size int").write.parquet(f"{folder}/part.parquet")
+    return size
+
+
+def test_arbolate_has_every_part(spark, tmp_path):
+    size = parts(spark, tmp_path)
+    total = {k: float(s) for k, s in size.items()}
+    for k in sorted(size, reverse=True):  # all that flows into a part has a greater key
+        down = [k // 2, k // 3] if k % 10 == 0 else [k // 2]
+        for d in down if k else ():
+            total[d] += total[k] / len(down)
+    got = {r.node: r.total for r in catalogue.QUERIES["arbolate"](spark, str(tmp_path)).collect()}
+    assert got.keys() == total.keys() and all(abs(got[k] - total[k]) < 1e-5 for k in total)
+
+
+def test_rotation_chain_has_every_part(spark, tmp_path):
+    size = parts(spark, tmp_path)
+    angle = {}
+    for k in sorted(size):
+        angle[k] = math.radians(size[k] * 3.0) + (angle[k // 3] if k else 0.0)
+    got = {r.node: (r.root, r.w, r.z) for r in catalogue.QUERIES["rotation_chain"](spark, str(tmp_path)).collect()}
+    assert got.keys() == angle.keys()
+    assert all(r == 0 and abs(w - math.cos(angle[k] / 2)) < 1e-8 and abs(z - math.sin(angle[k] / 2)) < 1e-8 for k, (r, w, z) in got.items())
+
+
+def test_components_has_every_cell(spark, tmp_path):
+    cells = {(r, c) for r in range(64) for c in range(64) if (r * 7 + c * 11) % 5 < 3 and (r + c) % 9}
+    lines = [(r, c, 100.0 if (r, c) in cells else 400.0) for r in range(64) for c in range(64)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    label, left = {}, set(cells)
+    for start in sorted(cells):
+        pool = [start] if start in left else []
+        left.discard(start)
+        for r, c in pool:
+            for n in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                if n in left:
+                    left.discard(n)
+                    pool.append(n)
+        if pool:
+            label[start[0] * 64 + start[1]] = len(pool)
+    got = {r.label: r.cells for r in catalogue.QUERIES["components"](spark, str(tmp_path)).collect()}
+    assert got == label
