@@ -5,8 +5,9 @@ source's size. Every document is taken the whole times that the source's rate gi
 the fractional rest is an inclusion probability. The flight phase moves the
 probabilities through the null space of the constraints (documents and words stay in
 balance) until nearly all are 0 or 1: first in blocks of each source, then among what
-blocks leave, until one block a source remains. What its flight leaves, two units at most,
-lands with a reserve of a dozen: one of the samples nearest to the balance is drawn.
+blocks leave, until one block a source remains. Every block keeps a reserve of a dozen out of
+its flight. In the last one it lands with what the flight leaves, two units at most: one of the
+samples nearest to the balance is drawn.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
 #: Units of a flight.
 BLOCK = 1024
-#: Units of a source that land together with what the flight leaves, and the best samples of them that one is drawn from.
-RESERVE, BEST = 12, 8
+#: Units of a source that land together with what the flight leaves, the best samples of them that one is drawn from, and so many valid samples for each of these.
+RESERVE, BEST, VALID = 12, 8, 16
 SEED = 20240229
 
 
@@ -90,23 +91,31 @@ def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray
         work = rest
 
 
+def hold(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Flight of all but the last RESERVE open units, which stay as they are."""
+    open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+    out = p.copy()
+    flown = np.setdiff1d(np.arange(len(p)), open_[-RESERVE:])
+    out[flown] = fly(size[flown], p[flown], rng)
+    return out
+
+
 def land(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Flight of all but the last RESERVE units, then landing of those and of what it leaves.
 
-    Of the samples that keep the number of documents to less than one, one of the BEST nearest to the words' balance is drawn.
+    Of the samples that keep the number of documents to less than one, one of the BEST nearest to the words' balance is
+    drawn, of fewer where few are valid; samples as near as the last of them count too.
     """
-    open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
-    reserve = open_[-RESERVE:]
-    out = p.copy()
-    flown = np.setdiff1d(np.arange(len(p)), reserve)
-    out[flown] = fly(size[flown], p[flown], rng)
+    out = hold(size, p, rng)
     left = np.flatnonzero((out > 1e-9) & (out < 1 - 1e-9))
     if len(left):
         samples = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(float)
         count = np.abs(samples.sum(axis=1) - out[left].sum())
         words = np.abs(samples @ size[left].astype(float) - float(size[left] @ out[left]))
-        words[count >= 1] = np.inf
-        out[left] = samples[np.argsort(words, kind="stable")[: max(1, min(BEST, int((count < 1).sum())))][rng.integers(max(1, min(BEST, int((count < 1).sum()))))]]
+        valid = count < 1 - 1e-9
+        best = max(1, min(BEST, int(valid.sum()) // VALID))
+        near = np.flatnonzero(valid & (words <= np.sort(words[valid])[best - 1] + 1e-6))
+        out[left] = samples[near[rng.integers(len(near))]]
     return np.rint(out)
 
 
@@ -114,7 +123,7 @@ def _flight(last: bool, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["turn", "doc_id", "size"], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, int(key[0]), int(key[1])])
-        rows["p"] = (land if last else fly)(rows["size"].to_numpy(), rows["p"].to_numpy(), rng)
+        rows["p"] = (land if last else hold)(rows["size"].to_numpy(), rows["p"].to_numpy(), rng)
         return rows
 
     return run
@@ -126,6 +135,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     Null and empty texts have size 0. Null sources are one source, last in the order. The same rows give the same
     mix however they are partitioned. Repeated rows are units of their own. An empty table gives an empty mix.
     """
+    if block < 3 * RESERVE:  # blocks must leave fewer units than they hold
+        raise ValueError(f"blocks of under {3 * RESERVE} units")
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -196,6 +196,20 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert all(abs(n - target) <= 0.01 * target + 5 for (_, target), n in taken.items())
 
 
+def test_mix_small_heavy_source_beside_a_large_one(spark):
+    rng = np.random.default_rng(11)
+    heavy = rng.lognormal(0, 1.2, 200)
+    sizes = np.maximum(1, heavy / heavy.sum() * 54_000).astype(int)
+    rows = [(i, "w " * int(n), "z") for i, n in enumerate(sizes)] + [(1000 + i, "w " * int(n), "b") for i, n in enumerate(rng.integers(10, 31, 5000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for seed in range(4):
+        got = M.mix_sources(df, seed=seed).collect()
+        for s in "bz":
+            assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= sizes.max() / 10, (seed, s)
+    pair = [M.land(np.array([10, 1000, 30, 980, 500]), np.array([0.5, 0.5, 0.5, 0.5, 0.0]), np.random.default_rng(s)) for s in range(40)]
+    assert {abs(float(x @ [10, 1000, 30, 980, 500]) - 1260) for x in pair} == {250.0}  # two of four: 1,010 nearest of all pairs is drawn
+
+
 def test_mix_odd_rows(spark, odd, empty):
     got = M.mix_sources(odd).collect()
     assert len(got) == odd.count() and M.mix_sources(empty).count() == 0
