@@ -2,10 +2,10 @@
 
 Markup is stripped into lines, one for each block element. A sliding window sums the
 text lengths of neighbouring lines; a surge point is where the sum rises from quiet to
-loud, a dive point where it falls back, and text between them is kept. Menus, headers,
-footers, sidebars, notices, adverts, forms and comments have no length of their own.
-Where a page says where its article is, the points move out to the article's edges, so
-that short paragraphs at its ends stay.
+loud, a dive point where it falls back, and text from the first surge to the last dive is
+kept, with the headings and paragraphs that lead to the surge. Menus, headers, footers,
+sidebars, notices, adverts, forms and comments have no length of their own and are left out
+wherever they stand. Where a page marks its articles, all of their text stays.
 """
 
 from __future__ import annotations
@@ -39,11 +39,16 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that open a text, and lists and tables, in which menus stand.
+OPENING, LISTED = HEADINGS | {"p"}, frozenset("li dd dt option td th tr ul ol dl table".split())
+
+
 class Line:
-    __slots__ = ("aside", "inside", "text")
+    __slots__ = ("aside", "block", "inside", "text")
 
-    def __init__(self, text: str, aside: bool, inside: int):
-        self.text, self.aside, self.inside = text, aside, inside  # inside: number of the outermost article, 0 outside of any
+    def __init__(self, text: str, aside: bool, inside: int, block: str = ""):
+        self.text, self.aside, self.inside, self.block = text, aside, inside, block  # inside: number of the outermost article, 0 outside of any; block: innermost block element
 
 
 def hinted(attributes: str, inside: bool) -> bool:
@@ -70,7 +75,7 @@ def lines(html: str) -> list[Line]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append(Line(text, aside, inside))
+                out.append(Line(text, aside, inside, next((s[0] for s in reversed(stack) if s[0] in BLOCK), "")))
 
     while True:
         m = TOKEN.search(html, at)
@@ -168,16 +173,25 @@ def main_text(html: str | None) -> str:
         return ""
     page = lines(html)
     lengths = [0 if x.aside else len(x.text) for x in page]
+    if any(n and x.inside for x, n in zip(page, lengths, strict=True)):
+        return "\n".join(x.text for x, n in zip(page, lengths, strict=True) if n and x.inside)
     found = spans(lengths)
-    marked = {x.inside for x, n in zip(page, lengths, strict=True) if n and x.inside}
-    if marked:
-        # the points move out to the edges of each marked article that a loud span reaches; of quiet articles alone, all stay
-        loud = {page[i].inside for a, b in found for i in range(a, b) if lengths[i]} & marked or marked
-        return "\n".join(x.text for x, n in zip(page, lengths, strict=True) if n and x.inside in loud)
     if not found:
         return "\n".join(x.text for x, n in zip(page, lengths, strict=True) if n)
-    a, b = max(found, key=lambda s: sum(lengths[s[0] : s[1]]))
-    return "\n".join(page[i].text for i in range(a, b) if lengths[i])
+    return "\n".join(page[i].text for i in range(opening(page, found[0][0]), found[-1][1]) if lengths[i])
+
+
+def opening(page: list[Line], surge: int) -> int:
+    """Place of the first heading or paragraph that leads to the surge with no list or table between."""
+    first = surge
+    for i in range(surge - 1, -1, -1):
+        if page[i].aside:
+            continue
+        if page[i].block in LISTED:
+            break
+        if page[i].block in OPENING:
+            first = i
+    return first
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

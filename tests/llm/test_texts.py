@@ -111,6 +111,19 @@ def test_html_without_marks_keeps_the_loud_middle():
     assert H.main_text(page) == "\n".join(f"Sentence {i} of a long paragraph that goes on for a while." for i in range(6))
 
 
+def test_html_without_marks_goes_on_after_asides_and_starts_at_the_title():
+    long = [f"Paragraph {i} " + "of words and more words " * 9 for i in range(4)]
+    asides = "<nav>one</nav><nav>two</nav><ul class='related'><li>three</li><li>four</li></ul>"
+    menu = "<ul><li>Home</li><li>About</li></ul>"
+    page = f"<body>{menu}<h1>Title</h1><p>By me</p><div class='share'>share this</div>" + f"<p>{long[0]}</p><p>{long[1]}</p>{asides}<p>Short.</p><p>{long[2]}</p>{asides}<p>{long[3]}</p>" + f"{asides}</body>"
+    assert H.main_text(page) == "\n".join(x.strip() for x in ["Title", "By me", *long[:2], "Short.", *long[2:]])
+
+
+def test_html_quiet_articles_stay_beside_loud_ones():
+    loud = "A sentence that is long enough to be heard over all the noise of a page."
+    assert H.main_text(f"<article><p>{loud}</p></article><nav>a</nav><nav>b</nav><nav>c</nav><article><p>Brief.</p></article>") == f"{loud}\nBrief."
+
+
 def test_html_rules():
     assert H.main_text(None) == H.main_text("") == H.main_text("<p></p>") == ""
     page = "<main><h1>T &amp; U</h1><aside>side</aside><p>a\n b<b>c</b><br>d</p><div class='comments'><p>first!</p></div><script>x<p>y</script><p>&lt;p&gt; 1 < 2<!-- no --></p><nav>menu</nav></main><p>outside and quite long text that is no part of the article at all</p>"
