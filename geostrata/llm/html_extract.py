@@ -30,16 +30,23 @@ SILENT = frozenset(("script", "style", "noscript", "template", "svg", "math", "i
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title", "noscript", "iframe", "template")}
 #: Elements that hold no main text.
 ASIDE = frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "fieldset", "label", "input"))
+#: Attributes one by one, so that neither a data-class nor what a quoted value holds is taken for a class.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+TELLING = frozenset(("class", "id", "role", "aria-label"))
 #: Words in class, id or role that say the same.
-HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertisements sponsored sponsor promo promos promotion banner cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login menu menus nav navbar navigation navbox breadcrumb breadcrumbs sidebar sidebars aside widget widgets header masthead footer foot toolbar share sharing social comment comments commentlist respond reply replies disqus discussion related recommended recommendations pagination pager search form skip contentinfo complementary".split()
 )
+#: Those that say so inside an article as well, where the others are also subjects; words that only tell their place or shape.
+SURE = frozenset(
+    "ad ads advert adverts advertisement advertisements sponsored promo promos cookie cookies consent popup modal newsletter subscribe navbar navbox breadcrumb breadcrumbs sidebar sidebars masthead toolbar comment comments commentlist disqus pagination pager contentinfo complementary".split()
+)
+PLACE = frozenset("area bar block bottom box container content inner left list outer right section slot top unit wrap wrapper".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that open a text, and lists and tables, in which menus stand.
 OPENING, LISTED = HEADINGS | {"p"}, frozenset("li dd dt option td th tr ul ol dl table".split())
 
@@ -51,13 +58,29 @@ class Line:
         self.text, self.aside, self.inside, self.block = text, aside, inside, block  # inside: number of the outermost article, 0 outside of any; block: innermost block element
 
 
-def hinted(attributes: str, inside: bool) -> bool:
-    """Whether class, id or role tells of no main text; an article's own header is main text."""
-    for m in HINT.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        told = HINTS.intersection(re.split(r"[\s_-]+", value.lower()))
-        if told and not (inside and told == {"header"}):
-            return True
+def hinted(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether class, id or role tells of no main text.
+
+    A heading's id is an anchor and tells nothing, and a section's id only as a whole. Inside an article only what is no
+    subject of a text counts: a sure word, sure words with others of their kind or with a place, and roles.
+    """
+    for m in ATTRIBUTE.finditer(attributes):
+        name = m[1].lower()
+        if name not in TELLING or (name == "id" and tag in HEADINGS):
+            continue
+        value = (m[2] or m[3] or m[4] or "").lower()
+        for word in [value.strip()] if name == "aria-label" and inside else value.split():
+            parts = set(re.split(r"[_-]+", word)) - {""}
+            if name == "id" and tag == "section":
+                told = word in SURE
+            elif not inside:
+                told = bool(parts & HINTS)
+            elif name == "role":
+                told = word in HINTS
+            else:
+                told = word in SURE or (name != "aria-label" and len(parts) > 1 and bool(parts & SURE) and parts <= HINTS | PLACE)
+            if told:
+                return True
     return False
 
 
@@ -118,7 +141,7 @@ def lines(html: str) -> list[Line]:
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         quiet = silent or tag in SILENT
-        away = aside or (tag in ASIDE and not (tag == "header" and inside)) or (tag not in ("html", "body", "article", "main") and bool(m[3]) and hinted(m[3], inside > 0))
+        away = aside or (tag in ASIDE and not (tag == "header" and inside)) or (tag not in ("html", "body", "article", "main") and bool(m[3]) and hinted(tag, m[3], inside > 0))
         within = inside
         if not inside and not away and (tag in ("article", "main") or 'role="main"' in m[3]):
             within = articles = articles + 1

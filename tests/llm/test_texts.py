@@ -124,6 +124,14 @@ def test_html_quiet_articles_stay_beside_loud_ones():
     assert H.main_text(f"<article><p>{loud}</p></article><nav>a</nav><nav>b</nav><nav>c</nav><article><p>Brief.</p></article>") == f"{loud}\nBrief."
 
 
+def test_html_hints_take_no_text_of_an_article():
+    kept = ["<section id='discussion'>A</section>", "<h2 id='related-work'>B</h2>", "<div id='search-algorithms'><p>C</p></div>", "<h2 id='comments'>D</h2>", "<div data-id='ad' data-class=comments>E</div>", "<p title='x class=ad'>F</p>", "<section id='comments-on-method'>G</section>", "<p class='notice'>H</p>", "<section aria-label='Related work'>I</section>"]
+    gone = ["<div class='ad'>1</div>", "<div class='x ad-slot'>2</div>", "<section id='comments'>3</section>", "<div id='cookie-notice'>4</div>", "<div class='sidebar-left'>5</div>", "<div role='navigation'>6</div>"]
+    both = "".join(a + b for a, b in zip(kept, [*gone, *[""] * 3]))
+    assert H.main_text(f"<article>{both}</article>") == "A\nB\nC\nD\nE\nF\nG\nH\nI"
+    assert H.main_text("<body><h2 id='related-work'>A</h2><section id='discussion'>B</section><div class='site-search'>c</div></body>") == "A\nB"
+
+
 def test_html_rules():
     assert H.main_text(None) == H.main_text("") == H.main_text("<p></p>") == ""
     page = "<main><h1>T &amp; U</h1><aside>side</aside><p>a\n b<b>c</b><br>d</p><div class='comments'><p>first!</p></div><script>x<p>y</script><p>&lt;p&gt; 1 < 2<!-- no --></p><nav>menu</nav></main><p>outside and quite long text that is no part of the article at all</p>"
