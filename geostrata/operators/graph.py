@@ -20,38 +20,96 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def upstream_totals(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
+def closing_edges(held: list[tuple]) -> list[tuple]:
+    """Edges (up, down) that close a cycle when the network is walked upstream, depth first, from the smallest node on."""
+    ups: dict = {}
+    for up, down in sorted(held):
+        ups.setdefault(down, []).append(up)
+    cut, path, seen = [], set(), set()
+    for start in sorted(ups):
+        if start in seen:
+            continue
+        stack = [(start, list(ups[start]))]
+        seen.add(start)
+        path.add(start)
+        while stack:
+            node, todo = stack[-1]
+            if not todo:
+                stack.pop()
+                path.discard(node)
+                continue
+            up = todo.pop()
+            if up in path:
+                cut.append((up, node))
+            elif up not in seen:
+                seen.add(up)
+                path.add(up)
+                stack.append((up, list(ups.get(up, ()))))
+    return cut
+
+
+#: Edges held up by cycles that the driver takes.
+HELD = 1_000_000
+
+
+def upstream_totals(nodes: DataFrame, edges: DataFrame, most: int | None = None, cut_cycles: bool = False) -> DataFrame:
     """node, total: own length and that of everything upstream; where a line splits its total is divided evenly among the branches.
 
-    nodes: node, length. edges: up, down. By topological levels, each from the totals of the last; what a cycle holds stays null.
+    nodes: node, length. edges: up, down; those from a node to itself don't count. By topological levels, each from the
+    totals of the last, until no node is left. What a cycle holds stays null, or with ``cut_cycles`` cycles are cut where
+    they close: edges that one holds up go to the driver, ``HELD`` at most, else an error. More than ``most`` levels, where a caller sets it, are an error.
     """
+    edges = edges.where("up <> down")
     fan = edges.groupBy("up").agg(F.count("*").alias("ways"))
-    weighted = settle(edges.join(fan, "up"))
-    need = edges.groupBy(F.col("down").alias("node")).agg(F.count("*").alias("need"))
+    for end in ("up", "down"):
+        edges = edges.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
+    weighted = settle(edges.join(fan, "up").select("up", "down", "ways"))
+    need = weighted.groupBy(F.col("down").alias("node")).agg(F.count("*").alias("need"))
     open_ = settle(nodes.join(need, "node", "left").select("node", F.col("length").cast("double").alias("total"), F.coalesce("need", F.lit(0)).alias("need")))
-    done = None
-    for _ in range(most):
+    done, level = None, 0
+    while True:
         ready = open_.where("need = 0").select("node", "total")
         if ready.limit(1).count() == 0:
-            break
+            if not cut_cycles:
+                left = open_.select("node", F.lit(None).cast("double").alias("total"))
+                return left if done is None else done.unionByName(left)
+            held = weighted.join(open_.select(F.col("node").alias("up")), "up", "left_semi").select("up", "down").distinct()
+            rows = held.limit(HELD + 1).collect()
+            if not rows:
+                return open_.select("node", "total") if done is None else done
+            if len(rows) > HELD:
+                raise ValueError(f"cycles hold up more than {HELD} edges")
+            cut = held.sparkSession.createDataFrame(closing_edges([tuple(r) for r in rows]), held.schema)
+            lost = weighted.join(cut, ["up", "down"], "left_semi").groupBy(F.col("down").alias("node")).agg(F.count("*").alias("lost"))
+            open_ = settle(open_.join(lost, "node", "left").select("node", "total", (F.col("need") - F.coalesce("lost", F.lit(0))).alias("need")))
+            weighted = settle(weighted.join(cut, ["up", "down"], "left_anti").select("up", "down", "ways"))
+            continue
+        if level == most:
+            raise ValueError(f"more than {most} levels")
+        level += 1
         done = ready if done is None else done.unionByName(ready)
+        if level % 50 == 0:  # keeps the plan of the union short
+            done = settle(done)
         sent = weighted.join(ready, weighted.up == ready.node).groupBy(F.col("down").alias("node")).agg(F.sum(F.col("total") / F.col("ways")).alias("more"), F.count("*").alias("got"))
         open_ = settle(open_.where("need > 0").join(sent, "node", "left").select("node", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")))
-    left = open_.select("node", F.lit(None).cast("double").alias("total"))
-    return left if done is None else done.unionByName(left)
 
 
-def closure(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(a, b, depth) of every pair that a path joins, with the shortest depth; the frontier alone is joined in each round."""
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b, depth) of every pair that a path joins, with the shortest depth; the frontier alone is joined in each round.
+
+    Pairs more than ``most`` edges apart, where a caller sets it, are an error.
+    """
     known = settle(edges.select("a", "b").distinct().withColumn("depth", F.lit(1)))
-    frontier = known
-    for depth in range(2, most + 1):
+    frontier, depth = known, 1
+    while True:
+        depth += 1
         step = frontier.select("a", F.col("b").alias("_m")).join(edges.select(F.col("a").alias("_m"), "b").distinct(), "_m").select("a", "b").distinct()
         frontier = settle(step.join(known, ["a", "b"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.limit(1).count() == 0:
-            break
+            return known
+        if most is not None and depth > most:
+            raise ValueError(f"paths of more than {most} edges")
         known = settle(known.unionByName(frontier))
-    return known
 
 
 def components(edges: DataFrame) -> DataFrame:

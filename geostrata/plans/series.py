@@ -142,7 +142,7 @@ def arbolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     tree = p.where("p_partkey > 0").select(F.col("p_partkey").alias("up"), F.floor(F.col("p_partkey") / 2).alias("down"))
     braid = p.where("p_partkey > 0 and p_partkey % 10 = 0").select(F.col("p_partkey").alias("up"), F.floor(F.col("p_partkey") / 3).alias("down"))
-    out = graph.upstream_totals(p.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("length")), tree.unionByName(braid))
+    out = graph.upstream_totals(p.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("length")), tree.unionByName(braid), cut_cycles=True)
     return out.select("node", F.round("total", 6).alias("total"))
 
 

@@ -3,7 +3,9 @@
 import math
 
 import duckdb
+import pytest
 
+from geostrata.operators import graph
 from geostrata.plans import catalogue
 
 
@@ -87,3 +89,23 @@ def test_components_has_every_cell(spark, tmp_path):
             label[start[0] * 64 + start[1]] = len(pool)
     got = {r.label: r.cells for r in catalogue.QUERIES["components"](spark, str(tmp_path)).collect()}
     assert got == label
+
+
+def test_upstream_totals_cuts_cycles_where_they_close(spark):
+    nodes = spark.createDataFrame([(i, 10.0**i) for i in range(1, 7)], "node long, length double")
+    # 5 flows into the cycle 1 > 2 > 3 > 1, which leaves by 3 > 4; 6 flows into itself alone
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 2), (6, 6)], "up long, down long")
+    got = {r.node: r.total for r in graph.upstream_totals(nodes, edges, cut_cycles=True).collect()}
+    two = 1e2 + 1e5  # the edge 1 > 2 is cut; half of 3 goes to 1, half to 4
+    three = 1e3 + two
+    assert got == {1: 1e1 + three / 2, 2: two, 3: three, 4: 1e4 + three / 2, 5: 1e5, 6: 1e6}
+
+
+def test_a_limit_of_a_graph_loop_is_an_error_not_a_cut(spark):
+    nodes = spark.createDataFrame([(i, 1.0) for i in range(4)], "node long, length double")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(3)], "a long, b long")
+    with pytest.raises(ValueError):
+        graph.upstream_totals(nodes, chain.toDF("up", "down"), most=2)
+    with pytest.raises(ValueError):
+        graph.closure(chain, most=2)
+    assert graph.closure(chain, most=3).count() == 6
