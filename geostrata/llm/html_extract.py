@@ -1,16 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. A sliding window sums the
-text lengths of neighbouring lines; a surge point is where the sum rises from quiet to
-loud, a dive point where it falls back, and text from the first surge to the last dive is
-kept, with the headings and paragraphs that lead to the surge. Menus, headers, footers,
-sidebars, notices, adverts, forms and comments have no length of their own and are left out
-wherever they stand. Where a page marks its articles, all of their text stays.
+Markup is stripped into lines, one for each block element. A line weighs what its text is
+long, up to a bound; a line in a menu, header, footer, sidebar, notice, advert, form or
+comment weighs nothing, text of links weighs nothing outside of an article, and a line that
+the page marks as its article weighs a multiple. A sliding window sums the weights of
+neighbouring lines: it surges where the sum rises above a share of the page's loudest
+window and dives where it falls below. All text between the first surge and the last dive
+is kept, but for lines without weight of their own, with the headings and paragraphs that
+lead to a surge and the quiet lines that end a text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -20,10 +23,16 @@ from pyspark.sql import functions as F
 
 from geostrata.llm.common import chunks, table
 
-#: Lines that a window sums, and the sum from which it is loud.
-WINDOW, LOUD = 3, 60
+#: Lines that a window sums, and the sum from which it is loud: the larger of a number and a share of the page's loudest window.
+WINDOW, LOUD, SHARE = 3, 60, 1 / 12
+#: Longest text that a line weighs; in a marked article each line weighs so much more, and so many times that.
+LONG, EXTRA, MARKED = 400, 400, 8
+#: Deepest nesting that is told apart: elements beyond it become neighbours.
+DEPTH = 512
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: What ends a tag or begins a quoted value in it.
+STOP = re.compile(r"""[>"']""")
 #: Elements whose contents are no text of the page.
 SILENT = frozenset(("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title"))
 #: Elements with raw contents: markup inside them isn't parsed.
@@ -52,10 +61,15 @@ OPENING, LISTED = HEADINGS | {"p"}, frozenset("li dd dt option td th tr ul ol dl
 
 
 class Line:
-    __slots__ = ("aside", "block", "inside", "text")
+    __slots__ = ("aside", "block", "inside", "links", "text")
 
-    def __init__(self, text: str, aside: bool, inside: int, block: str = ""):
-        self.text, self.aside, self.inside, self.block = text, aside, inside, block  # inside: number of the outermost article, 0 outside of any; block: innermost block element
+    def __init__(self, text: str, aside: bool, inside: int, block: str = "", links: int = 0):
+        self.text, self.aside, self.inside, self.block, self.links = text, aside, inside, block, links  # inside: number of the outermost article, 0 outside of any; block: innermost block element; links: characters inside of links
+
+    def weight(self) -> int:
+        if self.aside:
+            return 0
+        return MARKED * (min(len(self.text), LONG) + EXTRA) if self.inside else min(max(0, len(self.text) - self.links), LONG)
 
 
 def hinted(tag: str, attributes: str, inside: bool) -> bool:
@@ -84,40 +98,94 @@ def hinted(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, name, attributes) of each tag, name empty for comments and declarations, in time linear in the page.
+
+    The caller may send a place to go on from. A quoted value may hold what ends a tag; where quotes stay open to the end
+    of the page, none of the page counts from there on.
+    """
+    at, last, quoted = 0, html.rfind(">"), True
+    while True:
+        start = html.find("<", at)
+        if start < 0:
+            return
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            end = len(html) if end < 0 else end + 3
+            at = (yield start, end, False, "", "") or end
+            continue
+        if start > last:  # no tag ends after this place
+            return
+        if html[start + 1 : start + 2] in ("!", "?"):
+            end = html.find(">", start) + 1
+            at = (yield start, end, False, "", "") or end
+            continue
+        name = NAME.match(html, start + 1)
+        if not name:
+            at = start + 1
+            continue
+        end = name.end()
+        while quoted:
+            stop = STOP.search(html, end)
+            if not stop:
+                quoted = False
+            elif stop[0] == ">":
+                end = stop.end()
+                break
+            else:
+                close = html.find(stop[0], stop.end())
+                quoted, end = close >= 0, close + 1
+        if not quoted:
+            end = html.find(">", name.end()) + 1
+        closes = name[0][0] == "/"
+        at = (yield start, end, closes, name[0][closes:].lower(), html[name.end() : end - 1]) or end
+
+
 def lines(html: str) -> list[Line]:
     """Blocks of text in page order, white space made single, references decoded."""
     out: list[Line] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag; silent, aside and article at it
+    held: Counter[str] = Counter()  # tags on the stack
     silent = aside = False
-    inside = articles = 0
-    at = 0
+    inside = articles = links = 0
 
     def close() -> None:
+        nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append(Line(text, aside, inside, next((s[0] for s in reversed(stack) if s[0] in BLOCK), "")))
+                out.append(Line(text, aside, inside, next((s[0] for s in reversed(stack) if s[0] in BLOCK), ""), links))
+        links = 0
 
+    def cut(i: int) -> None:
+        held.subtract(s[0] for s in stack[i:])
+        del stack[i:]
+
+    def say(piece: str) -> None:
+        nonlocal links
+        if piece and not silent:
+            parts.append(unescape(piece) if "&" in piece else piece)
+            if held["a"] > 0:
+                links += len(piece.strip())
+
+    at, found, go_on = 0, tags(html), None
     while True:
-        m = TOKEN.search(html, at)
-        if not silent:
-            piece = html[at : m.start() if m else len(html)]
-            if piece:
-                parts.append(unescape(piece) if "&" in piece else piece)
-        if m is None:
+        try:
+            start, end, closes, tag, attributes = found.send(go_on)
+        except StopIteration:
             break
-        at = m.end()
-        if m[2] is None:
+        say(html[at:start])
+        at, go_on = end, None
+        if not tag:
             continue
-        tag = m[2].lower()
         if tag == "br":
             parts.append(" ")
             continue
         block = tag in BLOCK
-        if m[1]:
-            if not any(s[0] == tag for s in stack):
+        if closes:
+            if held[tag] <= 0:
                 if block:
                     close()
                 continue
@@ -126,99 +194,113 @@ def lines(html: str) -> list[Line]:
                 popped -= 1
             # a stray end tag doesn't close containers that hold it, as </b> must not end an article
             if not block and any(s[0] in BLOCK for s in stack[popped + 1 :]):
+                held[tag] -= 1
                 del stack[popped]
                 continue
             if block or any(s[0] in BLOCK for s in stack[popped:]):
                 close()
-            del stack[popped:]
+            cut(popped)
             silent, aside, inside = stack[-1][1:] if stack else (False, False, 0)
             continue
         if block:
             close()
             if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):
-                _end_open(stack, tag)
+                cut(_end_open(stack, tag))
                 silent, aside, inside = stack[-1][1:] if stack else (False, False, 0)
-        if tag in VOID or m[3].rstrip().endswith("/"):
+        if tag in VOID or attributes.rstrip().endswith("/"):
             continue
         quiet = silent or tag in SILENT
-        away = aside or (tag in ASIDE and not (tag == "header" and inside)) or (tag not in ("html", "body", "article", "main") and bool(m[3]) and hinted(tag, m[3], inside > 0))
+        away = aside or (tag in ASIDE and not (tag == "header" and inside)) or (tag not in ("html", "body", "article", "main") and bool(attributes) and hinted(tag, attributes, inside > 0))
         within = inside
-        if not inside and not away and (tag in ("article", "main") or 'role="main"' in m[3]):
+        if not inside and not away and (tag in ("article", "main") or 'role="main"' in attributes):
             within = articles = articles + 1
         if tag in RAW:
-            if not block:
-                end = RAW[tag].search(html, at)
-                at = end.end() if end else len(html)
+            raw_end = RAW[tag].search(html, at)
+            at = go_on = raw_end.end() if raw_end else len(html)
             continue
         if quiet != silent or away != aside or within != inside:
             close()
+        if len(stack) >= DEPTH:
+            cut(DEPTH - 1)
         stack.append((tag, quiet, away, within))
+        held[tag] += 1
         silent, aside, inside = quiet, away, within
+    say(html[at:])
     close()
     return out
 
 
-def _end_open(stack: list[tuple[str, bool, bool, int]], tag: str) -> None:
-    """A paragraph, item or cell that begins ends one of its kind that is open with only inline elements in it."""
+def _end_open(stack: list[tuple[str, bool, bool, int]], tag: str) -> int:
+    """Place on the stack from which a paragraph, item or cell that begins ends what is open: one of its kind with only inline elements in it."""
     i = len(stack) - 1
     while i >= 0 and stack[i][0] not in BLOCK:
         i -= 1
-    if i >= 0 and (stack[i][0] == tag or stack[i][0] == "p"):
-        del stack[i:]
+    return i if i >= 0 and (stack[i][0] == tag or stack[i][0] == "p") else len(stack)
 
 
-def spans(lengths: list[int], window: int = WINDOW, loud: int = LOUD) -> list[tuple[int, int]]:
-    """(surge, dive) points: lines from where the sum over a window gets loud to where it falls silent."""
-    n = len(lengths)
-    sums = [sum(lengths[i : i + window]) for i in range(n)]
+def spans(weights: list[int], window: int = WINDOW, least: int = LOUD, share: float = SHARE) -> list[tuple[int, int]]:
+    """(surge, dive) points: lines from where the sum over a window gets loud to where it is no longer."""
+    n = len(weights)
+    sums = [sum(weights[i : i + window]) for i in range(n)]
+    loud = max(least, share * max(sums, default=0))
     found, i = [], 0
     while i < n:
         if sums[i] < loud:
             i += 1
             continue
         start = i
-        while lengths[start] < loud / window:  # the window looks ahead: the surge is at its first line with a share of the noise
+        while 2 * weights[start] < max(weights[start : start + window]):  # the window looks ahead: the surge is at its first line that is no mere whisper before the noise
             start += 1
-        end = start
-        while end < n and sums[end] > 0:
+        end = start + 1
+        while end < n and sums[end] >= loud:
             end += 1
-        last = min(end, n) - 1
-        while last > start and not lengths[last]:
-            last -= 1
-        found.append((start, last + 1))
-        i = max(end, last + 1)
+        found.append((start, end))
+        i = end
     return found
 
 
 def main_text(html: str | None) -> str:
-    """Blocks of the main text joined by line feeds; empty if there is none."""
+    """Blocks of the main text joined by line feeds; empty if there is none. A page without any surge is kept whole but for lines without weight of their own."""
     if not html:
         return ""
     page = lines(html)
-    lengths = [0 if x.aside else len(x.text) for x in page]
-    if any(n and x.inside for x, n in zip(page, lengths, strict=True)):
-        return "\n".join(x.text for x, n in zip(page, lengths, strict=True) if n and x.inside)
-    found = spans(lengths)
-    if not found:
-        return "\n".join(x.text for x, n in zip(page, lengths, strict=True) if n)
-    return "\n".join(page[i].text for i in range(opening(page, found[0][0]), found[-1][1]) if lengths[i])
+    found = spans([x.weight() for x in page])
+    first, end = (opening(page, found[0][0]), ending(page, found[-1][1])) if found else (0, len(page))
+    return "\n".join(x.text for x in page[first:end] if not x.aside)
 
 
 def opening(page: list[Line], surge: int) -> int:
-    """Place of the first heading or paragraph that leads to the surge with no list or table between."""
+    """Place where the text of the surge begins: its marked article's first line, else the first heading or paragraph that leads to it with no list or table between."""
     first = surge
     for i in range(surge - 1, -1, -1):
         if page[i].aside:
             continue
-        if page[i].block in LISTED:
+        if page[i].inside != page[surge].inside or (not page[i].inside and page[i].block in LISTED):
             break
-        if page[i].block in OPENING:
+        if page[i].inside or page[i].block in OPENING:
             first = i
     return first
 
 
+def ending(page: list[Line], dive: int, window: int = WINDOW) -> int:
+    """Place after the quiet lines that end the text before the dive: all of its marked article, else up to a whole window without weight."""
+    last, silence = dive, 0
+    for i in range(dive, len(page)):
+        if page[i].aside:
+            silence += 1
+        elif page[i].inside == page[dive - 1].inside and (page[i].inside or silence < window):
+            last, silence = i + 1, 0
+        else:
+            break
+    return last
+
+
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of each row's whole html. Null or empty html: empty text. Repeated rows give repeated results."""
+    """page_id, url, text and n_chars of each row's whole html.
+
+    Null or empty html: empty text. A null id or url stays null. Repeated rows give repeated results; of equally loud
+    spans all are kept. Other columns, whatever their names, don't matter. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html"):
@@ -230,4 +312,5 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page: nulls, empty pages, ties, repeats and empty tables as in ``extract``."""
     return extract(table(spark, sf_dir, "pages"))

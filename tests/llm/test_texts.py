@@ -168,3 +168,37 @@ def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, None), (None, 1), (999, 1)], "doc_id long, quality int")
     assert Q.score(odd, Q.train(odd, labels), keep=True).count() == odd.count()
     assert Q.score(empty, Q.train(empty, labels)).count() == 0
+
+
+def test_html_articles_by_another_name(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect():
+        assert H.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")) == H.main_text(r.html)
+
+
+def test_html_loud_text_beside_a_tiny_article():
+    loud = [f"Paragraph {i} " + "of words and more words " * 15 for i in range(20)]
+    text = H.main_text("<article>x y</article>" + "".join(f"<p>{x}</p>" for x in loud))
+    assert all(x.strip() in text for x in loud)
+    assert H.main_text("".join(f"<div>{x}</div>" for x in ["one equal line of some forty characters!"] * 9)).count("\n") == 8  # ties
+
+
+def test_html_a_quiet_notice_is_no_part_of_a_loud_article():
+    article = "".join(f"<p>{'word ' * 60}</p>" for _ in range(5))
+    notice = "<div>This site was made with care by people who like it a lot.</div>"
+    text = H.main_text(f"{notice}<article><h1>T</h1>{article}<p>End.</p></article>{notice}")
+    assert text.startswith("T\n") and text.endswith("\nEnd.") and "care" not in text
+
+
+def test_html_time_is_linear():
+    import time
+
+    for piece in ("<a href=\"x ' ", "<a '\"", "</b>", "<b>", "<b><p>", "<a \"x\" ", "<!--", "<", "<script>", "<div id="):
+        page = piece * (1_000_000 // len(piece)) + ">"
+        began = time.time()
+        H.main_text(page)
+        assert time.time() - began < 8, piece
+
+
+def test_html_clashing_columns_and_ties(spark):
+    df = spark.createDataFrame([(1, "u", "<p>" + "a" * 90 + "</p>", 5, "t")] * 2, "page_id long, url string, html string, n_chars long, text string")
+    assert [(r.page_id, r.n_chars, r.text) for r in H.extract(df).collect()] == [(1, 90, "a" * 90)] * 2
