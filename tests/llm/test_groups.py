@@ -114,12 +114,28 @@ def test_leaks_against_every_window(spark):
 def test_the_index_finds_all_within_the_radius():
     rng = np.random.default_rng(4)
     ix = D.Index([(i, " ".join(f"w{j}" for j in rng.integers(0, 500, 20)).encode()) for i in range(60)])
-    tables = ix.lengths[0][2]
-    for _ in range(500):
-        p = int(ix.prints[rng.integers(0, 60)])
-        for b in rng.choice(64, rng.integers(0, 30), replace=False).tolist():
-            p ^= 1 << b
-        assert sorted(ix.candidates(p, tables)) == [i for i, q in enumerate(ix.prints) if (p ^ q).bit_count() <= D.RADIUS]
+    met = []
+    for _ in range(300):
+        p = ix.prints[rng.integers(0, 60)].copy()
+        p[rng.choice(D.BITS, rng.integers(0, 70), replace=False)] ^= True
+        assert sorted(ix.candidates(p, 0).tolist()) == [i for i, q in enumerate(ix.prints) if (p ^ q).sum() <= D.RADIUS]
+        met.append(len(ix.met(rng.random(D.BITS) < 0.5, 0)) / 60)
+    assert np.mean(met) < 0.05  # unrelated items that reach the count of bits
+
+
+def test_radius_holds_similar_windows():
+    rng = np.random.default_rng(12)
+    near = total = 0
+    for n in (9, 20, 46, 60, 100, 300):
+        for _ in range(200):
+            a = rng.integers(1, 1 << 62, n).astype(np.uint64)
+            b = a.copy()
+            b[rng.choice(n, int(np.floor(n / 9)), replace=False)] = rng.integers(1, 1 << 62, int(np.floor(n / 9))).astype(np.uint64)
+            assert D.similarity(a, b) >= 0.8
+            p, q = (D.fingerprints(x, np.zeros(1, np.int64), n)[0] for x in (a, b))
+            near += (p ^ q).sum() <= D.RADIUS
+            total += 1
+    assert near / total > 0.99  # the least similar that count; about 0.999
 
 
 def test_leaks_query_finds_verbatim_items(spark, sf):
@@ -133,6 +149,12 @@ def test_leaks_odd_rows(spark, odd, empty):
     b = spark.createDataFrame([(1, None), (2, ""), (3, "the lazy dog"), (3, "the lazy dog"), (None, "x")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.find_leaks(odd, b).collect()} == {(4, 3)}
     assert D.decontaminate(odd, b).count() == odd.count() - 2 and D.find_leaks(empty, b).count() == 0
+    rows = spark.createDataFrame([(None, "the lazy dog"), (None, "a clean row"), (7, "the lazy dog"), (7, "another clean row"), (7, None)], "doc_id long, text string")
+    assert sorted(str(r.text) for r in D.decontaminate(rows, b).collect()) == ["None", "a clean row", "another clean row"]
+    item = " ".join(f"w{i}" for i in range(30))
+    twice = spark.createDataFrame([(1, f"{item} between {item}")], "doc_id long, text string")
+    got = D.find_leaks(twice, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.similarity, r.first_word) for r in got] == [(1.0, 0)]  # the first of equals
     assert D.find_leaks(odd, b.where("1 = 0")).count() == 0
 
 
