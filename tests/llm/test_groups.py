@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from geostrata.llm import decontaminate as D
@@ -189,10 +190,40 @@ def test_shards_odd_rows(spark, odd, empty):
     assert S.assign_shards(empty).count() == 0
 
 
-def test_targets_share_the_excess():
-    got = M.targets({"a": 100, "b": 100, None: 1000})
-    assert got == {"a": 200.0, "b": 200.0, None: 1400.0} and sum(got.values()) == 1.5 * 1200
-    assert M.targets({"a": 0}) == {"a": 0.0} and M.targets({}) == {}
+def brute_targets(sizes):
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, out, free = 1.5 * sum(sizes.values()), {}, list(order)
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = [s for s in free if share[s] > 2 * sizes[s]]
+        if not full:
+            return out | share
+        out |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(2 * sizes[s] for s in full)
+        free = [s for s in free if s not in out]
+    return out
+
+
+def test_targets_share_the_excess(spark):
+    rng = np.random.default_rng(14)
+    many = {f"host{i}.example": int(n) for i, n in enumerate(rng.lognormal(5, 2, 300))}
+    for sizes in ({"a": 100, "b": 100, None: 1000}, {"a": 0}, {}, {"a": 0, "b": 5, "\U00010000": 7, "\uffff": 9}, many):
+        df = spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "source string, size long, n long").repartition(4)
+        got = {r.source: r.target for r in M.shares(df).collect()}
+        want = brute_targets(sizes)
+        assert got.keys() == want.keys() and all(abs(got[k] - v) <= 1e-9 * v for k, v in want.items())
+
+
+def test_landing_keeps_inclusion_probabilities():
+    rng = np.random.default_rng(15)
+    for size, p in [(np.array([1] * 11 + [500]), np.full(12, 0.3)), (rng.integers(1, 900, 12), rng.random(12)), (np.array([7] * 9), np.full(9, 0.37)), (np.array([5, 5]), np.array([0.1, 0.2])), (np.array([3]), np.array([0.6]))]:
+        samples, parts = M.samples_of(size, p)
+        assert abs(parts.sum() - 1) < 1e-6 and np.allclose(parts @ samples, p, atol=1e-6)
+        assert set(samples.sum(axis=1)) <= {int(np.floor(p.sum() + 1e-9)), int(np.ceil(p.sum() - 1e-9))}
+    size, p = np.array([1] * 30 + [500, 90, 90, 41]), np.full(34, 0.3)
+    mean = np.mean([M.land(size, p, np.random.default_rng(s)) for s in range(1000)], axis=0)
+    assert np.abs(mean - 0.3).max() < 0.06  # ties, early or late, large and small alike
 
 
 def test_flight_keeps_the_balance():
@@ -235,6 +266,15 @@ def test_mix_small_heavy_source_beside_a_large_one(spark):
 def test_mix_odd_rows(spark, odd, empty):
     got = M.mix_sources(odd).collect()
     assert len(got) == odd.count() and M.mix_sources(empty).count() == 0
+    same = spark.createDataFrame([(None, "one text", "a")] * 2000 + [(7, "one text", "b")] * 1500, "doc_id long, text string, source string").repartition(3)
+    taken = Counter()
+    for r in M.mix_sources(same).collect():
+        taken[r.source, round(r.target)] += r.taken
+    assert all(abs(n - target) <= 2 for (_, target), n in taken.items()) and len(taken) == 2
+    clash = odd.withColumn("times", F.lit(1)).withColumn("key_a", F.lit("x")).withColumn("copies", F.lit(None).cast("int")).withColumn("c0", F.lit(2))
+    rows = M.take(clash)
+    assert rows.columns == clash.columns and rows.count() == sum(r.times for r in M.mix_sources(clash).collect())
+    assert M.take(empty).count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4097])
