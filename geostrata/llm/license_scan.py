@@ -19,19 +19,39 @@ from geostrata.llm.common import ALNUM, chunks, table, text_bytes
 
 #: Phrases that must always be found, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Opening or central sentences of public licences.
+#: Texts of public licences, without their copyright lines, and the notices by which files name them.
 TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "apache-notice": "Licensed under the Apache License, Version 2.0.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "mit-notice": "Released under the MIT License.",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+        2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+        3. This notice may not be removed or altered from any source distribution.""",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "gpl-3-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "cc-by-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc-notice": "Licensed under CC BY-NC 4.0.",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "unlicense": """This is free and unencumbered software released into the public domain.
+        Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+        In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
 }
 #: A template's label needs a chain that covers this share of it.
 COVER = 0.6
@@ -51,6 +71,7 @@ class Automaton:
         self.base = [(tuple(words(p.encode())), label) for p, label in base.items()]
         sequences = [words(t.encode()) for t in templates.values()]
         self.sizes = [len(s) for s in sequences]
+        self.most = max(self.sizes, default=0)
         vocabulary = sorted({w for s in [*sequences, *(p for p, _ in self.base)] for w in s})
         self.ids = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.next: list[dict[int, int]] = [{}]
@@ -139,7 +160,7 @@ class Automaton:
                 if c in moves[state]:
                     state = moves[state][c]
                     length += 1
-            if length > 1 and ends[state]:
+            if ends[state]:
                 for p in ends[state]:
                     n = len(self.base[p][0])
                     if length >= n:
@@ -149,24 +170,30 @@ class Automaton:
         return len(ids), base, matches
 
     def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """(template, covered words, first and last word of the file) of the best chain of each template."""
+        """(template, covered words, first and last word of the file) of the best chain of each template.
+
+        A chain takes matches in the order of the file whose ends in the template rise too, with at most GAP words of the
+        file between two; words that two of them share count once. The best chain up to each (match, place) is found from
+        those of the matches before it that are near enough; of equal ones the first stays.
+        """
         best: dict[int, tuple[int, int, int, int]] = {}
-        open_: dict[int, tuple[int, int, int, int]] = {}  # template: covered, first word, last word, last place
+        near: dict[int, list[tuple[int, int, int, int]]] = {}  # template: end, place, covered, first word of chains that can still go on
         for end, length, state in matches:
-            at: dict[int, list[int]] = {}
-            for t, place in self.places[state]:
-                at.setdefault(t, []).append(place)
-            for t, spots in at.items():
-                had = open_.get(t)
-                fit = [p for p in spots if had and p > had[3]]
-                if had and fit and end - length + 1 - had[2] <= GAP:
-                    p = min(fit)
-                    now = (had[0] + min(length, p - had[3]), had[1], end, p)
-                else:
-                    now = (length, end - length + 1, end, min(spots))
-                open_[t] = now
-                if t not in best or now[0] > best[t][1]:
-                    best[t] = (t, now[0], now[1], now[2])
+            start, new = end - length + 1, []
+            for t, place in sorted(self.places[state]):
+                open_ = near.get(t)
+                covered, first = length, start
+                if open_:
+                    open_[:] = [c for c in open_ if c[0] >= start - 1 - GAP - self.most]
+                    for e, p, had, begun in open_:
+                        gain = had + min(length, place - p, end - e)
+                        if p < place and start - 1 - e <= GAP and gain > covered:
+                            covered, first = gain, begun
+                new.append((t, (end, place, covered, first)))
+                if t not in best or covered > best[t][1]:
+                    best[t] = (t, covered, first, end)
+            for t, c in new:
+                near.setdefault(t, []).append(c)
         return sorted(best.values())
 
 
@@ -179,8 +206,9 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, base
     """Words, base places, labels, spans and score of each row's whole text.
 
     spans: template, covered share, first and last word of each chain that earns a label. score: the largest
-    covered share, 1 if a base phrase stands in the text. Null and empty texts: no words, no labels, score 0.
-    Repeated rows give repeated results.
+    covered share, 1 if a base phrase stands in the text. Null and empty texts: no words, no labels, score 0. A null id
+    stays null. Of chains that cover the same number of words the first is reported. Repeated rows give repeated results.
+    Other columns, whatever their names, don't matter. An empty table gives no rows.
     """
     key = tuple((TEMPLATES if templates is None else templates).items()), tuple((BASE if base is None else base).items())
 
@@ -208,4 +236,5 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, base
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document: nulls, empty and long texts, ties, repeats and empty tables as in ``scan_licences``."""
     return scan_licences(table(spark, sf_dir, "documents"))

@@ -202,3 +202,40 @@ def test_html_time_is_linear():
 def test_html_clashing_columns_and_ties(spark):
     df = spark.createDataFrame([(1, "u", "<p>" + "a" * 90 + "</p>", 5, "t")] * 2, "page_id long, url string, html string, n_chars long, text string")
     assert [(r.page_id, r.n_chars, r.text) for r in H.extract(df).collect()] == [(1, 90, "a" * 90)] * 2
+
+
+def brute_chain(matches, places, gap):
+    """Most words that a chain of (end, length, state) covers, over all choices of matches and places, by template."""
+    best = {}
+
+    def go(i, t, end, place, covered):
+        best[t] = max(best.get(t, 0), covered)
+        for j in range(i, len(matches)):
+            e, n, state = matches[j]
+            for u, p in places[state]:
+                if u == t and p > place and e - n - end <= gap:
+                    go(j + 1, t, e, p, covered + min(n, p - place, e - end))
+
+    for i, (e, n, state) in enumerate(matches):
+        for t, p in places[state]:
+            go(i + 1, t, e, p, n)
+    return best
+
+
+def test_chains_against_all_choices():
+    rng = np.random.default_rng(16)
+    words = [f"w{i}" for i in range(6)]
+    for _ in range(60):
+        sam = L.Automaton({f"t{i}": " ".join(rng.choice(words, 14)) for i in range(3)}, {})
+        _, _, matches = sam.scan(" ".join(rng.choice([*words, "z"], 40)).encode())
+        assert {t: c for t, c, _, _ in sam.chains(matches)} == brute_chain(matches[:12], sam.places, L.GAP) or len(matches) > 12
+
+
+def test_stray_matches_break_no_chain_and_one_word_is_a_phrase(spark):
+    text = L.TEMPLATES["mit"].split()
+    text[60:60] = text[:4]
+    sam = L.automaton(tuple(L.TEMPLATES.items()), tuple(L.BASE.items()))
+    got = {sam.names[t]: c / sam.sizes[t] for t, c, _, _ in sam.chains(sam.scan(" ".join(text).encode())[2])}
+    assert got["mit"] == 1.0
+    df = spark.createDataFrame([(1, "the GPL, and the gpl"), (2, None)], "doc_id long, text string")
+    assert [(r.n_base, r.first_word, r.labels) for r in L.scan_licences(df, base={"gpl": "g"}).orderBy("doc_id").collect()] == [(2, 1, "g"), (0, None, "")]
