@@ -4,8 +4,9 @@ Rows are ordered by (CRC of the text, id). Splitters for shards of near equal by
 found by probing: count exactly the bytes and rows below candidate keys across all
 partitions, keep for each splitter the two probes around its target, and probe between
 them anew. When few rows lie between, their keys are fetched and the splitter is exact.
-One exchange then brings each range together; a row's slot is the range's first slot,
-known from the counts, plus its rank in the range.
+Shards of many rows are cut into pieces by probes that need only come near their targets;
+there are at most PIECES of them at any size. One exchange then brings each piece
+together; a row's slot is the piece's first slot, known from the counts, plus its rank.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ ROW_BYTES = 16
 TOLERANCE = 0.002
 #: Candidate keys of a round, and most rows between two probes whose keys are fetched.
 PROBES, FETCH = 4096, 512
-#: A range that one task sorts has about this many rows.
-TASK_ROWS = 100_000
+#: A piece that one task sorts has about this many rows, or more where there would be more than PIECES pieces, and is within this share of its size from its target.
+TASK_ROWS, PIECES, ROUGH = 100_000, 4096, 0.25
 
 
 def _buckets(crc: np.ndarray, key: np.ndarray, probes: list[tuple[int, int]]) -> np.ndarray:
@@ -65,9 +66,10 @@ def _histogram(keys: DataFrame, probes: list[tuple[int, int]]) -> tuple[np.ndarr
     return np.cumsum(size), np.cumsum(rows)
 
 
-def splitters(keys: DataFrame, pieces: int, tolerance: float = TOLERANCE) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """(crc, key) lower bounds of pieces 1 .. pieces - 1, and rows below each: pieces of near equal bytes."""
+def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, fine: int = 1) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(crc, key) lower bounds of pieces 1 .. shards * fine - 1, and rows below each: shards of near equal bytes, cut into ``fine`` pieces of about equal bytes."""
     total = keys.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).first()
+    pieces = shards * fine
     if not total.n or pieces < 2:
         return [], np.empty(0, np.int64)
     width = total.high - total.low + 1  # keys as one number: crc * width + key - low
@@ -75,12 +77,16 @@ def splitters(keys: DataFrame, pieces: int, tolerance: float = TOLERANCE) -> tup
     def pair(x: int) -> tuple[int, int]:
         return x // width, x % width + total.low
 
-    goals = [total.bytes * (i + 1) / pieces for i in range(pieces - 1)]
-    slack = tolerance * total.bytes / pieces
+    # of each splitter: target, how far from it will do, and whether it parts two shards
+    goals = [(total.bytes * (i + 1) / pieces, (tolerance * fine if (i + 1) % fine == 0 else ROUGH) * total.bytes / pieces, (i + 1) % fine == 0) for i in range(pieces - 1)]
     # for each goal: highest number known to be below, lowest known to be above, with bytes and rows below them
     span = [[(0, 0, 0), ((1 << 32) * width, total.bytes, total.n)] for _ in goals]
+
+    def far(g: tuple[float, float, bool], s: list[tuple[int, int, int]]) -> bool:
+        return s[1][0] - s[0][0] > 1 and min(abs(s[0][1] - g[0]), abs(s[1][1] - g[0])) > g[1]
+
     while True:
-        open_ = [s for g, s in zip(goals, span, strict=True) if s[1][0] - s[0][0] > 1 and s[1][2] - s[0][2] > FETCH and min(abs(s[0][1] - g), abs(s[1][1] - g)) > slack]
+        open_ = [s for g, s in zip(goals, span, strict=True) if far(g, s) and s[1][2] - s[0][2] > FETCH]
         if not open_:
             break
         ranges = sorted({(s[0][0], s[1][0]) for s in open_})
@@ -90,13 +96,13 @@ def splitters(keys: DataFrame, pieces: int, tolerance: float = TOLERANCE) -> tup
         known = [(x, int(below[i]), int(rows[i])) for i, x in enumerate(numbers)]
         at = [b for _, b, _ in known]
         for g, s in zip(goals, span, strict=True):
-            i = bisect.bisect_right(at, g)
+            i = bisect.bisect_right(at, g[0])
             if i and known[i - 1][0] > s[0][0]:
                 s[0] = known[i - 1]
             if i < len(known) and known[i][0] < s[1][0]:
                 s[1] = known[i]
-    # at most FETCH rows lie in each range that is still open
-    close = [(s[0][0], s[1][0]) for g, s in zip(goals, span, strict=True) if min(abs(s[0][1] - g), abs(s[1][1] - g)) > slack and s[1][0] - s[0][0] > 1]
+    # at most FETCH rows lie in each range that is still open; those of shards are fetched, FETCH for each at most
+    close = sorted({(s[0][0], s[1][0]) for g, s in zip(goals, span, strict=True) if g[2] and far(g, s)})
     rows: list[tuple[int, int]] = []
     if close:
         edges = sorted({x for r in close for x in r})
@@ -112,10 +118,10 @@ def splitters(keys: DataFrame, pieces: int, tolerance: float = TOLERANCE) -> tup
         got = keys.select("crc", "key", "size").mapInArrow(run, "crc long, key long, size long").collect()
         rows = sorted(((r.crc * width + r.key - total.low), r.size) for r in got)
     numbers_of = [x for x, _ in rows]
-    out, counts = [], []
+    found: list[tuple[int, int]] = []
     for g, s in zip(goals, span, strict=True):
-        best = min(s, key=lambda x: abs(x[1] - g))
-        if abs(best[1] - g) > slack and s[1][0] - s[0][0] > 1:
+        best = min(s, key=lambda x: abs(x[1] - g[0]))
+        if g[2] and far(g, s):
             x, b, n = s[0]
             i = bisect.bisect_left(numbers_of, x)
             while i < len(rows) and rows[i][0] < s[1][0]:
@@ -123,13 +129,17 @@ def splitters(keys: DataFrame, pieces: int, tolerance: float = TOLERANCE) -> tup
                 while j < len(rows) and rows[j][0] == rows[i][0]:  # rows of one key stay together
                     b, n, j = b + rows[j][1], n + 1, j + 1
                 x, i = rows[i][0] + 1, j
-                if abs(b - g) < abs(best[1] - g):
+                if abs(b - g[0]) < abs(best[1] - g[0]):
                     best = (x, b, n)
-                if b > g:
+                if b > g[0]:
                     break
-        out.append(pair(best[0]))
-        counts.append(best[2])
-    return out, np.array(counts, np.int64)
+        found.append((best[0], best[2]))
+    # splitters rise: a rough one must not pass that of the next shard, nor fall behind the last one
+    low, high = (0, 0), ((1 << 32) * width, int(total.n))
+    for i, g in enumerate(goals):
+        end = next((found[j] for j in range(i, len(goals)) if goals[j][2]), high) if not g[2] else found[i]
+        found[i] = low = min(max(found[i], low), end) if not g[2] else max(found[i], low)
+    return [pair(x) for x, _ in found], np.array([n for _, n in found], np.int64)
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = (), tolerance: float = TOLERANCE) -> DataFrame:
@@ -137,15 +147,16 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] =
 
     Shards are ranges of (CRC of text, doc_id) with near equal sums of size; slots count from 0 in that order without
     gaps. Equal texts are neighbours, and so share a shard but where a splitter falls among them. Null texts have size 16
-    and CRC 0; a null doc_id sorts first. Rows equal in text and doc_id can't be told apart and stay in one shard.
+    and CRC 0; a null doc_id sorts first. Rows equal in text and doc_id can't be told apart and stay in one shard. Other
+    columns, whatever their names, don't matter. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     low = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
     base = docs.select("doc_id", (F.length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("crc"), low.alias("key"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     keys = put_table(base.select("doc_id", "size", "crc", "key"), "shard-keys")
     n = keys.count()
-    fine = max(1, -(-n // (shards * TASK_ROWS)))
-    bounds, below = splitters(keys, shards * fine, tolerance)
+    fine = max(1, min(PIECES // shards, -(-n // (shards * TASK_ROWS))))
+    bounds, below = splitters(keys, shards, tolerance, fine)
     source = keys if not keep else base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +172,12 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] =
     first = starts - np.repeat(starts[::fine], fine)  # slots before each piece in its shard
     offsets = docs.sparkSession.createDataFrame([(i, int(f)) for i, f in enumerate(first.tolist())], "piece int, before long")
     rank = F.row_number().over(Window.partitionBy("piece").orderBy("crc", "key", "size"))
-    return pieces.withColumn("rank", rank).join(F.broadcast(offsets), "piece").select(  # offsets: a row for each piece of TASK_ROWS rows
+    return pieces.withColumn("rank", rank).join(F.broadcast(offsets), "piece").select(  # offsets: a row for each piece, PIECES or ``shards`` at most
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.floor(F.col("piece") / fine).cast("int").alias("shard"), (F.col("rank") - 1 + F.col("before")).cast("long").alias("slot"), *[F.col(f"kept_{c}").alias(c) for c in keep]
     )
 
 
 def op2_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents by the law ``bytes``: nulls, empty and long texts, ties, repeats and empty tables as in ``assign_shards``."""
     out = assign_shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

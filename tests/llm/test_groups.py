@@ -184,6 +184,26 @@ def test_splitters_are_exact_counts(spark, monkeypatch):
         assert own == list(range(len(own)))
 
 
+def test_shards_against_a_sorted_list(spark, monkeypatch):
+    """Brute force: each shard's end is the row, of all in order, whose bytes come nearest to the target, within the tolerance."""
+    monkeypatch.setattr(S, "TASK_ROWS", 50)
+    monkeypatch.setattr(S, "PIECES", 30)
+    rng = np.random.default_rng(18)
+    rows = [(i, "one hot text" if i % 3 == 0 else "y" * int(rng.integers(0, 200))) for i in range(3000)]
+    got = S.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=7).collect()
+    order = sorted((zlib.crc32(t.encode()), i, len(t) + 16) for i, t in rows)
+    ends = np.cumsum([n for _, _, n in order])
+    place = {i: k for k, (_, i, _) in enumerate(order)}
+    mine = sorted(got, key=lambda r: place[r.doc_id])
+    assert [r.shard for r in mine] == sorted(r.shard for r in mine)
+    for s in range(7):
+        slots = [r.slot for r in mine if r.shard == s]
+        assert slots == list(range(len(slots)))
+        last = max(k for k, r in enumerate(mine) if r.shard <= s)
+        goal = ends[-1] * (s + 1) / 7
+        assert abs(ends[last] - goal) <= max(np.abs(ends - goal).min(), S.TOLERANCE * ends[-1] / 7)
+
+
 def test_shards_odd_rows(spark, odd, empty):
     got = S.assign_shards(odd).collect()
     assert len(got) == odd.count() and all(0 <= r.shard < 40 for r in got) and {r["size"] for r in got if r.doc_id in (0, 1)} == {16}
