@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -33,23 +31,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset and all runs on one machine (tests) a temporary one."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="geostrata-")
         sc.setCheckpointDir(root)
     return root
 
 
-def put_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/geostrata-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+def shared_uri(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, by a full URI; it goes with the tables."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/geostrata-{name}-{uuid.uuid4().hex}")
+    uri = str(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString())
+    _keep(spark, uri)
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def _keep(spark: SparkSession, path: str) -> None:
     if not _KEPT:
         atexit.register(release_tables)
     _KEPT.append((spark, path, _TAG[-1]))
+
+
+#: Spark's own setting by which shuffle files of a query go when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def put_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors. What the query shuffled goes with its end."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/geostrata-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _keep(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
@@ -72,10 +93,9 @@ def release_tables(tag: str | None = None) -> None:
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete a table that ``put_table`` returned, once all that was made of it is written elsewhere; and shuffle files with it."""
+    """Delete a table that ``put_table`` returned, once all that was made of it is written elsewhere."""
     for kept in [k for k in _KEPT if k[1] == df._kept_at]:
         _delete(kept)
-    free_shuffles(df.sparkSession)
 
 
 def _delete(kept: tuple[SparkSession, str, str]) -> None:
@@ -87,14 +107,6 @@ def _delete(kept: tuple[SparkSession, str, str]) -> None:
         pass
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs now, not when the driver's heap happens to fill."""
-    for _ in range(2):  # references from Python go first, then what only they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -8,44 +8,48 @@ verified only if it shares min(l, l') prefix shingles.
 
 The work, each step over all documents:
 
-1. Sets and their digests. Copies of a set are one class; its smallest doc_id stands for it.
+1. Sets and their digests. Copies of a set are one class; one of its rows stands for it.
 2. First sieve, in hash order with l-prefixes for l of an eighth of the set: a document
    of whose prefix too few shingles are in any other's prefix is linked with nothing.
 3. Exact document frequencies among those that stay, and a second sieve: a document of
    whose shingles fewer than ceil(t * n) occur elsewhere is linked with nothing.
 4. Prefixes in order of frequency; l by estimated cost.
-5. Candidate clusters: documents that share a prefix shingle, directly or over others.
-   Each shingle's documents are tied to the smallest of them, never in pairs.
-6. In a cluster a breadth-first search finds the components: a document is compared with
-   those not reached yet, so that a group of near copies costs few comparisons. Large
-   clusters are dealt over blocks, then pairs of blocks are searched with what is known.
-
-Shingles are told apart by 48 bits of their hashes.
+5. Candidate clusters: classes that share a prefix shingle, directly or over others.
+   Each shingle's classes are tied to the smallest of them, never in pairs.
+6. In a block of a cluster a breadth-first search finds components: a document is compared
+   with those not reached yet, so that a group of near copies costs few comparisons. Where
+   a cluster has several blocks, the first of each component are searched together, and
+   only shingles that still meet in different components bring documents of different
+   blocks together.
+
+Shingles go to ranges of the hash space as one entry for each chunk of documents, however
+many of them have it, so that a shingle of all documents is no hot key. They are told
+apart by 48 bits of their hashes.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import LOWER, WordHash, chunks, drop_table, expand, free_shuffles, mix, put_table, shingle_hashes, size_in_bytes, squeeze, table, text_bytes
+from geostrata.llm.common import LOWER, WordHash, chunks, drop_table, expand, mix, put_table, shingle_hashes, size_in_bytes, squeeze, table, text_bytes
 
 #: Similarity in hundredths, words of a shingle.
 PERCENT, WORDS = 80, 5
 #: Longest multi-match prefix, and the cost of a verification in looked-up postings.
 MOST_MATCHES, VERIFY = 6, 30
-#: Clusters of more documents than this are split into BLOCKS blocks, or more if a block would pass MOST documents.
-CLUSTER, BLOCKS, MOST = 512, 6, 10_000
-#: Most ids that are broadcast to pick documents' texts (16 bytes each); above it texts and ids are joined by a shuffle.
-PICK = 500_000
-#: Bytes of input to a range of shingles or of documents, and fewest and most ranges.
-RANGE_BYTES, RANGES = 2 << 20, (64, 1 << 20)
+#: Bytes of shingles in a block of a cluster; one longer document is a block alone.
+BLOCK_BYTES = 8 << 20
+#: Bytes of input to a range of shingles, fewest and most ranges, and ranges to a task, which handles them one by one.
+RANGE_BYTES, RANGES, IN_TASK = 2 << 20, (64, 1 << 20), 16
+#: Owner of a shingle that several documents of a chunk have.
+_MANY = np.iinfo(np.int64).min
 
 _KEEP48 = np.uint64(16)
 
@@ -66,15 +70,13 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).astype(np.int64)), int((b * np.uint64(3) ^ (b >> np.uint64(7))).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _by_range(tokens: np.ndarray, ids: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
-    """(range, blob) of 48-bit tokens with the documents that have them; ranges part the token space evenly."""
-    order = np.argsort(tokens, kind="stable")
-    tokens, ids = tokens[order], ids[order]
+def _by_range(tokens: np.ndarray, others: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """(range, blob) of ascending 48-bit tokens with another number for each; ranges part the token space evenly."""
     where = (tokens.astype(np.float64) * (ranges / 2**48)).astype(np.int64)
     edges = np.flatnonzero(np.diff(where)) + 1
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(tokens)], strict=True):
         if b > a:
-            yield int(where[a]), squeeze(tokens[a:b], ids[a:b].view(np.uint64))
+            yield int(where[a]), squeeze(tokens[a:b], others[a:b].view(np.uint64))
 
 
 def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -86,113 +88,119 @@ def sieve_matches(n):
     return np.maximum(1, n // 8)
 
 
-def _blobs_by_bucket(ids: np.ndarray, other: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+def _blobs_by_bucket(ids: np.ndarray, others: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
     where = _bucket(ids, buckets)
     order = np.argsort(where, kind="stable")
-    where, ids, other = where[order], ids[order], other[order]
+    where, columns = where[order], [c[order] for c in (ids, *others)]
     edges = np.flatnonzero(np.diff(where)) + 1
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(where)], strict=True):
         if b > a:
-            yield int(where[a]), squeeze(ids[a:b], other[a:b])
+            yield int(where[a]), squeeze(*(c[a:b] for c in columns))
+
+
+_NAMES = ["doc_id", "row", "row_b", "n", "digest_a", "digest_b", "part", "blob"]
 
 
 def _first_pass(ranges: int, percent: int):
-    """Rows of documents (doc_id, n, digest), of ranges (blob of prefixes in hash order) and, with part below 0, of buckets of documents (ids and n)."""
+    """Rows of documents (ids, n, digest), of ranges (prefixes in hash order) and, with part below 0, of buckets of documents (row, n and shingles known to be in others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHash()
         for batch in chunks(batches, "text"):
-            ids = batch.column(0).to_pylist()
-            sets = sets_of(text_bytes(batch.column(1)), hashed)
+            sets = sets_of(text_bytes(batch.column(3)), hashed)
             n = [len(s) for s in sets]
             marks = [digest(s) for s in sets]
-            named = [(i, s) for i, s in zip(ids, sets, strict=True) if i is not None and len(s)]
-            prefix = [s[: len(s) - required(len(s), percent) + int(sieve_matches(len(s)))] >> _KEEP48 for _, s in named]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=_NAMES)
-            if named:
-                owner = np.repeat(np.array([i for i, _ in named], np.int64), [len(p) for p in prefix])
-                rows = list(_by_range(np.concatenate(prefix), owner, ranges))
-                rows += [(-1 - b, blob) for b, blob in _blobs_by_bucket(np.array([i for i, _ in named], np.int64), np.array([len(s) for _, s in named], np.int64), ranges)]
-                yield pa.record_batch([pa.nulls(len(rows), pa.int64())] * 4 + [pa.array([r for r, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=_NAMES)
+            yield pa.record_batch([*batch.columns[:3], pa.array(n, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=_NAMES)
+            heads: dict[tuple[int, int], tuple[int, np.ndarray]] = {}  # copies in the chunk stand by the row that is smallest
+            for row, s, mark in zip(batch.column(1).to_pylist(), sets, marks, strict=True):
+                if len(s) and (mark not in heads or row < heads[mark][0]):
+                    heads[mark] = (row, s)
+            if not heads:
+                continue
+            rows = np.array([row for row, _ in heads.values()], np.int64)
+            size = np.array([len(s) for _, s in heads.values()], np.int64)
+            prefix = [s[: len(s) - required(len(s), percent) + int(sieve_matches(len(s)))] >> _KEEP48 for _, s in heads.values()]
+            tokens, first, inverse, count = np.unique(np.concatenate(prefix), return_index=True, return_inverse=True, return_counts=True)
+            owner = np.repeat(np.arange(len(rows)), [len(p) for p in prefix])
+            shared = np.bincount(owner, count[inverse] > 1, len(rows)).astype(np.int64)
+            out = list(_by_range(tokens, np.where(count > 1, _MANY, rows[owner[first]]), ranges))
+            out += [(-1 - b, blob) for b, blob in _blobs_by_bucket(rows, [size, shared], ranges)]
+            yield pa.record_batch([pa.nulls(len(out), pa.int64())] * 6 + [pa.array([r for r, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=_NAMES)
 
     return run
 
 
-_NAMES = ["doc_id", "n", "digest_a", "digest_b", "part", "blob"]
-
-
 def _gather(blobs: pd.Series, k: int) -> list[np.ndarray]:
     parts = [expand(b, k) for b in blobs]
     return [np.concatenate([p[i] for p in parts]) for i in range(k)] if parts else [np.empty(0, np.uint64)] * k
 
 
 def _seen_elsewhere(buckets: int):
-    """Of one range: blobs, by bucket of documents, of the documents with tokens that others have too, and how many."""
+    """Of one range: blobs, by bucket of documents, of the documents with shingles that others have too, and how many; but those of which their own chunk knows it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, ids = _gather(rows["blob"], 2)
-        order = np.lexsort((ids, tokens))
-        tokens, ids = tokens[order], ids[order]
+        tokens, owners = _gather(rows["blob"], 2)
+        owners = owners.view(np.int64)
+        order = np.lexsort((owners, tokens))
+        tokens, owners = tokens[order], owners[order]
         new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        other = np.concatenate([[False], ~new[1:] & (ids[1:] != ids[:-1])])
+        once = new | np.concatenate([[True], owners[1:] != owners[:-1]])  # a repeated row is no other document
         group = np.cumsum(new) - 1
-        hit = (np.bincount(group, other) > 0)[group]
-        first = new | (np.concatenate([[True], ids[1:] != ids[:-1]]))  # repeated rows of a document count once
-        found, count = np.unique(ids[hit & first].view(np.int64), return_counts=True)
-        out = list(_blobs_by_bucket(found, count.astype(np.int64), buckets))
+        seen = (np.bincount(group, once) > 1) | (np.bincount(group, owners == _MANY) > 0)
+        found, count = np.unique(owners[once & seen[group] & (owners != _MANY)], return_counts=True)
+        out = list(_blobs_by_bucket(found, [count.astype(np.int64)], buckets))
         return pd.DataFrame({"part": pd.Series([b for b, _ in out], dtype="int32"), "sizes": pd.Series([False] * len(out), dtype=bool), "blob": [b for _, b in out]})
 
     return run
 
 
 def _sieve(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket of documents: those with enough prefix tokens that others have."""
-    ids, n = (a.view(np.int64) for a in _gather(rows["blob"][rows["sizes"]], 2))
+    """Of one bucket of documents: those with enough prefix shingles that others have."""
+    ids, n, shared = (a.view(np.int64) for a in _gather(rows["blob"][rows["sizes"]], 3))
     owner, count = (a.view(np.int64) for a in _gather(rows["blob"][~rows["sizes"]], 2))
     at, inverse = np.unique(ids, return_inverse=True)
     least = np.full(len(at), np.iinfo(np.int64).max)
     # a partner has required(n) shingles at least, and so an l no smaller than that size's
     np.minimum.at(least, inverse, sieve_matches(required(n)))
-    total = np.bincount(np.searchsorted(at, owner), count, len(at)).astype(np.int64)
-    return pd.DataFrame({"doc_id": at[total >= least]})
+    total = np.bincount(np.searchsorted(at, owner), count, len(at)) + np.bincount(inverse, shared, len(at))
+    return pd.DataFrame({"row": at[total >= least]})
 
 
-def _second_pass(ranges: int, buckets: int):
-    """Whole sets of the documents that stay, by range; and their sizes, by bucket of documents (part below 0)."""
+def _second_pass(ranges: int):
+    """Of each chunk of classes that stay: its shingles, by range, with how many of its classes have each; and, with part null, the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHash()
         for batch in chunks(batches, "text"):
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sets = sets_of(text_bytes(batch.column(1)), hashed)
-            n = np.array([len(s) for s in sets], np.int64)
-            rows = list(_by_range(np.concatenate(sets) >> _KEEP48, np.repeat(ids, n), ranges))
-            rows += [(-1 - b, blob) for b, blob in _blobs_by_bucket(ids, n, buckets)]
-            yield pa.record_batch([pa.array([r for r, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["part", "blob"])
+            sets: dict[int, np.ndarray] = {}
+            for node, a, b, s in zip(*(batch.column(c).to_pylist() for c in ("node", "digest_a", "digest_b")), sets_of(text_bytes(batch.column("text")), hashed), strict=True):
+                if digest(s) == (a, b):  # rows may share what names them, but not this
+                    sets[node] = np.unique(s >> _KEEP48)
+            if not sets:
+                continue
+            chunk = uuid.uuid4().int >> 66
+            flat = np.concatenate(list(sets.values()))
+            tokens, count = np.unique(flat, return_counts=True)
+            rows = list(_by_range(tokens, count.astype(np.int64), ranges))
+            sizes = np.array([len(s) for s in sets.values()], np.int64)
+            rows.append((None, squeeze(np.repeat(np.fromiter(sets, np.int64, len(sets)), sizes), flat)))
+            yield pa.record_batch([pa.array([r for r, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["part", "chunk", "blob"])
 
     return run
 
 
-def _frequencies(buckets: int):
-    """Of one range: tokens of two documents or more with their frequency, by bucket of documents."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, ids = _gather(rows["blob"], 2)
-        order = np.lexsort((ids, tokens))
-        tokens, ids = tokens[order], ids[order]
-        once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])])  # repeated rows of a document count once
-        tokens, ids = tokens[once], ids[once]
-        _, group, df = np.unique(tokens, return_inverse=True, return_counts=True)
-        df = df[group]
-        tokens, ids, df = tokens[df > 1], ids[df > 1], df[df > 1]
-        where = _bucket(ids, buckets)
-        order = np.argsort(where, kind="stable")
-        where, tokens, ids, df = where[order], tokens[order], ids[order], df[order]
-        edges = np.flatnonzero(np.diff(where)) + 1
-        out = [(int(where[a]), squeeze(tokens[a:b], ids[a:b], df[a:b].astype(np.uint64))) for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(where)], strict=True) if b > a]
-        return pd.DataFrame({"part": pd.Series([b for b, _ in out], dtype="int32"), "sizes": pd.Series([False] * len(out), dtype=bool), "blob": [b for _, b in out]})
-
-    return run
+def _frequencies(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one range: for each chunk, those of its shingles that two classes or more have, with their frequency."""
+    blobs = [expand(b, 2) for b in rows["blob"]]
+    tokens, inverse = np.unique(np.concatenate([t for t, _ in blobs]), return_inverse=True)
+    df = np.bincount(inverse, np.concatenate([c for _, c in blobs]).view(np.int64)).astype(np.int64)
+    out, at = [], 0
+    for chunk, (t, _) in zip(rows["chunk"], blobs, strict=True):
+        mine = df[inverse[at : at + len(t)]]
+        at += len(t)
+        if (mine > 1).any():
+            out.append((chunk, False, squeeze(t[mine > 1], mine[mine > 1].view(np.uint64))))
+    return pd.DataFrame(out, columns=["chunk", "sets", "blob"]).astype({"chunk": "int64", "sets": bool})
 
 
 def choose_matches(df: np.ndarray, n: int, percent: int = PERCENT) -> tuple[int, int]:
@@ -212,27 +220,29 @@ def choose_matches(df: np.ndarray, n: int, percent: int = PERCENT) -> tuple[int,
 
 
 def _prefixes(percent: int):
-    """Of one bucket of documents: tokens in global order, and l and length of the prefix."""
+    """Of one chunk: each class's shingles that others have, in global order, with l and the length of the prefix."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, n = (a.view(np.int64) for a in _gather(rows["blob"][rows["sizes"]], 2))
-        tokens, owner, df = _gather(rows["blob"][~rows["sizes"]], 3)
-        owner, df = owner.view(np.int64), df.view(np.int64)
-        size = dict(zip(ids.tolist(), n.tolist(), strict=True))
+        owner, tokens = _gather(rows["blob"][rows["sets"]], 2)
+        known, times = _gather(rows["blob"][~rows["sets"]], 2)
+        order = np.argsort(known, kind="stable")
+        known, times = np.append(known[order], np.uint64(np.iinfo(np.uint64).max)), np.append(times[order], np.uint64(0)).view(np.int64)
+        owner = owner.view(np.int64)
+        nodes, size = np.unique(owner, return_counts=True)
+        place = np.searchsorted(known, tokens)
+        df = np.where(known[place] == tokens, times[place], 1)
+        tokens, owner, df = tokens[df > 1], owner[df > 1], df[df > 1]
         order = np.lexsort((tokens, df, owner))
         tokens, owner, df = tokens[order], owner[order], df[order]
-        edges = np.flatnonzero(np.diff(owner)) + 1
+        first = np.searchsorted(owner, nodes)
         out = []
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(owner)], strict=True):
-            if b == a:
-                continue
-            doc = int(owner[a])
-            if b - a < required(size[doc], percent):
+        for node, n, a, b in zip(nodes.tolist(), size.tolist(), first.tolist(), [*first.tolist()[1:], len(owner)], strict=True):
+            if b == a or b - a < required(n, percent):
                 continue
-            matches, length = choose_matches(df[a:b], size[doc], percent)
+            matches, length = choose_matches(df[a:b], n, percent)
             if length >= matches:
-                out.append((doc, size[doc], matches, length, tokens[a:b].tobytes()))
-        return pd.DataFrame(out, columns=["doc_id", "n", "matches", "length", "tokens"]).astype({"doc_id": "int64", "n": "int64", "matches": "int32", "length": "int32"})
+                out.append((node, n, matches, length, 8 * (b - a), tokens[a:b].tobytes()))
+        return pd.DataFrame(out, columns=["node", "n", "matches", "length", "bytes", "tokens"]).astype({"node": "int64", "n": "int64", "matches": "int32", "length": "int32", "bytes": "int64"})
 
     return run
 
@@ -311,10 +321,10 @@ def components(ids: np.ndarray, n: np.ndarray, matches: np.ndarray, length: np.n
     return out
 
 
-def _search(percent: int, with_known: bool):
+def _search(percent: int, with_known: bool = False):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        got = components(rows["doc_id"].to_numpy(), rows["n"].to_numpy(), rows["matches"].to_numpy(), rows["length"].to_numpy(), [np.frombuffer(t, np.uint64) for t in rows["tokens"]], rows["known"].to_numpy() if with_known else None, percent)
-        return pd.DataFrame({"doc_id": rows["doc_id"], "label": got})
+        got = components(rows["node"].to_numpy(), rows["n"].to_numpy(), rows["matches"].to_numpy(), rows["length"].to_numpy(), [np.frombuffer(t, np.uint64) for t in rows["tokens"]], rows["known"].to_numpy() if with_known else None, percent)
+        return pd.DataFrame({"node": rows["node"], "label": got})
 
     return run
 
@@ -339,72 +349,119 @@ def clusters(edges: DataFrame, name: str = "cluster") -> DataFrame:
         state = small
         if tuple(new) == tuple(old):
             break
-    return state.select(F.col("a").alias("doc_id"), F.col("b").alias("label")).unionByName(state.select(F.col("b").alias("doc_id"), F.col("b").alias("label")).distinct())
-
-
-def link_components(docs: DataFrame, percent: int = PERCENT, cluster: int = CLUSTER) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
-
-    Null and blank texts have no shingles and are components of their own. Rows with a null doc_id have no component.
-    Copies, and repeated rows, share the component of their class. Rows that share a doc_id but not a text are compared as
-    one document with the shingles of both. Extra columns don't matter. Empty tables give no rows.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = min(RANGES[1], max(RANGES[0], size_in_bytes(docs) // RANGE_BYTES))
-    first = put_table(texts.mapInArrow(_first_pass(ranges, percent), "doc_id long, n long, digest_a long, digest_b long, part int, blob binary"), "join-first")
-    rows = put_table(first.where("part is null").select("doc_id", "n", "digest_a", "digest_b"), "join-rows")
+    return state.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def _blocks(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with the number of blocks of their ``key``, by its bytes, and each one's block."""
+    counts = rows.groupBy(key).agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    return put_table(rows.join(counts, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("bytes"), name)
+
+
+def _search_clusters(prefixes: DataFrame, posts: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """(node, label): components inside candidate clusters (``near``: node, cluster)."""
+    members = prefixes.select("node", "n", "matches", "length", "tokens")
+    dealt = _blocks(near.join(prefixes.select("node", "bytes").distinct(), "node"), "cluster", "join-dealt")
+    within = put_table(members.join(dealt, "node").groupBy("cluster", "block").applyInPandas(_search(percent), "node long, label long").distinct(), "join-within")
+    several = dealt.where("blocks > 1").select("node", "cluster")
+    if not several.limit(1).count():
+        return within
+    # the first of each component, together: near copies in different blocks meet here
+    parts = within.join(several, "node")
+    bytes_of = prefixes.select("node", "bytes").distinct()
+    leaders = _blocks(parts.where("node = label").select("node", "cluster").join(bytes_of, "node"), "cluster", "join-leaders")
+    merged = members.join(leaders, "node").groupBy("cluster", "block").applyInPandas(_search(percent), "node long, label long").distinct()
+    known = put_table(parts.join(merged.select(F.col("node").alias("label"), F.col("label").alias("known")), "label").select("node", "cluster", "known"), "join-known")
+    # a link between components needs a shingle that meets in both
+    met = posts.join(known.select("node", "known"), "node")
+    open_ = met.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high").select("token")
+    active = put_table(met.join(open_, "token").select("node").distinct(), "join-active")
+    pairs = _blocks(known.join(active, "node").join(bytes_of, "node"), "cluster", "join-open")
+    pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block or blocks = 1")
+    pairs = pairs.select("node", "cluster", "known", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    linked = members.join(pairs, "node").groupBy("cluster", "low", "high").applyInPandas(_search(percent, True), "node long, label long")
+    edges = linked.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(known.select(F.col("node").alias("a"), F.col("known").alias("b")))
+    joined = clusters(edges, "join-across")
+    single = within.join(several, "node", "left_anti")
+    return single.unionByName(several.select("node").join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, two hashes of id and text, never null, and text."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), *_keys(doc_id, text), text.alias("text"))
+
+
+def _keys(doc_id: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(doc_id, text).alias("row"), F.xxhash64(F.lit("b"), doc_id, text).alias("row_b")]
+
+
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, row, row_b, n, label (of the component; null without shingles) and component (its smallest doc_id) of every row."""
+    texts = _keyed(docs)
+    size = size_in_bytes(docs)
+    ranges = min(RANGES[1], max(RANGES[0], size // RANGE_BYTES))
+    tasks = max(RANGES[0] // 4, ranges // IN_TASK)
+    first = put_table(texts.mapInArrow(_first_pass(ranges, percent), "doc_id long, row long, row_b long, n long, digest_a long, digest_b long, part int, blob binary"), "join-first")
+    rows = put_table(first.where("part is null").drop("part", "blob"), "join-rows")
     key = ["n", "digest_a", "digest_b"]
-    seen = first.where("part >= 0").groupBy("part").applyInPandas(_seen_elsewhere(ranges), "part int, sizes boolean, blob binary")
+    seen = first.where("part >= 0").select("part", "blob").repartition(tasks, "part").groupBy("part").applyInPandas(_seen_elsewhere(ranges), "part int, sizes boolean, blob binary")
     heads = first.where("part < 0").select((-1 - F.col("part")).alias("part"), F.lit(True).alias("sizes"), "blob")
-    stays = seen.unionByName(heads).groupBy("part").applyInPandas(_sieve, "doc_id long")
-    # a class stands by its smallest id
-    classes = put_table(rows.where("doc_id is not null and n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "join-classes")
-    picked = put_table(classes.select(F.col("rep").alias("doc_id")).distinct().join(stays, "doc_id", "left_semi"), "join-picked")
+    stays = seen.unionByName(heads).repartition(tasks, "part").groupBy("part").applyInPandas(_sieve, "row long")
+    # one of its rows stands for a class, and a number of its own
+    classes = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min(F.struct("row", "row_b")).alias("r"))
+    classes = put_table(classes.select(*key, "rep", "r.row", "r.row_b", F.monotonically_increasing_id().alias("node")), "join-classes")
+    picked = put_table(classes.join(stays.distinct(), "row", "left_semi").select("row", "row_b", "digest_a", "digest_b", "node"), "join-picked")
     drop_table(first)
-    few = picked.count() <= PICK
-    second = put_table(texts.join(F.broadcast(picked) if few else picked, "doc_id", "left_semi").mapInArrow(_second_pass(ranges, ranges), "part int, blob binary"), "join-second")
-    free_shuffles(docs.sparkSession)
-    frequent = second.where("part >= 0").groupBy("part").applyInPandas(_frequencies(ranges), "part int, sizes boolean, blob binary")
-    sizes = second.where("part < 0").select((-1 - F.col("part")).alias("part"), F.lit(True).alias("sizes"), "blob")
-    prefixes = put_table(frequent.unionByName(sizes).groupBy("part").applyInPandas(_prefixes(percent), "doc_id long, n long, matches int, length int, tokens binary"), "join-prefixes")
+    second = put_table(texts.drop("doc_id").join(picked, ["row", "row_b"]).select("node", "digest_a", "digest_b", "text").mapInArrow(_second_pass(ranges), "part int, chunk long, blob binary"), "join-second")
+    frequent = second.where("part is not null").repartition(tasks, "part").groupBy("part").applyInPandas(_frequencies, "chunk long, sets boolean, blob binary")
+    sets = second.where("part is null").select("chunk", F.lit(True).alias("sets"), "blob")
+    prefixes = put_table(frequent.unionByName(sets).repartition(tasks, "chunk").groupBy("chunk").applyInPandas(_prefixes(percent), "node long, n long, matches int, length int, bytes long, tokens binary"), "join-prefixes")
     drop_table(second)
 
     def posting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             tokens = [np.frombuffer(t, np.int64)[:k] for t, k in zip(batch.column(2).to_pylist(), length.tolist(), strict=True)]
-            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.int64), *tokens])), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), length))], names=["token", "doc_id"])
-
-    posts = prefixes.select("doc_id", "length", "tokens").mapInArrow(posting, "token long, doc_id long")
-    center = posts.groupBy("token").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b <> top").select("token", "b")
-    edges = posts.join(center, "token").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    near = put_table(clusters(edges, "join"), "join-near")
-    near = near.join(near.groupBy("label").agg(F.count("*").alias("members")), "label")
-    members = prefixes.join(near, "doc_id")
-    found = members.where(F.col("members") <= cluster).groupBy("label").applyInPandas(_search(percent, False), "doc_id long, label long")
-    if near.where(F.col("members") > cluster).limit(1).count():
-        found = found.unionByName(_in_blocks(put_table(members.where(F.col("members") > cluster), "join-large"), percent))
-    found = put_table(found, "join-components").withColumnRenamed("doc_id", "rep").withColumnRenamed("label", "component")
-    named = classes.join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    out = rows.join(named, key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-
-
-def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Exact components of large clusters: within blocks, then within pairs of blocks, given what is known.
-
-    A cluster is read by as many tasks as it has pairs of blocks, and each holds two blocks.
+            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.int64), *tokens])), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), length))], names=["token", "node"])
+
+    posts = prefixes.select("node", "length", "tokens").mapInArrow(posting, "token long, node long")
+    center = posts.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("token", "b")
+    edges = posts.join(center, "token").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    near = put_table(clusters(edges, "join").withColumnRenamed("label", "cluster"), "join-near")
+    found = put_table(_search_clusters(prefixes, posts, near, percent), "join-components")
+    named = classes.join(found, "node", "left").select(*key, "rep", F.coalesce("label", "node").alias("label"))
+    ids = named.groupBy("label").agg(F.min("rep").alias("component"))
+    return rows.join(named.join(ids, "label").drop("rep"), key, "left").drop("digest_a", "digest_b")
+
+
+def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row.
+
+    Null and blank texts have no shingles and are components of their own. A row without id links like any other; its
+    component_id is the smallest id that it reaches, null if there is none. Copies, and repeated rows, share the component
+    of their class; rows that share an id but not a text are compared each by its own. Other columns, whatever their names,
+    don't matter. An empty table gives no rows.
+    """
+    return _labelled(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stand for their components: that with the smallest id, those without id last.
+
+    Rows without shingles are linked with nothing and all stay. Of repeated rows one stays.
     """
-    blocks = F.greatest(F.lit(BLOCKS), F.ceil(F.col("members") / MOST)).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    within = put_table(dealt.groupBy("label", "block").applyInPandas(_search(percent, False), "doc_id long, label long"), "join-within")
-    known = dealt.join(within.withColumnRenamed("label", "known"), "doc_id")
-    pairs = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block").withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    linked = put_table(pairs.groupBy("label", "low", "high").applyInPandas(_search(percent, True), "doc_id long, label long"), "join-across")
-    edges = linked.unionByName(within).select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
-    joined = clusters(edges, "join-large")
-    return members.select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name of the input clashes with those below
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    labelled = put_table(_labelled(docs, percent).select("doc_id", "row", "row_b", "label"), "join-labelled")
+    best = labelled.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "row_b")).alias("r"))
+    stays = best.select("r.row", "r.row_b", F.lit(True).alias("once")).unionByName(labelled.where("label is null").select("row", "row_b", F.lit(False).alias("once")).distinct())
+    kept = plain.withColumns(dict(zip(("row", "row_b"), _keys(doc_id.cast("long"), text.cast("string")), strict=True))).join(put_table(stays, "join-stays").hint("merge"), ["row", "row_b"])
+    place = F.row_number().over(Window.partitionBy("row", "row_b").orderBy("row"))
+    return kept.withColumn("place", place).where("place = 1 or not once").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents: nulls, empty and long texts, ties, repeats and empty tables as in ``link_components``."""
     return link_components(table(spark, sf_dir, "documents"))
