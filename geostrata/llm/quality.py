@@ -91,33 +91,46 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     return (np.frombuffer(model[0].weights, np.float32), model[0].bias) if model else (np.zeros(1 << BITS, np.float32), 0.0)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: bool = False) -> DataFrame:
-    """doc_id and score of each row's whole text; with ``keep`` all columns of docs and the score as ``quality_score``.
+def _scores(texts: pa.Array, model: tuple[np.ndarray, float], hashed: WordHash) -> list[float]:
+    weights, bias = model
+    out = []
+    for text in text_bytes(texts):
+        places = features(text, hashed)
+        dot = float(weights[places].sum(dtype=np.float64)) / math.sqrt(max(1, len(places))) + bias
+        out.append(1 / (1 + math.exp(-max(-35.0, min(35.0, dot)))))
+    return out
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """doc_id and score of each row's whole text.
 
-    A null text scores as an empty one: by the bias alone. Repeated rows score alike.
+    A null text scores as an empty one: by the bias alone. A null id stays null. Repeated rows score alike. Other columns,
+    whatever their names, don't matter. An empty table gives no rows.
     """
-    weights, bias = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHash()
         for batch in chunks(batches, "text"):
-            out = []
-            for text in text_bytes(batch.column("text")):
-                places = features(text, hashed)
-                dot = float(weights[places].sum(dtype=np.float64)) / math.sqrt(max(1, len(places))) + bias
-                out.append(1 / (1 + math.exp(-max(-35.0, min(35.0, dot)))))
-            made = pa.array(out, pa.float64())
-            yield pa.record_batch([*batch.columns, made], names=[*batch.schema.names, "quality_score"]) if keep else pa.record_batch([batch.column("doc_id"), made], names=["doc_id", "score"])
-
-    if keep:
-        from pyspark.sql.types import DoubleType, StructType
-
-        return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("quality_score", DoubleType()))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(_scores(batch.column("text"), model, hashed), pa.float64())], names=["doc_id", "score"])
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def passing(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``least`` or more; each by its own text, as in ``score``."""
+    column = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = WordHash()
+        for batch in chunks(batches, "text"):
+            yield batch.filter(pa.array([s >= least for s in _scores(batch.column(column), model, hashed)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents: nulls, empty and long texts, ties of labels, repeats and empty tables as in ``train`` and ``score``. A score of exactly 0.5 is predicted 1."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,10 +1,11 @@
 """Token-ID output in training order.
 
 Each document's token ids are cut into sequences of a fixed length. Sequences are
-numbered in one order that depends on the documents alone (hash of doc_id), a keyed
+numbered in one order that depends on the documents alone (hash of id and text), a keyed
 Feistel permutation with cycle-walking gives each number its global slot, and one
-exchange brings ranges of slots together as shards: fixed-stride binary blocks whose
-row r starts at byte r * stride, so that a reader can go on from any slot.
+exchange brings ranges of slots together as shards: fixed-stride binary files whose
+row r starts at byte r * stride, so that a reader can go on from any slot. Beside each
+file lies one of index entries, of a fixed stride too.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import chunks, free_shuffles, mix, put_table, size_in_bytes, table
+from geostrata.llm.common import chunks, drop_table, mix, put_table, shared_uri, size_in_bytes, table
 from geostrata.llm.token_counts import default_path, encoder
 
 #: Tokens of a sequence, sequences of a shard, id that fills up a document's last sequence.
@@ -27,6 +28,8 @@ LENGTH, SHARD, PAD_ID = 512, 4096, 50256
 KEY, FEISTEL_ROUNDS = 0x5EED, 6
 #: Bytes of input to a bucket of documents, and fewest and most buckets.
 BUCKET_BYTES, BUCKETS = 8 << 20, (16, 1 << 20)
+#: Buckets, and shards, to a task; a task handles them one by one.
+IN_TASK = 4
 #: Bytes of an index entry: doc_id, number in the document, real tokens.
 ENTRY = 24
 _NONE = np.iinfo(np.int64).min
@@ -66,36 +69,36 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
 
 
 def _tokenise(path: str, buckets: int):
-    """Rows of (bucket, blob): ids of documents, lengths, token ids."""
+    """Rows of (bucket, blob): ids of documents, their keys, lengths, token ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in chunks(batches, "text"):
-            got: dict[int, list[tuple[int, np.ndarray]]] = {}
+            got: dict[int, list[tuple[int, int, np.ndarray]]] = {}
             ids = [_NONE if i is None else i for i in batch.column(0).to_pylist()]
-            places = (mix(np.array(ids, np.int64).view(np.uint64)) >> np.uint64(32)).astype(np.float64) * (buckets / 2**32)
-            for i, b, text in zip(ids, places.astype(np.int64).tolist(), batch.column(1).to_pylist(), strict=True):
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            places = (mix(keys.view(np.uint64)) >> np.uint64(32)).astype(np.float64) * (buckets / 2**32)
+            for i, key, b, text in zip(ids, keys.tolist(), places.astype(np.int64).tolist(), batch.column(2).to_pylist(), strict=True):
                 if text:
-                    got.setdefault(b, []).append((i, enc.encode(text)))
+                    got.setdefault(b, []).append((i, key, enc.encode(text)))
             if got:
-                blobs = [_pack(np.array([i for i, _ in v], np.int64), np.array([len(t) for _, t in v], np.int64), *(t.astype("<u2") for _, t in v)) for v in got.values()]
+                blobs = [_pack(*(np.array(c, np.int64) for c in ([x[0] for x in v], [x[1] for x in v], [len(x[2]) for x in v])), *(x[2].astype("<u2") for x in v)) for v in got.values()]
                 yield pa.record_batch([pa.array(list(got), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return run
 
 
 def _sequence(length: int, pad: int):
-    """Of one bucket, in order of the hash of doc_id: its sequences in blocks, with the bucket's number of the first of each."""
+    """Of one bucket, in order of the documents' keys: its sequences in blocks, with the bucket's number of the first of each."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         docs = []
         for blob in rows["blob"]:
             ids, body = _unpack(blob)
-            sizes = np.frombuffer(body, "<i8", len(ids))
-            tokens = np.frombuffer(body, "<u2", offset=8 * len(ids))
+            keys, sizes = np.frombuffer(body, "<i8", 2 * len(ids)).reshape(2, -1)
+            tokens = np.frombuffer(body, "<u2", offset=16 * len(ids))
             at = np.cumsum(sizes) - sizes
-            hashes = mix(ids.view(np.uint64))
-            docs += [(h, i, zlib.crc32(t := tokens[a : a + s].tobytes()), t) for h, i, a, s in zip(hashes.tolist(), ids.tolist(), at.tolist(), sizes.tolist(), strict=True)]
+            docs += [(h, i, zlib.crc32(t := tokens[a : a + s].tobytes()), t) for h, i, a, s in zip(mix(keys.view(np.uint64)).tolist(), ids.tolist(), at.tolist(), sizes.tolist(), strict=True)]
         docs.sort(key=lambda d: d[:3])
         fill, out, first = np.array([pad], "<u2").tobytes(), [], 0
         ids: list[int] = []
@@ -123,20 +126,37 @@ def _sequence(length: int, pad: int):
     return run
 
 
-def materialise(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, shard: int = SHARD, key: int = KEY, pad: int = PAD_ID) -> DataFrame:
-    """Table of shards: shard, first_slot, n, stride, data (n * stride bytes of 16-bit ids) and entries (n * ENTRY bytes).
+def _open(uri: str):
+    """File system and path of a URI, for any store that pyarrow opens."""
+    from pyarrow import fs
 
-    Documents without tokens (null or empty texts) have no sequence. Repeated rows are sequences of their own. The same
-    documents, key and lengths give the same shards however they are partitioned. An empty table gives no shard.
+    return fs.FileSystem.from_uri(uri)
+
+
+def _put(store, name: str, data: bytes) -> None:
+    """Write a file whole and then put it in place, so that a task that is run again does no harm."""
+    part = f"{name}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as f:
+        f.write(data)
+    store.move(part, name)
+
+
+def materialise(docs: DataFrame, uri: str | None = None, tokenizer: str | None = None, length: int = LENGTH, shard: int = SHARD, key: int = KEY, pad: int = PAD_ID) -> DataFrame:
+    """Writes shards below ``uri`` (or in the shared folder) and returns their list: shard, file, index, first_slot, n and stride.
+
+    A file holds n rows of stride bytes, 16-bit ids; its index n entries of doc_id, number in the document and real tokens,
+    ENTRY bytes each. Documents without tokens (null or empty texts) have no sequence. Rows without id are kept under the
+    smallest number. Repeated rows are sequences of their own. The same documents, key and lengths give the same shards
+    however they are partitioned. Other columns, whatever their names, don't matter. An empty table gives no shard.
     """
     spark = docs.sparkSession
     path = tokenizer or default_path()
+    root = (uri or shared_uri(spark, "order-files")).rstrip("/")
     buckets = min(BUCKETS[1], max(BUCKETS[0], size_in_bytes(docs) // BUCKET_BYTES))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = texts.mapInArrow(_tokenise(path, buckets), "bucket int, blob binary").groupBy("bucket")
-    blocks = put_table(tokens.applyInPandas(_sequence(length, pad), "bucket int, first long, n long, blob binary"), "order-blocks", "none")
-    del tokens
-    free_shuffles(spark)  # the table has it all
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    texts = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"))
+    tokens = texts.mapInArrow(_tokenise(path, buckets), "bucket int, blob binary").repartition(max(BUCKETS[0], buckets // IN_TASK), "bucket")
+    blocks = put_table(tokens.groupBy("bucket").applyInPandas(_sequence(length, pad), "bucket int, first long, n long, blob binary"), "order-blocks", "none")
     counts = {r.bucket: r.n for r in blocks.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # a row for each bucket, 2 ** 20 at most
     sizes = np.array([counts.get(b, 0) for b in range(buckets)], np.int64)
     total = int(sizes.sum())
@@ -172,50 +192,49 @@ def materialise(docs: DataFrame, tokenizer: str | None = None, length: int = LEN
         if not np.array_equal(s, np.arange(s[0], s[0] + len(s))):
             raise ValueError("slots of a shard have gaps")
         number = int(s[0]) // shard
-        return pd.DataFrame({"shard": [number], "first_slot": [int(s[0])], "n": [len(s)], "stride": [stride], "data": [np.concatenate(data)[order].tobytes()], "entries": [np.concatenate(index)[order].astype("<i8").tobytes()]})
+        store, folder = _open(root)
+        store.create_dir(folder)
+        name = f"shard-{number:08d}"
+        _put(store, f"{folder}/{name}.bin", np.concatenate(data)[order].tobytes())
+        _put(store, f"{folder}/{name}.idx", np.concatenate(index)[order].astype("<i8").tobytes())
+        return pd.DataFrame({"shard": [number], "file": [f"{root}/{name}.bin"], "index": [f"{root}/{name}.idx"], "first_slot": [int(s[0])], "n": [len(s)], "stride": [stride]})
 
-    dealt = blocks.select("bucket", "first", "n", "blob").mapInArrow(deal, "shard long, blob binary")
-    return put_table(dealt.groupBy("shard").applyInPandas(write, "shard long, first_slot long, n long, stride int, data binary, entries binary"), "order-shards")
+    shards = -(-total // shard)
+    dealt = blocks.select("bucket", "first", "n", "blob").mapInArrow(deal, "shard long, blob binary").repartition(max(BUCKETS[0], shards // IN_TASK), "shard")
+    out = put_table(dealt.groupBy("shard").applyInPandas(write, "shard long, file string, index string, first_slot long, n long, stride int"), "order-shards")
+    drop_table(blocks)
+    return out
 
 
 def sequences(shards: DataFrame, first_slot: int = 0) -> DataFrame:
-    """slot, shard, row, doc_id, seq_no, n_tokens and crc32 of each stored sequence from ``first_slot`` on; shards before it aren't read."""
+    """slot, shard, row, doc_id, seq_no, n_tokens and crc32 of each stored sequence from ``first_slot`` on, as read from the files; nothing before it is read."""
+
+    def rest_of(uri: str, start: int, size: int) -> bytes:
+        store, path = _open(uri)
+        with store.open_input_file(path) as f:
+            f.seek(start)
+            return f.read(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, first, n, stride, data, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, file, index, first, n, stride in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 skip = max(0, first_slot - first)
-                e = np.frombuffer(entries, "<i8").reshape(n, 3)[skip:]
-                crc = [zlib.crc32(data[r * stride : (r + 1) * stride]) for r in range(skip, n)]
+                data = rest_of(file, skip * stride, (n - skip) * stride)
+                e = np.frombuffer(rest_of(index, skip * ENTRY, (n - skip) * ENTRY), "<i8").reshape(n - skip, 3)
+                if len(data) != (n - skip) * stride:
+                    raise ValueError(f"{file} is cut short")
+                crc = [zlib.crc32(data[r * stride : (r + 1) * stride]) for r in range(n - skip)]
                 rows = np.arange(skip, n)
                 yield pa.record_batch(
                     [pa.array(first + rows), pa.array(np.full(n - skip, shard)), pa.array(rows.astype(np.int32)), pa.array(e[:, 0], mask=e[:, 0] == _NONE), pa.array(e[:, 1].astype(np.int32)), pa.array(e[:, 2].astype(np.int32)), pa.array(crc, pa.int64())],
                     names=["slot", "shard", "row", "doc_id", "seq_no", "n_tokens", "crc32"],
                 )
 
-    wanted = shards.where(F.col("first_slot") + F.col("n") > first_slot).select("shard", "first_slot", "n", "stride", "data", "entries")
-    return wanted.mapInArrow(run, "slot long, shard long, row int, doc_id long, seq_no int, n_tokens int, crc32 long")
-
-
-def write_files(shards: DataFrame, uri: str) -> DataFrame:
-    """One binary file a shard at ``uri`` (any store that pyarrow opens), put in place by a rename, so that a retried task does no harm; file, first_slot and n."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(uri)
-        store.create_dir(root)
-        for batch in batches:
-            for shard, first, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name = f"{root}/shard-{shard:08d}.bin"
-                part = f"{name}.{uuid.uuid4().hex}.part"
-                with store.open_output_stream(part) as f:
-                    f.write(data)
-                store.move(part, name)
-                yield pa.record_batch([pa.array([name]), pa.array([first], pa.int64()), pa.array([n], pa.int64())], names=["file", "first_slot", "n"])
-
-    return shards.select("shard", "first_slot", "n", "data").mapInArrow(run, "file string, first_slot long, n long")
+    wanted = shards.where(F.col("first_slot") + F.col("n") > first_slot).select("shard", "file", "index", "first_slot", "n", "stride")
+    tasks = max(BUCKETS[0], wanted.count() // IN_TASK)
+    return wanted.repartition(tasks, "shard").mapInArrow(run, "slot long, shard long, row int, doc_id long, seq_no int, n_tokens int, crc32 long")
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of all documents as read back from the shards' files: nulls, empty and long texts, repeats and empty tables as in ``materialise``."""
     return sequences(materialise(table(spark, sf_dir, "documents")))

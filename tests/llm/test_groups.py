@@ -52,18 +52,38 @@ def brute_components(texts):
     return sets, [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("cluster", [J.CLUSTER, 12])
-def test_components_against_all_pairs(spark, cluster, monkeypatch):
-    monkeypatch.setattr(J, "MOST", 2)  # more blocks than usual, too
+@pytest.mark.parametrize("block", [J.BLOCK_BYTES, 4000])
+def test_components_against_all_pairs(spark, block, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_BYTES", block)
     texts = near_copies()
     sets, want = brute_components(texts)
     df = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, "x y z")], "doc_id long, text string").repartition(4)
-    rows = J.link_components(df, cluster=cluster).collect()
+    rows = J.link_components(df).collect()
     assert len(rows) == len(texts) + 2
     assert all((r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id]) for r in rows if r.doc_id is not None)
     assert [r.component_id for r in rows if r.doc_id is None] == [None]
 
 
+def test_a_shingle_of_all_documents(spark):
+    rng = np.random.default_rng(19)
+    texts = ["every one begins with this line of eight words " + " ".join(f"w{j}" for j in rng.integers(0, 5000, 12)) for _ in range(400)]
+    texts += [t + " and" for t in texts[:50]]
+    sets, want = brute_components(texts)
+    rows = J.link_components(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(want)) and len(set(want)) == 400
+
+
+def test_shared_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a), (None, b + " tail"), (None, c), (None, c), (9, ""), (9, ""), (None, None)]
+    df = spark.createDataFrame([(*r, i, "L", 3) for i, r in enumerate(rows)], "doc_id long, text string, place int, label string, row int").repartition(3)
+    got = sorted(((r.n_shingles, r.component_id) for r in J.link_components(df).collect()), key=str)
+    assert got == sorted([(26, 5), (26, 5), (26, 5), (27, 5), (26, None), (26, None), (0, 9), (0, 9), (0, None)], key=str)
+    kept = J.first_of_each(df)
+    assert kept.columns == df.columns
+    assert Counter(r.text for r in kept.collect()) == Counter([a, b, c, "", "", None])
+
+
 def test_longer_prefixes_lose_nothing():
     rng = np.random.default_rng(1)
     for _ in range(300):
@@ -311,7 +331,9 @@ def test_training_order_holds_every_token_once(spark, sf, tmp_path):
     rows = sorted(T.sequences(shards).collect())
     again = sorted(T.sequences(T.materialise(docs.repartition(5), length=64, shard=100)).collect())
     assert rows == again and [r.slot for r in rows] == list(range(len(rows)))
-    data = b"".join(bytes(r.data) for r in sorted(shards.collect(), key=lambda r: r.shard))
+    files = sorted(shards.collect(), key=lambda r: r.shard)
+    data = b"".join(open(r.file.removeprefix("file://"), "rb").read() for r in files)
+    assert all(r.stride == 128 and r.first_slot == 100 * r.shard for r in files)
     ids = np.frombuffer(data, "<u2").reshape(-1, 64)
     got = {}
     for r in rows:
@@ -323,8 +345,9 @@ def test_training_order_holds_every_token_once(spark, sf, tmp_path):
         assert sum((got.pop((d.doc_id, k)) for k in range(-(-len(want) // 64))), []) == want
     assert not got
     assert sorted(T.sequences(shards, first_slot=150).collect()) == [r for r in rows if r.slot >= 150]
-    files = T.write_files(shards, f"file://{tmp_path}").orderBy("first_slot").collect()
-    assert b"".join(open(f.file, "rb").read() for f in files) == data and len(list(tmp_path.iterdir())) == len(files)
+    T.materialise(docs, uri=f"file://{tmp_path}/out", length=64, shard=100)
+    written = sorted((tmp_path / "out").glob("*.bin"))
+    assert b"".join(f.read_bytes() for f in written) == data and len(list((tmp_path / "out").iterdir())) == 2 * len(files)
 
 
 def test_training_order_odd_rows(spark, odd, empty):
@@ -357,8 +380,44 @@ def test_pipeline_stages(spark, sf):
     assert Counter(r.doc_id for r in last if r.seq_no == 0) == copies
 
 
-def test_pipeline_odd_rows(spark, odd):
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, f in corpus_pipeline.STAGES[:4]:
-        out = f(spark, docs, "/root/testdata/sf0.001")
-        assert out.columns == docs.columns and out.count() <= 2 * docs.count()
+def test_pipeline_odd_rows(spark, odd, empty):
+    for docs in (odd.withColumn("quality_score", F.lit("x")).withColumn("times", F.lit(None).cast("int")), empty):
+        for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, "/root/testdata/sf0.001")
+            n = out.count()
+            assert n <= 2 * docs.count() if k < 4 else n >= docs.where("length(text) > 0").count()
+            assert k == 4 or (out.columns == docs.columns and out.dtypes == docs.dtypes)
+
+
+def test_join_against_all_pairs_of_a_table(spark):
+    """Recall at sf0.01: every document against every other that shares a shingle with it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    _, want = linked_by_postings([r.text for r in rows])
+    smallest = {}
+    for r, root in zip(rows, want):
+        smallest[root] = min(smallest.get(root, r.doc_id), r.doc_id)
+    want = {r.doc_id: smallest[root] for r, root in zip(rows, want)}
+    assert {r.doc_id: r.component_id for r in J.link_components(docs).collect()} == want
+
+
+def linked_by_postings(texts):
+    """As brute_components, for many texts: exact overlaps of all pairs that share any shingle."""
+    low = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in low]
+    posts, root = {}, list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        both = Counter(j for t in s for j in posts.get(t, ()))
+        for j, n in both.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+        for t in s:
+            posts.setdefault(t, []).append(i)
+    return sets, [find(i) for i in range(len(sets))]

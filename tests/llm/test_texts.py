@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from geostrata.llm import html_extract as H
 from geostrata.llm import license_scan as L
@@ -166,7 +167,11 @@ def test_quality_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in Q.score(odd, Q.train(odd, none)).collect()} == {0.5}
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, None), (None, 1), (999, 1)], "doc_id long, quality int")
-    assert Q.score(odd, Q.train(odd, labels), keep=True).count() == odd.count()
+    model = Q.train(odd, labels)
+    scores = [r.score for r in Q.score(odd, model).collect()]
+    wide = odd.withColumn("quality_score", F.lit("x")).withColumn("score", F.lit(3))
+    kept = Q.passing(wide, model, np.median(scores))
+    assert len(scores) == odd.count() and kept.columns == wide.columns and kept.count() == sum(s >= np.median(scores) for s in scores)
     assert Q.score(empty, Q.train(empty, labels)).count() == 0
 
 
@@ -239,3 +244,38 @@ def test_stray_matches_break_no_chain_and_one_word_is_a_phrase(spark):
     assert got["mit"] == 1.0
     df = spark.createDataFrame([(1, "the GPL, and the gpl"), (2, None)], "doc_id long, text string")
     assert [(r.n_base, r.first_word, r.labels) for r in L.scan_licences(df, base={"gpl": "g"}).orderBy("doc_id").collect()] == [(2, 1, "g"), (0, None, "")]
+
+
+def plain_ftrl(rows, epochs):
+    """Follow the regularised leader by the book, one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        if i == "bias":
+            return -z.get(i, 0.0) / ((Q.BETA + n.get(i, 0.0) ** 0.5) / Q.ALPHA)
+        if abs(z.get(i, 0.0)) <= Q.L1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * Q.L1) / ((Q.BETA + n[i] ** 0.5) / Q.ALPHA + Q.L2)
+
+    for _ in range(epochs):
+        for places, label in rows:
+            x = {"bias": 1.0}
+            for i in places.tolist():
+                x[i] = x.get(i, 0.0) + 1 / len(places) ** 0.5
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / Q.ALPHA
+                z[i] = z.get(i, 0.0) + g - s * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_against_plain_updates():
+    rng = np.random.default_rng(17)
+    rows = [(rng.integers(0, 60, rng.integers(1, 30)), int(rng.random() < 0.5)) for _ in range(80)]
+    weights, bias = Q.fit(rows)
+    want = plain_ftrl(rows, Q.EPOCHS)
+    assert abs(bias - want.pop("bias")) < 1e-5 and all(abs(weights[i] - w) < 1e-5 for i, w in want.items())
+    assert np.count_nonzero(weights) == sum(w != 0 for w in want.values())
