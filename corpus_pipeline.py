@@ -2,21 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-``documents``. What a stage kept in the shared folder goes when the next one begins.
+``documents``, whatever others there are. What a stage kept in the shared folder goes when the next one begins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from geostrata.llm.common import put_table, release_tables, table, tagged
 from geostrata.llm.decontaminate import decontaminate
-from geostrata.llm.jaccard_join import link_components
-from geostrata.llm.mixing import mix_sources
-from geostrata.llm.quality import score, train
+from geostrata.llm.jaccard_join import first_of_each
+from geostrata.llm.mixing import take
+from geostrata.llm.quality import passing, train
 from geostrata.llm.training_order import materialise, sequences
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -35,39 +34,25 @@ def _stage(f: Stage) -> Stage:
 @_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labels of these documents, gives 0.5 or more."""
-    model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, keep=True).where("quality_score >= 0.5").select(docs.columns)
+    return passing(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 @_stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of the Jaccard join. Copies under one id stay once; rows without id stay."""
-    found = link_components(docs)
-    stays = put_table(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "pipeline-stays")
-    kept = docs.join(stays.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if stays.where("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """The document with the smallest id of each component of the Jaccard join; of repeated rows one. Empty texts all stay."""
+    return first_of_each(docs)
 
 
 @_stage
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat no benchmark item."""
+    """Documents that repeat no benchmark item, with or without an id."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 @_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    times = put_table(mix_sources(docs).select(F.col("doc_id").alias("_id"), "times"), "pipeline-times")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    rows = docs
-    if times.groupBy("_id").count().where("count > 1").limit(1).count():  # rows of one id are paired with its units in any order
-        rows = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0))))
-        times = times.withColumn("_unit", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("times"))))
-        same &= F.col("_row") == F.col("_unit")
-    both = rows.join(times.where("times > 0").hint("merge"), same)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    return take(docs)
 
 
 @_stage
