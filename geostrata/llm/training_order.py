@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,10 @@ LENGTH, SHARD, PAD_ID = 512, 4096, 50256
 KEY, FEISTEL_ROUNDS = 0x5EED, 6
 #: Bytes of input to a bucket of documents, and fewest and most buckets.
 BUCKET_BYTES, BUCKETS = 8 << 20, (16, 1 << 20)
-#: Buckets, and shards, to a task; a task handles them one by one.
-IN_TASK = 4
+#: Buckets, and shards, to a task, which handles them one by one, and fewest tasks.
+IN_TASK, TASKS = 4, 4
+#: Rounds in which shards are dealt out and written: a share of the sequences is in exchange at a time.
+ROUNDS = 4
 #: Bytes of an index entry: doc_id, number in the document, real tokens.
 ENTRY = 24
 _NONE = np.iinfo(np.int64).min
@@ -155,7 +158,7 @@ def materialise(docs: DataFrame, uri: str | None = None, tokenizer: str | None =
     buckets = min(BUCKETS[1], max(BUCKETS[0], size_in_bytes(docs) // BUCKET_BYTES))
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     texts = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"))
-    tokens = texts.mapInArrow(_tokenise(path, buckets), "bucket int, blob binary").repartition(max(BUCKETS[0], buckets // IN_TASK), "bucket")
+    tokens = texts.mapInArrow(_tokenise(path, buckets), "bucket int, blob binary").repartition(max(TASKS, buckets // IN_TASK), "bucket")
     blocks = put_table(tokens.groupBy("bucket").applyInPandas(_sequence(length, pad), "bucket int, first long, n long, blob binary"), "order-blocks", "none")
     counts = {r.bucket: r.n for r in blocks.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # a row for each bucket, 2 ** 20 at most
     sizes = np.array([counts.get(b, 0) for b in range(buckets)], np.int64)
@@ -163,7 +166,7 @@ def materialise(docs: DataFrame, uri: str | None = None, tokenizer: str | None =
     before = spark.sparkContext.broadcast(np.cumsum(sizes) - sizes)  # 8 MB at most
     stride = 2 * length
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, first, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, body = _unpack(blob)
@@ -173,7 +176,9 @@ def materialise(docs: DataFrame, uri: str | None = None, tokenizer: str | None =
                 order = np.argsort(slots, kind="stable")
                 to = slots[order] // shard
                 edges = np.flatnonzero(np.diff(to)) + 1
-                rows = [order[a:b] for a, b in zip([0, *edges.tolist()], [*edges.tolist(), n], strict=True)]
+                rows = [order[a:b] for a, b in zip([0, *edges.tolist()], [*edges.tolist(), n], strict=True) if to[a] % ROUNDS == turn]
+                if not rows:
+                    continue
                 blobs = [_pack(slots[r], ids[r], entries[r], data[r]) for r in rows]
                 yield pa.record_batch([pa.array([int(slots[r[0]] // shard) for r in rows], pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
@@ -199,9 +204,12 @@ def materialise(docs: DataFrame, uri: str | None = None, tokenizer: str | None =
         _put(store, f"{folder}/{name}.idx", np.concatenate(index)[order].astype("<i8").tobytes())
         return pd.DataFrame({"shard": [number], "file": [f"{root}/{name}.bin"], "index": [f"{root}/{name}.idx"], "first_slot": [int(s[0])], "n": [len(s)], "stride": [stride]})
 
-    shards = -(-total // shard)
-    dealt = blocks.select("bucket", "first", "n", "blob").mapInArrow(deal, "shard long, blob binary").repartition(max(BUCKETS[0], shards // IN_TASK), "shard")
-    out = put_table(dealt.groupBy("shard").applyInPandas(write, "shard long, file string, index string, first_slot long, n long, stride int"), "order-shards")
+    tasks = max(TASKS, -(-total // shard) // IN_TASK // ROUNDS)
+    parts = []
+    for turn in range(ROUNDS):
+        dealt = blocks.select("bucket", "first", "n", "blob").mapInArrow(partial(deal, turn=turn), "shard long, blob binary").repartition(tasks, "shard")
+        parts.append(put_table(dealt.groupBy("shard").applyInPandas(write, "shard long, file string, index string, first_slot long, n long, stride int"), f"order-shards{turn}"))
+    out = reduce(DataFrame.unionByName, parts)
     drop_table(blocks)
     return out
 
@@ -231,7 +239,7 @@ def sequences(shards: DataFrame, first_slot: int = 0) -> DataFrame:
                 )
 
     wanted = shards.where(F.col("first_slot") + F.col("n") > first_slot).select("shard", "file", "index", "first_slot", "n", "stride")
-    tasks = max(BUCKETS[0], wanted.count() // IN_TASK)
+    tasks = max(TASKS, wanted.count() // IN_TASK)
     return wanted.repartition(tasks, "shard").mapInArrow(run, "slot long, shard long, row int, doc_id long, seq_no int, n_tokens int, crc32 long")
 
 
