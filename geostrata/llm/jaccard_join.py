@@ -18,8 +18,8 @@ The work, each step over all documents:
    Each shingle's classes are tied to the smallest of them, never in pairs.
 6. In a block of a cluster a breadth-first search finds components: a document is compared
    with those not reached yet, so that a group of near copies costs few comparisons. Where
-   a cluster has several blocks, the first of each component are searched together, and
-   only shingles that still meet in different components bring documents of different
+   a cluster has several blocks, the first of each component are searched together, in
+   rounds until they fit a block or grow no fewer, and only shingles that still meet in different components bring documents of different
    blocks together.
 
 Shingles go to ranges of the hash space as one entry for each chunk of documents, however
@@ -45,7 +45,7 @@ PERCENT, WORDS = 80, 5
 #: Longest multi-match prefix, and the cost of a verification in looked-up postings.
 MOST_MATCHES, VERIFY = 6, 30
 #: Bytes of shingles in a block of a cluster; one longer document is a block alone.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 256 << 10
 #: Bytes of input to a range of shingles, fewest and most ranges, and ranges to a task, which handles them one by one.
 RANGE_BYTES, RANGES, IN_TASK = 2 << 20, (64, 1 << 20), 16
 #: Owner of a shingle that several documents of a chunk have.
@@ -352,10 +352,10 @@ def clusters(edges: DataFrame, name: str = "cluster") -> DataFrame:
     return state.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def _blocks(rows: DataFrame, key: str, name: str) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, name: str, seed: int = 42) -> DataFrame:
     """``rows`` with the number of blocks of their ``key``, by its bytes, and each one's block."""
     counts = rows.groupBy(key).agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    return put_table(rows.join(counts, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("bytes"), name)
+    return put_table(rows.join(counts, key).withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int")).drop("bytes"), name)
 
 
 def _search_clusters(prefixes: DataFrame, posts: DataFrame, near: DataFrame, percent: int) -> DataFrame:
@@ -367,11 +367,18 @@ def _search_clusters(prefixes: DataFrame, posts: DataFrame, near: DataFrame, per
     if not several.limit(1).count():
         return within
     # the first of each component, together: near copies in different blocks meet here
-    parts = within.join(several, "node")
     bytes_of = prefixes.select("node", "bytes").distinct()
-    leaders = _blocks(parts.where("node = label").select("node", "cluster").join(bytes_of, "node"), "cluster", "join-leaders")
-    merged = members.join(leaders, "node").groupBy("cluster", "block").applyInPandas(_search(percent), "node long, label long").distinct()
-    known = put_table(parts.join(merged.select(F.col("node").alias("label"), F.col("label").alias("known")), "label").select("node", "cluster", "known"), "join-known")
+    known = put_table(within.join(several, "node").select("node", "cluster", F.col("label").alias("known")), "join-known")
+    heads, fewer, rounds = known.where("node = known").select("node", "cluster"), None, 0
+    while True:
+        rounds += 1
+        leaders = _blocks(heads.join(bytes_of, "node"), "cluster", "join-leaders", rounds)
+        merged = put_table(members.join(leaders, "node").groupBy("cluster", "block").applyInPandas(_search(percent), "node long, label long").distinct(), "join-merged")
+        known = put_table(known.join(merged.select(F.col("node").alias("known"), "label"), "known").select("node", "cluster", F.col("label").alias("known")), "join-known")
+        before, fewer = fewer, merged.where("node = label").count()
+        if fewer == before or not leaders.where("blocks > 1").limit(1).count():
+            break
+        heads = known.where("node = known").select("node", "cluster")
     # a link between components needs a shingle that meets in both
     met = posts.join(known.select("node", "known"), "node")
     open_ = met.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high").select("token")
@@ -401,7 +408,7 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     texts = _keyed(docs)
     size = size_in_bytes(docs)
     ranges = min(RANGES[1], max(RANGES[0], size // RANGE_BYTES))
-    tasks = max(RANGES[0] // 4, ranges // IN_TASK)
+    tasks = max(RANGES[0] // IN_TASK, ranges // IN_TASK)
     first = put_table(texts.mapInArrow(_first_pass(ranges, percent), "doc_id long, row long, row_b long, n long, digest_a long, digest_b long, part int, blob binary"), "join-first")
     rows = put_table(first.where("part is null").drop("part", "blob"), "join-rows")
     key = ["n", "digest_a", "digest_b"]
