@@ -242,3 +242,43 @@ def nad27(lat: Column, lon: Column) -> tuple[Column, Column]:
 def uniform(seed: Column, n: Column) -> Column:
     """The n-th number (from 1) of the minimal standard generator from a seed, between 0 and 1."""
     return F.aggregate(F.sequence(F.lit(1), n), seed.cast("long"), lambda s, _: s * 16807 % 2147483647) / 2147483647.0
+
+
+def grid_shape(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> tuple[Column, Column]:
+    """Columns and rows of square cells that cover an extent."""
+    return F.ceil((x1 - x0) / cell).cast("int"), F.ceil((y1 - y0) / cell).cast("int")
+
+
+def crossing(x: Column, y: Column, x2: Column, y2: Column, sx: Column, sy: Column, sx2: Column, sy2: Column) -> tuple[Column, Column]:
+    """Places, from 0 to 1 on each of two segments, where their lines cross; null where they are parallel."""
+    d = (x2 - x) * (sy2 - sy) - (y2 - y) * (sx2 - sx)
+    first = (sx - x) * (sy2 - sy) - (sy - y) * (sx2 - sx)
+    second = (sx - x) * (y2 - y) - (sy - y) * (x2 - x)
+    return F.when(d != 0, first.cast("double") / d), F.when(d != 0, second.cast("double") / d)
+
+
+def _byte(v: Column) -> Column:
+    return F.format_string("%02x", v.bitwiseAND(F.lit(255)))
+
+
+def pack_year(days: str, year: str, nodata: int = -32768) -> Column:
+    """Binary of a year's days from a map of day (from 0) to value: little-endian 16-bit integers, a code where there is none."""
+    y = F.col(year)
+    n = F.when((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0)), 366).otherwise(365)
+    value = lambda d: F.coalesce(F.element_at(days, d), F.lit(nodata))
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda d: F.concat(_byte(value(d)), _byte(F.shiftright(value(d), 8)))), ""))
+
+
+def to_planes(values: str) -> Column:
+    """Binary of 16-bit integers as differences from the one before, all low bytes first and then all high bytes."""
+    steps = F.transform(values, lambda v, i: v - F.coalesce(F.get(F.col(values), i - 1), F.lit(0)))
+    return F.unhex(F.concat(F.array_join(F.transform(steps, _byte), ""), F.array_join(F.transform(steps, lambda d: _byte(F.shiftright(d, 8))), "")))
+
+
+def from_planes(packed: str) -> Column:
+    """The integers of ``to_planes``."""
+    half = F.octet_length(packed) / 2
+    byte = lambda i: F.conv(F.hex(F.substring(F.col(packed), i.cast("int"), F.lit(1))), 16, 10).cast("int")
+    step = lambda i: F.pmod(byte(i) + byte(i + half) * 256 + 32768, F.lit(65536)) - 32768
+    steps = F.transform(F.sequence(F.lit(1), half.cast("int")), step)
+    return F.transform(steps, lambda _, i: F.aggregate(F.slice(steps, 1, i + 1), F.lit(0), lambda a, d: a + d))

@@ -54,10 +54,10 @@ def box_pass(grid: DataFrame, along: str, across: str, size: int, radius: int) -
 
 
 def box_blur(grid: DataFrame, rows: int, cols: int, radius: int, passes: int = 3) -> DataFrame:
-    """Repeated box passes on both axes, near to a Gaussian."""
-    for _ in range(passes):
-        grid = box_pass(grid, "col", "row", cols, radius)
-        grid = box_pass(grid, "row", "col", rows, radius)
+    """Repeated box passes on both axes, near to a Gaussian. Passes along one axis leave the other alone, so that all of an axis come in one exchange."""
+    for along, across, size in (("col", "row", cols), ("row", "col", rows)):
+        for _ in range(passes):
+            grid = box_pass(grid, along, across, size, radius)
     return grid
 
 
@@ -71,6 +71,20 @@ def gradient(grid: DataFrame) -> DataFrame:
     return grid.withColumn("gx", (side(F.lead, wx) - side(F.lag, wx)) / 2.0).withColumn("gy", (side(F.lead, wy) - side(F.lag, wy)) / 2.0)
 
 
+def hillshade(grid: DataFrame, cell: float, azimuth: float, altitude: float) -> DataFrame:
+    """row, col and shade (0 to 1) of a surface lit from an azimuth, clockwise from north, and an altitude, in degrees; rows run south."""
+    az, alt = F.radians(F.lit(azimuth)), F.radians(F.lit(altitude))
+    gx, gy = F.col("gx") / cell, F.col("gy") / cell
+    light = (-gx * F.cos(alt) * F.sin(az) + gy * F.cos(alt) * F.cos(az) + F.sin(alt)) / F.sqrt(1 + gx * gx + gy * gy)
+    return gradient(grid).select("row", "col", F.greatest(F.lit(0.0), light).alias("shade"))
+
+
+def window(grid: DataFrame, frame: DataFrame) -> DataFrame:
+    """Cells of ``grid`` inside the window of ``frame`` (one row: row0, col0, rows, cols), numbered from its corner."""
+    inside = (F.col("row") >= F.col("row0")) & (F.col("row") < F.col("row0") + F.col("rows")) & (F.col("col") >= F.col("col0")) & (F.col("col") < F.col("col0") + F.col("cols"))
+    return grid.join(F.broadcast(frame), inside).select((F.col("row") - F.col("row0")).alias("row"), (F.col("col") - F.col("col0")).alias("col"), "value")
+
+
 def bilinear(points: DataFrame, grid: DataFrame, rows: int, cols: int) -> DataFrame:
     """Value of a grid of points at (x, y) in cell units: null outside."""
     inside = F.col("x").between(0, cols - 1) & F.col("y").between(0, rows - 1)

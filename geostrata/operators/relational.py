@@ -39,11 +39,20 @@ def divide(df: DataFrame, candidate: str, member: str, members: int) -> DataFram
     return df.groupBy(candidate).agg(F.countDistinct(member).alias("_n")).where(F.col("_n") == members).select(candidate)
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """sorted[round_half_even(q * (n - 1))] of each key, one row with a column for each quantile."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(value).over(w))
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_r") == F.bround(F.lit(q) * (F.col("_n") - 1)), F.col(value))).alias(name) for name, q in quantiles.items()])
+def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], weight: str | None = None) -> DataFrame:
+    """sorted[round_half_even(q * (n - 1))] of each key, one row with a column for each quantile.
+
+    Equal values are counted first (``weight``: how often a row counts), so that a window sees distinct values alone.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
+    w = Window.partitionBy(*keys).orderBy(value)
+    ranked = counts.withColumn("_to", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+
+    def at(q: float) -> Column:
+        rank = F.bround(F.lit(q) * (F.col("_n") - 1))
+        return (rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_c"))
+
+    return ranked.groupBy(*keys).agg(*[F.max(F.when(at(q), F.col(value))).alias(name) for name, q in quantiles.items()])
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

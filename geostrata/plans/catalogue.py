@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geostrata.plans import more, rasters, rules, series, tables
+from geostrata.plans import checks, fields, more, rasters, rules, series, tables
 
 FLAGSHIP = "area_class_profile"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (rasters, tables, rules, series, more):
+for module in (rasters, tables, rules, series, more, checks, fields):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

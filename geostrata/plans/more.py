@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from geostrata.functions import expressions as E
 from geostrata.operators import graph
 from geostrata.plans.bindings import GRID, POINTS, edges, grid, points
+from geostrata.plans.series import UTM_SQL
 from geostrata.session import table
 
 QUERIES, ORACLES = {}, {}
 
 
+def _authalic(s: str) -> str:
+    """SQL of the authalic function of a sine, for the oracle."""
+    return f"(1 - e2) * ({s} / (1 - e2 * {s} * {s}) - ln((1 - e * {s}) / (1 + e * {s})) / (2 * e))"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -61,7 +67,7 @@ def flag_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", F.array_join(F.sort_array(F.array_union(layers, F.array(F.lit("daily")))), ",").alias("layers"), F.coalesce(F.nullif("r_name", F.lit("ASIA")), F.lit("elsewhere")).alias("frame"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT p_partkey AS node, CASE WHEN p_partkey = 0 THEN NULL ELSE p_partkey // 3 END AS parent, radians(p_size * 3.0) AS a FROM part WHERE p_partkey < 500), c AS (SELECT node, a, node AS root FROM l WHERE parent IS NULL UNION ALL SELECT l.node, l.a + c.a, c.root FROM l JOIN c ON l.parent = c.node)
+@query("""WITH RECURSIVE l AS (SELECT p_partkey AS node, CASE WHEN p_partkey = 0 THEN NULL ELSE p_partkey // 3 END AS parent, radians(p_size * 3.0) AS a FROM part), c AS (SELECT node, a, node AS root FROM l WHERE parent IS NULL UNION ALL SELECT l.node, l.a + c.a, c.root FROM l JOIN c ON l.parent = c.node)
 SELECT node, root, round(cos(a / 2), 9) AS w, round(sin(a / 2), 9) AS z FROM c""")
 def rotation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rotations composed from the root down; about one pole they add, which the oracle uses."""
@@ -90,7 +96,10 @@ def projection_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(k, e.alias("e"), n.alias("n")).select(k, F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"))
 
 
-@query()
+@query(f"""WITH {UTM_SQL}, b AS (SELECT c_custkey, lat, lon, easting, northing, f * (2 - f) AS e2, sqrt(f * (2 - f)) AS e, a FROM utm, k0),
+q AS (SELECT *, {_authalic("sin(radians(lat))")} AS qs, {_authalic("sin(radians(23.0))")} AS q0, {_authalic("sin(radians(29.5))")} AS q1, {_authalic("sin(radians(45.5))")} AS q2, cos(radians(29.5)) ** 2 / (1 - e2 * sin(radians(29.5)) ** 2) AS m1, cos(radians(45.5)) ** 2 / (1 - e2 * sin(radians(45.5)) ** 2) AS m2 FROM b),
+n AS (SELECT *, (m1 - m2) / (q2 - q1) AS n FROM q), r AS (SELECT *, a * sqrt(m1 + n * q1 - n * qs) / n AS rho, a * sqrt(m1 + n * q1 - n * q0) / n AS rho0, n * radians(lon + 96.0) AS theta FROM n)
+SELECT c_custkey, round(rho * sin(theta), 3) AS x, round(rho0 - rho * cos(theta), 3) AS y, substr('ABCDEFGH', CAST(floor(easting / 100000) AS INT), 1) || substr('FGHJKLMNPQRSTUVABCDE', CAST(floor(northing / 100000) AS INT) % 20 + 1, 1) AS square FROM r""")
 def equal_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points on the equal-area grid, with their 100 km squares."""
     k = F.col("c_custkey")
@@ -100,12 +109,12 @@ def equal_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(k, F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), E.quadkey_square(e, n).alias("square"))
 
 
-@query("""WITH c AS (SELECT doc_id, text FROM documents) SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes, upper(substr(sha256(text), 1, 8)) = upper(substr(sha256(text || ''), 1, 8)) AS verified, doc_id NOT IN (SELECT doc_id FROM labels) AS unlisted FROM c""")
+@query("""WITH c AS (SELECT doc_id, text, n_chars FROM documents) SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes, length(text) = n_chars AS verified, doc_id NOT IN (SELECT doc_id FROM labels) AS unlisted FROM c""")
 def ledger_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest and size of every entry, and whether the ledger lacks it (a warning)."""
+    """Digest and size of every entry, whether it has the length that its row declares, and whether the ledger lacks it (a warning)."""
     d, listed = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("listed")).distinct()
     digest = F.sha2(F.col("text"), 256)
-    return d.join(listed, "doc_id", "left").select("doc_id", digest.alias("sha256"), F.octet_length("text").cast("long").alias("bytes"), (digest == F.sha2(F.col("text"), 256)).alias("verified"), F.col("listed").isNull().alias("unlisted"))
+    return d.join(listed, "doc_id", "left").select("doc_id", digest.alias("sha256"), F.octet_length("text").cast("long").alias("bytes"), (F.char_length("text") == F.col("n_chars")).alias("verified"), F.col("listed").isNull().alias("unlisted"))
 
 
 @query("""WITH e AS (SELECT n_nationkey AS poly FROM nation), x AS (SELECT poly, poly % 7 * 10 AS older, poly % 5 * 9 AS younger FROM e) SELECT poly, CAST(greatest(younger, 0) AS INT) AS to_age, older >= younger AS ordered, CAST(older - lag(older, 1, 0) OVER (ORDER BY poly) AS INT) AS step FROM x WHERE older > 0""")

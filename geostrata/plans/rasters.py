@@ -35,10 +35,10 @@ q AS (SELECT poly, max(CASE WHEN r = round_even(0.1 * (n - 1), 0) THEN value END
 SELECT poly, cls, cells, round(pct, 6) AS pct, CAST(rank AS INT) AS rank, p10, p50, p90 FROM ranked JOIN q USING (poly) WHERE rank <= 6""")
 def area_class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of classes of 2 % or more, six at most, and nearest-rank quantiles inside each area."""
-    inside = mask(spark, sf_dir).join(grid(spark, sf_dir), ["row", "col"])
-    shares = inside.groupBy("poly", "cls").agg(F.count("*").alias("cells")).withColumn("pct", share(F.col("cells"), ["poly"])).where("pct >= 2")
+    counts = mask(spark, sf_dir).join(grid(spark, sf_dir), ["row", "col"]).groupBy("poly", "cls", "value").agg(F.count("*").alias("n"))  # shares and quantiles both come from these
+    shares = counts.groupBy("poly", "cls").agg(F.sum("n").alias("cells")).withColumn("pct", share(F.col("cells"), ["poly"])).where("pct >= 2")
     ranked = shares.withColumn("rank", F.row_number().over(Window.partitionBy("poly").orderBy(F.desc("pct"), "cls"))).where("rank <= 6")
-    q = nearest_rank(inside, ["poly"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    q = nearest_rank(counts, ["poly"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, "n")
     return ranked.join(q, "poly").select("poly", "cls", "cells", F.round("pct", 6).alias("pct"), "rank", "p10", "p50", "p90")
 
 
@@ -80,10 +80,12 @@ def section_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.where((s >= 0) & (s < 1) & at.between(100, 600)).select("line", "seq", F.round(at, 4).alias("at"))
 
 
-@query(f"""WITH {POINTS}, ends AS (SELECT line, arg_min(x * 1000 + y, seq) AS a, arg_max(x * 1000 + y, seq) AS b FROM pts GROUP BY 1)
+@query("""WITH ends AS (SELECT l_orderkey AS line, min({'n': l_linenumber, 'p': l_partkey}).p AS a, max({'n': l_linenumber, 'p': l_partkey}).p AS b FROM lineitem GROUP BY 1)
 SELECT u.line AS up, d.line AS down FROM ends u JOIN ends d ON u.b = d.a AND u.line <> d.line""")
 def endpoint_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = points(spark, sf_dir).groupBy("line").agg(F.min_by(F.col("x") * 1000 + F.col("y"), "seq").alias("a"), F.max_by(F.col("x") * 1000 + F.col("y"), "seq").alias("b"))
+    """Lines that begin where others end; the end points are parts, of which there are more as the lines grow."""
+    step = F.struct("l_linenumber", "l_partkey")
+    ends = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("line")).agg(F.min(step)["l_partkey"].alias("a"), F.max(step)["l_partkey"].alias("b"))
     up, down = ends.select(F.col("line").alias("up"), "b"), ends.select(F.col("line").alias("down"), F.col("a").alias("b"))
     return up.join(down, "b").where("up <> down").select("up", "down")
 
@@ -100,7 +102,7 @@ SELECT s_suppkey, min((sx - cx) * (sx - cx) + (sy - cy) * (sy - cy)) AS d2 FROM
 def nearest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared distance to the nearest point within 50, by buckets of 50: each point looks into nine."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 7919 % 1000).alias("sx"), (F.col("s_suppkey") * 104729 % 1000).alias("sy"))
-    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 7919 % 1000).alias("cx"), (F.col("c_custkey") * 31337 % 1000).alias("cy"))
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 7919 % 1000).alias("cx"), (F.col("c_custkey") * 31337 % 1000).alias("cy")).distinct()  # places, of which a bucket holds 2,500 at most
     c = c.withColumn("bx", F.floor(F.col("cx") / 50)).withColumn("by_", F.floor(F.col("cy") / 50))
     around = "explode(transform(sequence(0, 8), i -> struct(floor(sx / 50) + i % 3 - 1 as bx, floor(sy / 50) + i div 3 - 1 as by_)))"
     s = s.withColumn("k", F.expr(around)).select("s_suppkey", "sx", "sy", F.col("k.bx").alias("bx"), F.col("k.by_").alias("by_"))
@@ -200,7 +202,7 @@ def bilinear_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.bilinear(p, grid(spark, sf_dir), 64, 64).select("c_custkey", F.round("value", 6).alias("value"))
 
 
-@query(f"""WITH {SEGMENTS}, steps AS (SELECT CAST(round_even(x / 16.0 + (x2 - x) / 16.0 * k.range / 8.0, 0) AS BIGINT) AS col, CAST(round_even(y / 16.0 + (y2 - y) / 16.0 * k.range / 8.0, 0) AS BIGINT) AS row FROM seg, range(9) k WHERE x2 IS NOT NULL AND line % 50 = 0)
+@query(f"""WITH {SEGMENTS}, steps AS (SELECT CAST(round_even(x / 16.0 + (x2 - x) / 16.0 * k.range / 8.0, 0) AS BIGINT) AS col, CAST(round_even(y / 16.0 + (y2 - y) / 16.0 * k.range / 8.0, 0) AS BIGINT) AS row FROM seg, range(9) k WHERE x2 IS NOT NULL)
 SELECT DISTINCT row + dr.range AS row, col + dc.range AS col FROM steps, range(-1, 2) dr, range(-1, 2) dc""")
 def line_brush(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that a brush of three by three touches along lines, sampled eight times a segment."""

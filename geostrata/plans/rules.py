@@ -37,15 +37,18 @@ UNION ALL SELECT 'address', count(*), count(DISTINCT doc_id) FROM l WHERE regexp
 UNION ALL SELECT 'credential', count(*), count(DISTINCT doc_id) FROM l WHERE regexp_matches(line, '(key|token|secret|pass)[a-z_]* *[=:] *"[^"]{32,}"')
 UNION ALL SELECT 'number', count(*), count(DISTINCT doc_id) FROM l WHERE regexp_matches(line, '(^|[^0-9])[0-9]{15,16}([^0-9]|$)')""")
 def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that break each pattern rule, in one pass over the lines; a plain test for a needed character comes before each pattern."""
-    rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}", "address": r"(^|[^0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}([^0-9.]|$)", "credential": '(key|token|secret|pass)[a-z_]* *[=:] *"[^"]{32,}"', "number": "(^|[^0-9])[0-9]{15,16}([^0-9]|$)"}
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    digits = F.translate("line", "0123456789", "") != F.col("line")
-    needs = {"email": F.contains("line", F.lit("@")), "address": digits, "credential": F.contains("line", F.lit('"')), "number": digits}
-    broken = F.filter(F.array(*[F.when(needs[n] & F.col("line").rlike(p), F.lit(n)) for n, p in rules.items()]), lambda x: x.isNotNull())
-    found = lines.select("doc_id", F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("lines"), F.countDistinct("doc_id").alias("docs"))
-    names = spark.createDataFrame([(n,) for n in rules], "rule string")
-    return names.join(found, "rule", "left").select("rule", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("docs", F.lit(0)).alias("docs"))
+    """Lines that break each pattern rule, counted within each document; a plain test for a needed character comes before each pattern."""
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}", lambda x: F.contains(x, F.lit("@"))),
+        "address": (r"(^|[^0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}([^0-9.]|$)", lambda x: F.translate(x, "0123456789", "") != x),
+        "credential": ('(key|token|secret|pass)[a-z_]* *[=:] *"[^"]{32,}"', lambda x: F.contains(x, F.lit('"'))),
+        "number": ("(^|[^0-9])[0-9]{15,16}([^0-9]|$)", lambda x: F.translate(x, "0123456789", "") != x),
+    }
+    lines = table(spark, sf_dir, "documents").select(F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    breaks = lambda p, need: F.size(F.filter("lines", lambda x: need(x) & x.rlike(p)))
+    counts = lines.select(*[breaks(p, need).alias(n) for n, (p, need) in rules.items()])
+    sums = counts.agg(*[e for n in rules for e in (F.sum(n).alias(n), F.count_if(F.col(n) > 0).alias(f"{n}_docs"))])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(n, F.lit(0)).cast("long").alias("lines"), F.col(f"{n}_docs").alias("docs")) for n in rules])).alias("r")).select("r.*")
 
 
 #: Keys of vendors, by pattern.
@@ -110,13 +113,16 @@ def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = raw.select(F.nullif("l_orderkey", F.lit(17)).alias("l_orderkey"), (F.col("l_partkey") + F.when(F.col("l_partkey") % 500 == 0, 1000000).otherwise(0)).alias("l_partkey"), "l_quantity", "l_linenumber")
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 700 == 0, -1).otherwise(F.col("o_custkey")).alias("o_custkey"))
     tally = lambda issue, severity, df: df.agg(F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), F.count("*").alias("n"))
+    # what one row tells comes from one scan, what keys tell from one aggregate
+    own = li.join(table(spark, sf_dir, "part").select(F.col("p_partkey")), F.col("l_partkey") == F.col("p_partkey"), "left")
+    own = own.agg(F.count_if(F.col("p_partkey").isNull()).alias("a"), F.count_if(F.col("l_orderkey").isNull()).alias("b"), F.count_if(F.col("l_quantity") < F.col("l_linenumber")).alias("c"))
+    own = own.select(F.explode(F.array(*[F.struct(F.lit(i).alias("issue"), F.lit("error").alias("severity"), F.col(c).alias("n")) for i, c in (("unknown part", "a"), ("missing order", "b"), ("interval", "c"))])).alias("r")).select("r.*")
+    keys = raw.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
     parts = [
-        tally("duplicate line", "error", raw.groupBy("l_orderkey", "l_linenumber").count().where("count > 1")),
-        tally("unknown part", "error", li.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_anti")),
+        own,
+        tally("duplicate line", "error", keys.where("n > 1")),
         tally("unknown customer", "error", o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")),
-        tally("missing order", "error", li.where("l_orderkey is null")),
-        tally("order without lines", "warning", o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")),
-        tally("interval", "error", li.where("l_quantity < l_linenumber")),
+        tally("order without lines", "warning", o.join(keys.where("l_orderkey <> 17"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -156,8 +162,24 @@ def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "event_type", k.alias("k")).select("event_id", "k", F.when(F.col("k").between(10, 80), F.col("k")).alias("ranged"), F.when(F.col("k").isNull(), "unusable").when(F.col("event_type") == "click", "ready").otherwise("other").alias("state"))
 
 
-@query(f"""WITH s AS (SELECT p_partkey, p_partkey * 37 % 101 AS sand, (100 - p_partkey * 37 % 101) * (p_partkey % 7) // 7 AS silt FROM part), t AS (SELECT p_partkey, sand, silt, 100 - sand - silt AS clay, p_partkey % 5000 AS heat, p_partkey % 1200 AS km FROM s)
-SELECT p_partkey, {texture_class()} AS texture, {heat_region("heat")} AS region, CAST({stream_class("km")} AS INT) AS stream FROM t""")
+@query("""WITH s AS (SELECT p_partkey, p_partkey * 37 % 101 AS sand, (100 - p_partkey * 37 % 101) * (p_partkey % 7) // 7 AS silt, p_partkey % 5000 AS heat, p_partkey % 1200 AS km FROM part),
+t AS (SELECT *, 100 - sand - silt AS clay FROM s),
+-- the triangle by regions, each stated whole, so that their order doesn't matter
+u AS (SELECT p_partkey, heat, km, CASE
+  WHEN silt + 1.5 * clay < 15 THEN 'sand'
+  WHEN silt + 1.5 * clay >= 15 AND silt + 2 * clay < 30 THEN 'loamy sand'
+  WHEN silt + 2 * clay >= 30 AND ((clay >= 7 AND clay < 20 AND sand > 52) OR (clay < 7 AND silt < 50)) THEN 'sandy loam'
+  WHEN clay BETWEEN 7 AND 26 AND silt BETWEEN 28 AND 49 AND sand <= 52 THEN 'loam'
+  WHEN silt >= 80 AND clay < 12 THEN 'silt'
+  WHEN silt >= 50 AND clay < 27 AND NOT (silt >= 80 AND clay < 12) THEN 'silt loam'
+  WHEN clay BETWEEN 20 AND 34 AND silt < 28 AND sand > 45 THEN 'sandy clay loam'
+  WHEN clay BETWEEN 27 AND 39 AND sand BETWEEN 21 AND 45 THEN 'clay loam'
+  WHEN clay BETWEEN 27 AND 39 AND sand <= 20 THEN 'silty clay loam'
+  WHEN clay >= 35 AND sand > 45 THEN 'sandy clay'
+  WHEN clay >= 40 AND silt >= 40 THEN 'silty clay'
+  WHEN clay >= 40 AND silt < 40 AND sand <= 45 THEN 'clay' END AS texture FROM t)
+SELECT p_partkey, texture, list_extract(['I', 'II', 'III', 'IV', 'V'], 1 + CAST(heat > 2500 AS INT) + CAST(heat > 3000 AS INT) + CAST(heat > 3500 AS INT) + CAST(heat > 4000 AS INT)) AS region,
+CAST(len(list_filter([0, 10, 40, 100, 300, 1000], lambda b: km >= b)) AS INT) AS stream FROM u""")
 def texture_and_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey * 37 % 101 as sand", "p_partkey % 5000 as heat", "p_partkey % 1200 as km")
     t = t.selectExpr("*", "((100 - sand) * (p_partkey % 7)) div 7 as silt").selectExpr("*", "100 - sand - silt as clay")

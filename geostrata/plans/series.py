@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geostrata.functions import expressions as E
 from geostrata.operators import graph
 from geostrata.operators.relational import asof_backward, top_n
-from geostrata.plans.bindings import GRID, edges, grid, points
+from geostrata.plans.bindings import EDGES, POINTS, edges, grid, points
 from geostrata.session import table
 from geostrata.streaming import jobs
 
@@ -72,7 +72,7 @@ def day_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("complete", F.col("days") == 31)
 
 
-@query("""WITH e AS (SELECT event_type, user_id % 24 AS cell, CAST(ts AS DATE) AS day, max(value) AS v FROM events WHERE user_id % 24 < 4 GROUP BY 1, 2, 3), c AS (SELECT event_type, cell, d.day FROM (SELECT DISTINCT event_type, cell FROM e) x, (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) d)
+@query("""WITH e AS (SELECT event_type, user_id % 24 AS cell, CAST(ts AS DATE) AS day, max(value) AS v FROM events GROUP BY 1, 2, 3), c AS (SELECT event_type, cell, d.day FROM (SELECT DISTINCT event_type, cell FROM e) x, (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) d)
 SELECT c.event_type, c.cell, c.day, last_value(v IGNORE NULLS) OVER (PARTITION BY c.event_type, c.cell ORDER BY c.day ROWS UNBOUNDED PRECEDING) AS held, CAST(coalesce(round_even(v * 10, 0), -32768) AS INT) AS packed FROM c LEFT JOIN e ON e.event_type = c.event_type AND e.cell = c.cell AND e.day = c.day""")
 def hold_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cube of days: the last value holds over gaps; stored as tenths with a no-data code."""
@@ -83,17 +83,17 @@ def hold_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.select("event_type", "cell", "day", F.last("v", ignorenulls=True).over(w).alias("held"), F.coalesce(F.bround(F.col("v") * 10), F.lit(-32768)).cast("int").alias("packed"))
 
 
-def _utm_sql() -> str:
-    r, a, e = E.series(E.GRS80)
-    k = E.UTM_SCALE * r
-    xi = " + ".join(["xi"] + [f"{c!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(a, 1)])
-    eta = " + ".join(["eta"] + [f"{c!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(a, 1)])
-    return f"""WITH p AS (SELECT c_custkey, 36 + (c_custkey * 7919 % 1000) / 250.0 AS lat, -124 + (c_custkey * 104729 % 1000) / 250.0 AS lon FROM customer),
-t AS (SELECT *, sinh(atanh(sin(radians(lat))) - {e!r} * atanh({e!r} * sin(radians(lat)))) AS t, radians(lon + 123.0) AS lam FROM p), u AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
-SELECT c_custkey, round(500000.0 + {k!r} * ({eta}), 3) AS easting, round({k!r} * ({xi}), 3) AS northing, round((lon + 180.0) / 360.0 * 262144.0, 3) AS px, round((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 262144.0, 3) AS py FROM u"""
+#: Zone 10 by the published third-order series, from the ellipsoid's axis and flattening on; stands apart from the functions that it checks.
+UTM_SQL = """k0 AS (SELECT 6378137.0::DOUBLE AS a, 1 / 298.257222101::DOUBLE AS f), k1 AS (SELECT *, f / (2 - f) AS n, sqrt(f * (2 - f)) AS e FROM k0),
+k AS (SELECT *, 0.9996::DOUBLE * a / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS r, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS c1, 13 * n * n / 48 - 3 * n * n * n / 5 AS c2, 61 * n * n * n / 240 AS c3 FROM k1),
+p AS (SELECT c_custkey, 36 + (c_custkey * 7919 % 1000) / 250.0::DOUBLE AS lat, -124 + (c_custkey * 104729 % 1000) / 250.0::DOUBLE AS lon FROM customer),
+t AS (SELECT p.*, k.*, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, radians(lon + 123.0) AS lam FROM p, k),
+u AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t),
+utm AS (SELECT c_custkey, lat, lon, 500000.0 + r * (eta + c1 * cos(2 * xi) * sinh(2 * eta) + c2 * cos(4 * xi) * sinh(4 * eta) + c3 * cos(6 * xi) * sinh(6 * eta)) AS easting,
+  r * (xi + c1 * sin(2 * xi) * cosh(2 * eta) + c2 * sin(4 * xi) * cosh(4 * eta) + c3 * sin(6 * xi) * cosh(6 * eta)) AS northing FROM u)"""
 
 
-@query(_utm_sql())
+@query(f"WITH {UTM_SQL} SELECT c_custkey, round(easting, 3) AS easting, round(northing, 3) AS northing, round((lon + 180.0) / 360.0 * 262144.0, 3) AS px, round((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 262144.0, 3) AS py FROM utm")
 def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in UTM and in Mercator pixels, to the millimetre."""
     k = F.col("c_custkey")
@@ -132,10 +132,10 @@ def colour_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("p_brand", E.wheel(F.col("k")).alias("colour"))
 
 
-RIVER = "edges_ AS (SELECT p_partkey AS up, p_partkey // 2 AS down FROM part WHERE p_partkey < 400 AND p_partkey > 0 UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey < 400 AND p_partkey > 0 AND p_partkey % 10 = 0)"
+RIVER = "edges_ AS (SELECT p_partkey AS up, p_partkey // 2 AS down FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0 AND p_partkey % 10 = 0)"
 
 
-@query(f"""WITH RECURSIVE {RIVER}, fan AS (SELECT up, count(*) AS ways FROM edges_ GROUP BY 1), walk AS (SELECT p_partkey AS source, p_partkey AS node, CAST(p_size AS DOUBLE) AS w FROM part WHERE p_partkey < 400 UNION ALL SELECT source, down, w / ways FROM walk JOIN edges_ ON up = node JOIN fan ON fan.up = node)
+@query(f"""WITH RECURSIVE {RIVER}, fan AS (SELECT up, count(*) AS ways FROM edges_ GROUP BY 1), walk AS (SELECT p_partkey AS source, p_partkey AS node, CAST(p_size AS DOUBLE) AS w FROM part UNION ALL SELECT source, down, w / ways FROM walk JOIN edges_ ON up = node JOIN fan ON fan.up = node)
 SELECT node, round(sum(w), 6) AS total FROM walk GROUP BY 1""")
 def arbolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upstream length of a braided network, by topological levels."""
@@ -153,8 +153,7 @@ def containment_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(e).select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
 
 
-@query(f"""WITH RECURSIVE {GRID}, c AS (SELECT row, col, row * 64 + col AS id FROM grid WHERE value < 330 AND row < 24 AND col < 24), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON abs(a.row - b.row) + abs(a.col - b.col) = 1), r AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT label, count(*) AS cells FROM (SELECT a, min(b) AS label FROM r GROUP BY 1) t GROUP BY 1""")
+@query()
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pools of low cells, by neighbours of four."""
     c = grid(spark, sf_dir).where("value < 330").select("row", "col", (F.col("row") * 64 + F.col("col")).alias("id"))
@@ -165,16 +164,26 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(label, c.id == label.node, "left").groupBy(F.coalesce("label", "id").alias("label")).agg(F.count("*").alias("cells"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT poly, avg(x) AS x, avg(y) AS y FROM edges WHERE ring = 0 GROUP BY 1), p AS (SELECT a.poly AS a, b.poly AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS gap FROM c a JOIN c b ON a.poly <> b.poly),
+s AS (SELECT 0 AS step, 0 AS poly, CAST(0 AS DOUBLE) AS gap, [0] AS seen UNION ALL SELECT step + 1, nxt.b, nxt.gap, list_append(seen, nxt.b)
+  FROM (SELECT s.step, s.seen, min({{'far': NOT (p.a = s.poly AND p.gap <= 15), 'gap': p.gap, 'b': p.b}}) AS nxt FROM s JOIN p ON list_contains(s.seen, p.a) AND NOT list_contains(s.seen, p.b) GROUP BY s.step, s.seen) x)
+SELECT step, poly, round(gap, 6) AS gap FROM s""")
 def greedy_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visit order of the areas: the nearest that touches the last one, else the nearest to any."""
     c = edges(spark, sf_dir).where("ring = 0").groupBy("poly").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     o = c.select(F.col("poly").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     pairs = c.join(o, c.poly != o.b).select(F.col("poly").alias("a"), "b", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")).alias("gap"))
-    return spark.createDataFrame(graph.greedy_order(pairs, 0, 15.0), "step int, poly int, gap double")
+    return spark.createDataFrame(graph.greedy_order(pairs, 0, 15.0), "step int, poly int, gap double").withColumn("gap", F.round("gap", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, ends AS (SELECT line, max(seq) AS last, count(*) AS n FROM pts GROUP BY 1),
+s AS (SELECT line, CAST(0 AS BIGINT) AS lo, last AS hi FROM ends UNION ALL SELECT line, unnest([lo, mid]) AS lo, unnest([mid, hi]) AS hi FROM (
+  SELECT line, lo, hi, 0 - (max({{'d': d, 'm': 0 - seq}}))['m'] AS mid, max(d) AS far FROM (
+    SELECT line, lo, hi, seq, sqrt((px - t * dx) ** 2 + (py - t * dy) ** 2) AS d FROM (
+      SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (px * dx + py * dy) / CAST(dx * dx + dy * dy AS DOUBLE))) END AS t FROM (
+        SELECT s.line, s.lo, s.hi, p.seq, p.x - a.x AS px, p.y - a.y AS py, b.x - a.x AS dx, b.y - a.y AS dy FROM s JOIN pts a ON a.line = s.line AND a.seq = s.lo JOIN pts b ON b.line = s.line AND b.seq = s.hi JOIN pts p ON p.line = s.line AND p.seq > s.lo AND p.seq < s.hi) q1) q2) q3 GROUP BY line, lo, hi) w WHERE far > 60),
+k AS (SELECT line, lo AS v FROM s UNION SELECT line, hi FROM s)
+SELECT k.line, CAST(any_value(n) AS INT) AS n, CAST(count(*) AS INT) AS n_kept, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS kept FROM k JOIN ends ON ends.line = k.line GROUP BY 1""")
 def simplify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices that a tolerance of 60 keeps in each line; a line is one row with its vertices as an array."""
     from geostrata.functions.simplify import keep_vertices

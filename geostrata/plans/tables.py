@@ -41,7 +41,7 @@ def join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", "n_name", "r_name", (F.coalesce("spent", F.lit(0.0)) == 0).alias("idle"), F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey < 200000),
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem),
 o AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders)
 SELECT o_custkey AS unit, o_orderkey AS component, (SELECT sum(l_quantity) FROM l WHERE l_orderkey = o_orderkey) AS depth, coalesce((SELECT min(l_partkey) FROM l WHERE l_orderkey = o_orderkey AND l_linenumber = 1), -1) AS first_part,
 string_agg(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), '/' ORDER BY l_linenumber, l_partkey, l_quantity) AS layers FROM o LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1, 2""")
@@ -62,8 +62,8 @@ def major_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(c, ["c_nationkey"], [F.desc("major"), F.desc("c_acctbal"), F.col("c_custkey")], 1).drop("rank")
 
 
-LAYERS = """a AS (SELECT p_partkey % 200 AS profile, p_brand AS name, sum(p_size) OVER w - p_size AS top, sum(p_size) OVER w AS bottom FROM part WINDOW w AS (PARTITION BY p_partkey % 200 ORDER BY p_partkey ROWS UNBOUNDED PRECEDING)),
-b AS (SELECT p_partkey % 200 AS profile, p_brand AS name, sum(p_size) OVER w - p_size AS top, sum(p_size) OVER w AS bottom FROM part WINDOW w AS (PARTITION BY p_partkey % 200 ORDER BY p_partkey DESC ROWS UNBOUNDED PRECEDING))"""
+LAYERS = """a AS (SELECT p_partkey // 10 AS profile, p_brand AS name, sum(p_size) OVER w - p_size AS top, sum(p_size) OVER w AS bottom FROM part WINDOW w AS (PARTITION BY p_partkey // 10 ORDER BY p_partkey ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT p_partkey // 10 AS profile, p_brand AS name, sum(p_size) OVER w - p_size AS top, sum(p_size) OVER w AS bottom FROM part WINDOW w AS (PARTITION BY p_partkey // 10 ORDER BY p_partkey DESC ROWS UNBOUNDED PRECEDING))"""
 
 
 @query(f"""WITH {LAYERS}, j AS (SELECT a.profile, a.top, a.bottom, a.name, b.name AS match, least(a.bottom, b.bottom) - greatest(a.top, b.top) AS overlap,
@@ -72,7 +72,7 @@ SELECT profile, CAST(top AS BIGINT) AS top, CAST(bottom AS BIGINT) AS bottom, na
 def layer_overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     def layers(order) -> DataFrame:
         w = Window.partitionBy("profile").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        p = table(spark, sf_dir, "part").withColumn("profile", F.col("p_partkey") % 200)
+        p = table(spark, sf_dir, "part").withColumn("profile", F.floor(F.col("p_partkey") / 10))
         return p.withColumn("bottom", F.sum("p_size").over(w)).select("profile", F.col("p_brand").alias("name"), (F.col("bottom") - F.col("p_size")).alias("top"), "bottom")
 
     a, b = layers(F.asc("p_partkey")), layers(F.desc("p_partkey"))
@@ -100,12 +100,12 @@ def reverse_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.join(legend, "hex", "left").groupBy("cls").agg(F.count("*").alias("pixels"))
 
 
-@query("""WITH a AS (SELECT row_number() OVER (ORDER BY c_custkey) AS rec, c_name FROM customer), b AS (SELECT o_orderkey % 2000 AS rec, max(o_totalprice) AS geometry FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1)
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY c_custkey) AS rec, c_name FROM customer), b AS (SELECT o_custkey + 1 AS rec, max(o_totalprice) AS geometry FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1)
 SELECT a.rec, c_name, geometry FROM a JOIN b ON a.rec = b.rec WHERE geometry IS NOT NULL""")
 def zip_by_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes and shapes meet by record number, which readers emit."""
     a = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("rec"), "c_name")  # keys count from 0 without gaps
-    b = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").groupBy((F.col("o_orderkey") % 2000).alias("rec")).agg(F.max("o_totalprice").alias("geometry"))
+    b = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").groupBy((F.col("o_custkey") + 1).alias("rec")).agg(F.max("o_totalprice").alias("geometry"))
     return a.join(b, "rec").where("geometry is not null")
 
 
@@ -128,7 +128,7 @@ def override_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(o, (F.col("code") == F.col("c")) & (F.col("page_id") % 5 != 0), "left").select("page_id", F.coalesce(F.col("owner").cast("string"), F.col("url")).alias("label"), F.col("owner").isNotNull().alias("overridden"))
 
 
-@query("""SELECT o_orderkey, k.sq AS square FROM orders JOIN (SELECT DISTINCT substr(o_orderpriority, 1, 1) AS sq FROM orders) k ON regexp_matches('T' || o_orderpriority || '_' || o_orderstatus, 'T' || k.sq || '.*_F') WHERE o_orderkey % 20 = 0""")
+@query("""SELECT o_orderkey, k.sq AS square FROM orders JOIN (SELECT DISTINCT substr(o_orderpriority, 1, 1) AS sq FROM orders) k ON regexp_matches('T' || o_orderpriority || '_' || o_orderstatus, 'T' || k.sq || '.*_F')""")
 def pattern_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     keys = o.select(F.substring("o_orderpriority", 1, 1).alias("square")).distinct()

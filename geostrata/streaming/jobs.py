@@ -42,9 +42,13 @@ def sessions(df: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return watermarked(df).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-def fresh(df: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Each unit once: repeats within the delay are dropped."""
-    return df.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+def fresh(df: DataFrame, unit: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Each unit once, however late it first comes; repeats are dropped.
+
+    The state store is the ledger of the units seen: one key a unit, kept for good, so that no watermark applies. With many
+    units set RocksDB as the store, which keeps them on disk.
+    """
+    return df.dropDuplicates(list(unit))
 
 
 def ingest(df: DataFrame, path: str, checkpoint: str):

@@ -42,9 +42,20 @@ def test_ingest_keeps_the_latest_revision(spark, tmp_path):
     assert got == [(2, 1.0), (3, 2.0), (4, 2.0)]
 
 
-def test_repeats_are_dropped(spark, feed, tmp_path):
-    q = jobs.fresh(feed.unionByName(feed))
-    assert drain(q.select("event_id"), "fresh", "append", tmp_path).count() == 1000
+@pytest.mark.parametrize("newest_first", [False, True])
+def test_units_are_taken_once_however_late(spark, sf, tmp_path, newest_first):
+    """Files come one by one, a whole time range each; an older file after a newer one is late, and still taken."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    days = [r.d for r in e.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
+    cuts = [days[0], days[len(days) // 3], days[2 * len(days) // 3]]
+    parts = [e.where((F.to_date("ts") >= a) & ((F.to_date("ts") < b) if b else F.lit(True))) for a, b in zip(cuts, [*cuts[1:], None])]
+    order = list(reversed(parts)) if newest_first else parts
+    for part in [*order, parts[0]]:  # the first range comes twice
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = jobs.fresh(jobs.event_stream(spark, str(tmp_path / "in"))).select("event_id")
+        q.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.distinct().count() == e.count()
 
 
 def test_sessions_split_at_the_gap(spark):
