@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in ``spark.checkpoint.dir`` or where that is unset (tests) in a temporary folder."""
+    """A reliable checkpoint, in ``spark.checkpoint.dir`` or where that is unset and all runs on one machine (tests) in a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.getConf().get("spark.checkpoint.dir") and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="geostrata-"))
     return df.checkpoint()
 
