@@ -176,3 +176,30 @@ def test_chains_compose_to_their_root(spark):
     links = spark.createDataFrame([(0, None, 1.0), (1, 0, 2.0), (2, 1, 3.0), (3, 2, 5.0), (9, 8, 7.0)], "node int, parent int, value double")
     got = {r.node: r.value for r in graph.compose_chains(links, lambda a, b: a * b).collect()}
     assert got == {0: 1.0, 1: 2.0, 2: 6.0, 3: 30.0, 9: None}
+
+
+def test_planes_and_crossings(spark):
+    df = spark.createDataFrame([([5, 3, 30000, -7, -30000],), ([1],)], "v array<int>")
+    packed = df.select("v", E.to_planes("v").alias("p"))
+    assert [bytes(r.p) for r in packed.collect()][1] == b"\x01\x00"
+    assert all(r.v == r.back for r in packed.select("v", E.from_planes("p").alias("back")).collect())
+    t, s = E.crossing(*(F.lit(x) for x in (0, 0, 10, 10, 0, 10, 10, 0)))
+    assert tuple(spark.range(1).select(t, s).first()) == (0.5, 0.5)
+
+
+def test_page_rules_by_literals(spark):
+    from geostrata.plans.checks import page_rule_counts
+
+    html = '<script src="//bad.example/x.js"></script><SCRIPT src=https://unpkg.com/y.js integrity="sha384-a"></script><a target=_blank rel="noopener" href=x>a</a><a href=y target="_blank">b</a><script>new Function("x")</script>'
+    got = page_rule_counts(spark.createDataFrame([(1, html), (2, "")], "page_id long, html string")).collect()
+    assert [tuple(r) for r in got] == [(1, 1, 1, 1, 1), (2, 0, 0, 0, 0)]
+
+
+def test_a_grid_that_breaks_its_metadata_is_an_error(spark):
+    from geostrata.plans.checks import checked_grid
+
+    fine = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "row long, col long, value double")
+    assert checked_grid(fine, 1, 2).count() == 2
+    for bad in (fine.unionByName(fine), fine.withColumn("row", F.col("row") + 1)):
+        with pytest.raises(Exception, match="out of grid"):
+            checked_grid(bad, 1, 2).collect()
