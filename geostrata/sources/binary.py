@@ -1,4 +1,4 @@
-"""Binary geodata formats as rows: dBASE, shapefiles, TIFF rasters, PNG images, zipped members.
+"""Binary geodata formats as rows: dBASE, shapefiles, PNG images, zipped members, flat grids. TIFF rasters are in ``tiff``.
 
 Decoders take bytes and follow the published formats. ``read`` runs one of them on the
 executors over Spark's binaryFile source, so that files may lie in any store.
@@ -6,6 +6,8 @@ executors over Spark's binaryFile source, so that files may lie in any store.
 
 from __future__ import annotations
 
+import base64
+import gzip
 import io
 import struct
 import zipfile
@@ -14,12 +16,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: TIFF field types: bytes and struct code of each. Fixed values of the format.
-TIFF_TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 11: (4, "f"), 12: (8, "d")}
-
 
 def dbase(data: bytes) -> list[dict | None]:
     """Records of a dBASE III table; deleted ones are None, blank values null, numeric fields numbers."""
@@ -75,66 +74,6 @@ def shapes(data: bytes) -> list[list[list[tuple[float, float]]] | None]:
     return out
 
 
-def lzw(data: bytes) -> bytes:
-    """TIFF's LZW: codes from the high bit on, one bit wider one code early."""
-    out, table = [], [bytes([i]) for i in range(256)] + [b"", b""]
-    width, hold, bits, last = 9, 0, 0, None
-    for byte in data:
-        hold, bits = hold << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, hold = hold >> bits, hold & (1 << bits) - 1
-        if code == 256:
-            del table[258:]
-            width, last = 9, None
-            continue
-        if code == 257:
-            break
-        word = table[code] if code < len(table) else last + last[:1]
-        out.append(word)
-        if last is not None:
-            table.append(last + word[:1])
-        last = word
-        width = max(9, min(12, (len(table) + 1).bit_length()))
-    return b"".join(out)
-
-
-def tiff(data: bytes) -> np.ndarray:
-    """First image of a TIFF as (rows, columns[, samples]): strips or tiles; plain, LZW or deflate; predictor 1 or 2; either byte order."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    if struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a TIFF")
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    tags: dict[int, tuple] = {}
-    for i in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        if kind not in TIFF_TYPES:
-            continue
-        size, code = TIFF_TYPES[kind]
-        where = at + 10 + 12 * i if size * n <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
-        tags[tag] = struct.unpack_from(order + (f"{n}s" if code == "s" else code * n), data, where)
-    width, height = tags[256][0], tags[257][0]
-    bits, samples, packing, form = tags.get(258, (8,))[0], tags.get(277, (1,))[0], tags.get(259, (1,))[0], tags.get(339, (1,))[0]
-    kind = np.dtype(order + {(8, 1): "u1", (16, 1): "u2", (16, 2): "i2", (32, 1): "u4", (32, 2): "i4", (32, 3): "f4", (64, 3): "f8"}[bits, form])
-    tiled = 322 in tags
-    tw, th = (tags[322][0], tags[323][0]) if tiled else (width, tags.get(278, (height,))[0])
-    offsets, counts = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    across = -(-width // tw)
-    out = np.zeros((-(-height // th) * th, across * tw, samples), kind.newbyteorder("="))
-    for i, (o, n) in enumerate(zip(offsets, counts, strict=True)):
-        raw = data[o : o + n]
-        raw = {1: lambda b: b, 5: lzw, 8: zlib.decompress, 32946: zlib.decompress}[packing](raw)
-        block = np.frombuffer(raw, kind)
-        block = block[: len(block) // (tw * samples) * tw * samples].reshape(-1, tw, samples)
-        if tags.get(317, (1,))[0] == 2:
-            block = np.cumsum(block, axis=1, dtype=block.dtype.newbyteorder("="))
-        r, c = i // across * th, i % across * tw
-        out[r : r + len(block), c : c + tw] = block
-    out = out[:height, :width]
-    return out[..., 0] if samples == 1 else out
-
-
 def png(data: bytes) -> np.ndarray:
     """(rows, columns, channels) of an 8-bit PNG without interlacing."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
@@ -174,17 +113,62 @@ def png(data: bytes) -> np.ndarray:
     return out.reshape(height, width, channels)
 
 
-def png_bytes(pixels: np.ndarray) -> bytes:
-    """An 8-bit PNG of (rows, columns[, channels]) without filters."""
-    pixels = pixels if pixels.ndim == 3 else pixels[..., None]
+def png_bytes(pixels: np.ndarray, palette: list[tuple[int, int, int, int]] | None = None, sub: bool = False) -> bytes:
+    """An 8-bit PNG of (rows, columns[, channels]): plain lines, or each as differences from the pixel to its left (``sub``).
+
+    With a palette of (red, green, blue, alpha) the pixels are its indexes.
+    """
+    pixels = np.ascontiguousarray(pixels if pixels.ndim == 3 else pixels[..., None], np.uint8)
     height, width, channels = pixels.shape
-    colour = {1: 0, 2: 4, 3: 2, 4: 6}[channels]
-    rows = np.concatenate([np.zeros((height, 1), np.uint8), np.ascontiguousarray(pixels, np.uint8).reshape(height, -1)], axis=1)
+    if palette is not None and (channels > 1 or len(palette) > 256 or pixels.max(initial=0) >= len(palette)):
+        raise ValueError("indexes into a palette of 256 colours at most")
+    colour = {1: 0, 2: 4, 3: 2, 4: 6}[channels] if palette is None else 3
+    lines = np.diff(pixels, axis=1, prepend=np.uint8(0)) if sub else pixels
+    rows = np.concatenate([np.full((height, 1), sub, np.uint8), lines.reshape(height, width * channels)], axis=1)
 
     def chunk(kind: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0))]
+    if palette is not None:
+        parts += [(b"PLTE", bytes(v for c in palette for v in c[:3])), (b"tRNS", bytes(c[3] for c in palette))]
+    parts += [(b"IDAT", zlib.compress(rows.tobytes())), (b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(chunk(*p) for p in parts)
+
+
+def image_files(cells: DataFrame, key: str, palette: list[tuple[int, int, int, int]] | None = None, sub: bool = False) -> DataFrame:
+    """(key, png) of one-byte rasters (key, row, col, value), one image for each key; cells that are missing are 0.
+
+    An image is built in one task, so a key should be a tile or a page of bounded size.
+    """
+
+    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+        pixels = np.zeros((frame["row"].max() + 1, frame["col"].max() + 1), np.uint8)
+        pixels[frame["row"], frame["col"]] = frame["value"]
+        return pd.DataFrame({key: frame[key].iloc[:1], "png": [png_bytes(pixels, palette, sub)]})
+
+    kind = cells.schema[key].dataType.simpleString()
+    return cells.select(key, "row", "col", "value").dropna().groupBy(key).applyInPandas(draw, f"{key} {kind}, png binary")
+
+
+def bundle(planes: Column) -> Column:
+    """Packed binary as gzip in base64, the same text for the same bytes."""
+
+    @F.pandas_udf("string")
+    def packed(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else base64.b64encode(gzip.compress(v, 9, mtime=0)).decode("ascii"))
+
+    return packed(planes)
+
+
+def unbundle(text: Column) -> Column:
+    """The binary of ``bundle``."""
+
+    @F.pandas_udf("binary")
+    def unpacked(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else gzip.decompress(base64.b64decode(v)))
+
+    return unpacked(text)
 
 
 def member(data: bytes, ending: str) -> bytes:
@@ -215,13 +199,6 @@ def read(spark: SparkSession, path: str, decode: Callable[[bytes], pd.DataFrame]
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, full)
 
 
-def read_raster(spark: SparkSession, path: str, nodata: float | None = None) -> DataFrame:
-    """(path, row, col, value) of TIFF files; values at or below ``nodata`` and NaN are null."""
-    out = read(spark, path, lambda b: raster_rows(tiff(b)), "row long, col long, value double")
-    bad = F.isnan("value") if nodata is None else F.isnan("value") | (F.col("value") <= nodata)
-    return out.withColumn("value", F.when(~bad, F.col("value")))
-
-
 def read_heights(spark: SparkSession, path: str) -> DataFrame:
     """(path, row, col, height) of PNG tiles whose colours code heights: R * 256 + G + B / 256 - 32768."""
 

@@ -114,3 +114,23 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, length, modified) of files, contents unread."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def within_budget(files: DataFrame, most: int, parts: tuple[str, ...] = (), endings: tuple[str, ...] = ()) -> DataFrame:
+    """Files of a listing without those in folders ``parts`` or with these endings; an error, when it is read, if they exceed ``most`` bytes together."""
+    pieces = F.split("path", "/")
+    out = F.exists(pieces, lambda p: p.isin(*parts)) if parts else F.lit(False)
+    ending = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*endings) if endings else F.lit(False)
+    kept = files.where(~out & ~ending)
+    total = kept.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("_total"))  # one row
+    over = F.concat(F.lit(f"more than {most} bytes: "), F.col("_total"))
+    return kept.join(F.broadcast(total)).where(F.when(F.col("_total") <= most, F.lit(True)).otherwise(F.raise_error(over).cast("boolean"))).drop("_total")
+
+
+ITEM = "id string, bbox array<double>, properties struct<datetime:timestamp,`eo:cloud_cover`:double>, assets map<string,struct<href:string>>"
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """(id, bbox, taken, cloud, links) of catalogue items, one JSON document a file; documents that aren't items are left out."""
+    d = spark.read.schema(ITEM).json(path, multiLine=True).where("id is not null and bbox is not null")
+    return d.select("id", "bbox", F.col("properties.datetime").alias("taken"), F.col("properties.`eo:cloud_cover`").alias("cloud"), F.transform_values("assets", lambda _, a: a["href"]).alias("links"))

@@ -1,15 +1,21 @@
 """Decoders on bytes that the tests build by the published formats."""
 
+import base64
+import hashlib
 import io
+import json
 import struct
 import zipfile
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from geostrata.functions import expressions as E
 from geostrata.sources import binary as B
 from geostrata.sources import coverage, text
+from geostrata.sources import tiff as T
 
 
 def dbf(fields, rows, deleted=()):
@@ -112,27 +118,165 @@ def lzw_pack(data):
 def test_tiff_forms(spark, tmp_path):
     v = np.arange(12, dtype="float32").reshape(3, 4) - 5
     for order in "<>":
-        assert (B.tiff(tif(v, order)) == v).all()
+        assert (T.tiff(tif(v, order)) == v).all()
     u = np.arange(200, dtype="uint8").reshape(10, 20)
-    assert (B.tiff(tif(u, compress=zlib.compress, predictor=2)) == u).all()
+    assert (T.tiff(tif(u, compress=zlib.compress, predictor=2)) == u).all()
     short = bytes(range(40)) * 3
-    assert B.lzw(lzw_pack(short)) == short
+    assert T.lzw(lzw_pack(short)) == short
     v[0, 0] = -9999
     (tmp_path / "a.tif").write_bytes(tif(v))
-    rows = B.read_raster(spark, str(tmp_path), -9000).orderBy("row", "col").collect()
+    rows = T.read_raster(spark, str(tmp_path), -9000).orderBy("row", "col").collect()
     assert rows[0].value is None and rows[-1].value == 6.0 and len(rows) == 12
 
 
-def test_coverage_arcs():
-    lines = ["EXP  0 X", "ARC  2", "".join(f"{x:10d}" for x in (1, 7, 1, 2, 2, 3, 3)), " 0.0000000E+00 0.0000000E+00 1.0000000E+01 0.0000000E+00", " 1.0000000E+01 5.0000000E+00", "".join(f"{x:10d}" for x in (-1, 0, 0, 0, 0, 0, 0))]
-    got = coverage.arc_rows("\n".join(lines).encode()).to_dict("records")
-    assert [(a["arc_id"], a["lpoly"], a["rpoly"], a["pts"][-1]) for a in got] == [(7, 2, 3, {"x": 10.0, "y": 5.0})]
-    try:
-        coverage.arc_rows(b"nothing")
-    except ValueError:
-        pass
-    else:
-        raise AssertionError("a wrong header must fail")
+def tiled(values, side, levels=1):
+    """A TIFF of deflated tiles with overviews that keep every second cell."""
+    body, heads, images = b"", [], [values[:: 2**k, :: 2**k] for k in range(levels)]
+    for v in images:
+        h, w = v.shape
+        padded = np.pad(v, ((0, -h % side), (0, -w % side)))
+        tiles = [zlib.compress(padded[r : r + side, c : c + side].astype("<u2").tobytes()) for r in range(0, h, side) for c in range(0, w, side)]
+        starts = np.cumsum([8 + len(body)] + [len(t) for t in tiles])[:-1].tolist()
+        body += b"".join(tiles)
+        heads.append((w, h, starts, [len(t) for t in tiles]))
+    out, at = body, 8 + len(body)
+    for k, (w, h, starts, sizes) in enumerate(heads):
+        n = len(starts)
+        tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 4, 1, 16), (259, 4, 1, 8), (322, 4, 1, side), (323, 4, 1, side), (324, 4, n, starts), (325, 4, n, sizes)]
+        lists = at + 2 + 12 * len(tags) + 4
+        extra, entries = b"", b""
+        for tag, kind, count, v in tags:
+            if count > 1:
+                v, extra = lists + len(extra), extra + struct.pack(f"<{count}I", *v)
+            entries += struct.pack("<HHII", tag, kind, count, v if isinstance(v, int) else v[0])
+        following = lists + len(extra) if k + 1 < levels else 0
+        out += struct.pack("<H", len(tags)) + entries + struct.pack("<I", following) + extra
+        at = lists + len(extra)
+    return struct.pack("<2sHI", b"II", 42, 8 + len(body)) + out
+
+
+class Counting(io.BytesIO):
+    read_bytes = 0
+
+    def read(self, n=-1):
+        got = super().read(n)
+        self.read_bytes += len(got)
+        return got
+
+
+def test_windows_and_overviews_read_few_blocks(spark, tmp_path):
+    v = np.random.default_rng(3).integers(0, 60000, (300, 260)).astype("uint16")
+    data = tiled(v, 64, 3)
+    f = Counting(data)
+    images = T.directories(f)
+    assert [(m.width, m.height) for m in images] == [(260, 300), (130, 150), (65, 75)] and f.read_bytes < 2000
+    assert [T.overview(images, x) for x in (0.5, 1, 1.9, 2, 3.9, 4, 99)] == [0, 0, 0, 1, 1, 2, 2]
+    assert (T.window(f, images[0], 60, 100, 20, 30) == v[60:80, 100:130]).all() and f.read_bytes < len(data) / 4
+    assert (T.window(f, images[0], -5, 250, 10, 50) == v[:5, 250:]).all() and T.window(f, images[0], 300, 0, 5, 5).size == 0
+    assert (T.tiff(data) == v).all() and (T.tiff(data, 1) == v[::2, ::2]).all()
+    (tmp_path / "a b.tif").write_bytes(data)
+    rows = T.read_raster(spark, str(tmp_path)).collect()
+    assert len(rows) == v.size and {(r.row, r.col): r.value for r in rows} == {(i, j): float(v[i, j]) for i in range(300) for j in range(260)}
+    part = T.read_raster(spark, str(tmp_path), factor=2, box=(10, 20, 3, 4)).collect()
+    assert {(r.row, r.col): r.value for r in part} == {(i, j): float(v[2 * i, 2 * j]) for i in range(10, 13) for j in range(20, 24)}
+    assert T.blocks_of(spark, str(tmp_path), 1.0, (0, 0, 1, 1)).count() == 1
+
+
+def ten(*numbers):
+    return "".join(f"{x:10d}" for x in numbers)
+
+
+def item(name, size, place, kind):
+    return f"{name:16s}{size:3d}{'':15s}{kind * 10:3d}{'':28s}{place:4d}-"
+
+
+COVERAGE = [
+    "EXP  0 X", "ARC  2", ten(1, 7, 1, 2, 2, 3, 3), " 0.0000000E+00 0.0000000E+00-1.0000000E+01 0.0000000E+00",
+    " 1.0000000E+01 5.0000000E+00", ten(-1, 0, 0, 0, 0, 0, 0),
+    "PRJ  2", "Units METERS", "EOP",
+    "IFO  2", f"{'X.PAT':32s}XX{4:4d}{4:4d}{92:4d}{3:10d}", item("AREA", 4, 1, 6), item("X-ID", 4, 2, 5), item("OLD", 4, -1, 2), item("PTYPE", 70, 3, 2),
+    f"{-1.5:14.7E}{0:11d}", "", f"{2.5:14.7E}{9:11d}Qa alluvium", "", f"{3.5:14.7E}{8:11d}Kf", "", f"{'X.AAT':32s}XX{1:4d}{1:4d}{4:4d}{0:10d}", item("K", 4, 1, 5), "EOI", "EOS",
+]
+
+
+def test_coverage(spark, tmp_path):
+    (tmp_path / "x.e00").write_text("\n".join(COVERAGE))
+    (tmp_path / "y.e00").write_text("\n".join(COVERAGE))
+    a = coverage.read_arcs(spark, str(tmp_path)).collect()
+    assert [(r.arc_id, r.lpoly, r.rpoly, [tuple(p) for p in r.pts]) for r in a] == [(7, 2, 3, [(0.0, 0.0), (-10.0, 0.0), (10.0, 5.0)])] * 2
+    t = coverage.read_tables(spark, str(tmp_path / "x.e00")).orderBy("record").collect()
+    assert [(r.name, r.record, r.attributes["PTYPE"], r.attributes["X-ID"]) for r in t] == [("X.PAT", 1, "", "0"), ("X.PAT", 2, "Qa alluvium", "9"), ("X.PAT", 3, "Kf", "8")]
+    assert set(t[0].attributes) == {"AREA", "X-ID", "PTYPE"} and float(t[1].attributes["AREA"]) == 2.5
+    assert [(r.left, r.right) for r in coverage.labelled_arcs(spark, str(tmp_path), "PTYPE").collect()] == [("Qa alluvium", "Kf")] * 2
+    double = ["EXP  0 X", "ARC  3", ten(1, 1, 1, 1, 1, 2, 2), f"{1.5:21.14E}{-2.5:21.14E}", f"{3.0:21.14E}{4.0:21.14E}", ten(-1, 0, 0, 0, 0, 0, 0)]
+    assert coverage.arc_rows("\n".join(double).encode())["pts"][0] == [{"x": 1.5, "y": -2.5}, {"x": 3.0, "y": 4.0}]
+    for wrong in (b"nothing", b"EXP  1 X\nARC  2\n", b"EXP  0 X\nPRJ  2\nEOP\n", b""):
+        with pytest.raises(ValueError):
+            coverage.arc_rows(wrong)
+
+
+def test_palette_and_differences(spark):
+    pixels = np.random.default_rng(2).integers(0, 3, (6, 9)).astype(np.uint8)
+    colours = [(0, 0, 0, 0), (10, 20, 30, 255), (1, 2, 3, 128)]
+    data = B.png_bytes(pixels, colours)
+    assert (B.png(data)[..., 0] == pixels).all() and b"PLTE" + bytes([0, 0, 0, 10, 20, 30, 1, 2, 3]) in data and b"tRNS" + bytes([0, 255, 128]) in data
+    for shape in ((5, 7), (5, 7, 3), (0, 4), (3, 1, 4)):
+        some = np.random.default_rng(4).integers(0, 256, shape).astype(np.uint8)
+        assert (B.png(B.png_bytes(some, sub=True)).reshape(shape) == some).all()
+    with pytest.raises(ValueError):
+        B.png_bytes(pixels, colours[:1])
+    cells = spark.createDataFrame([("a", 0, 1, 7), ("a", 1, 0, 9), ("b", 0, 0, 1), ("b", None, 0, 1)], "tile string, row int, col int, value int")
+    got = {r.tile: B.png(bytes(r.png))[..., 0].tolist() for r in B.image_files(cells, "tile", sub=True).collect()}
+    assert got == {"a": [[0, 7], [9, 0]], "b": [[1]]}
+
+
+def test_bundles(spark):
+    d = spark.createDataFrame([([1, 2, -300, 30000],), ([5],), (None,)], "v array<int>").select("v", B.bundle(E.to_planes("v")).alias("t"))
+    back = d.select("v", B.unbundle(F.col("t")).alias("p"))
+    assert [(r.v, r.w) for r in back.select("v", E.from_planes("p").alias("w")).collect()] == [(r.v, r.v) for r in d.collect()]
+
+
+def test_files_as_tables(spark, tmp_path):
+    for name, body in {"a/x.js": "const T = [[\"p\", 1], [\"q\", 2.5]];", "a/y.bin": "12345", "skip/z.js": "0123456789", "a/w.MP4": "123"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body)
+    files = text.listing(spark, str(tmp_path))
+    assert sorted((r.path.rsplit("/", 1)[1], r.length) for r in files.collect()) == [("w.MP4", 3), ("x.js", 33), ("y.bin", 5), ("z.js", 10)]
+    assert text.listing(spark, str(tmp_path), "*.js").count() == 2
+    kept = text.within_budget(files, 38, ("skip",), (".mp4",))
+    assert sorted(r.length for r in kept.collect()) == [5, 33]
+    with pytest.raises(Exception, match="more than 37 bytes: 38"):
+        text.within_budget(files, 37, ("skip",), (".mp4",)).collect()
+    src = spark.read.text(str(tmp_path / "a/x.js"), wholetext=True)
+    assert src.select(text.script_table("value", "T").alias("t"), text.script_table("value", "U").alias("u")).first() == ([["p", "1"], ["q", "2.5"]], None)
+    sums = B.checksums(spark, str(tmp_path / "a/y.bin")).first()
+    assert (sums.bytes, sums.sha256) == (5, hashlib.sha256(b"12345").hexdigest())
+    assert sums.integrity == "sha384-" + base64.b64encode(hashlib.sha384(b"12345").digest()).decode()
+    tiles = spark.createDataFrame([("s3://x/7/12/45.png",), ("nothing",)], "path string")
+    assert [tuple(r.t) for r in tiles.select(text.tile_of().alias("t")).collect()] == [(7, 12, 45), (None, None, None)]
+    np.array([[1, -32768, 3], [4, 5, 6]], "<i2").tofile(tmp_path / "g.dat")
+    grid = B.read_grid(spark, str(tmp_path / "g.dat"), 3, nodata=-32768).orderBy("row", "col").collect()
+    assert [r.value for r in grid] == [1.0, None, 3.0, 4.0, 5.0, 6.0]
+
+
+def test_results_are_kept_by_their_statement(spark, tmp_path):
+    asked = []
+
+    def ask(statement):
+        asked.append(statement)
+        return spark.sql(statement)
+
+    for _ in range(2):
+        assert text.cached(spark, str(tmp_path), "select 1 as a", ask).collect()[0].a == 1
+    assert text.cached(spark, str(tmp_path), "select 2 as a", ask).collect()[0].a == 2 and asked == ["select 1 as a", "select 2 as a"]
+
+
+def test_catalogue_items(spark, tmp_path):
+    good = {"id": "s1", "bbox": [1, 2, 3, 4], "properties": {"datetime": "2024-05-01T10:00:00Z", "eo:cloud_cover": 3.5}, "assets": {"red": {"href": "r.tif"}}, "more": 1}
+    for name, body in {"a.json": json.dumps(good, indent=1), "b.json": "{}", "c.json": "not json", "d.json": json.dumps({"id": "s2", "bbox": [0, 0, 1, 1]})}.items():
+        (tmp_path / name).write_text(body)
+    got = sorted((r.id, list(r.bbox), r.cloud, r.links) for r in text.read_items(spark, str(tmp_path)).collect())
+    assert got == [("s1", [1.0, 2.0, 3.0, 4.0], 3.5, {"red": "r.tif"}), ("s2", [0.0, 0.0, 1.0, 1.0], None, None)]
 
 
 def test_text_sources(spark, tmp_path):
