@@ -249,6 +249,73 @@ def grid_shape(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> t
     return F.ceil((x1 - x0) / cell).cast("int"), F.ceil((y1 - y0) / cell).cast("int")
 
 
+def lattice_shape(x0: Column, y0: Column, x1: Column, y1: Column, cell: float | None = None, longest: int | None = None, most: int | None = None) -> tuple[Column, Column]:
+    """Columns and rows of sample points over an extent, both edges included: a stated cell, or so many points on the longer side; ``most`` points bound it."""
+    w, h = x1 - x0, y1 - y0
+    long = F.greatest(w, h)
+    step = F.lit(cell) if cell is not None else long / (longest - 1)
+    step = F.greatest(step, long / (most - 1)) if most else step
+    return F.bround(w / step).cast("int") + 1, F.bround(h / step).cast("int") + 1
+
+
+def request_shape(x0: Column, y0: Column, x1: Column, y1: Column, cell: float, longest: int) -> tuple[Column, Column, Column, Column]:
+    """Columns and rows of an extent at a cell, and of its view that is ``longest`` on the longer side and at least 2 on the other."""
+    w, h = F.bround((x1 - x0) / cell), F.bround((y1 - y0) / cell)
+    short = lambda a, b: F.greatest(F.lit(2), F.bround(longest * a / b)).cast("int")
+    return w.cast("int"), h.cast("int"), F.when(w >= h, longest).otherwise(short(w, h)), F.when(w >= h, short(h, w)).otherwise(longest)
+
+
+def frame_rows(lon0: Column, lat0: Column, lon1: Column, lat1: Column, cols: int) -> Column:
+    """Rows that make cells of a degree frame square at its middle latitude."""
+    narrow = F.cos(F.radians((lat0 + lat1) / 2))
+    return F.bround(cols * (lat1 - lat0) / ((lon1 - lon0) * narrow)).cast("int")
+
+
+def degree_window(lon0: Column, lat0: Column, lon1: Column, lat1: Column, west: float, north: float, cell: float, pad: int = 1) -> tuple[Column, Column, Column, Column]:
+    """First row, first column, rows and columns of the cells of a degree grid that cover an extent, with padding."""
+    place = lambda d: (d / cell).cast("int")
+    row, col = place(north - lat1) - pad, place(lon0 - west) - pad
+    return row, col, place(north - lat0) + pad - row + 1, place(lon1 - west) + pad - col + 1
+
+
+def clip_box(box: list[Column], frame: list[Column]) -> list[Column]:
+    """The part of a box (west, south, east, north) within a frame; its edges cross where they don't meet."""
+    return [f(b, c) for f, b, c in zip((F.greatest, F.greatest, F.least, F.least), box, frame, strict=True)]
+
+
+def padded(x0: Column, y0: Column, x1: Column, y1: Column, pad: int) -> tuple[Column, Column, Column, Column]:
+    """Whole units around an extent, with padding."""
+    return F.floor(x0) - pad, F.floor(y0) - pad, F.ceil(x1) + pad, F.ceil(y1) + pad
+
+
+def unit_vector(lat: Column, lon: Column) -> Column:
+    phi, lam = F.radians(lat), F.radians(lon)
+    return F.struct((F.cos(phi) * F.cos(lam)).alias("x"), (F.cos(phi) * F.sin(lam)).alias("y"), F.sin(phi).alias("z"))
+
+
+def rotated(q: Column, v: Column) -> Column:
+    """A vector turned by a unit quaternion."""
+    pure = F.struct(F.lit(0.0).alias("w"), v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"))
+    back = F.struct(q["w"].alias("w"), (-q["x"]).alias("x"), (-q["y"]).alias("y"), (-q["z"]).alias("z"))
+    r = quaternion_product(quaternion_product(q, pure), back)
+    return F.struct(r["x"].alias("x"), r["y"].alias("y"), r["z"].alias("z"))
+
+
+#: Heights and depths in metres at which the one-byte scale ends. Fixed values.
+LAND_TOP, SEA_FLOOR = 8848.0, 11000.0
+
+
+def height_byte(h: Column) -> Column:
+    """Heights on square-root scales: 128 to 255 land, 127 to 0 sea."""
+    part = lambda v, most: F.bround(127 * F.sqrt(F.least(v, F.lit(most)) / most)).cast("int")
+    return F.when(h >= 0, 128 + part(h, LAND_TOP)).otherwise(127 - part(-h, SEA_FLOOR))
+
+
+def byte_height(code: Column) -> Column:
+    """Metres of ``height_byte``, up to its steps."""
+    return F.when(code >= 128, F.pow((code - 128) / 127.0, F.lit(2.0)) * LAND_TOP).otherwise(-F.pow((127 - code) / 127.0, F.lit(2.0)) * SEA_FLOOR)
+
+
 def crossing(x: Column, y: Column, x2: Column, y2: Column, sx: Column, sy: Column, sx2: Column, sy2: Column) -> tuple[Column, Column]:
     """Places, from 0 to 1 on each of two segments, where their lines cross; null where they are parallel."""
     d = (x2 - x) * (sy2 - sy) - (y2 - y) * (sx2 - sx)

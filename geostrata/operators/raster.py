@@ -85,16 +85,34 @@ def window(grid: DataFrame, frame: DataFrame) -> DataFrame:
     return grid.join(F.broadcast(frame), inside).select((F.col("row") - F.col("row0")).alias("row"), (F.col("col") - F.col("col0")).alias("col"), "value")
 
 
+def _four(points: DataFrame, grid: DataFrame, x: Column, y: Column, left: Column, top: Column, cols: int | None) -> DataFrame:
+    """Each point with the weighted mean of the four cells around (x, y); null unless all four are there. Equal points are reckoned once."""
+    at = points.select("x", "y").dropna().distinct().select("*", left.alias("_c"), top.alias("_r"), (x - left).alias("_u"), (y - top).alias("_v"))
+    corners = F.explode(F.expr("transform(sequence(0, 3), i -> struct(i % 2 as dx, i div 2 as dy, if(i % 2 = 1, _u, 1 - _u) * if(i div 2 = 1, _v, 1 - _v) as w))"))
+    col = F.col("_c") + F.col("_k.dx")
+    spread = at.select("x", "y", "_c", "_r", "_u", "_v", corners.alias("_k")).select("x", "y", F.col("_k.w").alias("_w"), (col if cols is None else F.pmod(col, F.lit(cols))).cast("long").alias("col"), (F.col("_r") + F.col("_k.dy")).cast("long").alias("row"))
+    met = spread.join(grid.select("row", "col", "value"), ["row", "col"]).groupBy("x", "y").agg(F.sum(F.col("_w") * F.col("value")).alias("value"), F.count("value").alias("_n"))
+    return points.join(met.where("_n = 4").select("x", "y", "value"), ["x", "y"], "left").select(*points.columns, "value")
+
+
 def bilinear(points: DataFrame, grid: DataFrame, rows: int, cols: int) -> DataFrame:
-    """Value of a grid of points at (x, y) in cell units: null outside."""
-    inside = F.col("x").between(0, cols - 1) & F.col("y").between(0, rows - 1)
-    p = points.withColumn("_c", F.least(F.floor("x"), F.lit(cols - 2))).withColumn("_r", F.least(F.floor("y"), F.lit(rows - 2)))
-    corners = F.explode(F.expr("transform(sequence(0, 3), i -> struct(i % 2 as dx, i div 2 as dy))")).alias("_k")
-    spread = p.select("*", corners).withColumn("col", (F.col("_c") + F.col("_k.dx")).cast("long")).withColumn("row", (F.col("_r") + F.col("_k.dy")).cast("long"))
-    fx, fy = F.col("x") - F.col("_c"), F.col("y") - F.col("_r")
-    weight = F.when(F.col("_k.dx") == 1, fx).otherwise(1 - fx) * F.when(F.col("_k.dy") == 1, fy).otherwise(1 - fy)
-    met = spread.withColumn("_w", F.when(inside, weight)).join(grid.select("row", "col", "value"), ["row", "col"], "left")
-    return met.groupBy(*points.columns).agg(F.sum(F.col("_w") * F.col("value")).alias("value"))
+    """Value of a grid of points at (x, y) in cell units: null outside, and where a cell around is missing."""
+    x, y = F.col("x"), F.col("y")
+    inside = x.between(0, cols - 1) & y.between(0, rows - 1)
+    return _four(points, grid, x, y, F.when(inside, F.least(F.floor(x), F.lit(cols - 2))), F.when(inside, F.least(F.floor(y), F.lit(rows - 2))), None)
+
+
+def bilinear_round(points: DataFrame, grid: DataFrame, rows: int, cols: int) -> DataFrame:
+    """As ``bilinear`` on a grid around the globe: columns go on from the first, and rows beyond an edge count as just within it."""
+    x, y = F.col("x"), F.least(F.greatest(F.col("y"), F.lit(0.0)), F.lit(rows - 1.001))
+    return _four(points, grid, x, y, F.floor(x), F.floor(y), cols)
+
+
+def nearest(points: DataFrame, grid: DataFrame) -> DataFrame:
+    """Value of the cell whose centre is nearest to (x, y) in cell units, the one to the south-east of ties; null where there is none."""
+    cell = points.withColumn("_row", F.floor(F.col("y") + 0.5)).withColumn("_col", F.floor(F.col("x") + 0.5))
+    g = grid.select(F.col("row").alias("_row"), F.col("col").alias("_col"), "value")
+    return cell.join(g, ["_row", "_col"], "left").select(*points.columns, "value")
 
 
 def overlay(fine: DataFrame, coarse: DataFrame, fallback: list[int]) -> DataFrame:

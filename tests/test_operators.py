@@ -203,3 +203,17 @@ def test_a_grid_that_breaks_its_metadata_is_an_error(spark):
     for bad in (fine.unionByName(fine), fine.withColumn("row", F.col("row") + 1)):
         with pytest.raises(Exception, match="out of grid"):
             checked_grid(bad, 1, 2).collect()
+
+
+def test_samples_of_repeated_points_and_missing_cells(spark):
+    from geostrata.operators import raster
+
+    g = spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(3) for c in range(4) if (r, c) != (2, 3)], "row long, col long, value double")
+    p = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.5, 0.5), (2, 0.5, 0.5), (3, 3.5, 0.0), (4, 2.5, 1.5), (5, None, 1.0), (6, 9.0, 0.0)], "id int, x double, y double")
+    flat = sorted((r.id, r.value) for r in raster.bilinear(p, g, 3, 4).collect())
+    assert flat == [(1, 5.5), (2, 5.5), (2, 5.5), (3, None), (4, None), (5, None), (6, None)]
+    around = {r.id: r.value for r in raster.bilinear_round(p, g, 3, 4).collect()}
+    assert around == {1: 5.5, 2: 5.5, 3: 1.5, 4: None, 5: None, 6: 1.0}
+    near = {r.id: r.value for r in raster.nearest(p, g).collect()}
+    assert near == {1: 11.0, 2: 11.0, 3: None, 4: None, 5: None, 6: None}
+    assert raster.bilinear(p.limit(0), g, 3, 4).count() == 0 == raster.nearest(p.limit(0), g).count()
