@@ -91,7 +91,7 @@ def height_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GRID}, p AS (SELECT c_custkey, CAST(c_custkey * 7919 % 900 AS DOUBLE) / 8 - 20 AS x, CAST(c_custkey * 104729 % 700 AS DOUBLE) / 8 - 10 AS y FROM customer),
 q AS (SELECT *, least(greatest(y, 0), 62.999::DOUBLE) AS v, CAST(floor(x) AS BIGINT) AS c, CAST(floor(least(greatest(y, 0), 62.999::DOUBLE)) AS BIGINT) AS r FROM p),
 m AS (SELECT *, (c % 64 + 64) % 64 AS c0, ((c + 1) % 64 + 64) % 64 AS c1 FROM q)
-SELECT c_custkey, round(a.value * (1 - (x - m.c)) * (1 - (v - r)) + b.value * (x - m.c) * (1 - (v - r)) + d.value * (1 - (x - m.c)) * (v - r) + e.value * (x - m.c) * (v - r), 5) AS around, f.value AS near
+SELECT c_custkey, round(a.value * (1 - (x - m.c)) * (1 - (v - r)) + b.value * (x - m.c) * (1 - (v - r)) + d.value * (1 - (x - m.c)) * (v - r) + e.value * (x - m.c) * (v - r), 8) AS around, f.value AS near
 FROM m LEFT JOIN grid a ON a.row = r AND a.col = c0 LEFT JOIN grid b ON b.row = r AND b.col = c1 LEFT JOIN grid d ON d.row = r + 1 AND d.col = c0 LEFT JOIN grid e ON e.row = r + 1 AND e.col = c1
 LEFT JOIN grid f ON f.row = CAST(floor(y + 0.5) AS BIGINT) AND f.col = CAST(floor(x + 0.5) AS BIGINT)""")
 def globe_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def globe_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "customer").select(k, ((k * 7919 % 900).cast("double") / 8 - 20).alias("x"), ((k * 104729 % 700).cast("double") / 8 - 10).alias("y"))
     g = grid(spark, sf_dir).select("row", "col", "value")
     around = raster.bilinear_round(p, g, 64, 64).withColumnRenamed("value", "around")
-    return raster.nearest(around, g).select(k, F.round("around", 5).alias("around"), F.col("value").alias("near"))
+    return raster.nearest(around, g).select(k, F.round("around", 8).alias("around"), F.col("value").alias("near"))
 
 
 @query(f"""WITH {CORNERS} SELECT poly, CAST(poly % 9 * 10 AS INT) AS from_age, CAST(greatest(poly % 7 * 9 - 20, 0) AS INT) AS to_age, CAST(CASE WHEN diamond THEN 50 ELSE w * h END AS DOUBLE) AS area FROM corners WHERE poly % 7 * 9 - 20 <= 30 AND CASE WHEN diamond THEN 50 ELSE w * h END >= 63""")
