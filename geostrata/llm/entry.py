@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from geostrata.llm.decontaminate import op10_benchmark_decontamination
 from geostrata.llm.html_extract import op7_html_extraction
+from geostrata.llm.jaccard_join import ORACLE_SQL as JACCARD_SQL
 from geostrata.llm.jaccard_join import op5_jaccard_join
 from geostrata.llm.license_scan import op4_license_scan
 from geostrata.llm.mixing import op9_cube_mixing
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_jaccard_join": JACCARD_SQL}

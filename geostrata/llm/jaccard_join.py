@@ -469,6 +469,22 @@ def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return kept.withColumn("place", place).where("place = 1 or not once").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
+#: The same for DuckDB: every pair of different sets that shares a shingle, then whatever links reach.
+ORACLE_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN words IS NULL OR len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))) END AS shingles FROM w),
+c AS MATERIALIZED (SELECT min(doc_id) AS id, len(shingles) AS n, shingles FROM s GROUP BY shingles),
+e AS MATERIALIZED (SELECT id, n, unnest(shingles) AS sh FROM c),
+links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.sh = b.sh AND a.id < b.id AND 5 * b.n >= 4 * a.n AND 5 * a.n >= 4 * b.n
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, root) AS (SELECT id, id FROM c UNION SELECT l.b, r.root FROM reach r JOIN both_ways l ON l.a = r.id WHERE r.root < l.b),
+component AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, CASE WHEN len(s.shingles) = 0 THEN s.doc_id ELSE k.root END AS component_id
+FROM s JOIN c ON c.shingles = s.shingles JOIN component k ON k.id = c.id"""
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents: nulls, empty and long texts, ties, repeats and empty tables as in ``link_components``."""
     return link_components(table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from geostrata.llm import mixing as M
 from geostrata.llm import sharding as S
 from geostrata.llm import training_order as T
 from geostrata.llm.common import WordHash, shingle_hashes
-from geostrata.llm.entry import QUERIES
+from geostrata.llm.entry import ORACLES, QUERIES
 
 
 def near_copies(seed=5):
@@ -401,6 +402,17 @@ def test_join_against_all_pairs_of_a_table(spark):
     assert {r.doc_id: r.component_id for r in J.link_components(docs).collect()} == want
 
 
+def test_join_against_sql(spark, sf, tmp_path):
+    texts = spark.createDataFrame(list(enumerate(near_copies(9))), "doc_id long, text string")
+    texts.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, files in ((sf, "documents.parquet"), (str(tmp_path), "documents.parquet/*.parquet")):
+        duck = duckdb.connect()
+        duck.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/{files}')")
+        want = duck.sql(ORACLES["op5_jaccard_join"])
+        rows = QUERIES["op5_jaccard_join"](spark, folder).select(*want.columns).collect()
+        assert sorted(map(tuple, rows)) == sorted(want.fetchall())
+
+
 def linked_by_postings(texts):
     """As brute_components, for many texts: exact overlaps of all pairs that share any shingle."""
     low = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split() for t in texts]
