@@ -712,8 +712,11 @@ def decode_media(media: DataFrame, keep: bool = True) -> DataFrame:
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the stored files and of what is read back from them. Null and empty texts are a payload of 192 blanks."""
-    back = decode_media(encode_media(table(spark, sf_dir, "documents")), keep=False)
+    """Digests of the stored files, what is read back from them, and their pictures as tensors: height x width x 3 uint8, row by row.
+
+    Null and empty texts are a payload of 192 blanks.
+    """
+    back = decode_media(encode_media(table(spark, sf_dir, "documents")))
     return back.select(
         "doc_id",
         "n_bytes",
@@ -723,4 +726,7 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "height",
+        "width",
+        F.col("rgb").alias("tensor"),
     )

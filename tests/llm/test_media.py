@@ -82,6 +82,7 @@ def test_query_digests(spark, sf):
     assert len(rows) == len(docs)
     for r in rows:
         p = J.padded(docs[r.doc_id])
+        assert len(r.tensor) == 3 * r.height * r.width and r.feature.endswith(f"crc {zlib.crc32(r.tensor):08x}")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(docs[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
     by_text = {}
     for r in rows:
