@@ -37,16 +37,15 @@ UNION ALL SELECT 'address', count(*), count(DISTINCT doc_id) FROM l WHERE regexp
 UNION ALL SELECT 'credential', count(*), count(DISTINCT doc_id) FROM l WHERE regexp_matches(line, '(key|token|secret|pass)[a-z_]* *[=:] *"[^"]{32,}"')
 UNION ALL SELECT 'number', count(*), count(DISTINCT doc_id) FROM l WHERE regexp_matches(line, '(^|[^0-9])[0-9]{15,16}([^0-9]|$)')""")
 def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that break each pattern rule, counted within each document; a plain test for a needed character comes before each pattern."""
+    """Lines that break each pattern rule, counted within each document; only texts that pass a plain test for a rule are cut into lines for it."""
     rules = {
-        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}", lambda x: F.contains(x, F.lit("@"))),
-        "address": (r"(^|[^0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}([^0-9.]|$)", lambda x: F.translate(x, "0123456789", "") != x),
-        "credential": ('(key|token|secret|pass)[a-z_]* *[=:] *"[^"]{32,}"', lambda x: F.contains(x, F.lit('"'))),
-        "number": ("(^|[^0-9])[0-9]{15,16}([^0-9]|$)", lambda x: F.translate(x, "0123456789", "") != x),
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}", F.contains("text", F.lit("@"))),
+        "address": (r"(^|[^0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}([^0-9.]|$)", F.col("text").rlike(r"[0-9]\.[0-9]")),
+        "credential": ('(key|token|secret|pass)[a-z_]* *[=:] *"[^"]{32,}"', F.contains("text", F.lit('"'))),
+        "number": ("(^|[^0-9])[0-9]{15,16}([^0-9]|$)", F.col("text").rlike("[0-9]{15}")),
     }
-    lines = table(spark, sf_dir, "documents").select(F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    breaks = lambda p, need: F.size(F.filter("lines", lambda x: need(x) & x.rlike(p)))
-    counts = lines.select(*[breaks(p, need).alias(n) for n, (p, need) in rules.items()])
+    breaks = lambda p: F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(p)))
+    counts = table(spark, sf_dir, "documents").select(*[F.when(may, breaks(p)).otherwise(0).alias(n) for n, (p, may) in rules.items()])
     sums = counts.agg(*[e for n in rules for e in (F.sum(n).alias(n), F.count_if(F.col(n) > 0).alias(f"{n}_docs"))])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(n, F.lit(0)).cast("long").alias("lines"), F.col(f"{n}_docs").alias("docs")) for n in rules])).alias("r")).select("r.*")
 
