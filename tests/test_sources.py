@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from geostrata.functions import expressions as E
 from geostrata.sources import binary as B
-from geostrata.sources import coverage, text
+from geostrata.sources import coverage, grids, text
 from geostrata.sources import tiff as T
 
 
@@ -313,3 +313,44 @@ def test_json_sink_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", [1.5, 2.5])], "id int, n string, v array<double>")
     df.select(F.to_json(F.struct("*")).alias("value")).write.text(str(tmp_path / "o"))
     assert spark.read.schema(df.schema).json(str(tmp_path / "o")).collect() == df.collect()
+
+
+def test_grids_come_back_with_their_sidecars(spark, tmp_path):
+    rows = [("a", r, c, None if (r, c) == (1, 2) else r * 0.5 - c) for r in range(3) for c in range(4)] + [("b", 0, 0, 7.0), ("c", 2, 3, None)]
+    cells = spark.createDataFrame(rows, "tile string, row long, col long, value double")
+    made = grids.write_grids(cells, "tile", str(tmp_path / "g"), 4, 3, 10.0, 500.0, 900.0, scale=0.5).orderBy("key").collect()
+    assert [(r.key, r.low, r.high, r.missing) for r in made] == [("a", -3.0, 1.0, 1), ("b", 7.0, 7.0, 11), ("c", None, None, 12)]
+    assert all(hashlib.sha256((tmp_path / "g" / f"{r.key}.bin").read_bytes()).hexdigest() == r.sha256 for r in made)
+    assert sorted(p.name for p in (tmp_path / "g").iterdir()) == ["a.bin", "a.json", "b.bin", "b.json", "c.bin", "c.json"]
+    back = grids.read_grids(spark, str(tmp_path / "g"))
+    assert back.count() == 36
+    got = {(r.row, r.col): (r.x, r.y, r.value) for r in back.where("path like '%/a.bin'").collect()}
+    assert got == {(r, c): (505.0 + 10 * c, 895.0 - 10 * r, v) for t, r, c, v in rows if t == "a"}
+    (tmp_path / "g" / "b.bin").write_bytes(b"12")
+    with pytest.raises(Exception, match="its sidecar states"):
+        back.count()
+    for bad in ([("a", 3, 0, 1.0)], [("a", 0, 0, 1e6)], [("a", 0, 0, 1.0), ("a", 0, 0, 2.0)], [("../a", 0, 0, 1.0)]):
+        with pytest.raises(Exception, match="grid|two values|name a file"):
+            grids.write_grids(spark.createDataFrame(bad, cells.schema), "tile", str(tmp_path / "h"), 4, 3, 10.0, 0.0, 0.0).count()
+    assert grids.write_grids(cells.where("1 = 0"), "tile", str(tmp_path / "h"), 4, 3, 10.0, 0.0, 0.0).count() == 0
+
+
+def test_a_grid_is_read_by_bands(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(grids, "CELLS", 10)
+    np.arange(28, dtype="<i2").tofile(tmp_path / "g.bin")
+    (tmp_path / "g.json").write_text('{"cols": 4, "rows": 7}')
+    back = grids.read_grids(spark, str(tmp_path)).orderBy("row", "col").collect()
+    assert [(r.row, r.col, r.x, r.value) for r in back] == [(i // 4, i % 4, None, float(i)) for i in range(28)]
+
+
+def test_a_tree_is_copied_if_it_fits(spark, tmp_path):
+    for name, size in (("a.txt", 10), ("b/c.txt", 20), ("b/raw/d.txt", 1000)):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(b"x" * size)
+    files = text.listing(spark, str(tmp_path / "t"))
+    with pytest.raises(Exception, match="more than 500 bytes"):
+        grids.copy_files(text.within_budget(files, 500), str(tmp_path / "t"), str(tmp_path / "u")).count()
+    assert not (tmp_path / "u").exists()
+    made = grids.copy_files(text.within_budget(files, 500, ("raw",)), str(tmp_path / "t"), str(tmp_path / "u")).collect()
+    assert sorted((r.path, r.length) for r in made) == [(str(tmp_path / "u/a.txt"), 10), (str(tmp_path / "u/b/c.txt"), 20)]
+    assert (tmp_path / "u/b/c.txt").read_bytes() == b"x" * 20
