@@ -188,9 +188,10 @@ def close_ring(ring: Column) -> Column:
     return F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
 
 
-def camera_zoom(span: Column, most: float = 14.0) -> Column:
-    """Zoom at which a span of degrees fills the view."""
-    return F.least(F.lit(most), F.log2(F.lit(360.0) / F.greatest(span, F.lit(1e-6))))
+def camera_zoom(width: Column, height: Column, lat: Column) -> Column:
+    """Zoom at which a box of degrees around a latitude fills a view of 900 pixels of 512-pixel tiles, with a margin of 0.3; 3 to 14."""
+    span = F.greatest(width, height / F.cos(F.radians(lat)), F.lit(1e-3))
+    return F.greatest(F.lit(3.0), F.least(F.lit(14.0), F.log2(F.lit(360.0 * 900 / 512) / span) - 0.3))
 
 
 #: Hue angles in the CIE plane, degrees; a hue that isn't listed counts as 10YR. Fixed values.

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geostrata.functions import expressions as E
 from geostrata.operators import graph
-from geostrata.plans.bindings import GRID, POINTS, edges, grid, points
+from geostrata.plans.bindings import EDGES, GRID, POINTS, edges, grid, points
 from geostrata.plans.series import UTM_SQL
 from geostrata.session import table
 
@@ -41,13 +41,76 @@ def nested_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("line", F.size("r").alias("closed"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"), (wide <= 500).alias("fits"))
 
 
-@query(f"""WITH {POINTS}, b AS (SELECT line, min(x) / 10.0 AS x0, max(x) / 10.0 AS x1, min(y) / 10.0 AS y0, max(y) / 10.0 AS y1 FROM pts GROUP BY 1)
-SELECT line, round((x0 + x1) / 2, 4) AS cx, round((y0 + y1) / 2, 4) AS cy, round(least(14.0, log2(360.0 / greatest(x1 - x0, y1 - y0, 1e-6))), 4) AS zoom FROM b""")
+#: Zoom for the oracles, of a box x0, y0, x1, y1 in degrees.
+ZOOM_SQL = "greatest(3.0::DOUBLE, least(14.0::DOUBLE, log2(360.0::DOUBLE * 900 / 512 / greatest(x1 - x0, (y1 - y0) / cos(radians((y0 + y1) / 2)), 1e-3::DOUBLE)) - 0.3::DOUBLE))"
+
+
+@query(f"""WITH {POINTS}, b AS (SELECT line, min(x) / 10.0::DOUBLE AS x0, max(x) / 10.0::DOUBLE AS x1, min(y) / 20.0::DOUBLE AS y0, max(y) / 20.0::DOUBLE AS y1 FROM pts GROUP BY 1)
+SELECT line, round((x0 + x1) / 2, 5) AS cx, round((y0 + y1) / 2, 5) AS cy, round({ZOOM_SQL}, 2) AS zoom FROM b""")
 def camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centre and zoom for each line's bounds."""
-    b = points(spark, sf_dir).groupBy("line").agg(*[(f(c) / 10.0).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))])
-    span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    return b.select("line", F.round((F.col("x0") + F.col("x1")) / 2, 4).alias("cx"), F.round((F.col("y0") + F.col("y1")) / 2, 4).alias("cy"), F.round(E.camera_zoom(span), 4).alias("zoom"))
+    b = points(spark, sf_dir).groupBy("line").agg(*[(f(c) / s).alias(f"{c}{i}") for c, s in (("x", 10.0), ("y", 20.0)) for i, f in enumerate((F.min, F.max))])
+    v = map_view()
+    return b.select("line", v["center"][0].alias("cx"), v["center"][1].alias("cy"), v["zoom"].alias("zoom"))
+
+
+def map_view() -> Column:
+    """Centre, zoom and box of columns x0, y0, x1 and y1, as a project document has them."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    cy = (y0 + y1) / 2
+    center = F.array(F.round((x0 + x1) / 2, 5), F.round(cy, 5))
+    box = F.array(*[F.round(v, 5) for v in (x0, y0, x1, y1)])
+    zoom = F.round(E.camera_zoom(x1 - x0, y1 - y0, cy), 2)
+    return F.struct(center.alias("center"), zoom.alias("zoom"), F.lit(0).alias("bearing"), F.lit(0).alias("pitch"), box.alias("bbox"))
+
+
+def styled_layer(key: str, title: Column, rings: Column, fill: str, opacity: float, stroke: str, width: float) -> Column:
+    """A layer of one polygon with its style."""
+    style = F.struct(F.lit(fill).alias("fillColor"), F.lit(opacity).alias("fillOpacity"), F.lit(stroke).alias("strokeColor"), F.lit(width).alias("strokeWidth"))
+    geometry = F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(title.alias("name")).alias("properties"), geometry.alias("geometry"))
+    features = F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))
+    return F.struct(F.lit(key).alias("id"), title.alias("name"), F.lit(True).alias("visible"), style.alias("style"), features.alias("geojson"))
+
+
+def _layer_sql(key: str, title: str, rings: str, fill: str, opacity: float, stroke: str, width: float) -> str:
+    """SQL of a styled layer, for the oracle."""
+    style = f"{{'fillColor': '{fill}', 'fillOpacity': {opacity}::DOUBLE, 'strokeColor': '{stroke}', 'strokeWidth': {width}::DOUBLE}}"
+    feature = f"{{'type': 'Feature', 'properties': {{'name': {title}}}, 'geometry': {{'type': 'Polygon', 'coordinates': {rings}}}}}"
+    return f"{{'id': '{key}', 'name': {title}, 'visible': true, 'style': {style}, 'geojson': {{'type': 'FeatureCollection', 'features': [{feature}]}}}}"
+
+
+#: Styles of the layers of a project: key, fill, its opacity, stroke, its width.
+FRAME, AREA, GAP = ("frame", "#ffffff", 0.0, "#9aa3ad", 1.5), ("area", "#ffd27a", 0.08, "#d9a520", 2.5), ("gap", "#7fd1a8", 0.12, "#2f9e6e", 1.5)
+
+
+@query(f"""WITH {EDGES}, r AS (SELECT poly, ring, list([x, y] ORDER BY seq) AS pts FROM edges GROUP BY 1, 2),
+c AS (SELECT poly, list(list_append(pts, pts[1]) ORDER BY ring) AS rings FROM r GROUP BY 1),
+b AS (SELECT poly, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM edges GROUP BY 1),
+p AS (SELECT n_nationkey AS poly, n_name, n_nationkey % 3 > 0 AS mapped, rings, x0, y0, x1, y1, [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]] AS box FROM nation JOIN c ON c.poly = n_nationkey JOIN b ON b.poly = n_nationkey)
+SELECT poly, CAST(to_json({{'version': '1', 'name': n_name, 'mapView': {{'center': [round((x0 + x1) / 2.0::DOUBLE, 5), round((y0 + y1) / 2.0::DOUBLE, 5)], 'zoom': round({ZOOM_SQL}, 2), 'bearing': 0, 'pitch': 0, 'bbox': [x0::DOUBLE, y0::DOUBLE, x1::DOUBLE, y1::DOUBLE]}},
+'layers': list_filter([CASE WHEN mapped THEN {_layer_sql(FRAME[0], "'Frame'", "[box]", *FRAME[1:])} END, {_layer_sql(AREA[0], "n_name", "rings", *AREA[1:])}, CASE WHEN len(rings) > 1 THEN {_layer_sql(GAP[0], "'Gap'", "rings[2:]", *GAP[1:])} END], lambda l: l IS NOT NULL),
+'metadata': {{'status': CASE WHEN mapped THEN 'mapped' ELSE 'planned' END, 'sources': list_concat(['areas'], CASE WHEN len(rings) > 1 THEN ['gaps'] ELSE [] END)}}}}) AS VARCHAR) AS document FROM p""")
+def project_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map project for each area as a JSON document: view, styled layers in drawing order, status and sources.
+
+    The frame is a layer of mapped areas alone, the gap one of areas with a hole.
+    """
+    e = edges(spark, sf_dir)
+    rings = e.groupBy("poly", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", F.array("x", "y").alias("at")))).alias("p"), *[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))])
+    rings = rings.withColumn("closed", E.close_ring(F.transform("p", lambda p: p["at"])))
+    sides = [F.min("x0").cast("double").alias("x0"), F.min("y0").cast("double").alias("y0"), F.max("x1").cast("double").alias("x1"), F.max("y1").cast("double").alias("y1")]
+    areas = rings.groupBy("poly").agg(F.array_sort(F.collect_list(F.struct("ring", "closed"))).alias("r"), *sides)
+    areas = areas.join(table(spark, sf_dir, "nation"), F.col("poly") == F.col("n_nationkey")).withColumn("rings", F.transform("r", lambda r: r["closed"]))
+    mapped, holed = F.col("poly") % 3 > 0, F.size("rings") > 1
+    corner = lambda x, y: F.array(F.col(x).cast("long"), F.col(y).cast("long"))
+    box = F.array(*[corner(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))])
+    frame = styled_layer(FRAME[0], F.lit("Frame"), F.array(box), *FRAME[1:])
+    gap = styled_layer(GAP[0], F.lit("Gap"), F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(0))), *GAP[1:])
+    layers = F.filter(F.array(F.when(mapped, frame), styled_layer(AREA[0], F.col("n_name"), F.col("rings"), *AREA[1:]), F.when(holed, gap)), lambda x: x.isNotNull())
+    metadata = F.struct(F.when(mapped, "mapped").otherwise("planned").alias("status"), F.when(holed, F.array(F.lit("areas"), F.lit("gaps"))).otherwise(F.array(F.lit("areas"))).alias("sources"))
+    whole = F.struct(F.lit("1").alias("version"), F.col("n_name").alias("name"), map_view().alias("mapView"), layers.alias("layers"), metadata.alias("metadata"))
+    return areas.select("poly", F.to_json(whole).alias("document"))
 
 
 @query(f"""WITH {GRID}, q AS (SELECT row, col, round_even(least(255, greatest(0, value / 4)), 0) AS value, round_even(least(255, greatest(0, n * 8)), 0) AS n, round_even(cls * 36.0, 0) AS cls FROM grid), u AS (UNPIVOT q ON value, n, cls INTO NAME field VALUE code)
