@@ -245,6 +245,18 @@ def uniform(seed: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), seed.cast("long"), lambda s, _: s * 16807 % 2147483647) / 2147483647.0
 
 
+def cell_noise(row: Column, col: Column) -> Column:
+    """Noise of a cell, 0 to 1, the same wherever it is computed: the fraction of a large multiple of a sine. Its three factors are fixed values."""
+    s = F.sin(col * 12.9898 + row * 78.233) * 43758.5453
+    return s - F.floor(s)
+
+
+def age_ramp(row: Column, rows: int, south: float, north: float, shift: Column, bounds: tuple[float, float]) -> Column:
+    """Age that goes evenly from the south edge (last row) to the north edge, shifted and held within bounds."""
+    at = 1 - (row + 0.5) / rows
+    return F.least(F.lit(bounds[1]), F.greatest(F.lit(bounds[0]), south + (north - south) * at + shift))
+
+
 def grid_shape(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> tuple[Column, Column]:
     """Columns and rows of square cells that cover an extent."""
     return F.ceil((x1 - x0) / cell).cast("int"), F.ceil((y1 - y0) / cell).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geostrata.functions import expressions as E
 from geostrata.operators import raster
 from geostrata.operators.relational import nearest_rank, runs, share
 from geostrata.plans.bindings import EDGES, GRID, INSIDE, POINTS, edges, grid, points
@@ -172,6 +173,20 @@ def box_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.box_blur(grid(spark, sf_dir).select("row", "col", "value"), 64, 64, 2).withColumn("value", F.round("value", 4))
 
 
+NOISE_SQL = "grid AS (SELECT row, col, s - floor(s) - 0.5 AS value FROM (SELECT row, col, sin(col * 12.9898::DOUBLE + row * 78.233::DOUBLE) * 43758.5453::DOUBLE AS s FROM field))"
+
+
+@query(f"""WITH {GRID.replace("grid AS", "field AS")}, smooth AS (WITH {NOISE_SQL}, {_blur_sql(1, 2)})
+SELECT row, col, round(least(8.0, greatest(2.4, 8.0 + (2.6 - 8.0) * (1 - (row + 0.5::DOUBLE) / 64) + 0.5 * value / (SELECT max(abs(value)) + 1e-9::DOUBLE FROM smooth))), 4) AS age FROM smooth""")
+def eruption_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ages from 8.0 in the south to 2.6 in the north, moved by up to half a million years of smooth noise."""
+    noise = grid(spark, sf_dir).select("row", "col", (E.cell_noise(F.col("row"), F.col("col")) - 0.5).alias("value"))
+    smooth = raster.box_blur(noise, 64, 64, 2, passes=1).withColumn("value", F.round("value", 4))
+    most = smooth.agg((F.max(F.abs("value")) + 1e-9).alias("most"))  # one row
+    age = E.age_ramp(F.col("row"), 64, 8.0, 2.6, 0.5 * F.col("value") / F.col("most"), (2.4, 8.0))
+    return smooth.join(F.broadcast(most)).select("row", "col", F.round(age, 4).alias("age"))
+
+
 @query(f"""WITH {GRID}, p AS (SELECT g.row, g.col, avg(n.value) AS v FROM grid g, range(-3, 4) d JOIN grid n ON n.row = g.row AND n.col = greatest(0, least(63, g.col + d.range)) GROUP BY 1, 2)
 SELECT row, col, round(v, 6) AS value FROM p WHERE col % 4 = 0""")
 def smooth_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
