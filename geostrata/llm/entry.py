@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from geostrata.llm.decontaminate import op10_benchmark_decontamination
+from geostrata.llm.hard_negatives import ORACLE_SQL as NEGATIVES_SQL
+from geostrata.llm.hard_negatives import op13_hard_negatives
 from geostrata.llm.html_extract import op7_html_extraction
 from geostrata.llm.jaccard_join import ORACLE_SQL as JACCARD_SQL
 from geostrata.llm.jaccard_join import op5_jaccard_join
 from geostrata.llm.license_scan import op4_license_scan
 from geostrata.llm.mixing import op9_cube_mixing
+from geostrata.llm.packing import op11_packing
+from geostrata.llm.periodic import op12_periodic_runs
 from geostrata.llm.progressive_jpeg import op1_progressive_jpeg
 from geostrata.llm.quality import op3_quality_classifier
 from geostrata.llm.sharding import op2_histogram_sharding
@@ -25,6 +29,9 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_cube_mixing": op9_cube_mixing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_packing": op11_packing,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op5_jaccard_join": JACCARD_SQL}
+ORACLES: dict[str, str] = {"op5_jaccard_join": JACCARD_SQL, "op13_hard_negatives": NEGATIVES_SQL}
