@@ -1,25 +1,15 @@
 """Iterative operators on edge tables: upstream totals, closures, components, greedy orders.
 
-Loops run on the driver, data stays in DataFrames. ``settle`` cuts the lineage of each
-round through the checkpoint folder, which survives lost executors.
+Loops run on the driver, data stays in DataFrames. ``settle`` writes the state of each
+round to the shared folder, which survives lost executors.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in ``spark.checkpoint.dir`` or where that is unset and all runs on one machine (tests) in a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.getConf().get("spark.checkpoint.dir") and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="geostrata-"))
-    return df.checkpoint()
+from geostrata.operators.state import settle
 
 
 def closing_edges(held: list[tuple]) -> list[tuple]:
@@ -115,17 +105,28 @@ def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): smallest node that each node of (a, b) edges reaches. Nodes take the smallest label around, then that label's own label, until nothing changes."""
-    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    while True:
-        around = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("m"))
-        near = label.join(around, label.node == around.a).select("node", F.least("label", "m").alias("label"))
-        hop = near.join(label.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.least("label", "next").alias("label"))
-        new = settle(hop)
-        if new.join(label.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count() == 0:
-            return new
-        label = new
+    """(node, label): smallest node that each node of (a, b) edges reaches.
+
+    In each round every node hooks onto its smallest neighbour where that is smaller, chains of hooks are halved until they
+    are flat, and the edges are contracted to what still joins different nodes. A path of rising nodes is one round.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = settle(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    open_ = settle(both.where("a <> b").distinct())
+    while open_.limit(1).count():
+        hook = settle(open_.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        while True:
+            up = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            flat = settle(hook.join(up, "to").select("node", F.col("next").alias("to"), (F.col("next") < F.col("to")).alias("moved")))
+            moved = flat.where("moved").limit(1).count()
+            hook = settle(flat.select("node", "to"), hook, flat)
+            if not moved:
+                break
+        a, b = (hook.select(F.col("node").alias(c), F.col("to").alias(f"_{c}")) for c in "ab")
+        # nodes without an open edge keep their label
+        label = settle(label.join(hook.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), label)
+        open_ = settle(open_.join(a, "a").join(b, "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), open_, hook)
+    return label
 
 
 def greedy_order(pairs: DataFrame, start: int, touch: float, most: int = 1000) -> list[tuple[int, int, float]]:

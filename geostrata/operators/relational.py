@@ -25,13 +25,24 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], on: str, t
     return both.where("_side = 1").select(*keys, on, *names, *take)
 
 
-def best_overlap(left: DataFrame, right: DataFrame, key: str, same: Column, order: list[Column]) -> DataFrame:
-    """Each left interval (top, bottom) with the right interval of its key that overlaps it best: same class first, then the longest overlap."""
+def best_overlap(left: DataFrame, right: DataFrame, key: str, same: Column, order: list[Column], band: float) -> DataFrame:
+    """Each left interval (top, bottom) with the right interval of its key that overlaps it best: same class first, then the longest overlap.
+
+    Intervals are copied to every band of width ``band`` that they touch and meet there, so that a key with very many
+    layers doesn't pair them all; a pair counts in the first band of both. The result is the same for every width.
+    """
     r = right.select(F.col(key).alias("_k"), *[F.col(c).alias(f"r_{c}") for c in right.columns if c != key])
+
+    def banded(df: DataFrame, top: str, bottom: str, first: str) -> DataFrame:
+        edges = df.where(F.col(bottom) > F.col(top)).withColumn(first, F.floor(F.col(top) / band))
+        return edges.withColumn("_band", F.explode(F.sequence(first, F.greatest(first, F.ceil(F.col(bottom) / band) - 1))))
+
+    a, b = banded(left, "top", "bottom", "_first"), banded(r, "r_top", "r_bottom", "_r_first").withColumnRenamed("_band", "_b")
     overlap = F.least("bottom", "r_bottom") - F.greatest("top", "r_top")
-    both = left.join(r, (F.col(key) == F.col("_k")) & (overlap > 0)).withColumn("overlap", overlap).withColumn("same_class", same.cast("int"))
+    met = a.join(b, (F.col(key) == F.col("_k")) & (F.col("_band") == F.col("_b"))).where((overlap > 0) & (F.col("_band") == F.greatest("_first", "_r_first")))
+    both = met.withColumn("overlap", overlap).withColumn("same_class", same.cast("int"))
     w = Window.partitionBy(key, "top", "bottom").orderBy(F.desc("same_class"), F.desc("overlap"), *order)
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_k")
+    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_k", "_band", "_b", "_first", "_r_first")
 
 
 def divide(df: DataFrame, candidate: str, member: str, members: int) -> DataFrame:

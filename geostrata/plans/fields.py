@@ -94,21 +94,6 @@ def pinned_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.join(F.broadcast(sums)).select("day", "cells", F.round("total", 4).alias("total"), "row0", "col1")  # one row
 
 
-@query("""WITH s AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey // 100 AS cell, l_partkey % 97 AS x, l_orderkey % 89 AS y, (l_partkey * 7 + 13) % 97 AS x2, (l_orderkey * 11 + 5) % 89 AS y2 FROM lineitem WHERE l_linenumber = 1),
-q AS (SELECT c_custkey AS sid, c_custkey // 10 AS cell, c_custkey * 3 % 97 AS sx, 0 AS sy, (c_custkey * 5 + 31) % 97 AS sx2, 88 AS sy2 FROM customer),
-p AS (SELECT *, CAST((x2 - x) * (sy2 - sy) - (y2 - y) * (sx2 - sx) AS DOUBLE) AS d FROM s JOIN q USING (cell)), t AS (SELECT *, ((sx - x) * (sy2 - sy) - (sy - y) * (sx2 - sx)) / d AS t, ((sx - x) * (y2 - y) - (sy - y) * (x2 - x)) / d AS s FROM p WHERE d <> 0)
-SELECT sid, count(*) AS crossings, round(min(s), 6) + 0.0 AS first_at, round(max(s), 6) + 0.0 AS last_at FROM t WHERE t >= 0 AND t <= 1 AND s >= 0 AND s <= 1 GROUP BY 1""")
-def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the segments of an area cross its section lines, by solving for both places; segments and lines meet by their area."""
-    i, p = F.col("l_orderkey"), F.col("l_partkey")
-    s = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.floor(i / 100).alias("cell"), (p % 97).alias("x"), (i % 89).alias("y"), ((p * 7 + 13) % 97).alias("x2"), ((i * 11 + 5) % 89).alias("y2"))
-    c = F.col("c_custkey")
-    q = table(spark, sf_dir, "customer").select(c.alias("sid"), F.floor(c / 10).alias("cell"), (c * 3 % 97).alias("sx"), F.lit(0).alias("sy"), ((c * 5 + 31) % 97).alias("sx2"), F.lit(88).alias("sy2"))
-    t, u = E.crossing(*(F.col(n) for n in ("x", "y", "x2", "y2", "sx", "sy", "sx2", "sy2")))
-    hit = s.join(q, "cell").select("sid", t.alias("t"), u.alias("s")).where("t between 0 and 1 and s between 0 and 1")
-    return hit.groupBy("sid").agg(F.count("*").alias("crossings"), (F.round(F.min("s"), 6) + 0.0).alias("first_at"), (F.round(F.max("s"), 6) + 0.0).alias("last_at"))
-
-
 @query(f"""WITH {GRID}, g AS (SELECT row, col, (coalesce(lead(value) OVER (PARTITION BY row ORDER BY col), value) - coalesce(lag(value) OVER (PARTITION BY row ORDER BY col), value)) / 20.0 AS gx,
 (coalesce(lead(value) OVER (PARTITION BY col ORDER BY row), value) - coalesce(lag(value) OVER (PARTITION BY col ORDER BY row), value)) / 20.0 AS gy FROM grid)
 SELECT row, col, round(greatest(0.0, (-gx * cos(radians(45.0)) * sin(radians(315.0)) + gy * cos(radians(45.0)) * cos(radians(315.0)) + sin(radians(45.0))) / sqrt(1 + gx * gx + gy * gy)), 6) AS shade FROM g""")

@@ -153,17 +153,6 @@ def containment_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(e).select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
 
 
-@query()
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pools of low cells, by neighbours of four."""
-    c = grid(spark, sf_dir).where("value < 330").select("row", "col", (F.col("row") * 64 + F.col("col")).alias("id"))
-    right = c.select("row", (F.col("col") + 1).alias("col"), F.col("id").alias("b"))
-    down = c.select((F.col("row") + 1).alias("row"), "col", F.col("id").alias("b"))
-    e = c.join(right, ["row", "col"]).select(F.col("id").alias("a"), "b").unionByName(c.join(down, ["row", "col"]).select(F.col("id").alias("a"), "b"))
-    label = graph.components(e)
-    return c.join(label, c.id == label.node, "left").groupBy(F.coalesce("label", "id").alias("label")).agg(F.count("*").alias("cells"))
-
-
 @query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT poly, avg(x) AS x, avg(y) AS y FROM edges WHERE ring = 0 GROUP BY 1), p AS (SELECT a.poly AS a, b.poly AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS gap FROM c a JOIN c b ON a.poly <> b.poly),
 s AS (SELECT 0 AS step, 0 AS poly, CAST(0 AS DOUBLE) AS gap, [0] AS seen UNION ALL SELECT step + 1, nxt.b, nxt.gap, list_append(seen, nxt.b)
   FROM (SELECT s.step, s.seen, min({{'far': NOT (p.a = s.poly AND p.gap <= 15), 'gap': p.gap, 'b': p.b}}) AS nxt FROM s JOIN p ON list_contains(s.seen, p.a) AND NOT list_contains(s.seen, p.b) GROUP BY s.step, s.seen) x)

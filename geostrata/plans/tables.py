@@ -76,7 +76,7 @@ def layer_overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         return p.withColumn("bottom", F.sum("p_size").over(w)).select("profile", F.col("p_brand").alias("name"), (F.col("bottom") - F.col("p_size")).alias("top"), "bottom")
 
     a, b = layers(F.asc("p_partkey")), layers(F.desc("p_partkey"))
-    out = best_overlap(a, b, "profile", F.substring("name", 1, 7) == F.substring("r_name", 1, 7), [F.col("r_top")])
+    out = best_overlap(a, b, "profile", F.substring("name", 1, 7) == F.substring("r_name", 1, 7), [F.col("r_top")], band=100)
     return out.select("profile", "top", "bottom", "name", F.col("r_name").alias("match"), "overlap")
 
 

@@ -55,7 +55,7 @@ def test_division_needs_every_member(spark):
 def test_overlap_prefers_the_same_class(spark):
     left = spark.createDataFrame([(1, "Bt1", 45, 58)], "p int, name string, top int, bottom int")
     right = spark.createDataFrame([(1, "A2", 40, 55), (1, "B2", 55, 60), (2, "B9", 45, 58)], "p int, name string, top int, bottom int")
-    got = R.best_overlap(left, right, "p", F.substring("name", 1, 1) == F.substring("r_name", 1, 1), [F.col("r_top")]).collect()
+    got = R.best_overlap(left, right, "p", F.substring("name", 1, 1) == F.substring("r_name", 1, 1), [F.col("r_top")], 10.0).collect()
     assert [(r.r_name, r.overlap) for r in got] == [("B2", 3)]
 
 
