@@ -3,7 +3,8 @@
 Markup is stripped into lines, one for each block element. A line weighs what its text is
 long, up to a bound; a line in a menu, header, footer, sidebar, notice, advert, form or
 comment weighs nothing, text of links weighs nothing outside of an article, and a line that
-the page marks as its article weighs a multiple. A sliding window sums the weights of
+the page marks as its article weighs some more. What looks like a sidebar or a form but
+holds the page's article, or most of its text, is the page's frame and takes no weight. A sliding window sums the weights of
 neighbouring lines: it surges where the sum rises above a share of the page's loudest
 window and dives where it falls below. All text between the first surge and the last dive
 is kept, but for lines without weight of their own, with the headings and paragraphs that
@@ -26,7 +27,7 @@ from geostrata.llm.common import chunks, table
 #: Lines that a window sums, and the sum from which it is loud: the larger of a number and a share of the page's loudest window.
 WINDOW, LOUD, SHARE = 3, 60, 1 / 12
 #: Longest text that a line weighs; in a marked article each line weighs so much more, and so many times that.
-LONG, EXTRA, MARKED = 400, 400, 8
+LONG, EXTRA, MARKED = 400, 150, 3
 #: Deepest nesting that is told apart: elements beyond it become neighbours.
 DEPTH = 512
 
@@ -50,6 +51,8 @@ HINTS = frozenset(
 SURE = frozenset(
     "ad ads advert adverts advertisement advertisements sponsored promo promos cookie cookies consent popup modal newsletter subscribe navbar navbox breadcrumb breadcrumbs sidebar sidebars masthead toolbar comment comments commentlist disqus pagination pager contentinfo complementary".split()
 )
+#: With one of these, a word tells what a page has or lacks, not what an element is.
+STATE = frozenset("has no not with without is hide hides show shows".split())
 PLACE = frozenset("area bar block bottom box container content inner left list outer right section slot top unit wrap wrapper".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -60,11 +63,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 OPENING, LISTED = HEADINGS | {"p"}, frozenset("li dd dt option td th tr ul ol dl table".split())
 
 
+class Away:
+    """An element that by its tag, class or id holds no main text; ``sure`` if by its tag or a whole word."""
+
+    __slots__ = ("chars", "frame", "sure")
+
+    def __init__(self, sure: bool):
+        self.sure, self.chars, self.frame = sure, 0, False  # chars: of text in it; frame: it turned out to be the frame of the page
+
+
 class Line:
-    __slots__ = ("aside", "block", "inside", "links", "text")
+    __slots__ = ("aside", "aways", "block", "inside", "links", "text")
 
-    def __init__(self, text: str, aside: bool, inside: int, block: str = "", links: int = 0):
-        self.text, self.aside, self.inside, self.block, self.links = text, aside, inside, block, links  # inside: number of the outermost article, 0 outside of any; block: innermost block element; links: characters inside of links
+    def __init__(self, text: str, aways: tuple[Away, ...] = (), inside: int = 0, block: str = "", links: int = 0):
+        self.text, self.aways, self.inside, self.block, self.links = text, aways, inside, block, links  # inside: number of the outermost article, 0 outside of any; block: innermost block element; links: characters inside of links
+        self.aside = False
 
     def weight(self) -> int:
         if self.aside:
@@ -72,12 +85,13 @@ class Line:
         return MARKED * (min(len(self.text), LONG) + EXTRA) if self.inside else min(max(0, len(self.text) - self.links), LONG)
 
 
-def hinted(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether class, id or role tells of no main text.
+def hinted(tag: str, attributes: str, inside: bool) -> str:
+    """How class, id or role tell of no main text: by a "whole" word, by a "part" of one, or not at all.
 
     A heading's id is an anchor and tells nothing, and a section's id only as a whole. Inside an article only what is no
     subject of a text counts: a sure word, sure words with others of their kind or with a place, and roles.
     """
+    found = ""
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         if name not in TELLING or (name == "id" and tag in HEADINGS):
@@ -85,17 +99,17 @@ def hinted(tag: str, attributes: str, inside: bool) -> bool:
         value = (m[2] or m[3] or m[4] or "").lower()
         for word in [value.strip()] if name == "aria-label" and inside else value.split():
             parts = set(re.split(r"[_-]+", word)) - {""}
-            if name == "id" and tag == "section":
-                told = word in SURE
-            elif not inside:
+            if word in SURE or (name == "role" and word in HINTS):
+                return "whole"
+            if parts & STATE or (name == "id" and tag == "section"):
+                continue
+            if not inside:
                 told = bool(parts & HINTS)
-            elif name == "role":
-                told = word in HINTS
             else:
-                told = word in SURE or (name != "aria-label" and len(parts) > 1 and bool(parts & SURE) and parts <= HINTS | PLACE)
+                told = name not in ("aria-label", "role") and len(parts) > 1 and bool(parts & SURE) and parts <= HINTS | PLACE
             if told:
-                return True
-    return False
+                found = "part"
+    return found
 
 
 def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -145,10 +159,12 @@ def lines(html: str) -> list[Line]:
     """Blocks of text in page order, white space made single, references decoded."""
     out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag; silent, aside and article at it
+    stack: list[tuple[str, bool, tuple[Away, ...], int]] = []  # tag; silent, what is away and article at it
     held: Counter[str] = Counter()  # tags on the stack
-    silent = aside = False
-    inside = articles = links = 0
+    articles: list[tuple[tuple[Away, ...], list[int]]] = []  # what is away at each article, characters in it
+    every: list[Away] = []
+    silent, aways = False, ()
+    inside = links = 0
 
     def close() -> None:
         nonlocal links
@@ -156,7 +172,11 @@ def lines(html: str) -> list[Line]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append(Line(text, aside, inside, next((s[0] for s in reversed(stack) if s[0] in BLOCK), ""), links))
+                out.append(Line(text, aways, inside, next((s[0] for s in reversed(stack) if s[0] in BLOCK), ""), links))
+                for a in aways:
+                    a.chars += len(text)
+                if inside:
+                    articles[inside - 1][1][0] += len(text)
         links = 0
 
     def cut(i: int) -> None:
@@ -200,37 +220,56 @@ def lines(html: str) -> list[Line]:
             if block or any(s[0] in BLOCK for s in stack[popped:]):
                 close()
             cut(popped)
-            silent, aside, inside = stack[-1][1:] if stack else (False, False, 0)
+            silent, aways, inside = stack[-1][1:] if stack else (False, (), 0)
             continue
         if block:
             close()
             if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):
                 cut(_end_open(stack, tag))
-                silent, aside, inside = stack[-1][1:] if stack else (False, False, 0)
+                silent, aways, inside = stack[-1][1:] if stack else (False, (), 0)
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
         quiet = silent or tag in SILENT
-        away = aside or (tag in ASIDE and not (tag == "header" and inside)) or (tag not in ("html", "body", "article", "main") and bool(attributes) and hinted(tag, attributes, inside > 0))
+        away, told = aways, ""
+        if tag in ASIDE and not (tag == "header" and inside):
+            told = "part" if tag == "form" else "whole"
+        elif tag not in ("html", "body", "article", "main") and attributes:
+            told = hinted(tag, attributes, inside > 0)
+        if told:
+            every.append(Away(told == "whole"))
+            away = (*aways, every[-1])
         within = inside
-        if not inside and not away and (tag in ("article", "main") or 'role="main"' in attributes):
-            within = articles = articles + 1
+        if not inside and (tag in ("article", "main") or 'role="main"' in attributes):
+            articles.append((away, [0]))
+            within = len(articles)
         if tag in RAW:
             raw_end = RAW[tag].search(html, at)
             at = go_on = raw_end.end() if raw_end else len(html)
             continue
-        if quiet != silent or away != aside or within != inside:
+        if quiet != silent or away is not aways or within != inside:
             close()
         if len(stack) >= DEPTH:
             cut(DEPTH - 1)
         stack.append((tag, quiet, away, within))
         held[tag] += 1
-        silent, aside, inside = quiet, away, within
+        silent, aways, inside = quiet, away, within
     say(html[at:])
     close()
+    framed(articles, every, sum(len(x.text) for x in out))
+    for x in out:
+        x.aside = any(not a.frame for a in x.aways)
     return out
 
 
-def _end_open(stack: list[tuple[str, bool, bool, int]], tag: str) -> int:
+def framed(articles: list[tuple[tuple[Away, ...], list[int]]], every: list[Away], total: int) -> None:
+    """Tell which elements are the frame of the page: those around its article (the longest of those in the fewest of them), else, without any article, unsure ones with half of its text."""
+    spoken = [(len(aways), -chars[0], aways) for aways, chars in articles if chars[0]]
+    around = min(spoken, key=lambda x: x[:2])[2] if spoken else [a for a in every if not a.sure and 2 * a.chars >= total]
+    for a in around:
+        a.frame = True
+
+
+def _end_open(stack: list[tuple[str, bool, tuple[Away, ...], int]], tag: str) -> int:
     """Place on the stack from which a paragraph, item or cell that begins ends what is open: one of its kind with only inline elements in it."""
     i = len(stack) - 1
     while i >= 0 and stack[i][0] not in BLOCK:
