@@ -70,13 +70,15 @@ def held_out(id_column: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
     """A model from at most ``max_train`` labelled rows outside the held-out fold.
 
-    Labels of ids that documents lack and null labels are ignored; of repeated labels the smallest counts.
+    Labels of ids that documents lack and null labels are ignored; of repeated labels the smallest counts, of the texts
+    that share an id the first in order.
     Without any usable label every score is 0.5.
     """
     seen = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out())
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1)").where(~held_out())
     picked = known.groupBy("doc_id").agg(F.min("label").alias("label")).join(seen, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # at most max_train ids
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # at most max_train ids
+    rows = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # however many rows share an id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, got = WordHash(), []
