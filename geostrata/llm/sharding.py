@@ -142,18 +142,33 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, fine:
     return [pair(x) for x, _ in found], np.array([n for _, n in found], np.int64)
 
 
+def _numbered(base: DataFrame) -> DataFrame:
+    """The rows of doc_id, size, crc and key, with keys that number equal rows from 0: key * most copies + number, ids counted from the smallest."""
+    same = put_table(base.groupBy("doc_id", "size", "crc", "key").agg(F.count("*").alias("rows")), "shard-same")
+    known = same.agg(F.max("rows").alias("most"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    step = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / 1024)))
+    rows = same.withColumn("step", step).withColumn("number", F.explode(F.sequence(F.col("step") * 1024, F.least(F.col("rows"), F.col("step") * 1024 + 1024) - 1)))
+    key = F.col("key")
+    if known.most and known.most > 1:
+        low, high = known.low or 0, known.high or 0
+        if (high - low + 2) * known.most < 1 << 62:
+            key = F.coalesce(F.col("doc_id").cast("long") - F.lit(low) + 1, F.lit(0)) * known.most + F.col("number")
+    return rows.select("doc_id", "size", "crc", key.alias("key"))
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = (), tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row, and the columns in ``keep``.
 
     Shards are ranges of (CRC of text, doc_id) with near equal sums of size; slots count from 0 in that order without
     gaps. Equal texts are neighbours, and so share a shard but where a splitter falls among them. Null texts have size 16
-    and CRC 0; a null doc_id sorts first. Rows equal in text and doc_id can't be told apart and stay in one shard. Other
-    columns, whatever their names, don't matter. An empty table gives no rows.
+    and CRC 0; a null doc_id sorts first. Rows equal in text and doc_id are counted and numbered, so that they can be
+    parted as well; only where columns are kept, or the span of ids times the most copies passes 2^62, they stay in one
+    shard. Other columns, whatever their names, don't matter. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     low = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
     base = docs.select("doc_id", (F.length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("crc"), low.alias("key"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    keys = put_table(base.select("doc_id", "size", "crc", "key"), "shard-keys")
+    keys = put_table(base.select("doc_id", "size", "crc", "key") if keep else _numbered(base), "shard-keys")
     n = keys.count()
     fine = max(1, min(PIECES // shards, -(-n // (shards * TASK_ROWS))))
     bounds, below = splitters(keys, shards, tolerance, fine)
