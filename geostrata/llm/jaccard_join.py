@@ -463,10 +463,12 @@ def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
     labelled = put_table(_labelled(docs, percent).select("doc_id", "row", "row_b", "label"), "join-labelled")
     best = labelled.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "row_b")).alias("r"))
-    stays = best.select("r.row", "r.row_b", F.lit(True).alias("once")).unionByName(labelled.where("label is null").select("row", "row_b", F.lit(False).alias("once")).distinct())
-    kept = plain.withColumns(dict(zip(("row", "row_b"), _keys(doc_id.cast("long"), text.cast("string")), strict=True))).join(put_table(stays, "join-stays").hint("merge"), ["row", "row_b"])
-    place = F.row_number().over(Window.partitionBy("row", "row_b").orderBy("row"))
-    return kept.withColumn("place", place).where("place = 1 or not once").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    stays = put_table(best.select("r.row", "r.row_b"), "join-stays")
+    blank = ~F.coalesce(text.cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keys = dict(zip(("row", "row_b"), _keys(doc_id.cast("long"), text.cast("string")), strict=True))
+    # copies are dropped before the exchange; what is left meets the rows that stay one to one
+    once = plain.where(~blank).withColumns(keys).dropDuplicates(["row", "row_b"]).join(stays.hint("merge"), ["row", "row_b"], "left_semi").drop("row", "row_b")
+    return once.unionByName(plain.where(blank)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 #: The same for DuckDB: every pair of different sets that shares a shingle, then whatever links reach.
