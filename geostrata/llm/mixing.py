@@ -231,8 +231,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
 def take(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Each row of ``docs`` as many times as the mix takes it.
 
-    Of rows equal in id, text and source the mix says how many are taken once more than the others; which ones is left
-    open. Null ids, texts and sources are values like others. An empty table stays empty.
+    Of rows equal in id, text and source the mix says how many are taken once more than the others; those that come first
+    by their other columns are. Null ids, texts and sources are values like others. An empty table stays empty.
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name of the input clashes with those below
@@ -240,10 +240,17 @@ def take(docs: DataFrame, seed: int = SEED) -> DataFrame:
     a, b = keys_of(F.col(doc_id), F.col(text).cast("string"), F.col(source).cast("string"))
     units = mix_units(docs, seed=seed)
     times = put_table(units.groupBy("key_a", "key_b").agg(F.min("times").alias("least"), F.sum("times").alias("sum"), F.count("*").alias("rows")), "mix-times")
-    both = plain.withColumn("key_a", a).withColumn("key_b", b).join(times.where("sum > 0").hint("merge"), ["key_a", "key_b"])
-    row = F.row_number().over(Window.partitionBy("key_a", "key_b").orderBy("key_a"))
-    copies = (F.col("least") + (row <= F.col("sum") - F.col("least") * F.col("rows")).cast("int")).cast("int")
-    taken = both.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    # equal rows are counted before the exchange and told apart by their number alone
+    counted = plain.withColumn("key_a", a).withColumn("key_b", b).groupBy("key_a", "key_b", *plain.columns).agg(F.count("*").alias("equal"))
+    both = counted.join(times.where("sum > 0").hint("merge"), ["key_a", "key_b"])
+    order = Window.partitionBy("key_a", "key_b").orderBy(*[c for c in plain.columns if c != text])
+    before = F.sum("equal").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    more = F.col("sum") - F.col("least") * F.col("rows") - F.coalesce(before, F.lit(0))
+    copies = F.col("least") * F.col("equal") + F.greatest(F.lit(0), F.least(more, F.col("equal")))
+    # a step of copies at a time, so that no row of the plan makes an array of all
+    step = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / 1024)))
+    taken = both.withColumn("copies", copies).where("copies > 0").withColumn("step", step)
+    taken = taken.withColumn("copy", F.explode(F.sequence(F.col("step") * 1024, F.least(F.col("copies"), F.col("step") * 1024 + 1024) - 1)))
     return taken.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
