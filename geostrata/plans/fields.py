@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geostrata.functions import expressions as E
+from geostrata.functions.documents import harvest
 from geostrata.operators import raster
 from geostrata.plans.bindings import EDGES, GRID, edges, grid
 from geostrata.plans.series import UTM_SQL
@@ -28,14 +29,10 @@ def query(sql: str | None = None):
 
 #: Roles that a layer's name may begin with, and the geometry types that each may have.
 ROLES = {"boundary": ("Polygon", "MultiPolygon"), "line": ("LineString", "MultiLineString"), "site": ("Point",)}
-_LAYER = """{"name": "%s: Layer %d", "source": {"url": "https://a.example/%d", "tiles": ["https://t.example/%d", "https://a.example/%d"]}, "geometry": {"type": "%s", "note": "https://geometry.example/%d"}}"""
-
-
-def harvest(doc: Column, skip: tuple[str, ...] = ("geometry",)) -> Column:
-    """Addresses anywhere in a JSON text but in the subtrees of ``skip``, each once, in order. A subtree is an object without objects in it."""
-    for name in skip:
-        doc = F.regexp_replace(doc, rf'"{name}"\s*:\s*\{{[^{{}}]*\}}', f'"{name}":null')
-    return F.array_distinct(F.regexp_extract_all(doc, F.lit(r'"(https?://[^"]+)"'), F.lit(1)))
+_LAYER = (
+    """{"name": "%s: Layer %d", "source": {"url": "https://a.example/%d", "tiles": ["https://t.example/%d {z}", "https://a.example/%d"]}, """
+    """"geometry": {"type": "%s", "parts": [{"note": "https://geometry.example/%d", "at": {"x": 1}}, "}"]}}"""
+)
 
 
 def role_of(name: Column) -> tuple[Column, Column]:
