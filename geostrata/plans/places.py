@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geostrata.functions import expressions as E
+from geostrata.functions.fields import normal, on_lattice, value_noise
 from geostrata.operators import spatial
 from geostrata.operators.flood import flood, pools
 from geostrata.plans.bindings import GRID, grid
+from geostrata.plans.series import UTM_SQL
 from geostrata.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -69,3 +72,35 @@ def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = spatial.crossing_pairs(s, table(spark, sf_dir, "customer").select(c.alias("sid"), *ends), 48.0)
     places = [(F.round(g("s"), 6) + 0.0).alias(n) for g, n in ((F.min, "first_at"), (F.max, "last_at"))]
     return hit.groupBy("sid").agg(F.count("*").alias("crossings"), *places)
+
+
+#: Corners of the cells of a 64th of a degree around each point, projected by the exact formula.
+LATTICE = UTM_SQL.replace("p AS (SELECT c_custkey, 36", "pts AS (SELECT c_custkey, 36").replace(
+    "FROM customer)", "FROM customer),\np AS (SELECT c_custkey * 4 + k AS c_custkey, (floor(lat * 64) + k // 2) / 64 AS lat, (floor(lon * 64) + k % 2) / 64 AS lon FROM pts, range(4) r(k))"
+)
+
+
+@query(f"""WITH {LATTICE}, w AS (SELECT c_custkey, k, CASE WHEN k // 2 = 1 THEN lat * 64 - floor(lat * 64) ELSE 1 - (lat * 64 - floor(lat * 64)) END * CASE WHEN k % 2 = 1 THEN lon * 64 - floor(lon * 64) ELSE 1 - (lon * 64 - floor(lon * 64)) END AS share FROM pts, range(4) r(k))
+SELECT w.c_custkey, round(sum(share * easting), 2) AS easting, round(sum(share * northing), 2) AS northing, true AS close FROM w JOIN utm ON utm.c_custkey = w.c_custkey * 4 + k GROUP BY 1""")
+def lattice_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points projected by way of a lattice, and whether each is within 10 cm of its exact place."""
+    k = F.col("c_custkey")
+    p = table(spark, sf_dir, "customer").select(k, (36 + (k * 7919 % 1000) / 250.0).alias("lat"), (-124 + (k * 104729 % 1000) / 250.0).alias("lon"))
+    near = on_lattice(p, "lat", "lon", 1 / 64, lambda lat, lon: E.utm(lat, lon, 10))
+    x, y = E.utm(F.col("lat"), F.col("lon"), 10)
+    return near.select(k, F.round("px", 2).alias("easting"), F.round("py", 2).alias("northing"), (F.hypot(F.col("px") - x, F.col("py") - y) < 0.1).alias("close"))
+
+
+def _drawn_sql(seed: int, *counters: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws(',', '{seed}', {', '.join(f'CAST({c} AS BIGINT)' for c in counters)})), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496)"
+
+
+@query(f"""WITH c AS (SELECT o_orderkey, o_orderkey // 250 AS row, o_orderkey % 250 AS col FROM orders), n AS (SELECT *, row / 12.0::DOUBLE - row // 12 AS y, col / 12.0::DOUBLE - col // 12 AS x, row // 12 AS i, col // 12 AS j FROM c),
+s AS (SELECT *, y * y * (3 - 2 * y) AS t, x * x * (3 - 2 * x) AS u FROM n)
+SELECT o_orderkey, round((1 - t) * ((1 - u) * {_drawn_sql(7, 'i', 'j')} + u * {_drawn_sql(7, 'i', 'j + 1')}) + t * ((1 - u) * {_drawn_sql(7, 'i + 1', 'j')} + u * {_drawn_sql(7, 'i + 1', 'j + 1')}), 6) AS smooth,
+round(sqrt(-2 * ln({_drawn_sql(11, 'row', 'col', '0')})) * cos(2 * pi() * {_drawn_sql(11, 'row', 'col', '1')}), 6) + 0.0 AS bell FROM s""")
+def random_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smooth and normal noise of each cell of the map, by seed and place alone."""
+    k = F.col("o_orderkey")
+    row, col = F.floor(k / 250), k % 250
+    return table(spark, sf_dir, "orders").select(k, F.round(value_noise(7, row, col, 12.0), 6).alias("smooth"), (F.round(normal(11, row, col), 6) + 0.0).alias("bell"))
