@@ -160,15 +160,19 @@ def compose_chains(links: DataFrame, product, most: int = 60) -> DataFrame:
     """(node, root, value): values along each node's chain of parents, composed from the root down.
 
     links: node, parent (null at a root), value; ``product`` composes two values. Pointers double in each round, so that
-    a chain of length n takes log n joins. A node whose chain has no root within ``most`` links, or a null on it, is null.
+    a chain of length n takes log n joins. A node more than ``most`` links from its root, without one, or with a null on
+    its chain, is null.
     """
-    state = settle(links.select("node", "parent", "value"))
+    state = settle(links.select("node", "parent", "value", F.col("parent").isNotNull().cast("int").alias("far")))
     for _ in range(max(1, most.bit_length())):
-        up = state.select(F.col("node").alias("_n"), F.col("parent").alias("_p"), F.col("value").alias("_v"))
+        up = state.select(F.col("node").alias("_n"), F.col("parent").alias("_p"), F.col("value").alias("_v"), F.col("far").alias("_f"))
+        on = F.col("_p").isNotNull()
         joined = state.join(up, state.parent == up._n, "left")
-        state = settle(joined.select("node", F.when(F.col("_p").isNotNull(), F.col("_p")).otherwise(F.col("parent")).alias("parent"), F.when(F.col("_p").isNotNull(), product(F.col("_v"), F.col("value"))).otherwise(F.col("value")).alias("value")))
+        further = [F.when(on, F.col("_p")).otherwise(F.col("parent")).alias("parent"), F.when(on, product(F.col("_v"), F.col("value"))).otherwise(F.col("value")).alias("value"), F.when(on, F.col("far") + F.col("_f")).otherwise(F.col("far")).alias("far")]
+        state = settle(joined.select("node", *further), state)
         if state.join(state.select(F.col("node").alias("_n"), F.col("parent").alias("_p")), F.col("parent") == F.col("_n")).where("_p is not null").limit(1).count() == 0:
             break
     roots = links.where("parent is null").select(F.col("node").alias("root"), F.col("value").alias("_r"))
-    own = state.join(roots, F.coalesce("parent", "node") == F.col("root"), "left")
+    near = state.withColumn("_to", F.when(F.col("far") <= most, F.coalesce("parent", "node")))
+    own = near.join(roots, F.col("_to") == F.col("root"), "left")
     return own.select("node", "root", F.when(F.col("root").isNull(), None).when(F.col("parent").isNull(), F.col("value")).otherwise(product(F.col("_r"), F.col("value"))).alias("value"))

@@ -106,3 +106,17 @@ def share(value: Column, over: list[str]) -> Column:
 def nest(df: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:
     """One row for each key with its rows as an ordered array of structs."""
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+
+def tree_digest(df: DataFrame, keys: list[str], order: str, digest: str, fan: int, levels: int) -> DataFrame:
+    """keys and one digest each: digests are joined in order of a whole number, ``fan`` neighbours at a time, and digested, ``levels`` times before the last.
+
+    A row holds ``fan`` digests, and the last one those of numbers that share no higher part: levels enough for the largest
+    number, so that fan ** (levels + 1) is above it, bound that too.
+    """
+    for level in range(levels + 1):
+        above = [] if level == levels else [F.floor(F.col(order) / fan).alias("_up")]
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, digest))), lambda x: x[digest]), "")
+        df = df.groupBy(*keys, *above).agg(F.sha2(joined, 256).alias(digest))
+        df = df if level == levels else df.withColumnRenamed("_up", order)
+    return df

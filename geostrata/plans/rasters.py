@@ -291,9 +291,15 @@ def grid_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).groupBy("row").agg(F.sha2(cells, 256).alias("digest"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
 
 
-@query("SELECT z.range AS z, x.range AS x, y.range AS y, (x.range + y.range) % 3 = 0 AS cached FROM range(3, 6) z, range(10) x, range(7) y WHERE (x.range + y.range) % 3 <> 0")
+@query("""WITH f AS (SELECT n_nationkey AS frame, n_nationkey % 3 + 3 AS z, n_nationkey * 7 % 20 AS x0, n_nationkey * 5 % 11 AS y0, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1),
+t AS (SELECT frame, z, unnest(range(x0, x0 + 1 + n % 9)) AS x, y0, n FROM f), u AS (SELECT frame, z, x, unnest(range(y0, y0 + 1 + n % 5)) AS y FROM t), c AS (SELECT s_nationkey % 3 + 3 AS z, s_suppkey % 28 AS x, s_suppkey * 3 % 16 AS y FROM supplier)
+SELECT z, x, y, count(DISTINCT frame) AS frames FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.z = u.z AND c.x = u.x AND c.y = u.y) GROUP BY 1, 2, 3""")
 def tile_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles of a cover that the cache lacks."""
-    all_ = spark.range(3, 6).toDF("z").join(spark.range(10).toDF("x")).join(spark.range(7).toDF("y"))
-    cached = all_.where("(x + y) % 3 = 0")
-    return all_.join(cached, ["z", "x", "y"], "left_anti").withColumn("cached", F.lit(False))
+    """Tiles that cover the frames of a table and that a table of cached tiles lacks; a tile of several frames is one job."""
+    k, s = F.col("n_nationkey"), F.col("s_suppkey")
+    n = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("frame")).agg(F.count("*").alias("n"))
+    f = table(spark, sf_dir, "nation").select(k.cast("long").alias("frame"), (k % 3 + 3).alias("z"), (k * 7 % 20).alias("x0"), (k * 5 % 11).alias("y0")).join(n, "frame")
+    wide = f.withColumn("x", F.explode(F.sequence("x0", (F.col("x0") + F.col("n") % 9).cast(f.schema["x0"].dataType))))
+    every = wide.withColumn("y", F.explode(F.sequence("y0", (F.col("y0") + F.col("n") % 5).cast(f.schema["y0"].dataType))))
+    cached = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 3 + 3).alias("z"), (s % 28).alias("x"), (s * 3 % 16).alias("y"))
+    return every.join(cached, ["z", "x", "y"], "left_anti").groupBy("z", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).agg(F.countDistinct("frame").alias("frames"))

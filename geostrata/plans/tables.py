@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geostrata.operators.relational import best_overlap, dictionary, divide, nest, previous, previous_known, runs, share, top_n, upsert
+from geostrata.operators.relational import best_overlap, dictionary, divide, nest, previous, previous_known, runs, share, top_n, tree_digest, upsert
 from geostrata.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -171,11 +171,13 @@ def longest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.max("p_retailprice").alias("length")).orderBy(F.desc("length"), "name").limit(8)
 
 
-@query("""SELECT p_brand, sha256(string_agg(p_partkey || ':' || sha256(p_name), '' ORDER BY p_partkey)) AS digest FROM part GROUP BY 1""")
+@query("""WITH a AS (SELECT p_brand, p_partkey AS k, p_partkey || ':' || sha256(p_name) AS d FROM part), b AS (SELECT p_brand, k // 256 AS k, sha256(string_agg(d, '' ORDER BY k)) AS d FROM a GROUP BY p_brand, k // 256),
+c AS (SELECT p_brand, k // 256 AS k, sha256(string_agg(d, '' ORDER BY k)) AS d FROM b GROUP BY p_brand, k // 256), e AS (SELECT p_brand, k // 256 AS k, sha256(string_agg(d, '' ORDER BY k)) AS d FROM c GROUP BY p_brand, k // 256)
+SELECT p_brand, sha256(string_agg(d, '' ORDER BY k)) AS digest FROM e GROUP BY 1""")
 def set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of a set: of its members' digests in key order."""
-    part = F.struct("p_partkey", F.concat(F.col("p_partkey").cast("string"), F.lit(":"), F.sha2("p_name", 256)).alias("d"))
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["d"]), ""), 256).alias("digest"))
+    """Digest of a set, as a tree: of digests of 256 neighbours in key order, and of those again, so that no row holds more."""
+    member = F.concat(F.col("p_partkey").cast("string"), F.lit(":"), F.sha2("p_name", 256))
+    return tree_digest(table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("k"), member.alias("d")), ["p_brand"], "k", "d", 256, 3).withColumnRenamed("d", "digest")
 
 
 @query("""WITH y AS (SELECT *, CAST(year(o_orderdate) AS INT) AS y FROM orders) SELECT y, count(*) AS n, y < (SELECT max(y) FROM y) - 4 AS old FROM y GROUP BY 1""")
@@ -232,13 +234,18 @@ def multi_source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(c, F.col("c_nationkey") == F.col("n_nationkey")).join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("n_name", "r_name", "customers", "orders", "total", F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
 
 
-@query("""WITH b AS (SELECT doc_id, lang, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS running, source FROM documents) SELECT source, count(*) FILTER (WHERE running <= 60000) AS fit, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (WHERE running <= 60000), '') AS ids, CAST(sum(n_chars) AS BIGINT) AS total FROM b GROUP BY 1""")
+@query("""WITH b AS (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM documents) SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM b WHERE running <= 60000""")
 def budgeted_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of each group, in order, as long as the running length keeps within the budget."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    b = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars").withColumn("fits", F.sum("n_chars").over(w) <= 60000)
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("fits"), F.col("doc_id")))), lambda x: x.cast("string")), ",")
-    return b.groupBy("source").agg(F.count_if("fits").alias("fit"), ids.alias("ids"), F.sum("n_chars").alias("total"))
+    """Members of each group, in order, as long as the running length keeps within the budget.
+
+    Lengths are summed by blocks of a thousand ids first; rows of a block are summed one by one only if it begins within the budget.
+    """
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.floor(F.col("doc_id") / 1000).alias("block"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = d.groupBy("source", "block").agg(F.sum("n_chars").alias("size")).withColumn("before", before).where("before <= 60000").select("source", "block", "before")
+    w = Window.partitionBy("source", "block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    met = d.join(blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "before"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    return met.withColumn("running", (F.col("before") + F.sum("n_chars").over(w)).cast("long")).where("running <= 60000").select("source", "doc_id", "running")
 
 
 @query("""SELECT p_type, p_brand, round(100.0 * sum(p_size) / sum(sum(p_size)) OVER (PARTITION BY p_type), 6) AS pct FROM part GROUP BY 1, 2""")

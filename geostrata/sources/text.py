@@ -57,6 +57,52 @@ def horizons(narrative: str) -> tuple[Column, Column]:
     return gravel, texture
 
 
+#: A layer of a series document; its layers are a list in a list.
+_LAYER = "name string, top int, bottom int, texture_class string, narrative string, structure string, " + ", ".join(f"{m}_{c} string" for m in ("dry", "moist") for c in ("hue", "value", "chroma"))
+
+
+def read_series(spark: SparkSession, path: str) -> DataFrame:
+    """Layers of series documents (JSON files): series, place from 0, name, top, bottom, dry and moist colour words, gravel, texture and structure.
+
+    The texture is that of the narrative if it has one, else the class that is stated; a structure of "NA" is null.
+    """
+    d = spark.read.schema(f"SERIES string, HORIZONS array<array<struct<{_LAYER.replace(' ', ':').replace(',:', ',')}>>>").option("multiLine", True).json(path)
+    layers = d.select(F.col("SERIES").alias("series"), F.posexplode(F.col("HORIZONS")[0]).alias("place", "h")).select("series", "place", "h.*")
+    gravel, texture = horizons("narrative")
+    colour = lambda m: F.concat(f"{m}_hue", F.lit(" "), f"{m}_value", F.lit("/"), f"{m}_chroma").alias(m)
+    return layers.select("series", "place", "name", "top", "bottom", colour("dry"), colour("moist"), gravel.alias("gravel"), F.coalesce(texture, "texture_class").alias("texture"), F.nullif("structure", F.lit("NA")).alias("structure"))
+
+
+def section_text(content: str) -> Column:
+    """Text of a document's section without its heading in capitals; null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(content, r"^[A-Z ]+:\s*", "")), F.lit(""))
+
+
+def box_wkt(lat: Column, lon: Column, radius_m: float) -> Column:
+    """A square around a point, by half its side in metres, as closed WKT polygon to six decimals."""
+    dy = F.lit(radius_m / METRES_PER_DEGREE)
+    dx = dy / F.cos(F.radians(lat))
+    return ring_wkt(F.array(*[F.struct((lon + i * dx).alias("x"), (lat + j * dy).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))]), "POLYGON(", ")")
+
+
+def ring_wkt(ring: Column, begin: str = "", end: str = "") -> Column:
+    """A ring of (x, y), closed if it isn't, in brackets."""
+    closed = F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.array(ring[0])))
+    points = F.transform(closed, lambda p: F.format_string("%.6f %.6f", p["x"], p["y"]))
+    return F.concat(F.lit(begin + "("), F.array_join(points, ","), F.lit(")" + end))
+
+
+def polygons_wkt(rings: Column) -> Column:
+    """Rings of (x, y) as a polygon, or as a multipolygon if there are several; null for none."""
+    written = F.transform(rings, lambda r: ring_wkt(r))
+    several = F.concat(F.lit("MULTIPOLYGON("), F.array_join(F.transform(written, lambda w: F.concat(F.lit("("), w, F.lit(")"))), ","), F.lit(")"))
+    return F.when(F.size(rings) == 1, F.concat(F.lit("POLYGON("), written[0], F.lit(")"))).when(F.size(rings) > 1, several)
+
+
+#: Metres of a degree of latitude, on the sphere that boxes are drawn on. Fixed value.
+METRES_PER_DEGREE = 111320.0
+
+
 def replace_marked(text: str, begin: str, end: str, body: str) -> Column:
     """Text between a pair of markers that stands exactly once, replaced; null else."""
     pattern = f"(?s)(\\Q{begin}\\E).*?(\\Q{end}\\E)"

@@ -354,3 +354,19 @@ def test_a_tree_is_copied_if_it_fits(spark, tmp_path):
     made = grids.copy_files(text.within_budget(files, 500, ("raw",)), str(tmp_path / "t"), str(tmp_path / "u")).collect()
     assert sorted((r.path, r.length) for r in made) == [(str(tmp_path / "u/a.txt"), 10), (str(tmp_path / "u/b/c.txt"), 20)]
     assert (tmp_path / "u/b/c.txt").read_bytes() == b"x" * 20
+
+
+def test_series_documents_and_wkt(spark, tmp_path):
+    layer = {"name": "A1", "top": 0, "bottom": 20, "texture_class": "loam", "narrative": "brown (10YR 5/3); gravelly sandy loam; about 20 percent gravel", "structure": "NA", "dry_hue": "10YR", "dry_value": 5, "dry_chroma": 3}
+    (tmp_path / "X.json").write_text(json.dumps({"SERIES": "BALE", "HORIZONS": [[layer, {**layer, "name": "C", "narrative": None, "structure": "massive"}]]}))
+    got = text.read_series(spark, str(tmp_path)).orderBy("place").collect()
+    assert [(r.series, r.place, r.name, r.top, r.bottom, r.dry, r.gravel, r.texture, r.structure) for r in got] == [
+        ("BALE", 0, "A1", 0, 20, "10YR 5/3", 20, "gravelly sandy loam", None),
+        ("BALE", 1, "C", 0, 20, "10YR 5/3", None, "loam", "massive"),
+    ]
+    square = [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 1.0, "y": 2.0}]
+    df = spark.createDataFrame([([square],), ([square, [*square, square[0]]],), ([],)], "rings array<array<struct<x: double, y: double>>>")
+    ring = "0.000000 0.000000,1.000000 0.000000,1.000000 2.000000,0.000000 0.000000"
+    assert [r[0] for r in df.select(text.polygons_wkt(F.col("rings"))).collect()] == [f"POLYGON(({ring}))", f"MULTIPOLYGON((({ring})),(({ring})))", None]
+    box = spark.range(1).select(text.box_wkt(F.lit(0.0), F.lit(10.0), 1113.2), text.section_text(F.lit("RANGE IN USE: vines")), text.section_text(F.lit("EMPTY: "))).first()
+    assert box[0] == "POLYGON((9.990000 -0.010000,10.010000 -0.010000,10.010000 0.010000,9.990000 0.010000,9.990000 -0.010000))" and box[1:] == ("vines", None)

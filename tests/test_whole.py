@@ -113,15 +113,14 @@ def test_a_limit_of_a_graph_loop_is_an_error_not_a_cut(spark):
     assert graph.closure(chain, most=3).count() == 6
 
 
-def test_each_secret_and_code_rule_by_a_literal(spark, tmp_path):
-    secrets = ["AKIA" + "A1" * 8, "ghp_" + "a1" * 18, "sk-ant-" + "a-1_" * 5, "sk-proj-" + "a1" * 16, "AIza" + "b" * 35, "xoxb-" + "1" * 10, "-----BEGIN RSA " + "PRIVATE KEY-----"]
+def test_each_secret_and_code_rule_by_a_literal(spark):
+    secrets = ["AKIA" + "A1" * 8, "ghp_" + "a1" * 18, "github_pat_" + "a1_" * 20, "sk-ant-" + "a-1_" * 5, "sk-proj-" + "a1" * 16, "AIza" + "b" * 35, "xoxb-" + "1" * 10, "-----BEGIN RSA " + "PRIVATE KEY-----"]
     code = ["run(x, shell = True)", "y = eval(x)", "pickle.loads(x)", "yaml.load(x)", "get(u, verify=False)", "z.extractall(p)", "urlopen(u)"]
     fine = ["AKIA1", "sk-short", "model.eval()", "yaml.load(x, Loader=SafeLoader)", "a  # eval(x)"]
-    docs = [(1, "\n".join(secrets)), (2, "\n".join(code)), (3, "\n".join(fine)), (4, None)]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    for name, key, table in (("secret_findings", 1, rules.SECRETS), ("code_findings", 2, rules.CODE)):
-        got = sorted(tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect())
-        assert got == [(key, i, n) for i, n in enumerate(table, 1)] and len(got) == 7
+    docs = spark.createDataFrame([(1, "\n".join(secrets)), (2, "\n".join(code)), (3, "\n".join(fine)), (4, None)], "doc_id long, text string")
+    for key, table, comment in ((1, rules.SECRETS, None), (2, rules.CODE, "#")):
+        got = sorted(tuple(r) for r in rules.line_findings(docs, "doc_id", "text", table, comment).collect())
+        assert got == [(key, i, n) for i, n in enumerate(table, 1)]
 
 
 def test_simplification_by_line_and_great_circle():
@@ -129,3 +128,10 @@ def test_simplification_by_line_and_great_circle():
     assert simplify.kept(x, y, 1.0) == [0, 1, 2] and simplify.kept_by_line(x, y, 1.0) == [0, 2] and simplify.kept_by_line(x, y, 0.4) == [0, 1, 2]
     lon, lat = np.array([0.0, 45.0, 90.0]), np.array([60.0, 60.0, 60.0])  # the great circle rises to 67.8 degrees between
     assert simplify.kept_on_sphere(lon, lat, 8.0) == [0, 2] and simplify.kept_on_sphere(lon, lat, 7.0) == [0, 1, 2]
+
+
+def test_chains_stop_at_the_stated_length(spark):
+    """A node sixty links from its root has a value, one further has none."""
+    links = spark.createDataFrame([(i, i - 1 if i else None, 1) for i in range(64)], "node int, parent int, value int")
+    got = {r.node: (r.root, r.value) for r in graph.compose_chains(links, lambda a, b: a + b).collect()}
+    assert got == {i: (0, i + 1) if i <= 60 else (None, None) for i in range(64)}
