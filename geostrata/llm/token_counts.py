@@ -215,4 +215,5 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents: nulls, empty and long texts, repeats and empty tables as in ``count_tokens``."""
     return count_tokens(table(spark, sf_dir, "documents"))
