@@ -74,6 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: stored sequences, as ``shards`` gives them; no rows if no document is left.
+
+    Rows with null, shared or repeated ids, with empty or very long texts and with further columns are judged each by its
+    own text, as the stages state; ties are decided as there.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = put_table(stage(spark, docs, sf_dir), f"pipeline-{i}")
