@@ -14,7 +14,8 @@ GRID = "grid AS (SELECT l_suppkey % 64 AS row, l_partkey % 64 AS col, CAST(sum(l
 #: One ring for each nation: a rectangle, or a diamond for odd keys; keys divisible by 5 have a square hole.
 CORNERS = """corners AS (
   SELECT n_nationkey AS poly, 0 AS ring, x0, y0, CASE WHEN n_nationkey % 2 = 1 THEN x0 + 5 ELSE x0 + w END AS x1,
-    n_nationkey % 2 = 1 AS diamond, w, h FROM (SELECT n_nationkey, (n_nationkey % 5) * 12 + 1 AS x0, CAST(floor(n_nationkey / 5) AS INT) * 12 + 1 AS y0, 8 + n_nationkey % 3 AS w, 7 + n_nationkey % 4 AS h FROM nation) t)"""
+    n_nationkey % 2 = 1 AS diamond, w, h FROM (SELECT n_nationkey, (n_nationkey % 5) * 12 + 1 AS x0,
+CAST(floor(n_nationkey / 5) AS INT) * 12 + 1 AS y0, 8 + n_nationkey % 3 AS w, 7 + n_nationkey % 4 AS h FROM nation) t)"""
 EDGES = CORNERS + """, edges AS (
   SELECT poly, ring, 0 AS seq, x0 AS x, y0 AS y, x0 + w AS x2, y0 AS y2 FROM corners WHERE NOT diamond
   UNION ALL SELECT poly, ring, 1, x0 + w, y0, x0 + w, y0 + h FROM corners WHERE NOT diamond
@@ -51,7 +52,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines: the rows of an order, ordered by all that tells them apart; x and y are integers.
-POINTS = """pts AS (SELECT l_orderkey AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_discount, l_tax, l_quantity) - 1 AS seq,
+POINTS = """pts AS (SELECT l_orderkey AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+l_shipdate, l_discount, l_tax, l_quantity) - 1 AS seq,
   l_partkey % 1000 AS x, l_suppkey * 7 % 1000 AS y FROM lineitem)"""
 
 

@@ -22,7 +22,8 @@ def query(sql: str | None = None):
 
 
 @query("""WITH u AS (SELECT o_custkey AS unit, list(o_orderkey) AS ids FROM orders GROUP BY 1), x AS (SELECT unit, unnest(ids) AS id FROM u),
-p AS (SELECT l_orderkey AS unit, list_distinct(list(l_partkey + CASE WHEN l_partkey % 500 = 0 THEN 1000000 ELSE 0 END)) AS ids FROM lineitem GROUP BY 1), y AS (SELECT unit, unnest(ids) AS id FROM p)
+p AS (SELECT l_orderkey AS unit, list_distinct(list(l_partkey + CASE WHEN l_partkey % 500 = 0 THEN 1000000 ELSE 0 END)) AS ids FROM lineitem
+GROUP BY 1), y AS (SELECT unit, unnest(ids) AS id FROM p)
 SELECT 'customer' AS relation, unit, id FROM x WHERE unit NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'order', unit, id FROM x WHERE id NOT IN (SELECT l_orderkey FROM lineitem)
 UNION ALL SELECT 'part', unit, id FROM y WHERE id NOT IN (SELECT p_partkey FROM part)
@@ -48,9 +49,11 @@ def id_array_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("""WITH k AS (SELECT o_custkey AS track, o_orderkey AS seq, datediff('day', CAST(o_orderdate AS DATE), DATE '1998-12-31') AS age, CASE WHEN o_orderkey % 40 = 0 THEN '' ELSE o_orderpriority END AS label FROM orders),
+@query("""WITH k AS (SELECT o_custkey AS track, o_orderkey AS seq, datediff('day', CAST(o_orderdate AS DATE), DATE '1998-12-31') AS age, CASE
+WHEN o_orderkey % 40 = 0 THEN '' ELSE o_orderpriority END AS label FROM orders),
 l AS (SELECT *, lag(age) OVER (PARTITION BY track ORDER BY seq) AS before, row_number() OVER (PARTITION BY track ORDER BY seq DESC) AS back FROM k)
-SELECT track, count(*) < 2 AS too_few, coalesce(bool_or(before IS NOT NULL AND before <= age), false) AS unordered, bool_or(back = 1 AND age <> 0) AS no_end, bool_or(label IS NULL OR label = '') AS unlabelled FROM l GROUP BY 1""")
+SELECT track, count(*) < 2 AS too_few, coalesce(bool_or(before IS NOT NULL AND before <= age), false) AS unordered, bool_or(back = 1
+AND age <> 0) AS no_end, bool_or(label IS NULL OR label = '') AS unlabelled FROM l GROUP BY 1""")
 def keyframe_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with each track of keyframes: fewer than two, ages that don't fall, a last one that isn't at 0, a missing label. By array functions."""
     age = F.datediff(F.lit("1998-12-31").cast("date"), F.to_date("o_orderdate"))
@@ -67,7 +70,8 @@ def keyframe_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'broken{' WHEN event_id % 19 = 0 THEN '{"k": 5, "other": 1}' ELSE props END AS raw FROM events),
+@query("""WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 13 = 0 THEN NULL
+WHEN event_id % 17 = 0 THEN 'broken{' WHEN event_id % 19 = 0 THEN '{"k": 5, "other": 1}' ELSE props END AS raw FROM events),
 s AS (SELECT *, json_valid(raw) AS fine, CASE WHEN json_valid(raw) THEN list_sort(json_keys(raw)) END AS keys, CASE WHEN json_valid(raw) THEN TRY_CAST(raw->>'k' AS BIGINT) END AS k FROM e),
 r AS (SELECT event_type, 'parses' AS rule, CASE WHEN raw IS NULL THEN 'skipped' WHEN fine THEN 'passed' ELSE 'failed' END AS state FROM s
 UNION ALL SELECT event_type, 'closed', CASE WHEN raw IS NULL OR NOT fine THEN 'skipped' WHEN keys = ['k'] THEN 'passed' ELSE 'failed' END FROM s
@@ -104,8 +108,13 @@ def page_rule_counts(pages: DataFrame, key: str = "page_id", html: str = "html")
     )
 
 
-@query(r"""WITH p AS (SELECT page_id, replace(replace(html, '<script>', CASE page_id % 4 WHEN 0 THEN '<script src="https://unpkg.com/a.js" integrity="sha384-x">' WHEN 1 THEN '<script src="//bad.example/a.js">' WHEN 2 THEN '<script src="https://unpkg.com/a.js">' ELSE '<script>eval(x);' END), '<a href="/T', '<a target="_blank" href="/T') AS html FROM pages)
-SELECT page_id, CAST(len(regexp_extract_all(html, '<script src="//bad')) AS INT) AS foreign_scripts, CAST(len(regexp_extract_all(html, '<script src="[^"]*">')) AS INT) AS no_integrity, CAST(len(regexp_extract_all(html, '<a target="_blank"')) AS INT) AS no_noopener, CAST(len(regexp_extract_all(html, 'eval\(')) AS INT) AS made_code FROM p""")
+@query(r"""WITH p AS (SELECT page_id, replace(replace(html, '<script>', CASE page_id % 4 WHEN 0 THEN '<script src="https://unpkg.com/a.js" integrity="sha384-x">'
+WHEN 1 THEN '<script src="//bad.example/a.js">'
+WHEN 2 THEN '<script src="https://unpkg.com/a.js">' ELSE '<script>eval(x);' END), '<a href="/T', '<a target="_blank" href="/T') AS html FROM pages)
+SELECT page_id, CAST(len(regexp_extract_all(html, '<script src="//bad')) AS INT) AS foreign_scripts,
+CAST(len(regexp_extract_all(html, '<script src="[^"]*">')) AS INT) AS no_integrity,
+CAST(len(regexp_extract_all(html, '<a target="_blank"')) AS INT) AS no_noopener, CAST(len(regexp_extract_all(html, 'eval\(')) AS INT) AS made_code
+FROM p""")
 def page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of pages over pages into which some breaches are put."""
     k = F.col("page_id") % 4
@@ -114,13 +123,24 @@ def page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_rule_counts(table(spark, sf_dir, "pages").select("page_id", html.alias("html")))
 
 
+def compared_digests(stored: DataFrame, files: DataFrame, key: str, quoted: str, content: str) -> DataFrame:
+    """key, quoted and state of each digest that is stored (``sha256-`` and base64) or file that is there: ok, changed, missing, or unlisted."""
+    there = F.concat(F.lit("sha256-"), F.base64(F.unhex(F.sha2(content, 256))))
+    found = files.select(F.col(key).alias("_key"), there.alias("_there"), F.lit(True).alias("_is"))
+    both = stored.select(key, F.col(quoted).alias("quoted"), F.lit(True).alias("_said")).join(found, F.col(key) == F.col("_key"), "full")
+    state = F.when(F.col("_is").isNull(), "missing").when(F.col("_said").isNull(), "unlisted").when(F.col("quoted") == F.col("_there"), "ok").otherwise("changed")
+    return both.select(F.coalesce(key, "_key").alias(key), "quoted", state.alias("state"))
+
+
 @query("""WITH d AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' ' ELSE text END) AS found, sha256(text) AS said FROM documents)
-SELECT doc_id, 'sha256-' || to_base64(unhex(said)) AS quoted, found = said AS matches FROM d""")
+SELECT doc_id, CASE WHEN doc_id % 11 <> 3 THEN 'sha256-' || to_base64(unhex(said)) END AS quoted,
+CASE WHEN doc_id % 11 = 3 THEN 'unlisted' WHEN doc_id % 13 = 5 THEN 'missing' WHEN found = said THEN 'ok' ELSE 'changed' END AS state FROM d WHERE doc_id % 11 <> 3 OR doc_id % 13 <> 5""")
 def integrity_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integrity values as pages quote them, compared with those of what is there; every seventh file has changed."""
-    value = lambda c: F.concat(F.lit("sha256-"), F.base64(F.unhex(F.sha2(c, 256))))
-    there = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", value(F.col("text")).alias("quoted"), (value(there) == value(F.col("text"))).alias("matches"))
+    """A list of stored digests joined to the files that are there: some have changed since, some are gone, some aren't listed."""
+    d, k = table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id")
+    stored = d.where(k % 11 != 3).select("doc_id", F.concat(F.lit("sha256-"), F.base64(F.unhex(F.sha2("text", 256)))).alias("said"))
+    files = d.where(k % 13 != 5).select("doc_id", F.when(k % 7 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")).alias("body"))
+    return compared_digests(stored, files, "doc_id", "said", "body")
 
 
 def checked_grid(cells: DataFrame, rows: int, cols: int) -> DataFrame:
@@ -131,7 +151,8 @@ def checked_grid(cells: DataFrame, rows: int, cols: int) -> DataFrame:
     return cells.withColumn("_once", once).withColumn("value", F.when(inside & F.col("_once"), F.col("value")).otherwise(bad)).drop("_once")
 
 
-@query(f"""WITH {GRID} SELECT 64 AS rows, 64 AS cols, count(*) AS cells, sum(value) AS total, count(*) = count(DISTINCT row * 64 + col) AS one_value, min(row) >= 0 AND max(row) < 64 AND min(col) >= 0 AND max(col) < 64 AS fits FROM grid""")
+@query(f"""WITH {GRID} SELECT 64 AS rows, 64 AS cols, count(*) AS cells, sum(value) AS total, count(*) = count(DISTINCT row * 64 + col) AS one_value,
+min(row) >= 0 AND max(row) < 64 AND min(col) >= 0 AND max(col) < 64 AS fits FROM grid""")
 def grid_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid held against its metadata: size, one value a cell; the query fails where they don't agree."""
     g = checked_grid(grid(spark, sf_dir).select("row", "col", "value"), 64, 64)

@@ -40,11 +40,16 @@ PART = {
 
 
 @query("""WITH d AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 23 <> 0 AND p_partkey % 29 <> 0 AS ok, p_partkey % 11 = 0 AS text_size FROM part),
-f AS (SELECT k, '/id required' AS rule FROM d WHERE ok AND k % 7 = 0 UNION ALL SELECT k, '/size type' FROM d WHERE ok AND text_size UNION ALL SELECT k, '/size maximum' FROM d WHERE ok AND NOT text_size AND s > 40
-UNION ALL SELECT k, '/tags uniqueItems' FROM d WHERE ok AND k % 13 = 0 UNION ALL SELECT k, '/tags/1 enum' FROM d WHERE ok AND k % 13 = 5 UNION ALL SELECT k, '/extra additionalProperties' FROM d WHERE ok AND k % 17 = 0
-UNION ALL SELECT k, '/span/younger required' FROM d WHERE ok AND k % 19 = 0 UNION ALL SELECT k, '/span/older exclusiveMinimum' FROM d WHERE ok AND k % 50 = 0
-UNION ALL SELECT k, '/note required' FROM d WHERE ok AND NOT text_size AND s = 5 AND k % 2 = 0 UNION ALL SELECT k, ' parse' FROM d WHERE k % 23 <> 0 AND k % 29 = 0)
-SELECT rule, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT 'passed', count(*) FROM d WHERE k % 23 <> 0 AND k NOT IN (SELECT k FROM f) UNION ALL SELECT 'skipped', count(*) FROM d WHERE k % 23 = 0""")
+f AS (SELECT k, '/id required' AS rule FROM d WHERE ok AND k % 7 = 0 UNION ALL SELECT k, '/size type' FROM d WHERE ok AND text_size UNION ALL
+SELECT k, '/size maximum' FROM d WHERE ok AND NOT text_size AND s > 40
+UNION ALL SELECT k, '/tags uniqueItems' FROM d WHERE ok AND k % 13 = 0 UNION ALL SELECT k, '/tags/1 enum' FROM d WHERE ok AND k % 13 = 5 UNION ALL
+SELECT k, '/extra additionalProperties' FROM d WHERE ok AND k % 17 = 0
+UNION ALL SELECT k, '/span/younger required' FROM d WHERE ok AND k % 19 = 0 UNION ALL SELECT k, '/span/older exclusiveMinimum' FROM d WHERE ok
+AND k % 50 = 0
+UNION ALL SELECT k, '/note required' FROM d WHERE ok AND NOT text_size AND s = 5 AND k % 2 = 0 UNION ALL SELECT k, ' parse' FROM d WHERE k % 23 <> 0
+AND k % 29 = 0)
+SELECT rule, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT 'passed', count(*) FROM d WHERE k % 23 <> 0 AND k NOT IN (SELECT k FROM f) UNION ALL
+SELECT 'skipped', count(*) FROM d WHERE k % 23 = 0""")
 def schema_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of all parts, some with breaches, judged by a compiled schema: how often each rule fails at each path, and how many documents pass or are skipped."""
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")

@@ -42,8 +42,10 @@ def role_of(name: Column) -> tuple[Column, Column]:
     return F.when(known, role), F.when(known, F.trim(F.regexp_replace(name, r"^[^:]*:", ""))).otherwise(name)
 
 
-@query("""WITH l AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'boundary' WHEN 1 THEN 'Line' WHEN 2 THEN 'site' ELSE 'Note' END AS prefix, CASE p_partkey % 3 WHEN 0 THEN 'Polygon' WHEN 1 THEN 'Point' ELSE 'LineString' END AS kind FROM part)
-SELECT p_partkey, CASE WHEN prefix <> 'Note' THEN lower(prefix) END AS role, CASE WHEN prefix = 'Note' THEN 'Note: Layer ' || p_partkey ELSE 'Layer ' || p_partkey END AS title,
+@query("""WITH l AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'boundary' WHEN 1 THEN 'Line' WHEN 2 THEN 'site' ELSE 'Note' END AS prefix,
+CASE p_partkey % 3 WHEN 0 THEN 'Polygon' WHEN 1 THEN 'Point' ELSE 'LineString' END AS kind FROM part)
+SELECT p_partkey, CASE WHEN prefix <> 'Note' THEN lower(prefix) END AS role, CASE
+WHEN prefix = 'Note' THEN 'Note: Layer ' || p_partkey ELSE 'Layer ' || p_partkey END AS title,
 CASE WHEN p_partkey % 9 = p_partkey % 7 THEN 'https://a.example/' || p_partkey % 9 || ' https://t.example/' || p_partkey % 5 ELSE 'https://a.example/' || p_partkey % 9 || ' https://t.example/' || p_partkey % 5 || ' https://a.example/' || p_partkey % 7 END AS urls,
 (prefix, kind) IN (('boundary', 'Polygon'), ('Line', 'LineString'), ('site', 'Point')) AS allowed FROM l""")
 def layer_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +61,10 @@ def layer_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(k, role.alias("role"), title.alias("title"), F.array_join(harvest(F.col("doc")), " ").alias("urls"), F.coalesce(F.array_contains(allowed, F.col("j.geometry.type")), F.lit(False)).alias("allowed"))
 
 
-@query(f"""WITH {UTM_SQL}, f AS (SELECT c_nationkey AS frame, min(easting) AS x0, max(easting) AS x1, min(northing) AS y0, max(northing) AS y1, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM utm JOIN customer USING (c_custkey) GROUP BY 1)
-SELECT frame, CASE WHEN frame % 3 = 0 THEN NULL ELSE round(w, 1) - 0.1 <= w END AS west_holds, round(CASE WHEN frame % 3 = 0 THEN w - 0.05 END, 4) AS planned_west, round(CASE WHEN frame % 3 = 0 THEN n + 0.05 END, 4) AS planned_north,
+@query(f"""WITH {UTM_SQL}, f AS (SELECT c_nationkey AS frame, min(easting) AS x0, max(easting) AS x1, min(northing) AS y0, max(northing) AS y1, min(lon) AS w,
+max(lon) AS e, min(lat) AS s, max(lat) AS n FROM utm JOIN customer USING (c_custkey) GROUP BY 1)
+SELECT frame, CASE WHEN frame % 3 = 0 THEN NULL ELSE round(w, 1) - 0.1 <= w END AS west_holds, round(CASE
+WHEN frame % 3 = 0 THEN w - 0.05 END, 4) AS planned_west, round(CASE WHEN frame % 3 = 0 THEN n + 0.05 END, 4) AS planned_north,
 CAST(ceil((x1 - x0) / 1000) AS INT) AS cols, CAST(ceil((y1 - y0) / 1000) AS INT) AS rows FROM f""")
 def frame_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extent of each frame in degrees: from its projected corners where it is mapped, else from its points with padding; and its grid at a cell of 1 km."""
@@ -80,8 +84,10 @@ def frame_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {GRID}, days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), w AS (SELECT row - 2 AS row, col - 20 AS col, value FROM grid WHERE row BETWEEN 2 AND 9 AND col BETWEEN 20 AND 43)
-SELECT day, count(*) AS cells, round(sum(value), 4) AS total, CAST(min(row) AS BIGINT) AS row0, CAST(max(col) AS BIGINT) AS col1 FROM days, w GROUP BY 1""")
+@query(f"""WITH {GRID}, days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), w AS (SELECT row - 2 AS row, col - 20 AS col, value FROM grid
+WHERE row BETWEEN 2 AND 9 AND col BETWEEN 20 AND 43)
+SELECT day, count(*) AS cells, round(sum(value), 4) AS total, CAST(min(row) AS BIGINT) AS row0, CAST(max(col) AS BIGINT) AS col1 FROM days, w
+GROUP BY 1""")
 def pinned_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One window, stated once as a row of grid metadata, cut from the grid for every day."""
     frame = spark.createDataFrame([(2, 20, 8, 24)], "row0 long, col0 long, rows long, cols long")
@@ -91,15 +97,19 @@ def pinned_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.join(F.broadcast(sums)).select("day", "cells", F.round("total", 4).alias("total"), "row0", "col1")  # one row
 
 
-@query(f"""WITH {GRID}, g AS (SELECT row, col, (coalesce(lead(value) OVER (PARTITION BY row ORDER BY col), value) - coalesce(lag(value) OVER (PARTITION BY row ORDER BY col), value)) / 20.0 AS gx,
-(coalesce(lead(value) OVER (PARTITION BY col ORDER BY row), value) - coalesce(lag(value) OVER (PARTITION BY col ORDER BY row), value)) / 20.0 AS gy FROM grid)
-SELECT row, col, round(greatest(0.0, (-gx * cos(radians(45.0)) * sin(radians(315.0)) + gy * cos(radians(45.0)) * cos(radians(315.0)) + sin(radians(45.0))) / sqrt(1 + gx * gx + gy * gy)), 6) AS shade FROM g""")
+@query(f"""WITH {GRID}, g AS (SELECT row, col, (coalesce(lead(value) OVER (PARTITION BY row ORDER BY col), value) - coalesce(lag(value) OVER (PARTITION BY row
+ORDER BY col), value)) / 20.0 AS gx,
+(coalesce(lead(value) OVER (PARTITION BY col ORDER BY row), value) - coalesce(lag(value) OVER (PARTITION BY col ORDER BY row), value)) / 20.0 AS gy
+FROM grid)
+SELECT row, col, round(greatest(0.0, (-gx * cos(radians(45.0)) * sin(radians(315.0)) + gy * cos(radians(45.0)) * cos(radians(315.0)) + sin(radians(45.0))) / sqrt(1 + gx * gx + gy * gy)), 6) AS shade
+FROM g""")
 def hillshade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Light from the north-west at 45 degrees on the slopes of a grid; rows run south."""
     return raster.hillshade(grid(spark, sf_dir).select("row", "col", "value"), 10.0, 315.0, 45.0).select("row", "col", F.round("shade", 6).alias("shade"))
 
 
-@query(f"""WITH {GRID}, n AS (SELECT cls, count(*) AS cells, min(row * 64 + col) AS first_seen FROM grid GROUP BY 1), r AS (SELECT cls, row_number() OVER (ORDER BY cells DESC, first_seen) - 1 AS code FROM n) SELECT row, col, code FROM grid JOIN r USING (cls)""")
+@query(f"""WITH {GRID}, n AS (SELECT cls, count(*) AS cells, min(row * 64 + col) AS first_seen FROM grid GROUP BY 1), r AS (SELECT cls,
+row_number() OVER (ORDER BY cells DESC, first_seen) - 1 AS code FROM n) SELECT row, col, code FROM grid JOIN r USING (cls)""")
 def rank_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raster of classes renumbered by area, largest first; the window sees one row a class."""
     g = grid(spark, sf_dir).select("row", "col", "cls")
@@ -108,9 +118,13 @@ def rank_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(r, "cls").select("row", "col", "code")
 
 
-@query("""WITH e AS (SELECT event_type, CAST(year(ts) AS INT) AS y, CAST(dayofyear(ts) - 1 AS INT) AS d, CAST(round_even(max(value) * 10, 0) AS BIGINT) AS v FROM events GROUP BY 1, 2, 3),
-a AS (SELECT x.event_type, x.y, n.range AS d, coalesce(e.v, -32768) AS v FROM (SELECT DISTINCT event_type, y FROM e) x CROSS JOIN range(366) n LEFT JOIN e ON e.event_type = x.event_type AND e.y = x.y AND e.d = n.range WHERE n.range < CASE WHEN x.y % 4 = 0 AND (x.y % 100 <> 0 OR x.y % 400 = 0) THEN 366 ELSE 365 END)
-SELECT event_type, y, CAST(count(*) AS INT) AS days, CAST(min(d) FILTER (WHERE v <> -32768) AS INT) AS first_day, CAST(2 * count(*) AS INT) AS bytes, sha256(string_agg(printf('%02x%02x', v & 255, (v >> 8) & 255), '' ORDER BY d)) AS digest FROM a GROUP BY 1, 2""")
+@query("""WITH e AS (SELECT event_type, CAST(year(ts) AS INT) AS y, CAST(dayofyear(ts) - 1 AS INT) AS d, CAST(round_even(max(value) * 10, 0) AS BIGINT) AS v
+FROM events GROUP BY 1, 2, 3),
+a AS (SELECT x.event_type, x.y, n.range AS d, coalesce(e.v, -32768) AS v FROM (SELECT DISTINCT event_type, y FROM e) x CROSS JOIN range(366) n LEFT
+JOIN e ON e.event_type = x.event_type AND e.y = x.y AND e.d = n.range WHERE n.range < CASE WHEN x.y % 4 = 0
+AND (x.y % 100 <> 0 OR x.y % 400 = 0) THEN 366 ELSE 365 END)
+SELECT event_type, y, CAST(count(*) AS INT) AS days, CAST(min(d) FILTER (WHERE v <> -32768) AS INT) AS first_day, CAST(2 * count(*) AS INT) AS bytes,
+sha256(string_agg(printf('%02x%02x', v & 255, (v >> 8) & 255), '' ORDER BY d)) AS digest FROM a GROUP BY 1, 2""")
 def year_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed years of daily values: little-endian 16-bit tenths with a no-data code, and the index entry of each."""
     packed = E.pack_year("days", "y")
@@ -120,8 +134,10 @@ def year_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("event_type", "y", (F.octet_length("packed") / 2).cast("int").alias("days"), "first_day", F.octet_length("packed").alias("bytes"), F.sha2(F.lower(F.hex("packed")), 256).alias("digest"))
 
 
-@query("""WITH v AS (SELECT line, seq, v - coalesce(lag(v) OVER (PARTITION BY line ORDER BY seq), 0) AS d FROM (SELECT l_orderkey AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, l_partkey % 30000 AS v FROM lineitem) t)
-SELECT line, string_agg(printf('%02x', d & 255), '' ORDER BY seq) || string_agg(printf('%02x', (d >> 8) & 255), '' ORDER BY seq) AS planes FROM v GROUP BY 1""")
+@query("""WITH v AS (SELECT line, seq, v - coalesce(lag(v) OVER (PARTITION BY line ORDER BY seq), 0) AS d FROM (SELECT l_orderkey AS line,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, l_partkey % 30000 AS v FROM lineitem) t)
+SELECT line, string_agg(printf('%02x', d & 255), '' ORDER BY seq) || string_agg(printf('%02x', (d >> 8) & 255), '' ORDER BY seq) AS planes FROM v
+GROUP BY 1""")
 def byte_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences as differences of 16 bits, all low bytes before all high bytes."""
     one = F.struct("l_linenumber", "l_partkey", "l_suppkey")
@@ -130,7 +146,9 @@ def byte_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqs.select("line", values.alias("v")).select("line", F.lower(F.hex(E.to_planes("v"))).alias("planes"))
 
 
-@query("""WITH k AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, value FROM events) SELECT week, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, count(*) FILTER (WHERE value > 90) AS high FROM k GROUP BY 1""")
+@query("""WITH k AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, value FROM events) SELECT week, count(*) AS n,
+count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'purchase') AS purchases,
+count(*) FILTER (WHERE value > 90) AS high FROM k GROUP BY 1""")
 def weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each week by condition, in one pass."""
     e = table(spark, sf_dir, "events").withColumn("week", F.to_date(F.date_trunc("week", "ts")))
@@ -138,7 +156,9 @@ def weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("week").agg(F.count("*").alias("n"), F.count_if(kind == "click").alias("clicks"), F.count_if(kind == "purchase").alias("purchases"), F.count_if(F.col("value") > 90).alias("high"))
 
 
-@query(f"""WITH {EDGES}, hit AS (SELECT p.id, e.poly FROM (SELECT c_custkey AS id, (c_custkey * 7919 % 800 + 0.25) / 10 - 5 AS px, (c_custkey * 104729 % 800 + 0.25) / 10 - 5 AS py FROM customer) p JOIN edges e ON (e.y > p.py) <> (e.y2 > p.py) AND p.px < (e.x2 - e.x) * (p.py - e.y) / (e.y2 - e.y) + e.x GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+@query(f"""WITH {EDGES}, hit AS (SELECT p.id, e.poly FROM (SELECT c_custkey AS id, (c_custkey * 7919 % 800 + 0.25) / 10 - 5 AS px,
+(c_custkey * 104729 % 800 + 0.25) / 10 - 5 AS py FROM customer) p JOIN edges e ON (e.y > p.py) <> (e.y2 > p.py)
+AND p.px < (e.x2 - e.x) * (p.py - e.y) / (e.y2 - e.y) + e.x GROUP BY 1, 2 HAVING count(*) % 2 = 1)
 SELECT c_custkey, coalesce((SELECT max('unit ' || poly) FROM hit WHERE id = c_custkey), '') AS unit FROM customer""")
 def unit_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name of the area at each point; an empty text where there is none."""
@@ -151,8 +171,12 @@ def unit_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(k).join(named, "c_custkey", "left").select(k, F.coalesce("unit", F.lit("")).alias("unit"))
 
 
-@query(f"""WITH f AS (SELECT n_nationkey AS frame, n_nationkey * 13 % 300 - 150.0::DOUBLE AS w, n_nationkey * 7 % 120 - 60.0::DOUBLE AS s FROM nation), t AS (SELECT frame, range AS k FROM f, range(0, 9)), p AS (SELECT f.frame, w + (k % 3) * 1.5 AS lon, s + (k // 3) * 1.0 AS lat FROM f JOIN t ON t.frame = f.frame),
-x AS (SELECT frame, CAST(floor((lon + 180) / 360 * 128) AS BIGINT) AS tx, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / {math.pi!r}) / 2 * 128) AS BIGINT) AS ty FROM p) SELECT frame, count(*) AS samples, count(DISTINCT tx * 1000 + ty) AS tiles, min(tx) AS tx0, max(tx) AS tx1, min(ty) AS ty0, max(ty) AS ty1 FROM x GROUP BY 1""")
+@query(f"""WITH f AS (SELECT n_nationkey AS frame, n_nationkey * 13 % 300 - 150.0::DOUBLE AS w, n_nationkey * 7 % 120 - 60.0::DOUBLE AS s FROM nation),
+t AS (SELECT frame, range AS k FROM f, range(0, 9)), p AS (SELECT f.frame, w + (k % 3) * 1.5 AS lon, s + (k // 3) * 1.0 AS lat FROM f
+JOIN t ON t.frame = f.frame),
+x AS (SELECT frame, CAST(floor((lon + 180) / 360 * 128) AS BIGINT) AS tx,
+CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / {math.pi!r}) / 2 * 128) AS BIGINT) AS ty FROM p) SELECT frame, count(*) AS samples,
+count(DISTINCT tx * 1000 + ty) AS tiles, min(tx) AS tx0, max(tx) AS tx1, min(ty) AS ty0, max(ty) AS ty1 FROM x GROUP BY 1""")
 def lonlat_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling points of each frame in degrees and the tiles that cover them, with their bounds."""
     k = F.col("n_nationkey")
@@ -163,7 +187,8 @@ def lonlat_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("frame").agg(F.count("*").alias("samples"), F.countDistinct(F.col("tx") * 1000 + F.col("ty")).alias("tiles"), F.min("tx").alias("tx0"), F.max("tx").alias("tx1"), F.min("ty").alias("ty0"), F.max("ty").alias("ty1"))
 
 
-@query("""SELECT conv_id, bool_or(contains(lower(text), 'the')) AS switched_on, count(*) FILTER (WHERE contains(lower(text), 'the')) AS turns FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, bool_or(contains(lower(text), 'the')) AS switched_on, count(*) FILTER (WHERE contains(lower(text), 'the')) AS turns FROM conversations
+GROUP BY 1""")
 def feature_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A switch that is on where a text says so."""
     on = F.contains(F.lower("text"), F.lit("the"))

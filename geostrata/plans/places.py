@@ -33,7 +33,8 @@ SPREAD = """both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node,
 
 
 @query(f"""WITH RECURSIVE {GRID}, cells AS (SELECT row * 64 + col AS id, row, col FROM grid WHERE value < 330),
-e AS (SELECT x.id AS a, y.id AS b FROM cells x JOIN cells y ON (y.row = x.row AND y.col = x.col + 1) OR (y.col = x.col AND y.row = x.row + 1)), {SPREAD}
+e AS (SELECT x.id AS a, y.id AS b FROM cells x JOIN cells y ON (y.row = x.row AND y.col = x.col + 1) OR (y.col = x.col
+AND y.row = x.row + 1)), {SPREAD}
 SELECT label, count(*) AS cells FROM reach GROUP BY 1""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pools of low cells, by neighbours of four; a pool's label is its first cell."""
@@ -46,9 +47,12 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAP = "cells AS (SELECT o_orderkey AS id, o_orderkey // 250 AS row, o_orderkey % 250 AS col FROM orders WHERE o_totalprice < 280000)"
 
 
-@query(f"""WITH RECURSIVE {MAP}, e AS (SELECT x.id AS a, y.id AS b FROM cells x JOIN cells y ON (y.id = x.id + 1 AND y.row = x.row) OR y.id = x.id + 250), {SPREAD},
-n AS (SELECT label, count(*) AS cells, min(CASE WHEN col = 0 THEN 1 WHEN col = 125 AND row % 2 = 0 THEN 2 END) AS basin FROM reach JOIN cells ON id = node GROUP BY 1)
-SELECT row, CAST(coalesce(basin, CASE WHEN n.cells > 60 THEN 3 ELSE 0 END) AS INT) AS basin, count(*) AS cells FROM reach JOIN n USING (label) JOIN cells ON id = node GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {MAP}, e AS (SELECT x.id AS a, y.id AS b FROM cells x JOIN cells y ON (y.id = x.id + 1
+AND y.row = x.row) OR y.id = x.id + 250), {SPREAD},
+n AS (SELECT label, count(*) AS cells, min(CASE WHEN col = 0 THEN 1 WHEN col = 125 AND row % 2 = 0 THEN 2 END) AS basin FROM reach
+JOIN cells ON id = node GROUP BY 1)
+SELECT row, CAST(coalesce(basin, CASE WHEN n.cells > 60 THEN 3 ELSE 0 END) AS INT) AS basin, count(*) AS cells FROM reach JOIN n USING (label)
+JOIN cells ON id = node GROUP BY 1, 2""")
 def flood_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of each row of the map by basin: filled from the western edge, from seeds amid the map, other large pools, and small ones."""
     k = F.col("o_orderkey")
@@ -62,7 +66,8 @@ def flood_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
 q AS (SELECT c_custkey AS sid, c_custkey * 10 AS sx, 0 AS sy, c_custkey * 10 + c_custkey % 35 AS sx2, 96 AS sy2 FROM customer),
 p AS (SELECT *, CAST((x2 - x) * (sy2 - sy) - (y2 - y) * (sx2 - sx) AS DOUBLE) AS d FROM s JOIN q ON greatest(x, x2) >= sx AND least(x, x2) <= sx2),
 t AS (SELECT *, ((sx - x) * (sy2 - sy) - (sy - y) * (sx2 - sx)) / d AS t, ((sx - x) * (y2 - y) - (sy - y) * (x2 - x)) / d AS s FROM p WHERE d <> 0)
-SELECT sid, count(*) AS crossings, round(min(s), 6) + 0.0 AS first_at, round(max(s), 6) + 0.0 AS last_at FROM t WHERE t >= 0 AND t <= 1 AND s >= 0 AND s <= 1 GROUP BY 1""")
+SELECT sid, count(*) AS crossings, round(min(s), 6) + 0.0 AS first_at, round(max(s), 6) + 0.0 AS last_at FROM t WHERE t >= 0 AND t <= 1 AND s >= 0
+AND s <= 1 GROUP BY 1""")
 def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the segments of a map cross its section lines: a spatial join, then both places by solving for them."""
     i, p = F.col("l_orderkey"), F.col("l_partkey")
@@ -80,8 +85,10 @@ LATTICE = UTM_SQL.replace("p AS (SELECT c_custkey, 36", "pts AS (SELECT c_custke
 )
 
 
-@query(f"""WITH {LATTICE}, w AS (SELECT c_custkey, k, CASE WHEN k // 2 = 1 THEN lat * 64 - floor(lat * 64) ELSE 1 - (lat * 64 - floor(lat * 64)) END * CASE WHEN k % 2 = 1 THEN lon * 64 - floor(lon * 64) ELSE 1 - (lon * 64 - floor(lon * 64)) END AS share FROM pts, range(4) r(k))
-SELECT w.c_custkey, round(sum(share * easting), 2) AS easting, round(sum(share * northing), 2) AS northing, true AS close FROM w JOIN utm ON utm.c_custkey = w.c_custkey * 4 + k GROUP BY 1""")
+@query(f"""WITH {LATTICE}, w AS (SELECT c_custkey, k, CASE WHEN k // 2 = 1 THEN lat * 64 - floor(lat * 64) ELSE 1 - (lat * 64 - floor(lat * 64)) END * CASE
+WHEN k % 2 = 1 THEN lon * 64 - floor(lon * 64) ELSE 1 - (lon * 64 - floor(lon * 64)) END AS share FROM pts, range(4) r(k))
+SELECT w.c_custkey, round(sum(share * easting), 2) AS easting, round(sum(share * northing), 2) AS northing, true AS close FROM w
+JOIN utm ON utm.c_custkey = w.c_custkey * 4 + k GROUP BY 1""")
 def lattice_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points projected by way of a lattice, and whether each is within 10 cm of its exact place."""
     k = F.col("c_custkey")
@@ -95,7 +102,8 @@ def _drawn_sql(seed: int, *counters: str) -> str:
     return f"((('0x' || substr(md5(concat_ws(',', '{seed}', {', '.join(f'CAST({c} AS BIGINT)' for c in counters)})), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496)"
 
 
-@query(f"""WITH c AS (SELECT o_orderkey, o_orderkey // 250 AS row, o_orderkey % 250 AS col FROM orders), n AS (SELECT *, row / 12.0::DOUBLE - row // 12 AS y, col / 12.0::DOUBLE - col // 12 AS x, row // 12 AS i, col // 12 AS j FROM c),
+@query(f"""WITH c AS (SELECT o_orderkey, o_orderkey // 250 AS row, o_orderkey % 250 AS col FROM orders), n AS (SELECT *, row / 12.0::DOUBLE - row // 12 AS y,
+col / 12.0::DOUBLE - col // 12 AS x, row // 12 AS i, col // 12 AS j FROM c),
 s AS (SELECT *, y * y * (3 - 2 * y) AS t, x * x * (3 - 2 * x) AS u FROM n)
 SELECT o_orderkey, round((1 - t) * ((1 - u) * {_drawn_sql(7, 'i', 'j')} + u * {_drawn_sql(7, 'i', 'j + 1')}) + t * ((1 - u) * {_drawn_sql(7, 'i + 1', 'j')} + u * {_drawn_sql(7, 'i + 1', 'j + 1')}), 6) AS smooth,
 round(sqrt(-2 * ln({_drawn_sql(11, 'row', 'col', '0')})) * cos(2 * pi() * {_drawn_sql(11, 'row', 'col', '1')}), 6) + 0.0 AS bell FROM s""")

@@ -32,7 +32,8 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 shares AS (SELECT poly, cls, count(*) AS cells, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY poly) AS pct FROM m GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY pct DESC, cls) AS rank FROM shares WHERE pct >= 2),
 s AS (SELECT poly, value, row_number() OVER (PARTITION BY poly ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY poly) AS n FROM m),
-q AS (SELECT poly, max(CASE WHEN r = round_even(0.1 * (n - 1), 0) THEN value END) AS p10, max(CASE WHEN r = round_even(0.5 * (n - 1), 0) THEN value END) AS p50, max(CASE WHEN r = round_even(0.9 * (n - 1), 0) THEN value END) AS p90 FROM s GROUP BY 1)
+q AS (SELECT poly, max(CASE WHEN r = round_even(0.1 * (n - 1), 0) THEN value END) AS p10, max(CASE
+WHEN r = round_even(0.5 * (n - 1), 0) THEN value END) AS p50, max(CASE WHEN r = round_even(0.9 * (n - 1), 0) THEN value END) AS p90 FROM s GROUP BY 1)
 SELECT poly, cls, cells, round(pct, 6) AS pct, CAST(rank AS INT) AS rank, p10, p50, p90 FROM ranked JOIN q USING (poly) WHERE rank <= 6""")
 def area_class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of classes of 2 % or more, six at most, and nearest-rank quantiles inside each area."""
@@ -49,8 +50,10 @@ def polygon_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EDGES}, cells AS (SELECT r.range AS row, c.range AS col FROM range(64) r, range(64) c),
-hits AS (SELECT c.row, c.col, e.poly + 1 AS label, row_number() OVER (PARTITION BY c.row, c.col ORDER BY e.x + (c.row + 0.5 - e.y) * (e.x2 - e.x) / (e.y2 - e.y) DESC, e.poly DESC) AS k
- FROM cells c JOIN edges e ON e.y <> e.y2 AND c.row + 0.5 >= least(e.y, e.y2) AND c.row + 0.5 < greatest(e.y, e.y2) AND e.x + (c.row + 0.5 - e.y) * (e.x2 - e.x) / (e.y2 - e.y) <= c.col + 0.5)
+hits AS (SELECT c.row, c.col, e.poly + 1 AS label, row_number() OVER (PARTITION BY c.row, c.col
+ORDER BY e.x + (c.row + 0.5 - e.y) * (e.x2 - e.x) / (e.y2 - e.y) DESC, e.poly DESC) AS k
+ FROM cells c JOIN edges e ON e.y <> e.y2 AND c.row + 0.5 >= least(e.y, e.y2) AND c.row + 0.5 < greatest(e.y, e.y2)
+AND e.x + (c.row + 0.5 - e.y) * (e.x2 - e.x) / (e.y2 - e.y) <= c.col + 0.5)
 SELECT c.row, c.col, coalesce(h.label, 0) AS label FROM cells c LEFT JOIN hits h ON h.row = c.row AND h.col = c.col AND h.k = 1""")
 def scanline_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = edges(spark, sf_dir).withColumn("label", F.col("poly") + 1)
@@ -81,7 +84,8 @@ def section_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.where((s >= 0) & (s < 1) & at.between(100, 600)).select("line", "seq", F.round(at, 4).alias("at"))
 
 
-@query("""WITH ends AS (SELECT l_orderkey AS line, min({'n': l_linenumber, 'p': l_partkey}).p AS a, max({'n': l_linenumber, 'p': l_partkey}).p AS b FROM lineitem GROUP BY 1)
+@query("""WITH ends AS (SELECT l_orderkey AS line, min({'n': l_linenumber, 'p': l_partkey}).p AS a, max({'n': l_linenumber, 'p': l_partkey}).p AS b
+FROM lineitem GROUP BY 1)
 SELECT u.line AS up, d.line AS down FROM ends u JOIN ends d ON u.b = d.a AND u.line <> d.line""")
 def endpoint_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that begin where others end; the end points are parts, of which there are more as the lines grow."""
@@ -92,14 +96,17 @@ def endpoint_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GRID} SELECT c_custkey, CASE WHEN px < 0 OR py < 0 THEN NULL ELSE cls END AS cls FROM
-(SELECT c_custkey, (c_custkey * 7919 % 800) / 10.0 - 5 AS px, (c_custkey * 104729 % 800) / 10.0 - 5 AS py FROM customer) p LEFT JOIN grid ON floor(px) = col AND floor(py) = row""")
+(SELECT c_custkey, (c_custkey * 7919 % 800) / 10.0 - 5 AS px, (c_custkey * 104729 % 800) / 10.0 - 5 AS py FROM customer) p LEFT
+JOIN grid ON floor(px) = col AND floor(py) = row""")
 def point_to_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "customer").select("c_custkey", F.floor((F.col("c_custkey") * 7919 % 800) / 10.0 - 5).alias("col"), F.floor((F.col("c_custkey") * 104729 % 800) / 10.0 - 5).alias("row"))
     return p.join(grid(spark, sf_dir).select("row", "col", "cls"), ["row", "col"], "left").select("c_custkey", "cls")
 
 
-@query("""WITH s AS (SELECT s_suppkey, s_suppkey * 7919 % 1000 AS sx, s_suppkey * 104729 % 1000 AS sy FROM supplier), c AS (SELECT c_custkey, c_custkey * 7919 % 1000 AS cx, c_custkey * 31337 % 1000 AS cy FROM customer)
-SELECT s_suppkey, min((sx - cx) * (sx - cx) + (sy - cy) * (sy - cy)) AS d2 FROM s JOIN c ON abs(sx - cx) <= 50 AND abs(sy - cy) <= 50 AND (sx - cx) * (sx - cx) + (sy - cy) * (sy - cy) <= 2500 GROUP BY 1""")
+@query("""WITH s AS (SELECT s_suppkey, s_suppkey * 7919 % 1000 AS sx, s_suppkey * 104729 % 1000 AS sy FROM supplier), c AS (SELECT c_custkey,
+c_custkey * 7919 % 1000 AS cx, c_custkey * 31337 % 1000 AS cy FROM customer)
+SELECT s_suppkey, min((sx - cx) * (sx - cx) + (sy - cy) * (sy - cy)) AS d2 FROM s JOIN c ON abs(sx - cx) <= 50 AND abs(sy - cy) <= 50
+AND (sx - cx) * (sx - cx) + (sy - cy) * (sy - cy) <= 2500 GROUP BY 1""")
 def nearest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared distance to the nearest point within 50, by buckets of 50: each point looks into nine."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 7919 % 1000).alias("sx"), (F.col("s_suppkey") * 104729 % 1000).alias("sy"))
@@ -112,14 +119,16 @@ def nearest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GRID}, fine AS (SELECT row, col, n % 5 AS f FROM grid WHERE (row + col) % 3 <> 0)
-SELECT g.row, g.col, CASE WHEN f IS NOT NULL AND f NOT IN (0, 4) THEN f ELSE cls END AS cls FROM grid g LEFT JOIN fine ON g.row = fine.row AND g.col = fine.col""")
+SELECT g.row, g.col, CASE WHEN f IS NOT NULL AND f NOT IN (0, 4) THEN f ELSE cls END AS cls FROM grid g LEFT JOIN fine ON g.row = fine.row
+AND g.col = fine.col""")
 def overlay_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark, sf_dir)
     fine = g.where("(row + col) % 3 <> 0").select("row", "col", (F.col("n") % 5).alias("cls"))
     return raster.overlay(fine, g.select("row", "col", "cls"), [0, 4])
 
 
-@query(f"""WITH {GRID}, w AS (SELECT row, col, value, least(1.0, least(row, col, 63 - row, 63 - col) / 8.0) AS w, avg(value) OVER (PARTITION BY CAST(floor(row / 4) AS INT), CAST(floor(col / 4) AS INT)) AS coarse FROM grid)
+@query(f"""WITH {GRID}, w AS (SELECT row, col, value, least(1.0, least(row, col, 63 - row, 63 - col) / 8.0) AS w,
+avg(value) OVER (PARTITION BY CAST(floor(row / 4) AS INT), CAST(floor(col / 4) AS INT)) AS coarse FROM grid)
 SELECT row, col, round(coarse * (1 - w) + value * w, 4) AS value FROM w""")
 def feather_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fine grid blended into its 4 by 4 means by distance to the edge."""
@@ -147,8 +156,10 @@ def mask_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask(spark, sf_dir).join(grid(spark, sf_dir).where("cls in (1, 3)"), ["row", "col"]).groupBy("poly", "cls").agg(F.round(F.sum("value") * 0.0002471, 6).alias("acres"))
 
 
-@query(f"""WITH {EDGES} SELECT poly, min(least(x, x2)) AS x0, max(greatest(x, x2)) AS x1, min(least(y, y2)) AS y0, max(greatest(y, y2)) AS y1, abs(sum(CASE WHEN ring = 0 THEN x * y2 - x2 * y ELSE 0 END)) / 2.0 - abs(sum(CASE WHEN ring = 1 THEN x * y2 - x2 * y ELSE 0 END)) / 2.0 AS area,
-round(sum(CASE WHEN ring = 0 THEN (x + x2) * (x * y2 - x2 * y) ELSE 0 END) / (3.0 * sum(CASE WHEN ring = 0 THEN x * y2 - x2 * y ELSE 0 END)), 6) AS cx FROM edges GROUP BY 1""")
+@query(f"""WITH {EDGES} SELECT poly, min(least(x, x2)) AS x0, max(greatest(x, x2)) AS x1, min(least(y, y2)) AS y0, max(greatest(y, y2)) AS y1, abs(sum(CASE
+WHEN ring = 0 THEN x * y2 - x2 * y ELSE 0 END)) / 2.0 - abs(sum(CASE WHEN ring = 1 THEN x * y2 - x2 * y ELSE 0 END)) / 2.0 AS area,
+round(sum(CASE WHEN ring = 0 THEN (x + x2) * (x * y2 - x2 * y) ELSE 0 END) / (3.0 * sum(CASE WHEN ring = 0 THEN x * y2 - x2 * y ELSE 0 END)), 6) AS cx
+FROM edges GROUP BY 1""")
 def ring_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds, shoelace area less the hole's, and the outer ring's centroid."""
     cross = F.col("x") * F.col("y2") - F.col("x2") * F.col("y")
@@ -177,7 +188,8 @@ NOISE_SQL = "grid AS (SELECT row, col, s - floor(s) - 0.5 AS value FROM (SELECT
 
 
 @query(f"""WITH {GRID.replace("grid AS", "field AS")}, smooth AS (WITH {NOISE_SQL}, {_blur_sql(1, 2)})
-SELECT row, col, round(least(8.0, greatest(2.4, 8.0 + (2.6 - 8.0) * (1 - (row + 0.5::DOUBLE) / 64) + 0.5 * value / (SELECT max(abs(value)) + 1e-9::DOUBLE FROM smooth))), 4) AS age FROM smooth""")
+SELECT row, col, round(least(8.0, greatest(2.4, 8.0 + (2.6 - 8.0) * (1 - (row + 0.5::DOUBLE) / 64) + 0.5 * value / (SELECT max(abs(value)) + 1e-9::DOUBLE
+FROM smooth))), 4) AS age FROM smooth""")
 def eruption_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ages from 8.0 in the south to 2.6 in the north, moved by up to half a million years of smooth noise."""
     noise = grid(spark, sf_dir).select("row", "col", (E.cell_noise(F.col("row"), F.col("col")) - 0.5).alias("value"))
@@ -187,20 +199,24 @@ def eruption_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smooth.join(F.broadcast(most)).select("row", "col", F.round(age, 4).alias("age"))
 
 
-@query(f"""WITH {GRID}, p AS (SELECT g.row, g.col, avg(n.value) AS v FROM grid g, range(-3, 4) d JOIN grid n ON n.row = g.row AND n.col = greatest(0, least(63, g.col + d.range)) GROUP BY 1, 2)
+@query(f"""WITH {GRID}, p AS (SELECT g.row, g.col, avg(n.value) AS v FROM grid g, range(-3, 4) d JOIN grid n ON n.row = g.row AND n.col = greatest(0, least(63,
+g.col + d.range)) GROUP BY 1, 2)
 SELECT row, col, round(v, 6) AS value FROM p WHERE col % 4 = 0""")
 def smooth_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.box_pass(grid(spark, sf_dir), "col", "row", 64, 3).where("col % 4 = 0").withColumn("value", F.round("value", 6))
 
 
-@query(f"""WITH {GRID} SELECT row, col, (coalesce(lead(value) OVER (PARTITION BY row ORDER BY col), value) - coalesce(lag(value) OVER (PARTITION BY row ORDER BY col), value)) / 2.0 AS gx,
-(coalesce(lead(value) OVER (PARTITION BY col ORDER BY row), value) - coalesce(lag(value) OVER (PARTITION BY col ORDER BY row), value)) / 2.0 AS gy FROM grid""")
+@query(f"""WITH {GRID} SELECT row, col, (coalesce(lead(value) OVER (PARTITION BY row ORDER BY col), value) - coalesce(lag(value) OVER (PARTITION BY row
+ORDER BY col), value)) / 2.0 AS gx,
+(coalesce(lead(value) OVER (PARTITION BY col ORDER BY row), value) - coalesce(lag(value) OVER (PARTITION BY col ORDER BY row), value)) / 2.0 AS gy
+FROM grid""")
 def hillshade_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.gradient(grid(spark, sf_dir)).select("row", "col", "gx", "gy")
 
 
 @query(f"""WITH {GRID}, f AS (SELECT row, min(CASE WHEN value > 400 THEN col END) AS land FROM grid GROUP BY 1)
-SELECT g.row, land, max(CASE WHEN g.col < land AND g.value < 300 THEN g.col END) AS deep, arg_min(g.col, g.value * 100 + g.col) AS lowest FROM grid g JOIN f ON g.row = f.row GROUP BY 1, 2""")
+SELECT g.row, land, max(CASE WHEN g.col < land AND g.value < 300 THEN g.col END) AS deep, arg_min(g.col, g.value * 100 + g.col) AS lowest FROM grid g
+JOIN f ON g.row = f.row GROUP BY 1, 2""")
 def first_deep_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By row: the first loud column, the last quiet one before it, and the lowest."""
     w = Window.partitionBy("row")
@@ -211,13 +227,15 @@ def first_deep_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GRID}, p AS (SELECT c_custkey, (c_custkey * 7919 % 700) / 10.0 - 3 AS x, (c_custkey * 104729 % 700) / 10.0 - 3 AS y FROM customer),
 q AS (SELECT *, least(floor(x), 62) AS c0, least(floor(y), 62) AS r0 FROM p WHERE x BETWEEN 0 AND 63 AND y BETWEEN 0 AND 63)
 SELECT p.c_custkey, round(a.value * (1 - (q.x - c0)) * (1 - (q.y - r0)) + b.value * (q.x - c0) * (1 - (q.y - r0)) + c.value * (1 - (q.x - c0)) * (q.y - r0) + d.value * (q.x - c0) * (q.y - r0), 6) AS value
-FROM p LEFT JOIN q ON p.c_custkey = q.c_custkey LEFT JOIN grid a ON a.row = r0 AND a.col = c0 LEFT JOIN grid b ON b.row = r0 AND b.col = c0 + 1 LEFT JOIN grid c ON c.row = r0 + 1 AND c.col = c0 LEFT JOIN grid d ON d.row = r0 + 1 AND d.col = c0 + 1""")
+FROM p LEFT JOIN q ON p.c_custkey = q.c_custkey LEFT JOIN grid a ON a.row = r0 AND a.col = c0 LEFT JOIN grid b ON b.row = r0 AND b.col = c0 + 1 LEFT
+JOIN grid c ON c.row = r0 + 1 AND c.col = c0 LEFT JOIN grid d ON d.row = r0 + 1 AND d.col = c0 + 1""")
 def bilinear_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") * 7919 % 700) / 10.0 - 3).alias("x"), ((F.col("c_custkey") * 104729 % 700) / 10.0 - 3).alias("y"))
     return raster.bilinear(p, grid(spark, sf_dir), 64, 64).select("c_custkey", F.round("value", 6).alias("value"))
 
 
-@query(f"""WITH {SEGMENTS}, steps AS (SELECT CAST(round_even(x / 16.0 + (x2 - x) / 16.0 * k.range / 8.0, 0) AS BIGINT) AS col, CAST(round_even(y / 16.0 + (y2 - y) / 16.0 * k.range / 8.0, 0) AS BIGINT) AS row FROM seg, range(9) k WHERE x2 IS NOT NULL)
+@query(f"""WITH {SEGMENTS}, steps AS (SELECT CAST(round_even(x / 16.0 + (x2 - x) / 16.0 * k.range / 8.0, 0) AS BIGINT) AS col,
+CAST(round_even(y / 16.0 + (y2 - y) / 16.0 * k.range / 8.0, 0) AS BIGINT) AS row FROM seg, range(9) k WHERE x2 IS NOT NULL)
 SELECT DISTINCT row + dr.range AS row, col + dc.range AS col FROM steps, range(-1, 2) dr, range(-1, 2) dc""")
 def line_brush(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that a brush of three by three touches along lines, sampled eight times a segment."""
@@ -229,13 +247,15 @@ def line_brush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select(brush.alias("b")).select("b.row", "b.col").distinct()
 
 
-@query(f"""WITH {EDGES}, {INSIDE}, {GRID} SELECT poly, cls, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY cls), 6) AS pct FROM mask JOIN grid USING (row, col) GROUP BY 1, 2""")
+@query(f"""WITH {EDGES}, {INSIDE}, {GRID} SELECT poly, cls, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY cls), 6) AS pct FROM mask
+JOIN grid USING (row, col) GROUP BY 1, 2""")
 def area_share_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = mask(spark, sf_dir).join(grid(spark, sf_dir), ["row", "col"]).groupBy("poly", "cls").agg(F.count("*").alias("k"))
     return both.select("poly", "cls", F.round(share(F.col("k"), ["cls"]), 6).alias("pct"))
 
 
-@query(f"""WITH {GRID}, r AS (SELECT row, col, cls, CASE WHEN lag(cls) OVER (PARTITION BY row ORDER BY col) = cls THEN 0 ELSE 1 END AS new FROM grid), s AS (SELECT *, sum(new) OVER (PARTITION BY row ORDER BY col) AS run FROM r)
+@query(f"""WITH {GRID}, r AS (SELECT row, col, cls, CASE WHEN lag(cls) OVER (PARTITION BY row ORDER BY col) = cls THEN 0 ELSE 1 END AS new FROM grid),
+s AS (SELECT *, sum(new) OVER (PARTITION BY row ORDER BY col) AS run FROM r)
 SELECT row, min(col) AS from_col, max(col) AS to_col, cls FROM s GROUP BY row, run, cls""")
 def class_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("row").orderBy("col")
@@ -243,7 +263,8 @@ def class_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("row", "run", "cls").agg(F.min("col").alias("from_col"), F.max("col").alias("to_col")).select("row", "from_col", "to_col", "cls")
 
 
-@query(f"""WITH {POINTS}, i AS (SELECT *, x BETWEEN 200 AND 800 AND y BETWEEN 200 AND 800 AS inside FROM pts), g AS (SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY line ORDER BY seq) AS grp FROM i)
+@query(f"""WITH {POINTS}, i AS (SELECT *, x BETWEEN 200 AND 800 AND y BETWEEN 200 AND 800 AS inside FROM pts), g AS (SELECT *, sum(CASE
+WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY line ORDER BY seq) AS grp FROM i)
 SELECT line, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM g WHERE inside GROUP BY line, grp HAVING count(*) > 1""")
 def inside_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of two or more consecutive vertices inside a box."""
@@ -252,8 +273,10 @@ def inside_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("inside").groupBy("line", "run").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n")).where("n > 1").drop("run")
 
 
-@query(f"""WITH {POINTS}, b AS (SELECT line, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, bool_or(x BETWEEN 100 AND 400 AND y BETWEEN 100 AND 400) AS touches FROM pts GROUP BY 1)
-SELECT line, x0 >= 100 AND x1 <= 900 AND y0 >= 100 AND y1 <= 900 AS contained, touches, x0 <= 150 AND x1 >= 50 AND y0 <= 150 AND y1 >= 50 AS near FROM b""")
+@query(f"""WITH {POINTS}, b AS (SELECT line, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, bool_or(x BETWEEN 100 AND 400 AND y BETWEEN 100
+AND 400) AS touches FROM pts GROUP BY 1)
+SELECT line, x0 >= 100 AND x1 <= 900 AND y0 >= 100 AND y1 <= 900 AS contained, touches, x0 <= 150 AND x1 >= 50 AND y0 <= 150 AND y1 >= 50 AS near
+FROM b""")
 def frame_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds inside the frame, any vertex inside, bounds overlap (touching counts)."""
     touch = F.col("x").between(100, 400) & F.col("y").between(100, 400)
@@ -261,7 +284,9 @@ def frame_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.selectExpr("line", "x0 >= 100 and x1 <= 900 and y0 >= 100 and y1 <= 900 as contained", "touches", "x0 <= 150 and x1 >= 50 and y0 <= 150 and y1 >= 50 as near")
 
 
-@query(f"""WITH {POINTS}, d AS (SELECT line, seq, x, y, x - lag(x, 1, 0) OVER w AS dx, y - lag(y, 1, 0) OVER w AS dy, ((x - lag(x, 1, 0) OVER w) % 65536 + 65536) % 65536 AS dx16, lag(x) OVER w = x AND lag(y) OVER w = y AS same FROM pts WINDOW w AS (PARTITION BY line ORDER BY seq))
+@query(f"""WITH {POINTS}, d AS (SELECT line, seq, x, y, x - lag(x, 1, 0) OVER w AS dx, y - lag(y, 1, 0) OVER w AS dy,
+((x - lag(x, 1, 0) OVER w) % 65536 + 65536) % 65536 AS dx16, lag(x) OVER w = x AND lag(y) OVER w = y AS same FROM pts WINDOW w AS (PARTITION BY line
+ORDER BY seq))
 SELECT line, seq, dx, dy, dx16, x AS back_x, coalesce(same, false) AS repeated FROM d""")
 def delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delta coding, its 16-bit form, decoding by running sums, and repeats of the vertex before."""
@@ -271,7 +296,8 @@ def delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("line", "seq", "dx", "dy", F.pmod("dx", F.lit(65536)).alias("dx16"), F.sum("dx").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("back_x"), F.coalesce(same, F.lit(False)).alias("repeated"))
 
 
-@query(f"""WITH {GRID} SELECT cls, CAST(row_number() OVER (ORDER BY count(*) DESC, min(row * 64 + col)) - 1 AS BIGINT) AS code, count(*) AS cells FROM grid GROUP BY 1""")
+@query(f"""WITH {GRID} SELECT cls, CAST(row_number() OVER (ORDER BY count(*) DESC, min(row * 64 + col)) - 1 AS BIGINT) AS code, count(*) AS cells FROM grid
+GROUP BY 1""")
 def rank_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes numbered by area; the window sees one row a class."""
     c = grid(spark, sf_dir).groupBy("cls").agg(F.count("*").alias("cells"), F.min(F.col("row") * 64 + F.col("col")).alias("first"))
@@ -284,15 +310,18 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).agg(F.count_if(v < 150).alias("pits"), F.sum(F.when(v < 150, 0.0).otherwise(v)).alias("total"), F.count_if(F.col("n").isNull()).alias("missing"), F.max(F.least(F.lit(500.0), F.greatest(F.lit(50.0), v))).alias("top"), (F.lit(4096) - F.count("*")).cast("long").alias("gaps"))
 
 
-@query(f"""WITH {GRID} SELECT row, sha256(string_agg(CAST(CAST(value AS BIGINT) AS VARCHAR), ',' ORDER BY col)) AS digest, min(value) AS low, max(value) AS high, count(*) AS n FROM grid GROUP BY 1""")
+@query(f"""WITH {GRID} SELECT row, sha256(string_agg(CAST(CAST(value AS BIGINT) AS VARCHAR), ',' ORDER BY col)) AS digest, min(value) AS low, max(value) AS high,
+count(*) AS n FROM grid GROUP BY 1""")
 def grid_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows packed in order, with range and digest."""
     cells = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.col("value").cast("long").cast("string").alias("v")))), lambda c: c["v"]), ",")
     return grid(spark, sf_dir).groupBy("row").agg(F.sha2(cells, 256).alias("digest"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
 
 
-@query("""WITH f AS (SELECT n_nationkey AS frame, n_nationkey % 3 + 3 AS z, n_nationkey * 7 % 20 AS x0, n_nationkey * 5 % 11 AS y0, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1),
-t AS (SELECT frame, z, unnest(range(x0, x0 + 1 + n % 9)) AS x, y0, n FROM f), u AS (SELECT frame, z, x, unnest(range(y0, y0 + 1 + n % 5)) AS y FROM t), c AS (SELECT s_nationkey % 3 + 3 AS z, s_suppkey % 28 AS x, s_suppkey * 3 % 16 AS y FROM supplier)
+@query("""WITH f AS (SELECT n_nationkey AS frame, n_nationkey % 3 + 3 AS z, n_nationkey * 7 % 20 AS x0, n_nationkey * 5 % 11 AS y0, count(*) AS n FROM nation
+JOIN customer ON c_nationkey = n_nationkey GROUP BY 1),
+t AS (SELECT frame, z, unnest(range(x0, x0 + 1 + n % 9)) AS x, y0, n FROM f), u AS (SELECT frame, z, x, unnest(range(y0, y0 + 1 + n % 5)) AS y
+FROM t), c AS (SELECT s_nationkey % 3 + 3 AS z, s_suppkey % 28 AS x, s_suppkey * 3 % 16 AS y FROM supplier)
 SELECT z, x, y, count(DISTINCT frame) AS frames FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.z = u.z AND c.x = u.x AND c.y = u.y) GROUP BY 1, 2, 3""")
 def tile_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles that cover the frames of a table and that a table of cached tiles lacks; a tile of several frames is one job."""

@@ -21,8 +21,10 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, host, CASE WHEN regexp_matches(url, '[?&]ref=') THEN 'rejected' WHEN contains(path, 'parcel') THEN 'rejected' WHEN host = 'example.org' OR host LIKE '%.example.org' THEN 'accepted' WHEN page_id % 10 = 0 THEN 'accepted' ELSE 'needs_review' END AS verdict,
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path
+FROM pages)
+SELECT page_id, host, CASE WHEN regexp_matches(url, '[?&]ref=') THEN 'rejected' WHEN contains(path, 'parcel') THEN 'rejected'
+WHEN host = 'example.org' OR host LIKE '%.example.org' THEN 'accepted' WHEN page_id % 10 = 0 THEN 'accepted' ELSE 'needs_review' END AS verdict,
 url LIKE 'https://%' AS secure, NOT (path LIKE '%..%' OR path LIKE '//%') AS safe FROM p""")
 def url_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered rules: block patterns first, then an allow-list of hosts and their sub-domains, then an owner's word, which can't unblock."""
@@ -32,7 +34,8 @@ def url_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT 'email' AS rule, count(*) AS lines, count(DISTINCT doc_id) AS docs FROM l WHERE regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}')
+SELECT 'email' AS rule, count(*) AS lines, count(DISTINCT doc_id) AS docs FROM l
+WHERE regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}')
 UNION ALL SELECT 'address', count(*), count(DISTINCT doc_id) FROM l WHERE regexp_matches(line, '(^|[^0-9.])[0-9]{1,3}(\\.[0-9]{1,3}){3}([^0-9.]|$)')
 UNION ALL SELECT 'credential', count(*), count(DISTINCT doc_id) FROM l WHERE regexp_matches(line, '(key|token|secret|pass)[a-z_]* *[=:] *"[^"]{32,}"')
 UNION ALL SELECT 'number', count(*), count(DISTINCT doc_id) FROM l WHERE regexp_matches(line, '(^|[^0-9])[0-9]{15,16}([^0-9]|$)')""")
@@ -107,7 +110,8 @@ def line_findings(texts: DataFrame, key: str, text: str, rules: dict[str, str],
 
 
 @query(f"""WITH {_lines_sql(PUT_KEYS)}
-SELECT doc_id, CAST(n AS INT) AS line, 'aws key id' AS rule FROM l WHERE regexp_matches(whole, '(^|[^A-Za-z0-9])(AKIA|ASIA)[A-Z0-9]{{16}}([^A-Z0-9]|$)')
+SELECT doc_id, CAST(n AS INT) AS line, 'aws key id' AS rule FROM l
+WHERE regexp_matches(whole, '(^|[^A-Za-z0-9])(AKIA|ASIA)[A-Z0-9]{{16}}([^A-Z0-9]|$)')
 UNION ALL SELECT doc_id, CAST(n AS INT), 'github token' FROM l WHERE regexp_matches(whole, '(^|[^A-Za-z0-9])gh[opurs]_[A-Za-z0-9]{{36}}')
 UNION ALL SELECT doc_id, CAST(n AS INT), 'github fine-grained token' FROM l WHERE regexp_matches(whole, '(^|[^A-Za-z0-9])github_pat_\\w{{60}}')
 UNION ALL SELECT doc_id, CAST(n AS INT), 'anthropic key' FROM l WHERE regexp_matches(whole, '(^|[^A-Za-z0-9])sk-ant-[\\w-]{{20}}')
@@ -121,18 +125,23 @@ def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_lines_sql(PUT_CODE)}, c AS (SELECT doc_id, n, split_part(whole, '#', 1) AS code FROM l), r AS (SELECT doc_id, n, unnest([
-CASE WHEN regexp_matches(code, 'shell *= *(True|1)') THEN 'command through a shell' END, CASE WHEN regexp_matches(code, '(^|[^a-zA-Z0-9_.])(eval|exec) *[(]') THEN 'code from text' END,
+CASE WHEN regexp_matches(code, 'shell *= *(True|1)') THEN 'command through a shell' END, CASE
+WHEN regexp_matches(code, '(^|[^a-zA-Z0-9_.])(eval|exec) *[(]') THEN 'code from text' END,
 CASE WHEN regexp_matches(code, '(ickle|dill|marshal|shelve)[.](loads?|open|Unpickler) *[(]') THEN 'objects from bytes' END,
 CASE WHEN regexp_matches(code, 'yaml[.](unsafe_|full_)?load(_all)? *[(]') AND NOT contains(code, 'SafeLoader') THEN 'yaml with objects' END,
 CASE WHEN regexp_matches(code, 'verify *= *(False|0)|check_hostname *= *False|CERT_NONE|unverified_context') THEN 'unchecked certificate' END,
-CASE WHEN regexp_matches(code, '(extractall|unpack_archive) *[(]') THEN 'archive unpacked unchecked' END, CASE WHEN regexp_matches(code, 'url(open|retrieve) *[(]') THEN 'address opened directly' END]) AS rule FROM c)
+CASE WHEN regexp_matches(code, '(extractall|unpack_archive) *[(]') THEN 'archive unpacked unchecked' END, CASE
+WHEN regexp_matches(code, 'url(open|retrieve) *[(]') THEN 'address opened directly' END]) AS rule FROM c)
 SELECT doc_id, CAST(n AS INT) AS line, rule FROM r WHERE rule IS NOT NULL""")
 def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents, some put into them, that break a rule of code."""
     return line_findings(_put(spark, sf_dir, PUT_CODE), "doc_id", "text", CODE, "#")
 
 
-@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<script>')) AS INT) AS inline_scripts, CAST(len(regexp_extract_all(html, '<a href="/[^"]*"')) AS INT) AS relative_links, CAST(len(regexp_extract_all(html, '<a [^>]*>')) - len(regexp_extract_all(html, '<a [^>]*rel=[^>]*>')) AS INT) AS without_rel, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, NOT regexp_matches(html, 'eval\\(|document\\.write|new Function') AS quiet FROM pages""")
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<script>')) AS INT) AS inline_scripts,
+CAST(len(regexp_extract_all(html, '<a href="/[^"]*"')) AS INT) AS relative_links,
+CAST(len(regexp_extract_all(html, '<a [^>]*>')) - len(regexp_extract_all(html, '<a [^>]*rel=[^>]*>')) AS INT) AS without_rel,
+regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, NOT regexp_matches(html, 'eval\\(|document\\.write|new Function') AS quiet FROM pages""")
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda p: F.regexp_count("html", F.lit(p))
     return table(spark, sf_dir, "pages").select(
@@ -145,9 +154,14 @@ def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH l AS (SELECT nullif(l_orderkey, 17) AS l_orderkey, l_partkey + CASE WHEN l_partkey % 500 = 0 THEN 1000000 ELSE 0 END AS l_partkey, l_quantity, l_linenumber FROM lineitem), o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 700 = 0 THEN -1 ELSE o_custkey END AS o_custkey FROM orders)
-SELECT 'duplicate line' AS issue, 'error' AS severity, count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'unknown part', 'error', count(*) FROM l WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l.l_partkey) UNION ALL SELECT 'unknown customer', 'error', count(*) FROM o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o.o_custkey)
-UNION ALL SELECT 'missing order', 'error', count(*) FROM l WHERE l_orderkey IS NULL UNION ALL SELECT 'order without lines', 'warning', count(*) FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.l_orderkey = o.o_orderkey) UNION ALL SELECT 'interval', 'error', count(*) FROM l WHERE l_quantity < l_linenumber""")
+@query("""WITH l AS (SELECT nullif(l_orderkey, 17) AS l_orderkey, l_partkey + CASE WHEN l_partkey % 500 = 0 THEN 1000000 ELSE 0 END AS l_partkey, l_quantity,
+l_linenumber FROM lineitem), o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 700 = 0 THEN -1 ELSE o_custkey END AS o_custkey FROM orders)
+SELECT 'duplicate line' AS issue, 'error' AS severity, count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber
+HAVING count(*) > 1) UNION ALL SELECT 'unknown part', 'error', count(*) FROM l WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l.l_partkey)
+UNION ALL SELECT 'unknown customer', 'error', count(*) FROM o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o.o_custkey)
+UNION ALL SELECT 'missing order', 'error', count(*) FROM l WHERE l_orderkey IS NULL UNION ALL SELECT 'order without lines', 'warning', count(*) FROM o
+WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.l_orderkey = o.o_orderkey) UNION ALL SELECT 'interval', 'error', count(*) FROM l
+WHERE l_quantity < l_linenumber""")
 def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate keys, dangling references, missing values and broken intervals, with severity."""
     raw = table(spark, sf_dir, "lineitem")
@@ -171,9 +185,14 @@ def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("""WITH s AS (SELECT c_custkey, c_custkey % 5 AS sources, abs(c_acctbal) / 100 AS hours, c_custkey % 13 AS votes, CASE c_custkey % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' ELSE 'none' END AS completeness FROM customer),
-p AS (SELECT *, CASE WHEN sources >= 3 THEN 30 WHEN sources >= 1 THEN 15 ELSE 0 END AS a, CASE WHEN hours <= 8 THEN 30 WHEN hours <= 40 THEN 15 ELSE 0 END AS b, least(20, votes * 2) AS c, CASE completeness WHEN 'full' THEN 20 WHEN 'partial' THEN 10 ELSE 0 END AS d FROM s)
-SELECT c_custkey, CAST(a + b + c + d AS BIGINT) AS score, CASE WHEN a + b + c + d >= 75 THEN 'build' WHEN a + b + c + d >= 50 THEN 'consider' ELSE 'decline' END AS recommendation, concat_ws('; ', CASE WHEN a < 30 THEN 'few sources' END, CASE WHEN b = 0 THEN 'much effort' END, CASE WHEN d = 0 THEN 'no data' END) AS reasons FROM p""")
+@query("""WITH s AS (SELECT c_custkey, c_custkey % 5 AS sources, abs(c_acctbal) / 100 AS hours, c_custkey % 13 AS votes, CASE c_custkey % 3 WHEN 0 THEN 'full'
+WHEN 1 THEN 'partial' ELSE 'none' END AS completeness FROM customer),
+p AS (SELECT *, CASE WHEN sources >= 3 THEN 30 WHEN sources >= 1 THEN 15 ELSE 0 END AS a, CASE WHEN hours <= 8 THEN 30
+WHEN hours <= 40 THEN 15 ELSE 0 END AS b, least(20, votes * 2) AS c, CASE completeness WHEN 'full' THEN 20 WHEN 'partial' THEN 10 ELSE 0 END AS d
+FROM s)
+SELECT c_custkey, CAST(a + b + c + d AS BIGINT) AS score, CASE WHEN a + b + c + d >= 75 THEN 'build'
+WHEN a + b + c + d >= 50 THEN 'consider' ELSE 'decline' END AS recommendation, concat_ws('; ', CASE WHEN a < 30 THEN 'few sources' END, CASE
+WHEN b = 0 THEN 'much effort' END, CASE WHEN d = 0 THEN 'no data' END) AS reasons FROM p""")
 def request_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Additive buckets, a recommendation by thresholds, and the reasons."""
     k = F.col("c_custkey")
@@ -186,7 +205,8 @@ def request_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, text, CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS VARCHAR) AS num FROM conversations)
-SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS asked, arg_max(num, turn) FILTER (WHERE num IS NOT NULL) AS latest, sum(length(text)) FILTER (WHERE role = 'assistant') > 500 AS long_answers FROM c GROUP BY 1""")
+SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS asked, arg_max(num, turn) FILTER (WHERE num IS NOT NULL) AS latest,
+sum(length(text)) FILTER (WHERE role = 'assistant') > 500 AS long_answers FROM c GROUP BY 1""")
 def request_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by role and the last number named, in one pass."""
     num = F.nullif(F.regexp_extract("text", "([0-9]+)", 1), F.lit(""))
@@ -203,7 +223,8 @@ def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "event_type", k.alias("k")).select("event_id", "k", F.when(F.col("k").between(10, 80), F.col("k")).alias("ranged"), F.when(F.col("k").isNull(), "unusable").when(F.col("event_type") == "click", "ready").otherwise("other").alias("state"))
 
 
-@query("""WITH s AS (SELECT p_partkey, p_partkey * 37 % 101 AS sand, (100 - p_partkey * 37 % 101) * (p_partkey % 7) // 7 AS silt, p_partkey % 5000 AS heat, p_partkey % 1200 AS km FROM part),
+@query("""WITH s AS (SELECT p_partkey, p_partkey * 37 % 101 AS sand, (100 - p_partkey * 37 % 101) * (p_partkey % 7) // 7 AS silt, p_partkey % 5000 AS heat,
+p_partkey % 1200 AS km FROM part),
 t AS (SELECT *, 100 - sand - silt AS clay FROM s),
 -- the triangle by regions, each stated whole, so that their order doesn't matter
 u AS (SELECT p_partkey, heat, km, CASE
@@ -227,7 +248,11 @@ def texture_and_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.selectExpr("p_partkey", f"{texture_class()} as texture", f"{heat_region('heat')} as region", f"{stream_class('km')} as stream")
 
 
-@query("""SELECT p_partkey, replace(p_brand, 'Brand#', '') AS label, CASE WHEN contains(lower(p_type), 'brass') THEN 'reverse' WHEN contains(lower(p_type), 'steel') THEN 'normal' ELSE 'slip' END AS kind, ends_with(p_name, '1') AS buried, p_size >= 30 OR p_name LIKE '%2%' AS shown, greatest(10, least(40, p_size)) AS clamped, CASE WHEN p_size BETWEEN 5 AND 45 THEN p_size END AS coerced, round_even(p_retailprice / 7, 0) AS whole, coalesce(nullif(p_size % 4, 0), 9) AS truthy, list_contains(['A', 'B'], substr(p_type, 1, 1)) AS allowed FROM part""")
+@query("""SELECT p_partkey, replace(p_brand, 'Brand#', '') AS label, CASE WHEN contains(lower(p_type), 'brass') THEN 'reverse'
+WHEN contains(lower(p_type), 'steel') THEN 'normal' ELSE 'slip' END AS kind, ends_with(p_name, '1') AS buried,
+p_size >= 30 OR p_name LIKE '%2%' AS shown, greatest(10, least(40, p_size)) AS clamped, CASE WHEN p_size BETWEEN 5 AND 45 THEN p_size END AS coerced,
+round_even(p_retailprice / 7, 0) AS whole, coalesce(nullif(p_size % 4, 0), 9) AS truthy, list_contains(['A', 'B'], substr(p_type, 1, 1)) AS allowed
+FROM part""")
 def scalar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small derivations: strip, classify, clamp, coerce, round half to even, defaults for zero."""
     p, size = table(spark, sf_dir, "part"), F.col("p_size")
@@ -236,14 +261,16 @@ def scalar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT conv_id, count(*) AS attempts, bool_or(contains(text, '.')) AS ok, max(length(text)) AS longest FROM conversations GROUP BY 1)
-SELECT conv_id, CASE WHEN longest > 2000 THEN 'failed-check' WHEN ok AND attempts % 3 = 0 THEN 'drafted' WHEN attempts >= 3 THEN 'blocked' ELSE 'ready' END AS status, attempts FROM c""")
+SELECT conv_id, CASE WHEN longest > 2000 THEN 'failed-check' WHEN ok AND attempts % 3 = 0 THEN 'drafted'
+WHEN attempts >= 3 THEN 'blocked' ELSE 'ready' END AS status, attempts FROM c""")
 def task_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next status of each task from its attempts and outcome."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("attempts"), F.bool_or(F.contains("text", F.lit("."))).alias("ok"), F.max(F.length("text")).alias("longest"))
     return c.select("conv_id", F.when(F.col("longest") > 2000, "failed-check").when(F.col("ok") & (F.col("attempts") % 3 == 0), "drafted").when(F.col("attempts") >= 3, "blocked").otherwise("ready").alias("status"), "attempts")
 
 
-@query("""SELECT p_brand, p_partkey // 500 AS sheet, '{"type":"FeatureCollection","features":[' || string_agg('{"id":' || p_partkey || ',"size":' || p_size || '}', ',' ORDER BY p_partkey) || ']}' AS doc FROM part GROUP BY 1, 2""")
+@query("""SELECT p_brand, p_partkey // 500 AS sheet, '{"type":"FeatureCollection","features":[' || string_agg('{"id":' || p_partkey || ',"size":' || p_size || '}', ',' ORDER BY p_partkey) || ']}' AS doc
+FROM part GROUP BY 1, 2""")
 def document_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON document for each group and sheet of 500 keys, features in order: documents stay small however large a group is."""
     features = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))))
@@ -251,7 +278,9 @@ def document_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 500).alias("sheet")).agg(doc.alias("doc"))
 
 
-@query("""WITH d AS (SELECT role, count(*) AS n, sum(length(text)) AS size FROM conversations GROUP BY 1) SELECT string_agg('- ' || role || ': ' || n || ' turns, ' || size || ' characters', chr(10) ORDER BY n DESC, role) AS digest, CAST(sum(size) AS BIGINT) <= 900000000 AS within_budget FROM d""")
+@query("""WITH d AS (SELECT role, count(*) AS n, sum(length(text)) AS size FROM conversations GROUP BY 1)
+SELECT string_agg('- ' || role || ': ' || n || ' turns, ' || size || ' characters', chr(10) ORDER BY n DESC, role) AS digest,
+CAST(sum(size) AS BIGINT) <= 900000000 AS within_budget FROM d""")
 def markdown_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"))
     line = F.format_string("- %s: %d turns, %d characters", "role", "n", "size")
@@ -259,14 +288,18 @@ def markdown_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("digest"), (F.sum("size") <= 900000000).alias("within_budget"))
 
 
-@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages) SELECT page_id, path, NOT regexp_matches(path, '^/(en|de)/') AS outside, CAST(len(string_split(path, '/')) AS INT) AS depth, list_has_any(string_split(path, '/'), ['fr', 'es']) AS excluded FROM p""")
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages) SELECT page_id, path,
+NOT regexp_matches(path, '^/(en|de)/') AS outside, CAST(len(string_split(path, '/')) AS INT) AS depth,
+list_has_any(string_split(path, '/'), ['fr', 'es']) AS excluded FROM p""")
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.parse_url("url", F.lit("PATH")), F.lit("")).alias("path"))
     parts = F.split("path", "/")
     return p.select("page_id", "path", (~F.col("path").rlike("^/(en|de)/")).alias("outside"), F.size(parts).alias("depth"), F.arrays_overlap(parts, F.array(F.lit("fr"), F.lit("es"))).alias("excluded"))
 
 
-@query("""WITH w AS (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) SELECT n_nationkey, CASE WHEN k <= 2 THEN 'mapped' ELSE 'planned' END AS status, n_nationkey * 10 - 5 AS x0, n_nationkey * 10 + 5 AS x1, CAST(((n_nationkey * 37 + 180) % 360) - 180 AS INT) AS lon FROM w""")
+@query("""WITH w AS (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) SELECT n_nationkey,
+CASE WHEN k <= 2 THEN 'mapped' ELSE 'planned' END AS status, n_nationkey * 10 - 5 AS x0, n_nationkey * 10 + 5 AS x1,
+CAST(((n_nationkey * 37 + 180) % 360) - 180 AS INT) AS lon FROM w""")
 def misc_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source switch by status, boxes from centres, longitudes wrapped to [-180, 180)."""
     k = F.col("n_nationkey")

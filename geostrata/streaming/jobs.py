@@ -46,13 +46,17 @@ def fresh(df: DataFrame, unit: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """Each unit once, however late it first comes; repeats are dropped.
 
     The state store is the ledger of the units seen: one key a unit, kept for good, so that no watermark applies. With many
-    units set RocksDB as the store, which keeps them on disk.
+    units set RocksDB as the store, which keeps them on disk. ``ledger.units`` forgets after a span, and records failures.
     """
     return df.dropDuplicates(list(unit))
 
 
 def ingest(df: DataFrame, path: str, checkpoint: str):
-    """Keeps a table partitioned by month with the latest revision of each unit. A batch rewrites the months that it touches, and only those; a batch that is run again gives the same table."""
+    """Keeps a table partitioned by month with the latest revision of each unit. A batch rewrites the months that it touches, and only those; a batch that is run again gives the same table.
+
+    A driver that dies while a batch's months are swapped leaves them to the batch's next run; where readers must never see
+    that, ``cubes.ingest_years`` puts an index in place last.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
