@@ -91,26 +91,28 @@ def png(data: bytes) -> np.ndarray:
         raise ValueError("8-bit images without interlacing only")
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
     raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height, width * channels), np.uint8)
-    above = np.zeros(width * channels, np.int64)
-    for y in range(height):
-        rule, line = int(raw[y, 0]), raw[y, 1:].astype(np.int64)
-        if rule == 1:
-            line = np.cumsum(line.reshape(-1, channels), axis=0).ravel() & 255
-        elif rule == 2:
-            line = (line + above) & 255
-        elif rule in (3, 4):
-            for i in range(len(line)):
-                left, up = (int(line[i - channels]) if i >= channels else 0), int(above[i])
-                if rule == 3:
-                    guess = (left + up) // 2
-                else:
-                    corner = int(above[i - channels]) if i >= channels else 0
-                    p = left + up - corner
-                    guess = min(((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner)))[2]
-                line[i] = (line[i] + guess) & 255
-        out[y], above = line, line
-    return out.reshape(height, width, channels)
+    return unfiltered(raw[:, 0], raw[:, 1:].reshape(height, width, channels))
+
+
+def unfiltered(rules: np.ndarray, stored: np.ndarray) -> np.ndarray:
+    """Cells of an image whose lines are stored as differences by rule (0 none, 1 left, 2 above, 3 their mean, 4 the nearest of left, above and corner to their plane).
+
+    A cell needs those on its left and above it only, so that all cells of a diagonal are found together.
+    """
+    height, width, channels = stored.shape
+    out = np.zeros((height + 1, width + 1, channels), np.int16)  # a line and a column of zeros stand before
+    rule = rules.astype(np.int16)[:, None]
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        plane = left + up - corner
+        far = np.stack([np.abs(plane - left), np.abs(plane - up), np.abs(plane - corner)])
+        nearest = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+        own = rule[y]
+        guess = np.select([own == 1, own == 2, own == 3, own == 4], [left, up, (left + up) // 2, nearest], 0)
+        out[y + 1, x + 1] = (stored[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def png_bytes(pixels: np.ndarray, palette: list[tuple[int, int, int, int]] | None = None, sub: bool = False) -> bytes:

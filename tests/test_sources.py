@@ -370,3 +370,18 @@ def test_series_documents_and_wkt(spark, tmp_path):
     assert [r[0] for r in df.select(text.polygons_wkt(F.col("rings"))).collect()] == [f"POLYGON(({ring}))", f"MULTIPOLYGON((({ring})),(({ring})))", None]
     box = spark.range(1).select(text.box_wkt(F.lit(0.0), F.lit(10.0), 1113.2), text.section_text(F.lit("RANGE IN USE: vines")), text.section_text(F.lit("EMPTY: "))).first()
     assert box[0] == "POLYGON((9.990000 -0.010000,10.010000 -0.010000,10.010000 0.010000,9.990000 0.010000,9.990000 -0.010000))" and box[1:] == ("vines", None)
+
+
+def test_png_rules_against_the_plain_form():
+    rng = np.random.default_rng(0)
+    for h, w, c in ((7, 5, 3), (1, 9, 1), (9, 1, 4), (30, 20, 2)):
+        stored, rules = rng.integers(0, 256, (h, w, c)), rng.integers(0, 5, h)
+        want = np.zeros((h + 1, w + 1, c), int)
+        for y in range(h):
+            for x in range(w):
+                for k in range(c):
+                    left, up, corner = int(want[y + 1, x, k]), int(want[y, x + 1, k]), int(want[y, x, k])
+                    p = left + up - corner
+                    near = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+                    want[y + 1, x + 1, k] = (int(stored[y, x, k]) + (0, left, up, (left + up) // 2, near)[rules[y]]) % 256
+        assert (B.unfiltered(rules.astype(np.uint8), stored.astype(np.uint8)) == want[1:, 1:]).all()
