@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +38,11 @@ def _is(v: Column, kind: str) -> Column:
     }[kind]
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is used: a bare column expression is evaluated at each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _text(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
@@ -123,6 +128,9 @@ class _Compiler:
         parts += self._combined(node, v, path, breach)
         return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else _none()
 
+    def _present(self, node: object, value: Column, path: Column) -> Column:
+        return _bound(value, lambda v: F.when(v.isNotNull(), self.found(node, v, path)).otherwise(_none()))
+
     def _array(self, node: dict, v: Column, path: Column, breach) -> list[Column]:
         values = F.try_variant_get(v, "$", "array<variant>")
         rules = {
@@ -162,7 +170,7 @@ class _Compiler:
             out.append(F.when(_is(v, "object"), F.flatten(each)).otherwise(_none()))
         for name, below in known.items():
             here = F.try_variant_get(v, "$['" + name.replace("'", "\\'") + "']", "variant")
-            out.append(F.when(here.isNotNull(), self.found(below, here, F.concat(path, F.lit("/" + name)))).otherwise(_none()))
+            out.append(self._present(below, here, F.concat(path, F.lit("/" + name))))
         return out
 
     def _combined(self, node: dict, v: Column, path: Column, breach) -> list[Column]:
@@ -186,14 +194,15 @@ def judged(document: Column, schema: dict) -> Column:
     A null text is skipped. So is a text without findings if the schema has keywords that aren't judged (``skipped`` names
     them, ``format`` for one): skipped isn't passed. A schema that refers to itself is an error, as its depth has no bound.
     """
-    v = F.try_parse_json(document)
-    findings = F.when(document.isNull(), _none()).when(v.isNull(), F.array(F.struct(F.lit("").alias("path"), F.lit("parse").alias("rule")))).otherwise(_Compiler(schema).found(schema, v, F.lit("")))
     names = skipped_keywords(schema)
-    return F.transform(
-        F.array(findings),
-        lambda f: F.struct(
-            F.when(F.size(f) > 0, "failed").when(document.isNull() | F.lit(bool(names)), "skipped").otherwise("passed").alias("state"),
-            f.alias("findings"),
-            F.array(*map(F.lit, names)).cast("array<string>").alias("skipped"),
-        ),
-    )[0]
+    unread = F.array(F.struct(F.lit("").alias("path"), F.lit("parse").alias("rule")))
+
+    def judge(text: Column) -> Column:
+        found = _bound(F.try_parse_json(text), lambda v: F.when(v.isNull(), unread).otherwise(_Compiler(schema).found(schema, v, F.lit(""))))
+        return _bound(F.when(text.isNull(), _none()).otherwise(found), lambda f: told(text, f))
+
+    def told(text: Column, f: Column) -> Column:
+        state = F.when(F.size(f) > 0, "failed").when(text.isNull() | F.lit(bool(names)), "skipped").otherwise("passed")
+        return F.struct(state.alias("state"), f.alias("findings"), F.array(*map(F.lit, names)).cast("array<string>").alias("skipped"))
+
+    return _bound(document, judge)
