@@ -6,6 +6,8 @@ round to the shared folder, which survives lost executors.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,26 +131,59 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def greedy_order(pairs: DataFrame, start: int, touch: float, most: int = 1000) -> list[tuple[int, int, float]]:
-    """(step, item, distance to the one before): next the nearest that touches the last one, else the nearest to any chosen; ties by id.
-
-    pairs: a, b, gap, both ways, of a table small enough for the driver by contract: ``most`` items, else an error.
+def _visits(touch: float, by_last: bool, most: int):
+    def run(items: pd.DataFrame) -> pd.DataFrame:
+        if len(items) > most:
+            raise ValueError(f"a group of more than {most} items")
+        d = items.sort_values("item", kind="stable")
+        item, x, y, r = (d[c].to_numpy() for c in ("item", "x", "y", "r"))
+        n = len(d)
+        at = dict(zip(item.tolist(), range(n), strict=True))
+        parent = np.array([at.get(p, -1) for p in d["parent"].tolist()])
+        parent[parent == np.arange(n)] = -1
+        taken, covered, near = np.zeros(n, bool), np.zeros(n, bool), np.full(n, np.inf)
+        out = []
+
+        def take(k: int, why: str, promoted: bool, gap: float) -> np.ndarray:
+            """Centre distances to the item that is taken; whatever lies within it, at any depth, is covered."""
+            out.append((len(out), item[k], why, promoted, gap))
+            taken[k] = True
+            while (new := (parent >= 0) & (taken | covered)[parent] & ~covered).any():
+                covered[new] = True
+            far = np.sqrt((x - x[k]) ** 2 + (y - y[k]) ** 2)
+            np.minimum(near, np.maximum(0, far - r - r[k]), out=near)
+            return far
+
+        last = take(0, "start", False, 0.0)
+        while (left := np.flatnonzero(~(taken | covered))).size:
+            close = left[(last if by_last else near)[left] <= touch]
+            why, pool, gaps = ("touches", close, last) if close.size else ("closest", left, near)
+            k = pool[np.argmin(gaps[pool])]  # the first of equals is the smallest item
+            up = parent[k] if parent[k] >= 0 else k
+            last = take(up, why, bool(up != k), gaps[k])
+        told = pd.DataFrame(out, columns=["step", "item", "why", "promoted", "gap"])
+        told.insert(0, "grp", items["grp"].iloc[0])
+        return told
+
+    return run
+
+
+def visit_orders(items: DataFrame, touch: float, by_last: bool = False, most: int = 10_000) -> DataFrame:
+    """grp, step, item, why, promoted, gap: the order in which the items of each group are visited, one group to a task.
+
+    items: grp, item (unique in its group), parent (an item of the group that it lies within, or null), x, y, r (centre and
+    radius). The smallest item starts. Next comes what touches: of the items within ``touch`` of any item visited so far (of
+    the last one's centre, with ``by_last``) that whose centre is nearest to the last one's; if none touches, the item with the
+    smallest gap to any visited; ties by item. An item with a parent gives way to it (``promoted``), and what lies within a
+    visited item, at any depth, is visited with it and has no row. gap is the distance that decided. Rows without item or place
+    have no part, a radius of null is 0, and rows without group are a group. Each step depends on all before, so a group is
+    one task's work: memory grows with its items, no pairs are made, and more than ``most`` items are an error.
     """
-    rows = pairs.select("a", "b", "gap").limit(most * most + 1).collect()
-    if len(rows) > most * most:
-        raise ValueError(f"more than {most} items")
-    gap: dict[int, dict[int, float]] = {}
-    for r in rows:
-        gap.setdefault(r.a, {})[r.b] = r.gap
-    chosen, out = [start], [(0, start, 0.0)]
-    left = set(gap) - {start}
-    while left:
-        near = [(g, b) for b, g in gap.get(chosen[-1], {}).items() if b in left and g <= touch]
-        g, b = min(near) if near else min((gap[a].get(x, float("inf")), x) for a in chosen for x in left)
-        out.append((len(out), b, g))
-        chosen.append(b)
-        left.remove(b)
-    return out
+    typed = items.select(
+        F.col("grp").cast("long"), F.col("item").cast("long"), F.coalesce("parent", "item").cast("long").alias("parent"),
+        F.col("x").cast("double"), F.col("y").cast("double"), F.coalesce(F.col("r").cast("double"), F.lit(0.0)).alias("r"),
+    ).dropna(subset=["item", "x", "y"])
+    return typed.groupBy("grp").applyInPandas(_visits(touch, by_last, most), "grp long, step int, item long, why string, promoted boolean, gap double")
 
 
 def first_seen(df: DataFrame, value: str, order: list[str]) -> DataFrame:

@@ -181,9 +181,30 @@ SELECT step, poly, round(gap, 6) AS gap FROM s""")
 def greedy_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visit order of the areas: the nearest that touches the last one, else the nearest to any."""
     c = edges(spark, sf_dir).where("ring = 0").groupBy("poly").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    o = c.select(F.col("poly").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = c.join(o, c.poly != o.b).select(F.col("poly").alias("a"), "b", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")).alias("gap"))
-    return spark.createDataFrame(graph.greedy_order(pairs, 0, 15.0), "step int, poly int, gap double").withColumn("gap", F.round("gap", 6))
+    items = c.select(F.lit(0).alias("grp"), F.col("poly").alias("item"), F.lit(None).cast("long").alias("parent"), "x", "y", F.lit(0.0).alias("r"))
+    return graph.visit_orders(items, 15.0, by_last=True).select("step", F.col("item").cast("int").alias("poly"), F.round("gap", 6).alias("gap"))
+
+
+@query("""WITH RECURSIVE i AS (SELECT c_custkey // 40 AS grp, c_custkey AS item, CASE WHEN c_custkey % 4 = 3 THEN c_custkey - 2
+WHEN c_custkey % 4 = 1 THEN c_custkey - 1 END AS up, c_custkey * 7919 % 101 AS x, c_custkey * 104729 % 103 AS y, c_custkey % 5 AS r FROM customer),
+n AS (SELECT c.*, p.item AS parent, list_filter([p.item, g.item], lambda v: v IS NOT NULL) AS above FROM i c LEFT JOIN i p ON p.item = c.up AND p.grp = c.grp
+LEFT JOIN i g ON g.item = p.up AND g.grp = c.grp),
+p AS (SELECT a.grp, a.item AS a, b.item AS b, b.above, b.parent, sqrt(CAST((a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS DOUBLE)) AS far,
+greatest(0, sqrt(CAST((a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS DOUBLE)) - b.r - a.r) AS gap FROM n a JOIN n b ON a.grp = b.grp AND a.item <> b.item),
+s AS (SELECT grp, 0 AS step, min(item) AS item, 'start' AS why, false AS promoted, CAST(0 AS DOUBLE) AS gap, [min(item)] AS seen FROM n GROUP BY 1 UNION ALL
+  SELECT grp, step + 1, coalesce(nxt.parent, nxt.b), CASE WHEN nxt.apart THEN 'closest' ELSE 'touches' END, nxt.parent IS NOT NULL, nxt.far,
+  list_append(seen, coalesce(nxt.parent, nxt.b)) FROM (
+    SELECT grp, step, seen, min({'apart': near > 6, 'far': CASE WHEN near > 6 THEN near ELSE last END, 'b': b, 'parent': parent}) AS nxt FROM (
+      SELECT s.grp, s.step, s.seen, p.b, p.parent, min(p.gap) AS near, min(CASE WHEN p.a = s.item THEN p.far END) AS last FROM s JOIN p ON p.grp = s.grp
+      AND list_contains(s.seen, p.a) AND NOT list_contains(s.seen, p.b) AND NOT list_has_any(s.seen, p.above) GROUP BY ALL) q GROUP BY ALL) w)
+SELECT grp, step, item, why, promoted, round(gap, 6) AS gap FROM s""")
+def visit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visit order of each block of customers: what touches the visited first, then the closest; what lies within another gives way to it."""
+    k = F.col("c_custkey")
+    up = F.when(k % 4 == 3, k - 2).when(k % 4 == 1, k - 1)
+    place = [(k * 7919 % 101).alias("x"), (k * 104729 % 103).alias("y"), (k % 5).alias("r")]
+    items = table(spark, sf_dir, "customer").select(F.floor(k / 40).alias("grp"), k.alias("item"), up.alias("parent"), *place)
+    return graph.visit_orders(items, 6.0).withColumn("gap", F.round("gap", 6))
 
 
 @query(f"""WITH RECURSIVE {POINTS}, ends AS (SELECT line, max(seq) AS last, count(*) AS n FROM pts GROUP BY 1),

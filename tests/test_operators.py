@@ -1,6 +1,7 @@
 """Operators on literals with hand-made answers."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -217,3 +218,53 @@ def test_samples_of_repeated_points_and_missing_cells(spark):
     near = {r.id: r.value for r in raster.nearest(p, g).collect()}
     assert near == {1: 11.0, 2: 11.0, 3: None, 4: None, 5: None, 6: None}
     assert raster.bilinear(p.limit(0), g, 3, 4).count() == 0 == raster.nearest(p.limit(0), g).count()
+
+
+def _visited(items, touch):
+    """Order of one group, from all gaps anew at each step."""
+    place = {i: (x, y, r) for i, _, x, y, r in items}
+    up = {i: p for i, p, *_ in items if p in place and p != i}
+    far = lambda a, b: math.sqrt((place[a][0] - place[b][0]) ** 2 + (place[a][1] - place[b][1]) ** 2)
+
+    def inside(i, seen):
+        above, walked = up.get(i), set()
+        while above is not None and above not in walked:
+            if above in seen:
+                return True
+            walked.add(above)
+            above = up.get(above)
+        return False
+
+    seen = [min(place)]
+    out = [(0, seen[0], "start", False, 0.0)]
+    while left := [i for i in place if i not in seen and not inside(i, seen)]:
+        gap = {i: min(max(0.0, far(i, s) - place[i][2] - place[s][2]) for s in seen) for i in left}
+        close = [i for i in left if gap[i] <= touch]
+        g, i = min((far(i, seen[-1]), i) for i in close) if close else min((gap[i], i) for i in left)
+        seen.append(up.get(i, i))
+        out.append((len(out), seen[-1], "touches" if close else "closest", i in up, round(g, 6)))
+    return out
+
+
+def test_visit_orders_against_all_gaps(spark):
+    draw = random.Random(5)
+    groups = {}
+    for g in (None, 0, 1, 2, 1 << 60):
+        ids = [(1 << 60) + k for k in draw.sample(range(100), 30)]
+        # places on a coarse lattice make ties; parents may be missing, themselves or in circles
+        groups[g] = [(i, draw.choice([None, None, i, *ids, 7]), draw.randrange(12) * 5.0, draw.randrange(12) * 5.0, float(draw.randrange(3))) for i in ids]
+    rows = [(g, *it) for g, items in groups.items() for it in items] + [(0, None, None, 1.0, 1.0, 1.0), (0, 3, None, None, 1.0, 1.0)]
+    schema = "grp long, item long, parent long, x double, y double, r double"
+    found = graph.visit_orders(spark.createDataFrame(rows, schema).repartition(5), 4.0).collect()
+    for g, items in groups.items():
+        got = sorted((r.step, r.item, r.why, r.promoted, round(r.gap, 6)) for r in found if r.grp == g)
+        assert got == _visited(items, 4.0), g
+    assert {r.why for r in found} == {"start", "touches", "closest"} and any(r.promoted for r in found)
+    assert graph.visit_orders(spark.createDataFrame([], schema), 4.0).count() == 0
+
+
+def test_visit_orders_of_a_group_past_its_bound(spark):
+    rows = spark.range(12).selectExpr("0 as grp", "id as item", "cast(null as long) as parent", "id as x", "0 as y", "null as r")
+    assert [r.item for r in graph.visit_orders(rows, 1.0, most=12).orderBy("step").collect()] == list(range(12))
+    with pytest.raises(Exception, match="more than 11 items"):
+        graph.visit_orders(rows, 1.0, most=11).collect()
