@@ -38,7 +38,7 @@ def crossing_pairs(left: DataFrame, right: DataFrame, cell: float, a: tuple[str,
     met = _pieces(left, a, cell, "l").join(_pieces(right, b, cell, "r"), ["_cx", "_cy"])
     met = met.where((F.col("_cx") == F.greatest("_xl", "_xr")) & (F.col("_cy") == F.greatest("_yl", "_yr")))
     t, s = E.crossing(*(F.col(n).cast("double") for n in (*a, *b)))
-    # Generated, not projected: the optimizer would write both formulas out for every comparison, in a join condition too long to be compiled.
+    # Generated, not projected: the optimizer would write both formulas out for every comparison in the join condition.
     met = met.select("*", F.inline(F.array(F.struct(t.alias("t"), s.alias("s")))))
     hit = met.where("t between 0 and 1 and s between 0 and 1")
     held = lambda place, side: F.least(F.floor(place * F.col(f"_n{side}")), F.col(f"_n{side}") - 1) == F.col(f"_i{side}")
