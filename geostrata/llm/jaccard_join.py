@@ -329,6 +329,11 @@ def _search(percent: int, with_known: bool = False):
     return run
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that is never broadcast: a table of ids that is small in its files is many times larger in the driver, and grows with the input."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def clusters(edges: DataFrame, name: str = "cluster") -> DataFrame:
     """(doc_id, label): smallest id that each node of (a, b) edges reaches. Each round ties nodes to the smallest
     neighbour of their neighbours and is written out; the rounds are about the logarithm of the longest path."""
@@ -338,11 +343,11 @@ def clusters(edges: DataFrame, name: str = "cluster") -> DataFrame:
         # large star: every larger neighbour of a node is tied to the node's smallest one
         sides = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = sides.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        large = _met(sides.where("b > a"), low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         # small star: a node and its smaller neighbours are tied to the smallest of them
         large = put_table(large, f"{name}-large")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionByName(low.select("a", F.col("low").alias("b"))).distinct()
+        small = _met(large, low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionByName(low.select("a", F.col("low").alias("b"))).distinct()
         small = put_table(small, f"{name}-small")
         new = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         old = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -353,44 +358,49 @@ def clusters(edges: DataFrame, name: str = "cluster") -> DataFrame:
 
 
 def _blocks(rows: DataFrame, key: str, name: str, seed: int = 42) -> DataFrame:
-    """``rows`` with the number of blocks of their ``key``, by its bytes, and each one's block."""
-    counts = rows.groupBy(key).agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    return put_table(rows.join(counts, key).withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int")).drop("bytes"), name)
+    """``rows`` with the number of blocks of their ``key``, by its bytes, and each one's block.
+
+    Only keys of several blocks are broadcast, fewer than two for each ``BLOCK_BYTES`` of shingles; a large key stays spread.
+    """
+    counts = rows.groupBy(key).agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("several")).where("several > 1")
+    several = rows.join(F.broadcast(counts), key, "left").withColumn("blocks", F.coalesce("several", F.lit(1))).drop("several")
+    return put_table(several.withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int")).drop("bytes"), name)
 
 
 def _search_clusters(prefixes: DataFrame, posts: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     """(node, label): components inside candidate clusters (``near``: node, cluster)."""
     members = prefixes.select("node", "n", "matches", "length", "tokens")
-    dealt = _blocks(near.join(prefixes.select("node", "bytes").distinct(), "node"), "cluster", "join-dealt")
-    within = put_table(members.join(dealt, "node").groupBy("cluster", "block").applyInPandas(_search(percent), "node long, label long").distinct(), "join-within")
+    dealt = _blocks(_met(near, prefixes.select("node", "bytes").distinct(), "node"), "cluster", "join-dealt")
+    within = put_table(_met(members, dealt, "node").groupBy("cluster", "block").applyInPandas(_search(percent), "node long, label long").distinct(), "join-within")
     several = dealt.where("blocks > 1").select("node", "cluster")
     if not several.limit(1).count():
         return within
     # the first of each component, together: near copies in different blocks meet here
-    bytes_of = prefixes.select("node", "bytes").distinct()
-    known = put_table(within.join(several, "node").select("node", "cluster", F.col("label").alias("known")), "join-known")
+    members = put_table(_met(prefixes.select(*members.columns, "bytes"), several, "node", "left_semi"), "join-several")
+    bytes_of, members = members.select("node", "bytes").distinct(), members.drop("bytes")
+    known = put_table(_met(within, several, "node").select("node", "cluster", F.col("label").alias("known")), "join-known")
     heads, fewer, rounds = known.where("node = known").select("node", "cluster"), None, 0
     while True:
         rounds += 1
-        leaders = _blocks(heads.join(bytes_of, "node"), "cluster", "join-leaders", rounds)
-        merged = put_table(members.join(leaders, "node").groupBy("cluster", "block").applyInPandas(_search(percent), "node long, label long").distinct(), "join-merged")
-        known = put_table(known.join(merged.select(F.col("node").alias("known"), "label"), "known").select("node", "cluster", F.col("label").alias("known")), "join-known")
+        leaders = _blocks(_met(heads, bytes_of, "node"), "cluster", "join-leaders", rounds)
+        merged = put_table(_met(members, leaders, "node").groupBy("cluster", "block").applyInPandas(_search(percent), "node long, label long").distinct(), "join-merged")
+        known = put_table(_met(known, merged.select(F.col("node").alias("known"), "label"), "known").select("node", "cluster", F.col("label").alias("known")), "join-known")
         before, fewer = fewer, merged.where("node = label").count()
         if fewer == before or not leaders.where("blocks > 1").limit(1).count():
             break
         heads = known.where("node = known").select("node", "cluster")
     # a link between components needs a shingle that meets in both
-    met = posts.join(known.select("node", "known"), "node")
+    met = _met(posts, known.select("node", "known"), "node")
     open_ = met.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high").select("token")
-    active = put_table(met.join(open_, "token").select("node").distinct(), "join-active")
-    pairs = _blocks(known.join(active, "node").join(bytes_of, "node"), "cluster", "join-open")
+    active = put_table(_met(met, open_, "token").select("node").distinct(), "join-active")
+    pairs = _blocks(_met(_met(known, active, "node"), bytes_of, "node"), "cluster", "join-open")
     pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block or blocks = 1")
     pairs = pairs.select("node", "cluster", "known", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    linked = members.join(pairs, "node").groupBy("cluster", "low", "high").applyInPandas(_search(percent, True), "node long, label long")
+    linked = _met(members, pairs, "node").groupBy("cluster", "low", "high").applyInPandas(_search(percent, True), "node long, label long")
     edges = linked.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(known.select(F.col("node").alias("a"), F.col("known").alias("b")))
     joined = clusters(edges, "join-across")
-    single = within.join(several, "node", "left_anti")
-    return single.unionByName(several.select("node").join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    single = _met(within, several, "node", "left_anti")
+    return single.unionByName(_met(several.select("node"), joined, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -418,9 +428,9 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     # one of its rows stands for a class, and a number of its own
     classes = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min(F.struct("row", "row_b")).alias("r"))
     classes = put_table(classes.select(*key, "rep", "r.row", "r.row_b", F.monotonically_increasing_id().alias("node")), "join-classes")
-    picked = put_table(classes.join(stays.distinct(), "row", "left_semi").select("row", "row_b", "digest_a", "digest_b", "node"), "join-picked")
+    picked = put_table(_met(classes, stays.distinct(), "row", "left_semi").select("row", "row_b", "digest_a", "digest_b", "node"), "join-picked")
     drop_table(first)
-    second = put_table(texts.drop("doc_id").join(picked, ["row", "row_b"]).select("node", "digest_a", "digest_b", "text").mapInArrow(_second_pass(ranges), "part int, chunk long, blob binary"), "join-second")
+    second = put_table(_met(texts.drop("doc_id"), picked, ["row", "row_b"]).select("node", "digest_a", "digest_b", "text").mapInArrow(_second_pass(ranges), "part int, chunk long, blob binary"), "join-second")
     frequent = second.where("part is not null").repartition(tasks, "part").groupBy("part").applyInPandas(_frequencies, "chunk long, sets boolean, blob binary")
     sets = second.where("part is null").select("chunk", F.lit(True).alias("sets"), "blob")
     prefixes = put_table(frequent.unionByName(sets).repartition(tasks, "chunk").groupBy("chunk").applyInPandas(_prefixes(percent), "node long, n long, matches int, length int, bytes long, tokens binary"), "join-prefixes")
@@ -434,12 +444,12 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
 
     posts = prefixes.select("node", "length", "tokens").mapInArrow(posting, "token long, node long")
     center = posts.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("token", "b")
-    edges = posts.join(center, "token").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    edges = _met(posts, center, "token").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     near = put_table(clusters(edges, "join").withColumnRenamed("label", "cluster"), "join-near")
     found = put_table(_search_clusters(prefixes, posts, near, percent), "join-components")
-    named = classes.join(found, "node", "left").select(*key, "rep", F.coalesce("label", "node").alias("label"))
+    named = _met(classes, found, "node", "left").select(*key, "rep", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("rep").alias("component"))
-    return rows.join(named.join(ids, "label").drop("rep"), key, "left").drop("digest_a", "digest_b")
+    return _met(rows, _met(named, ids, "label").drop("rep"), key, "left").drop("digest_a", "digest_b")
 
 
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -42,3 +42,21 @@ def test_a_mix_takes_equal_rows_by_number(hot):
 def test_one_of_equal_rows_stays(hot):
     kept = J.first_of_each(hot)
     assert kept.count() == 301 and kept.where("source = 's'").count() == 1
+
+
+@pytest.mark.parametrize("f", [J.link_components, J.first_of_each])
+def test_no_table_of_the_join_is_broadcast(spark, monkeypatch, f):
+    """The driver holds nothing that grows with the documents: only keys of several blocks, a row for each 256 KB of shingles at most."""
+    plans, put = [], J.put_table
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(df, *args)
+
+    monkeypatch.setattr(J, "put_table", seen)
+    monkeypatch.setattr(J, "BLOCK_BYTES", 500)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(39)] + ["a b c d e f g", "a b c d e f g"]
+    seen(f(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")), "join-last")
+    joins = [line for p in plans for line in p.split("\n") if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert len(plans) > 15 and len(joins) >= 3 and all("LeftOuter" in line and "cluster" in line for line in joins)
