@@ -273,19 +273,21 @@ def multi_source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(c, F.col("c_nationkey") == F.col("n_nationkey")).join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("n_name", "r_name", "customers", "orders", "total", F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
 
 
-@query("""WITH b AS (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM documents) SELECT source, doc_id,
-CAST(running AS BIGINT) AS running FROM b WHERE running <= 60000""")
+@query("""WITH b AS (SELECT doc_id, lang, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS running, source FROM documents) SELECT source, count(*) FILTER (WHERE running <= 60000) AS fit, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (WHERE running <= 60000), '') AS ids, CAST(sum(n_chars) AS BIGINT) AS total FROM b GROUP BY 1""")
 def budgeted_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of each group, in order, as long as the running length keeps within the budget.
+    """Members of each group, in order, as long as the running length keeps within the budget, and the group's whole length.
 
-    Lengths are summed by blocks of a thousand ids first; rows of a block are summed one by one only if it begins within the budget.
+    Lengths are summed by blocks of a thousand ids first, then inside each block, so that no window holds a group. Equal ids are summed as one.
     """
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.floor(F.col("doc_id") / 1000).alias("block"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = d.groupBy("source", "block").agg(F.sum("n_chars").alias("size")).withColumn("before", before).where("before <= 60000").select("source", "block", "before")
-    w = Window.partitionBy("source", "block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    met = d.join(blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "before"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    return met.withColumn("running", (F.col("before") + F.sum("n_chars").over(w)).cast("long")).where("running <= 60000").select("source", "doc_id", "running")
+    before = F.sum("size").over(Window.partitionBy("source").orderBy(F.col("block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = d.groupBy("source", "block").agg(F.sum("n_chars").alias("size")).withColumn("before", before).select(F.col("source").alias("s"), F.col("block").alias("b"), "before")
+    inside = F.sum("n_chars").over(Window.partitionBy("source", "block").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    met = d.withColumn("inside", inside).join(blocks, F.col("source").eqNullSafe(F.col("s")) & F.col("block").eqNullSafe(F.col("b")))
+    running = F.coalesce(F.col("before") + F.col("inside"), "before", "inside")  # null only if no length is known so far
+    b = met.withColumn("fits", F.coalesce(running <= 60000, F.lit(False)))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("fits"), F.col("doc_id")))), lambda x: x.cast("string")), ",")
+    return b.groupBy("source").agg(F.count_if("fits").alias("fit"), ids.alias("ids"), F.sum("n_chars").alias("total"))
 
 
 @query("""SELECT p_type, p_brand, round(100.0 * sum(p_size) / sum(sum(p_size)) OVER (PARTITION BY p_type), 6) AS pct FROM part GROUP BY 1, 2""")

@@ -135,3 +135,14 @@ def test_chains_stop_at_the_stated_length(spark):
     links = spark.createDataFrame([(i, i - 1 if i else None, 1) for i in range(64)], "node int, parent int, value int")
     got = {r.node: (r.root, r.value) for r in graph.compose_chains(links, lambda a, b: a + b).collect()}
     assert got == {i: (0, i + 1) if i <= 60 else (None, None) for i in range(64)}
+
+
+def test_budgeted_concat_sums_whole_groups(spark, tmp_path):
+    docs = [(k, "a", 900) for k in range(5000)] + [(k, "b", None if k < 3 or k % 7 == 0 else 11) for k in range(990, 1200)] + [(7, None, 59_999), (7, None, 1), (8, None, 1), (None, "b", 5), (3, "c", 60_001)]
+    spark.createDataFrame(docs, "doc_id long, source string, n_chars int").selectExpr("*", "'en' AS lang").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    files = duckdb.sql(f"SELECT source, doc_id, n_chars, lang FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    c = duckdb.connect()
+    c.register("documents", files.arrow())
+    got = {r.source: (r.fit, r.ids, r.total) for r in catalogue.QUERIES["budgeted_concat"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[1:] for r in c.sql(catalogue.ORACLES["budgeted_concat"]).fetchall()}
+    assert got["a"] == (66, ",".join(map(str, range(66))), 4_500_000) and got[None] == (2, "7,7", 60_001) and got["c"] == (0, "", 60_001)
