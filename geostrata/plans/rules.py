@@ -269,13 +269,16 @@ def task_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.when(F.col("longest") > 2000, "failed-check").when(F.col("ok") & (F.col("attempts") % 3 == 0), "drafted").when(F.col("attempts") >= 3, "blocked").otherwise("ready").alias("status"), "attempts")
 
 
-@query("""SELECT p_brand, p_partkey // 500 AS sheet, '{"type":"FeatureCollection","features":[' || string_agg('{"id":' || p_partkey || ',"size":' || p_size || '}', ',' ORDER BY p_partkey) || ']}' AS doc
-FROM part GROUP BY 1, 2""")
+@query("""SELECT p_brand, '{"type":"FeatureCollection","features":[' || string_agg('{"id":' || p_partkey || ',"size":' || p_size || '}', ',' ORDER BY p_partkey) || ']}' AS doc FROM part GROUP BY 1""")
 def document_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON document for each group and sheet of 500 keys, features in order: documents stay small however large a group is."""
-    features = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))))
-    doc = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), features.alias("features")))
-    return table(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 500).alias("sheet")).agg(doc.alias("doc"))
+    """A JSON document for each group, all its features in order. Sheets of 500 keys are written first, so that what meets for a document is lines of text."""
+    k = F.col("p_partkey")
+    feature = F.concat(F.lit('{"id":'), k.cast("string"), F.lit(',"size":'), F.col("p_size").cast("string"), F.lit("}"))
+    lines = table(spark, sf_dir, "part").select("p_brand", k, F.floor(k / 500).alias("sheet"), feature.alias("feature"))
+    in_order = lambda key, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(key, text)))), lambda x: x[text]), ",")
+    sheets = lines.groupBy("p_brand", "sheet").agg(F.nullif(in_order("p_partkey", "feature"), F.lit("")).alias("text"))
+    features = F.nullif(in_order("sheet", "text"), F.lit(""))  # no feature: null, as in SQL
+    return sheets.groupBy("p_brand").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), features, F.lit("]}")).alias("doc"))
 
 
 @query("""WITH d AS (SELECT role, count(*) AS n, sum(length(text)) AS size FROM conversations GROUP BY 1)

@@ -1,5 +1,6 @@
 """Queries over whole tables: what a filter by id would drop is there."""
 
+import json
 import math
 
 import duckdb
@@ -146,3 +147,11 @@ def test_budgeted_concat_sums_whole_groups(spark, tmp_path):
     got = {r.source: (r.fit, r.ids, r.total) for r in catalogue.QUERIES["budgeted_concat"](spark, str(tmp_path)).collect()}
     assert got == {r[0]: r[1:] for r in c.sql(catalogue.ORACLES["budgeted_concat"]).fetchall()}
     assert got["a"] == (66, ",".join(map(str, range(66))), 4_500_000) and got[None] == (2, "7,7", 60_001) and got["c"] == (0, "", 60_001)
+
+
+def test_document_sinks_holds_a_whole_group_in_a_document(spark, tmp_path):
+    parts = [(k, "x", k % 50) for k in range(1500)] + [(2, "y", None), (600, "y", 4), (None, "y", 4), (1, "z", None)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").repartition(5).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_brand: r.doc for r in catalogue.QUERIES["document_sinks"](spark, str(tmp_path)).collect()}
+    assert list(got) and got["y"] == '{"type":"FeatureCollection","features":[{"id":600,"size":4}]}' and got["z"] is None
+    assert [(f["id"], f["size"]) for f in json.loads(got["x"])["features"]] == [(k, k % 50) for k in range(1500)]
