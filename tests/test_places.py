@@ -135,3 +135,11 @@ def test_a_profile_of_very_many_layers_is_not_paired_with_itself(spark):
     rows = spark.range(n).select(F.lit(1).alias("p"), F.lit("A").alias("name"), F.col("id").alias("top"), (F.col("id") + 1).alias("bottom"))
     out = best_overlap(rows, rows, "p", F.lit(True), [F.col("r_top")], band=8)
     assert out.agg(F.count("*"), F.count_if(F.col("top") == F.col("r_top")), F.sum("overlap")).first() == (n, n, n)
+
+
+def test_segments_are_shuffled_about_once_and_never_broadcast(spark, sf):
+    i, p = F.col("l_orderkey"), F.col("l_partkey")
+    s = spark.read.parquet(f"{sf}/lineitem.parquet").select(i.alias("x"), (p % 97).alias("y"), (i + p * 7 % 41 - 20).alias("x2"), (F.col("l_suppkey") * 11 % 97).alias("y2"))
+    assert spatial._pieces(s, ("x", "y", "x2", "y2"), 48.0 * spatial.SPREAD, "l").count() < 1.2 * s.count()
+    plan = spatial.crossing_pairs(s, s.toDF("sx", "sy", "sx2", "sy2"), 48.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
