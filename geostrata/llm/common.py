@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,18 +59,26 @@ def _keep(spark: SparkSession, path: str) -> None:
 
 #: Spark's own setting by which shuffle files of a query go when the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own setting of the bytes after which a batch of rows goes to Python, beside its number of rows.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def put_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors. What the query shuffled goes with its end."""
+def put_table(df: DataFrame, name: str, compression: str = "zstd", batch: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors. What the query shuffled goes with its end.
+
+    batch: bytes of rows that go to Python at once, if not as many as the session has set; a longer row goes alone.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/geostrata-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    own = {_CLEANUP: "true"} | ({_BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _keep(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
@@ -132,6 +141,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: Spark keeps idle workers, each with all that its largest task once took."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(c := ctypes.CDLL(None), "malloc_trim"):  # of glibc only
+        c.malloc_trim(0)
+
+
 class WordHash(dict):
     """64-bit hash of a word's bytes, remembered for up to ``most`` words."""
 

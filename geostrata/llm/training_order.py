@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import chunks, drop_table, mix, put_table, shared_uri, size_in_bytes, table
+from geostrata.llm.common import CHUNK_BYTES, chunks, drop_table, give_back, mix, put_table, shared_uri, size_in_bytes, table
 from geostrata.llm.token_counts import default_path, encoder
 
 #: Tokens of a sequence, sequences of a shard, id that fills up a document's last sequence.
@@ -33,6 +33,8 @@ BUCKET_BYTES, BUCKETS = 8 << 20, (16, 1 << 20)
 IN_TASK, TASKS = 4, 4
 #: Rounds in which shards are dealt out and written: a share of the sequences is in exchange at a time.
 ROUNDS = 4
+#: Bytes of rows that go to Python at once: with its last row, a batch is seldom more than a chunk.
+BATCH_BYTES = CHUNK_BYTES * 7 // 8
 #: Bytes of an index entry: doc_id, number in the document, real tokens.
 ENTRY = 24
 _NONE = np.iinfo(np.int64).min
@@ -75,6 +77,7 @@ def _tokenise(path: str, buckets: int):
     """Rows of (bucket, blob): ids of documents, their keys, lengths, token ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what other steps left in this worker
         enc = encoder(path)
         for batch in chunks(batches, "text"):
             got: dict[int, list[tuple[int, int, np.ndarray]]] = {}
@@ -87,14 +90,24 @@ def _tokenise(path: str, buckets: int):
             if got:
                 blobs = [_pack(*(np.array(c, np.int64) for c in ([x[0] for x in v], [x[1] for x in v], [len(x[2]) for x in v])), *(x[2].astype("<u2") for x in v)) for v in got.values()]
                 yield pa.record_batch([pa.array(list(got), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+                del blobs
+            del got
+            give_back()
 
     return run
 
 
+def _no_encoder() -> None:
+    """Steps after the tokens make no ids: workers drop the encoder that they keep from task to task, and what it took."""
+    encoder.cache_clear()
+    give_back()
+
+
 def _sequence(length: int, pad: int):
     """Of one bucket, in order of the documents' keys: its sequences in blocks, with the bucket's number of the first of each."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        _no_encoder()
         docs = []
         for blob in rows["blob"]:
             ids, body = _unpack(blob)
@@ -159,7 +172,7 @@ def materialise(docs: DataFrame, uri: str | None = None, tokenizer: str | None =
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     texts = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"))
     tokens = texts.mapInArrow(_tokenise(path, buckets), "bucket int, blob binary").repartition(max(TASKS, buckets // IN_TASK), "bucket")
-    blocks = put_table(tokens.groupBy("bucket").applyInPandas(_sequence(length, pad), "bucket int, first long, n long, blob binary"), "order-blocks", "none")
+    blocks = put_table(tokens.groupBy("bucket").applyInPandas(_sequence(length, pad), "bucket int, first long, n long, blob binary"), "order-blocks", "none", BATCH_BYTES)
     counts = {r.bucket: r.n for r in blocks.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # a row for each bucket, 2 ** 20 at most
     sizes = np.array([counts.get(b, 0) for b in range(buckets)], np.int64)
     total = int(sizes.sum())
@@ -168,6 +181,7 @@ def materialise(docs: DataFrame, uri: str | None = None, tokenizer: str | None =
 
     def deal(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            _no_encoder()
             for bucket, first, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, body = _unpack(blob)
                 entries = np.frombuffer(body, "<i8", 2 * n).reshape(n, 2)
@@ -183,6 +197,7 @@ def materialise(docs: DataFrame, uri: str | None = None, tokenizer: str | None =
                 yield pa.record_batch([pa.array([int(slots[r[0]] // shard) for r in rows], pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
+        _no_encoder()
         slots, index, data = [], [], []
         for blob in rows["blob"]:
             s, body = _unpack(blob)
@@ -208,7 +223,7 @@ def materialise(docs: DataFrame, uri: str | None = None, tokenizer: str | None =
     parts = []
     for turn in range(ROUNDS):
         dealt = blocks.select("bucket", "first", "n", "blob").mapInArrow(partial(deal, turn=turn), "shard long, blob binary").repartition(tasks, "shard")
-        parts.append(put_table(dealt.groupBy("shard").applyInPandas(write, "shard long, file string, index string, first_slot long, n long, stride int"), f"order-shards{turn}"))
+        parts.append(put_table(dealt.groupBy("shard").applyInPandas(write, "shard long, file string, index string, first_slot long, n long, stride int"), f"order-shards{turn}", batch=BATCH_BYTES))
     out = reduce(DataFrame.unionByName, parts)
     drop_table(blocks)
     return out

@@ -5,6 +5,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,6 +359,34 @@ def test_training_order_odd_rows(spark, odd, empty):
     assert T.sequences(T.materialise(empty)).count() == 0
 
 
+def test_training_order_takes_texts_in_small_batches(spark, monkeypatch):
+    tokenise, session = T._tokenise, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def watched(path, buckets):
+        run, limit = tokenise(path, buckets), T.CHUNK_BYTES
+
+        def small(batches):
+            for batch in batches:
+                if batch.nbytes > limit and batch.num_rows > 1:
+                    raise ValueError(f"{batch.nbytes} bytes at once")
+                yield batch
+
+        return lambda batches: run(small(batches))
+
+    monkeypatch.setattr(T, "_tokenise", watched)
+    docs = spark.range(0, 1000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.expr("repeat(' word', 2000)")).alias("text"))
+    assert T.sequences(T.materialise(docs)).agg(F.countDistinct("doc_id")).first()[0] == 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == session
+
+
+def test_steps_after_the_tokens_keep_no_encoder():
+    ids, text = pa.array([1, 2]), pa.array(["one text", "another text"])
+    blobs = [b for out in T._tokenise(T.default_path(), 1)(iter([pa.record_batch([ids, ids, text], names=["doc_id", "key", "text"])])) for b in out.column(1).to_pylist()]
+    assert T.encoder.cache_info().currsize == 1
+    assert T._sequence(8, 0)(pd.DataFrame({"bucket": [0] * len(blobs), "blob": blobs})).n.sum() == 2
+    assert T.encoder.cache_info().currsize == 0
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
