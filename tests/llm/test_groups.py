@@ -16,7 +16,7 @@ from geostrata.llm import jaccard_join as J
 from geostrata.llm import mixing as M
 from geostrata.llm import sharding as S
 from geostrata.llm import training_order as T
-from geostrata.llm.common import WordHash, shingle_hashes
+from geostrata.llm.common import CHUNK_BYTES, WordHash, shingle_hashes
 from geostrata.llm.entry import ORACLES, QUERIES
 
 
@@ -363,7 +363,7 @@ def test_training_order_takes_texts_in_small_batches(spark, monkeypatch):
     tokenise, session = T._tokenise, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
 
     def watched(path, buckets):
-        run, limit = tokenise(path, buckets), T.CHUNK_BYTES
+        run, limit = tokenise(path, buckets), CHUNK_BYTES
 
         def small(batches):
             for batch in batches:
